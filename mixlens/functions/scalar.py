@@ -23,7 +23,7 @@ def _c(c: ColumnOrName) -> Column:
 def parse_dmy(c: ColumnOrName) -> Column:
     """Day/month/year text with '/' or '-' separators -> date (NULL when unparseable)."""
     c = _c(c)
-    return F.coalesce(F.try_to_date(c, F.lit("d/M/yyyy")), F.try_to_date(c, F.lit("d-M-yyyy")))
+    return F.coalesce(F.try_to_date(c, "d/M/yyyy"), F.try_to_date(c, "d-M-yyyy"))
 
 
 def to_date_col(c: ColumnOrName) -> Column:
