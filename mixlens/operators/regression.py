@@ -148,23 +148,26 @@ def solve(gram_df: DataFrame, spec: ModelSpec, tol: float = ALIAS_TOL) -> DataFr
 
 
 def fit(panel_drivers: DataFrame, spec: ModelSpec, tol: float = ALIAS_TOL,
-        materialise: bool = True) -> tuple[DataFrame, DataFrame]:
+        keep_design: bool = True) -> tuple[DataFrame, DataFrame]:
     """M3/M4 fit every product.  Returns (model table, scaled design).
 
     The model table has one row per product: target, terms, status, rank, n,
-    coefficients (NULL where aliased), inverse-Gram diagonal, and the per-term
-    training mean / SD used to scale.  It is checkpointed (the fit is the
-    expensive step, and scoring / contributions / summaries all reuse it)."""
+    coefficients (NULL where aliased), inverse-Gram diagonal, mean of y, and the
+    per-term training mean / SD used to scale.  Both the scaled design (reused
+    by residual, contribution and summary passes) and the model table are
+    written to the shared checkpoint folder, so later passes read them instead
+    of re-aggregating the source.  ``keep_design=False`` streams the design
+    straight into the Gram aggregate when only the models are needed."""
     design = build_design(panel_drivers, spec)
     scaled = scale_design(design, spec, keep_stats=True)
+    if keep_design:
+        scaled = cut_lineage(scaled)
     solved = solve(gram(scaled, spec), spec, tol)
-    models = solved.select(
+    models = cut_lineage(solved.select(
         F.lit(spec.target).alias("target"), KEY, "status", "rank", "n",
         F.array(*[F.lit(t) for t in spec.all_terms]).alias("terms"),
         "coef", "xtx_inv_diag", "mean_y", "scale_mean", "scale_sd",
-    )
-    if materialise:
-        models = cut_lineage(models)
+    ))
     stats = [c for c in scaled.columns if c.startswith(("mean__", "sd__"))]
     return models, scaled.drop(*stats)
 

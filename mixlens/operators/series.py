@@ -52,12 +52,14 @@ def adstock(df: DataFrame, col: str, rate: float, by=None, order="date", out: st
     """W1 geometric adstock ``a_1 = x_1, a_i = x_i + rate * a_(i-1)`` per key, in row order.
 
     Exact recursion truncated where ``rate**K < tol`` (K = 166 at 0.8), computed
-    with two fixed-frame window SUMS rather than an array per row: rows are cut
-    into blocks of B = K + 1; inside a block, x_j is scaled by ``rate**-e_j``
-    (e_j = position in block, so factors stay below 1/tol); a K-row frame spans
-    at most two consecutive blocks, which have opposite parity, so the sums of
-    even-block and odd-block terms give the current-block and previous-block
-    parts exactly, each then rescaled by ``rate**e_i`` / ``rate**(e_i + B)``.
+    with O(1)-per-row running sums instead of an array or a K-row frame per row.
+    Rows are cut into blocks of B = K + 1; inside a block, x_j is scaled by
+    ``rate**-e_j`` (e_j = position in the block, so factors stay below 1/tol)
+    and summed with a running sum that restarts at each block; the previous
+    block enters through its final running sum S_(b-1), carried forward, so
+        a_i = rate**e_i * (S_b(i) + rate**B * S_(b-1))
+    and blocks further back weigh less than ``tol``.  The block restart adds a
+    sort inside the key's partitions, no shuffle.
 
     on_null='zero' treats a missing input as 0; 'propagate' makes every value
     from the first missing input on NULL (what a plain recursion does).
@@ -66,32 +68,31 @@ def adstock(df: DataFrame, col: str, rate: float, by=None, order="date", out: st
     x = F.col(col).cast("double")
     if rate == 0.0:
         return df.withColumn(out, F.coalesce(x, F.lit(0.0)) if on_null == "zero" else x)
+    if not 0.0 < rate <= 1.0:
+        raise ValueError("adstock rate must lie in [0, 1]")
+    keys = _names(by)
     w = _ordered(by, order)
-    rn, nul = f"{_TMP}rn", f"{_TMP}nul"
+    rn, nul, blk, run, carry = (f"{_TMP}{s}" for s in ("rn", "nul", "blk", "run", "carry"))
     df = df.withColumn(rn, F.row_number().over(w) - 1)
     if on_null == "propagate":
         df = df.withColumn(nul, F.sum(F.when(x.isNull(), 1).otherwise(0)).over(
             w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     xv = F.coalesce(x, F.lit(0.0))
-    if rate >= 1.0:
-        if rate > 1.0:
-            raise ValueError("adstock rate must lie in [0, 1]")
-        res = F.sum(xv).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        df = df.withColumn(out, res)
+    if rate == 1.0:
+        df = df.withColumn(out, F.sum(xv).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     else:
-        K = adstock_memory(rate, tol)
-        B = K + 1
+        B = adstock_memory(rate, tol) + 1
         e = F.col(rn) % B
-        par = F.floor(F.col(rn) / B) % 2
-        y = xv * F.pow(F.lit(rate), -e)
-        frame = w.rowsBetween(-K, Window.currentRow)
-        se, so = f"{_TMP}se", f"{_TMP}so"
-        df = (df.withColumn(se, F.sum(F.when(par == 0, y).otherwise(F.lit(0.0))).over(frame))
-                .withColumn(so, F.sum(F.when(par == 1, y).otherwise(F.lit(0.0))).over(frame)))
-        same = F.when(par == 0, F.col(se)).otherwise(F.col(so))
-        prev = F.when(par == 0, F.col(so)).otherwise(F.col(se))
-        res = F.pow(F.lit(rate), e) * same + F.pow(F.lit(rate), e + B) * prev
-        df = df.withColumn(out, res).drop(se, so)
+        df = df.withColumn(blk, F.floor(F.col(rn) / B))
+        in_block = (Window.partitionBy(*keys, blk).orderBy(*_names(order))
+                    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        df = df.withColumn(run, F.sum(xv * F.pow(F.lit(rate), -e)).over(in_block))
+        before = (Window.partitionBy(*keys).orderBy(blk, *_names(order))
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        df = df.withColumn(carry, F.last(F.when(e == B - 1, F.col(run)), ignorenulls=True).over(before))
+        res = F.pow(F.lit(rate), e) * (F.col(run) + F.pow(F.lit(rate), F.lit(float(B)))
+                                        * F.coalesce(F.col(carry), F.lit(0.0)))
+        df = df.withColumn(out, res).drop(blk, run, carry)
     if on_null == "propagate":
         df = df.withColumn(out, F.when(F.col(nul) == 0, F.col(out))).drop(nul)
     return df.drop(rn)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mixlens.operators import panel as P
 from mixlens.operators.features import TRAIN_TO, DATE
+from mixlens.session import cut_lineage
 from mixlens.sources.tables import product_series, meta_series
 
 
@@ -22,12 +23,16 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta_series(spark, sf_dir)
 
 
-def panel_drivers(spark: SparkSession, sf_dir: str, total: bool = False) -> DataFrame:
-    """Training panel (optionally with the Total layer) joined to the drivers, one-hot weather."""
+def panel_drivers(spark: SparkSession, sf_dir: str, total: bool = False,
+                  materialise: bool = False) -> DataFrame:
+    """Training panel (optionally with the Total layer) joined to the drivers,
+    one-hot weather.  ``materialise`` writes it once to the checkpoint folder
+    for plans that read it more than once (e.g. two model fits)."""
     p = panel_train(spark, sf_dir)
     if total:
         p = P.with_total(p)
-    return P.weather_onehot(P.join_drivers(p, meta(spark, sf_dir)))
+    out = P.weather_onehot(P.join_drivers(p, meta(spark, sf_dir)))
+    return cut_lineage(out) if materialise else out
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

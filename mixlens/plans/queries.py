@@ -26,6 +26,7 @@ from mixlens.operators.features import (
 )
 from mixlens.plans import sql as Q
 from mixlens.plans.context import panel, panel_train, meta, panel_drivers, rounded
+from mixlens.session import cut_lineage
 from mixlens.sources.tables import variable_groupings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -332,9 +333,10 @@ def uplift(spark, sf):
 
 
 def _segment_table(spark, sf):
+    """One row per product; written once, then read by every MLlib pass."""
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
     by_product = C.contribution_by_product_wide(scaled, models, SESSIONS_SPEC)
-    return SG.segment_table(by_product, SG.product_stats(panel_train(spark, sf)))
+    return cut_lineage(SG.segment_table(by_product, SG.product_stats(panel_train(spark, sf))))
 
 
 @register("segment_features")
@@ -371,8 +373,9 @@ def answer_sheet(spark, sf):
 
 # ---------------------------------------------------------------- forecast
 def _forecast(spark, sf, scale="train"):
-    ms, _ = _fit(spark, sf, SESSIONS_SPEC)
-    mb, _ = _fit(spark, sf, BOOKINGS_SPEC)
+    pdr = panel_drivers(spark, sf, materialise=True)
+    ms, _ = R.fit(pdr, SESSIONS_SPEC, keep_design=False)
+    mb, _ = R.fit(pdr, BOOKINGS_SPEC, keep_design=False)
     return FC.forecast({"sessions": (ms, SESSIONS_SPEC), "bookings": (mb, BOOKINGS_SPEC)}, meta(spark, sf), scale)
 
 

@@ -49,6 +49,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table under the shared checkpoint folder and
+    read it back: the lineage ends there (never ``localCheckpoint``), the files
+    survive executor loss, and readers get columnar pruning."""
+    import uuid
+    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/mixlens-tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
