@@ -85,7 +85,7 @@ def contribution_wide(scaled: DataFrame, models: DataFrame, spec: ModelSpec,
 
 def _order_col(col: str = "driver_group"):
     m = F.create_map(*[x for i, g in enumerate(DRIVER_ORDER) for x in (F.lit(g), F.lit(i + 1))])
-    return m[F.col(col)].alias("driver_order")
+    return m[F.col(col)].cast("bigint").alias("driver_order")
 
 
 def to_long(wide: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -101,7 +101,7 @@ def contribution_daily(scaled, models, spec, **kw) -> DataFrame:
 def contribution_annual(scaled, models, spec, **kw) -> DataFrame:
     """A9 per (product, year) sum of each driver."""
     w = contribution_wide(scaled, models, spec, **kw)
-    y = w.groupBy(KEY, F.year(DATE).alias("year")).agg(*[F.sum(g).alias(g) for g in DRIVER_GROUPS])
+    y = w.groupBy(KEY, F.year(DATE).cast("bigint").alias("year")).agg(*[F.sum(g).alias(g) for g in DRIVER_GROUPS])
     return to_long(y, [KEY, "year"])
 
 

@@ -293,8 +293,8 @@ def _t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(p).where(np.isfinite(p), None)
 
 
-def fit_summary(scaled: DataFrame, models: DataFrame, spec: ModelSpec) -> DataFrame:
-    """M5 per term: estimate, standard error, t value, two-sided p value."""
+def coef_table(scaled: DataFrame, models: DataFrame, spec: ModelSpec) -> DataFrame:
+    """M5 per term: estimate, standard error, t value and residual degrees of freedom."""
     q = model_quality(scaled, models, spec).select(KEY, "rss", "n", "rank")
     m = models.filter(F.col("status") == "ok").join(q.drop("n", "rank"), on=KEY, how="inner")
     sigma2 = F.try_divide(F.col("rss"), (F.col("n") - F.col("rank")).cast("double"))
@@ -304,7 +304,13 @@ def fit_summary(scaled: DataFrame, models: DataFrame, spec: ModelSpec) -> DataFr
                     F.posexplode(z).alias("term_index", "t"))
     se = F.sqrt(F.col("sigma2") * F.col("t.inv"))
     tval = F.try_divide(F.col("t.estimate"), se)
-    out = long.select("target", KEY, "term_index", F.col("t.term").alias("term"),
-                      F.col("t.estimate").alias("estimate"), se.alias("std_error"), tval.alias("t_value"),
-                      (F.col("n") - F.col("rank")).alias("df_resid"))
+    return long.select("target", KEY, "term_index", F.col("t.term").alias("term"),
+                       F.col("t.estimate").alias("estimate"), se.alias("std_error"), tval.alias("t_value"),
+                       (F.col("n") - F.col("rank")).alias("df_resid"))
+
+
+def fit_summary(scaled: DataFrame, models: DataFrame, spec: ModelSpec) -> DataFrame:
+    """M5 the coefficient table plus the two-sided p value of each t (Student t
+    with n - rank degrees of freedom, evaluated in an Arrow-batched pandas UDF)."""
+    out = coef_table(scaled, models, spec)
     return out.withColumn("p_value", _t_pvalue(F.col("t_value"), F.col("df_resid")))

@@ -235,87 +235,93 @@ def _coef_long(models):
         "target", KEY, "status", "rank", "n", "term_index", "t.term", "t.estimate")
 
 
-@register("ols_sessions")
+@register("ols_sessions", Q.OLS_SESSIONS)
 def ols_sessions(spark, sf):
     models, _ = _fit(spark, sf, SESSIONS_SPEC)
     return rounded(_coef_long(models))
 
 
-@register("ols_bookings")
+@register("ols_bookings", Q.OLS_BOOKINGS)
 def ols_bookings(spark, sf):
     models, _ = _fit(spark, sf, BOOKINGS_SPEC)
     return rounded(_coef_long(models))
 
 
+@register("coef_table", Q.COEF_TABLE)
+def coef_table(spark, sf):
+    models, scaled = _fit(spark, sf, SESSIONS_SPEC)
+    return rounded(R.coef_table(scaled, models, SESSIONS_SPEC))
+
+
 @register("fit_summary")
 def fit_summary(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
     return rounded(R.fit_summary(scaled, models, SESSIONS_SPEC))
 
 
-@register("model_quality")
+@register("model_quality", Q.MODEL_QUALITY)
 def model_quality(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
     return rounded(R.model_quality(scaled, models, SESSIONS_SPEC))
 
 
-@register("actual_vs_model")
+@register("actual_vs_model", Q.ACTUAL_VS_MODEL)
 def actual_vs_model(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
     return rounded(R.actual_vs_model(scaled, models, SESSIONS_SPEC))
 
 
-@register("rmse_by_product")
+@register("rmse_by_product", Q.RMSE_BY_PRODUCT)
 def rmse_by_product(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
     return rounded(R.rmse_by_product(scaled, models, SESSIONS_SPEC))
 
 
 # ---------------------------------------------------------------- contributions
-@register("contribution_terms_grouped")
+@register("contribution_terms_grouped", Q.CONTRIBUTION_TERMS_GROUPED)
 def contribution_terms_grouped(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
     long = C.term_contributions(scaled, models, SESSIONS_SPEC)
     return rounded(C.group_terms(long, variable_groupings(spark)))
 
 
-@register("contribution_daily")
+@register("contribution_daily", Q.CONTRIBUTION_DAILY)
 def contribution_daily(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
     return rounded(C.contribution_daily(scaled, models, SESSIONS_SPEC))
 
 
-@register("contribution_daily_bookings")
+@register("contribution_daily_bookings", Q.CONTRIBUTION_DAILY_BOOKINGS)
 def contribution_daily_bookings(spark, sf):
     models, scaled = _fit(spark, sf, BOOKINGS_SPEC)
     return rounded(C.contribution_daily(scaled, models, BOOKINGS_SPEC))
 
 
-@register("contribution_annual")
+@register("contribution_annual", Q.CONTRIBUTION_ANNUAL)
 def contribution_annual(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
     return rounded(C.contribution_annual(scaled, models, SESSIONS_SPEC))
 
 
-@register("contribution_weekly")
+@register("contribution_weekly", Q.CONTRIBUTION_WEEKLY)
 def contribution_weekly(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
     return rounded(C.contribution_weekly(scaled, models, SESSIONS_SPEC))
 
 
-@register("contribution_by_product")
+@register("contribution_by_product", Q.CONTRIBUTION_BY_PRODUCT)
 def contribution_by_product(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
     return rounded(C.contribution_by_product(scaled, models, SESSIONS_SPEC))
 
 
-@register("contribution_by_product_bookings")
+@register("contribution_by_product_bookings", Q.CONTRIBUTION_BY_PRODUCT_BOOKINGS)
 def contribution_by_product_bookings(spark, sf):
     models, scaled = _fit(spark, sf, BOOKINGS_SPEC)
     return rounded(C.contribution_by_product(scaled, models, BOOKINGS_SPEC))
 
 
-@register("contribution_share")
+@register("contribution_share", Q.CONTRIBUTION_SHARE)
 def contribution_share(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
     return rounded(C.contribution_share(scaled, models, SESSIONS_SPEC))
@@ -339,7 +345,7 @@ def _segment_table(spark, sf):
     return cut_lineage(SG.segment_table(by_product, SG.product_stats(panel_train(spark, sf))))
 
 
-@register("segment_features")
+@register("segment_features", Q.SEGMENT_FEATURES)
 def segment_features(spark, sf):
     return rounded(SG.scaled_columns(SG.scale_features(_segment_table(spark, sf))))
 
@@ -379,17 +385,17 @@ def _forecast(spark, sf, scale="train"):
     return FC.forecast({"sessions": (ms, SESSIONS_SPEC), "bookings": (mb, BOOKINGS_SPEC)}, meta(spark, sf), scale)
 
 
-@register("forecast_long")
+@register("forecast_long", Q.FORECAST_LONG)
 def forecast_long(spark, sf):
     return rounded(FC.forecast_long(_forecast(spark, sf)))
 
 
-@register("forecast_horizon_scaled")
+@register("forecast_horizon_scaled", Q.FORECAST_HORIZON_SCALED)
 def forecast_horizon_scaled(spark, sf):
     return rounded(_forecast(spark, sf, scale="horizon"))
 
 
-@register("actual_plus_forecast")
+@register("actual_plus_forecast", Q.ACTUAL_PLUS_FORECAST)
 def actual_plus_forecast(spark, sf):
     return rounded(FC.actual_plus_forecast(panel_train(spark, sf), _forecast(spark, sf)))
 

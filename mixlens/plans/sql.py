@@ -224,8 +224,8 @@ select date, case when date in ({_XMAS}) then {D1} else {D0} end as xmas from me
 
 
 # ------------------------------------------------------------------ features
-def _raw_select(target: str) -> str:
-    return f"""select product_id, date, cast({target} as double) as dep_var,
+def _raw_select() -> str:
+    return f"""select product_id, date, cast(sessions as double) as y_sessions, cast(bookings as double) as y_bookings,
        case when dayofweek(date) = 5 then {D1} else {D0} end as day_friday,
        case when dayofweek(date) = 6 then {D1} else {D0} end as day_saturday,
        case when dayofweek(date) = 0 then {D1} else {D0} end as day_sunday,
@@ -236,26 +236,28 @@ def _raw_select(target: str) -> str:
        better_than_average_weather_days, worse_than_average_weather_days"""
 
 
-def design_ctes(target: str) -> list[str]:
+def design_ctes() -> list[str]:
     """CTE ``raw_design``: unscaled design rows of the product fits (date <= train end)."""
     return [
         *adstock_ctes("panel_drivers", "tv_ad_reach"),
         """f1 as (select d.*, r.a, r.rn,
   avg(d.exchange_rate) over (partition by d.product_id order by d.date rows between 9 preceding and current row) as fx_m
   from panel_drivers d join ad_rows r on d.product_id = r.product_id and d.date = r.date)""",
-        f"raw_design as ({_raw_select(target)} from f1)",
+        f"raw_design as ({_raw_select()} from f1)",
     ]
 
 
-def scaled_cte(terms: tuple[str, ...], fit_from: str | None, name: str = "scaled") -> str:
+def scaled_cte(terms: tuple[str, ...], fit_from: str | None, name: str = "scaled",
+               target: str = "sessions") -> str:
     cols = ", ".join(f"{t} as {t}" if t == "tv_adstock" else f"{z(t)} as {t}" for t in terms)
-    inner = f"select product_id, date, dep_var, {cols} from raw_design"
+    inner = f"select product_id, date, y_{target} as dep_var, {cols} from raw_design"
     where = f" where date >= date '{fit_from}'" if fit_from else ""
     return f"{name} as (select * from ({inner}){where})"
 
 
 def _feature_sql(target: str, terms: tuple[str, ...], fit_from: str | None) -> str:
-    head = with_(PANEL, META, TRAIN, DRIVERS, *design_ctes(target), scaled_cte(terms, fit_from), recursive=True)
+    head = with_(PANEL, META, TRAIN, DRIVERS, *design_ctes(), scaled_cte(terms, fit_from, target=target),
+                 recursive=True)
     return head + "select product_id, date, " + ", ".join(r6(c) + f" as {c}" for c in ("dep_var",) + terms) + " from scaled"
 
 
@@ -294,8 +296,8 @@ SCALED_DRIVERS_LONG = with_(META, *_meta_design(), "hs as (select date, " + ", "
     f"{z(t, '')} as {t}" for t in _V9_TERMS) + " from hraw)") + "\nunion all\n".join(
     f"select date, '{t}' as variable, {r6(t)} as value from hs" for t in _V9_TERMS)
 
-DRIVER_OVERLAY = with_(PANEL, META, TRAIN, DRIVERS, *design_ctes("sessions"), recursive=True) + f"""
-select product_id, date, {r6(z('dep_var'))} as dep_var_z, {r6(z('tv_adstock'))} as variable_z from raw_design"""
+DRIVER_OVERLAY = with_(PANEL, META, TRAIN, DRIVERS, *design_ctes(), recursive=True) + f"""
+select product_id, date, {r6(z('y_sessions'))} as dep_var_z, {r6(z('tv_adstock'))} as variable_z from raw_design"""
 
 # ------------------------------------------------------------------ regression
 _X = [D1] + list(SESSIONS_TERMS)
@@ -303,16 +305,16 @@ _P = len(_X)
 _ENTRIES = [f"sum({_X[i]} * {_X[j]})" for i in range(_P) for j in range(i, _P)] + \
            [f"sum({_X[i]} * dep_var)" for i in range(_P)]
 _CC = " and ".join(f"{c} is not null" for c in ("dep_var",) + SESSIONS_TERMS)
-GRAM_BY_PRODUCT = with_(PANEL, META, TRAIN, DRIVERS, *design_ctes("sessions"), scaled_cte(SESSIONS_TERMS, None),
+GRAM_BY_PRODUCT = with_(PANEL, META, TRAIN, DRIVERS, *design_ctes(), scaled_cte(SESSIONS_TERMS, None),
                         f"""g as (select product_id, count(*) as n, sum(dep_var * dep_var) as yty, sum(dep_var) as sum_y,
   [{', '.join(_ENTRIES)}] as vals from scaled where {_CC} group by product_id)""", recursive=True) + f"""
 select product_id, n, {r6('yty')} as yty, {r6('sum_y')} as sum_y, entry, {r6('value')} as value
 from (select product_id, n, yty, sum_y, unnest(range({len(_ENTRIES)})) as entry, unnest(vals) as value from g)"""
 
-SINGLE_DRIVER_FIT = with_(PANEL, META, TRAIN, DRIVERS, *design_ctes("sessions"), recursive=True) + f"""
-select product_id, cast(regr_count(dep_var, tv_adstock) as bigint) as n,
-       {r6('regr_slope(dep_var, tv_adstock)')} as slope, {r6('regr_intercept(dep_var, tv_adstock)')} as intercept,
-       {r6('regr_r2(dep_var, tv_adstock)')} as r_squared
+SINGLE_DRIVER_FIT = with_(PANEL, META, TRAIN, DRIVERS, *design_ctes(), recursive=True) + f"""
+select product_id, cast(regr_count(y_sessions, tv_adstock) as bigint) as n,
+       {r6('regr_slope(y_sessions, tv_adstock)')} as slope, {r6('regr_intercept(y_sessions, tv_adstock)')} as intercept,
+       {r6('regr_r2(y_sessions, tv_adstock)')} as r_squared
 from raw_design group by product_id"""
 
 # ------------------------------------------------------------------ segmentation
@@ -337,3 +339,282 @@ TRANSFORM_GRID = with_(PANEL, META, TRAIN, DRIVERS, *adstock_ctes("panel_drivers
 select product_id, {r6('rate')} as rate, {r6('r_squared')} as r_squared, {r6('slope')} as slope,
        row_number() over (partition by product_id order by r_squared desc nulls last, rate asc) as rank
 from g"""
+
+
+# ------------------------------------------------------------------ per-product OLS in SQL
+# Gauss-Jordan elimination on the Gram system [X'X | X'y | I], generated as one
+# CTE per pivot.  A pivot whose remaining diagonal is <= 1e-7 x its original
+# diagonal is skipped (term aliased, coefficient NULL), as in the Spark solve.
+ALIAS_TOL = "1e-7"
+
+_GROUPS = ("Base_Sales", "Consumer_Confidence", "Exchange_Rate", "Online_Visibility", "Seasonality", "TV", "Weather")
+_ORDER = ("TV", "Online_Visibility", "Exchange_Rate", "Weather", "Seasonality", "Consumer_Confidence", "Base_Sales")
+_TERM_GROUP = {
+    "intercept": "Base_Sales", "day_friday": "Seasonality", "day_saturday": "Seasonality",
+    "day_sunday": "Seasonality", "tv_adstock": "TV", "consumer_confidence_index": "Consumer_Confidence",
+    "exchange_rate_moving_av": "Exchange_Rate", "online_visibility": "Online_Visibility",
+    "online_visibility_exp": "Online_Visibility", "better_than_average_weather_days": "Weather",
+    "worse_than_average_weather_days": "Weather",
+}
+_REBASED = ("Consumer_Confidence", "Exchange_Rate", "Online_Visibility")
+
+
+def _cc(terms) -> str:
+    return " and ".join(f"{c} is not null" for c in ("dep_var",) + tuple(terms))
+
+
+def ols_ctes(terms: tuple[str, ...], src: str, pre: str) -> list[str]:
+    """CTEs ending in ``{pre}m``: product_id, n, rank, status, mean_y, beta_i, inv_i."""
+    x = [D1] + list(terms)
+    p = len(x)
+    cols = ["product_id", "count(*) as n", "sum(dep_var) as sy"]
+    for i in range(p):
+        for j in range(p):
+            a, b = min(i, j), max(i, j)
+            cols.append(f"sum({x[a]} * {x[b]}) as a_{i}_{j}")
+        cols.append(f"sum({x[i]} * dep_var) as b_{i}")
+        for j in range(p):
+            cols.append(f"{D1 if i == j else D0} as e_{i}_{j}")
+        cols.append(f"sum({x[i]} * {x[i]}) as d_{i}")
+    ctes = [f"{pre}0 as (select {', '.join(cols)} from {src} where {_cc(terms)} group by product_id)"]
+    carry = ["product_id", "n", "sy"] + [f"d_{i}" for i in range(p)]
+    for k in range(p):
+        keep = f"(a_{k}_{k} > {ALIAS_TOL} * d_{k})"
+        f = lambda i: f"(case when {keep} then a_{i}_{k} / a_{k}_{k} else {D0} end)"
+        sel = list(carry) + [f"kp_{j}" for j in range(k)] + [f"{keep} as kp_{k}"]
+        for i in range(p):
+            for j in range(p):
+                sel.append(f"a_{i}_{j}" if i == k else f"a_{i}_{j} - {f(i)} * a_{k}_{j} as a_{i}_{j}")
+            sel.append(f"b_{i}" if i == k else f"b_{i} - {f(i)} * b_{k} as b_{i}")
+            for j in range(p):
+                sel.append(f"e_{i}_{j}" if i == k else f"e_{i}_{j} - {f(i)} * e_{k}_{j} as e_{i}_{j}")
+        ctes.append(f"{pre}{k + 1} as (select {', '.join(sel)} from {pre}{k})")
+    rank = " + ".join(f"cast(kp_{k} as integer)" for k in range(p))
+    fin = [f"product_id, n, cast({rank} as integer) as rank, sy / n as mean_y"]
+    for k in range(p):
+        fin.append(f"case when kp_{k} then b_{k} / a_{k}_{k} end as beta_{k}")
+        fin.append(f"case when kp_{k} then e_{k}_{k} / a_{k}_{k} end as inv_{k}")
+    ctes.append(f"{pre}f as (select {', '.join(fin)} from {pre}{p})")
+    betas = ", ".join(f"case when n > rank then beta_{k} end as beta_{k}" for k in range(p))
+    invs = ", ".join(f"inv_{k}" for k in range(p))
+    ctes.append(f"{pre}m as (select product_id, n, rank, case when n > rank then 'ok' else 'too_few_rows' end as status, "
+                f"mean_y, {betas}, {invs} from {pre}f)")
+    return ctes
+
+
+def _fitted(terms) -> str:
+    x = [D1] + list(terms)
+    return " + ".join(f"coalesce(m.beta_{i}, {D0}) * {x[i] if i == 0 else 's.' + x[i]}" for i in range(len(x)))
+
+
+def model_head(target: str, terms, fit_from: str | None, extra: tuple[str, ...] = ()) -> str:
+    """WITH clause ending with ``scaled`` (design) and ``om`` (models) for one target."""
+    return with_(PANEL, META, TRAIN, DRIVERS, *design_ctes(), scaled_cte(terms, fit_from, target=target),
+                 *ols_ctes(terms, "scaled", "o"), *extra, recursive=True)
+
+
+_S_ARGS = ("sessions", SESSIONS_TERMS, None)
+_B_ARGS = ("bookings", BOOKINGS_TERMS, "1998-01-01")
+
+
+def _ols_long(target, terms, fit_from) -> str:
+    names = ("intercept",) + tuple(terms)
+    arms = "\nunion all\n".join(
+        f"select '{target}' as target, product_id, status, rank, n, cast({i} as integer) as term_index, "
+        f"'{t}' as term, {r6(f'beta_{i}')} as estimate from om" for i, t in enumerate(names))
+    return model_head(target, terms, fit_from) + arms
+
+
+OLS_SESSIONS = _ols_long(*_S_ARGS)
+OLS_BOOKINGS = _ols_long(*_B_ARGS)
+
+_OK_ROWS = lambda terms: (
+    f"fr as (select s.*, m.mean_y, m.n as n_model, m.rank, {_fitted(terms)} as fitted "
+    f"from scaled s join om m on s.product_id = m.product_id where m.status = 'ok' and "
+    + " and ".join(f"s.{c} is not null" for c in ("dep_var",) + tuple(terms)) + ")")
+
+
+def _quality_ctes(terms) -> tuple[str, ...]:
+    return (_OK_ROWS(terms), """q as (select product_id, any_value(n_model) as n, any_value(rank) as rank,
+  sum((dep_var - fitted) * (dep_var - fitted)) as rss, sum((dep_var - mean_y) * (dep_var - mean_y)) as tss
+  from fr group by product_id)""")
+
+
+MODEL_QUALITY = model_head(*_S_ARGS, extra=_quality_ctes(SESSIONS_TERMS)) + f"""
+select 'sessions' as target, product_id, n, rank, {r6('rss')} as rss, {r6('tss')} as tss,
+  {r6('1 - rss / nullif(tss, 0)')} as r_squared,
+  {r6('1 - (rss / cast(n - rank as double)) / nullif(tss / (n - 1), 0)')} as adj_r_squared,
+  {r6('((tss - rss) / cast(rank - 1 as double)) / nullif(rss / cast(n - rank as double), 0)')} as f_statistic,
+  {r6('sqrt(rss / cast(n - rank as double))')} as sigma, {r6('sqrt(rss / n)')} as rmse
+from q"""
+
+RMSE_BY_PRODUCT = model_head(*_S_ARGS, extra=_quality_ctes(SESSIONS_TERMS)) + f"""
+select 'sessions' as target, product_id, {r6('sqrt(rss / n)')} as rmse from q"""
+
+ACTUAL_VS_MODEL = model_head(*_S_ARGS, extra=(_OK_ROWS(SESSIONS_TERMS),)) + f"""
+select product_id, date, {r6('dep_var')} as actual, {r6('fitted')} as fitted, {r6('dep_var - fitted')} as residual
+from fr"""
+
+_NAMES_S = ("intercept",) + SESSIONS_TERMS
+COEF_TABLE = model_head(*_S_ARGS, extra=_quality_ctes(SESSIONS_TERMS)) + "\nunion all\n".join(
+    f"select 'sessions' as target, m.product_id, cast({i} as integer) as term_index, '{t}' as term, "
+    f"{r6(f'm.beta_{i}')} as estimate, {r6(f'sqrt(q.rss / cast(m.n - m.rank as double) * m.inv_{i})')} as std_error, "
+    f"{r6(f'm.beta_{i} / nullif(sqrt(q.rss / cast(m.n - m.rank as double) * m.inv_{i}), 0)')} as t_value, "
+    f"m.n - m.rank as df_resid from om m join q on m.product_id = q.product_id where m.status = 'ok'"
+    for i, t in enumerate(_NAMES_S))
+
+
+# ---- contributions
+def _group_exprs(terms) -> list[str]:
+    names = ("intercept",) + tuple(terms)
+    out = []
+    for g in _GROUPS:
+        parts = [f"coalesce(m.beta_{i}, {D0}) * {D1 if i == 0 else 's.' + t}"
+                 for i, t in enumerate(names) if _TERM_GROUP[t] == g]
+        out.append(f"({' + '.join(parts) if parts else D0}) as {g}")
+    return out
+
+
+def _contrib_ctes(terms, smooth: bool = True, rebase: bool = True) -> tuple[str, ...]:
+    cc = " and ".join(f"s.{c} is not null" for c in ("dep_var",) + tuple(terms))
+    ctes = [f"cw as (select s.product_id, s.date, {', '.join(_group_exprs(terms))} "
+            f"from scaled s join om m on s.product_id = m.product_id where m.status = 'ok' and {cc})"]
+    src = "cw"
+    if smooth:
+        others = [g for g in _GROUPS if g != "Base_Sales"]
+        inner = ", ".join(
+            f"avg({g}) over (partition by product_id order by date rows between 3 preceding and 3 following) as m_{g}"
+            for g in others)
+        ctes.append(f"""cs0 as (select *, row_number() over (partition by product_id order by date) as rn,
+  count(*) over (partition by product_id) as cnt, {inner} from cw)""")
+        sm = ", ".join(f"""case when cnt < 7 then null
+  when rn < 4 then max(case when rn = 4 then m_{g} end) over (partition by product_id)
+  when rn > cnt - 3 then max(case when rn = cnt - 3 then m_{g} end) over (partition by product_id)
+  else m_{g} end as {g}""" for g in others)
+        ctes.append(f"cs as (select product_id, date, Base_Sales, {sm} from cs0)")
+        src = "cs"
+    if rebase:
+        add = f"(((({D0}) + min({_REBASED[0]}) over w) + min({_REBASED[1]}) over w) + min({_REBASED[2]}) over w)"
+        cols = [f"Base_Sales + {add} as Base_Sales"] + [
+            f"{g} - min({g}) over w as {g}" if g in _REBASED else g for g in _GROUPS if g != "Base_Sales"]
+        ctes.append(f"cr as (select product_id, date, {', '.join(cols)} from {src} window w as (partition by product_id))")
+        src = "cr"
+    ctes.append(f"cfin as (select * from {src})")
+    return tuple(ctes)
+
+
+def _order_sql(col: str = "driver_group") -> str:
+    whens = " ".join(f"when '{g}' then {i + 1}" for i, g in enumerate(_ORDER))
+    return f"cast(case {col} {whens} end as bigint)"
+
+
+def _long(src: str, ids: str, value=r6) -> str:
+    return "\nunion all\n".join(
+        f"select {ids}, '{g}' as driver_group, {value(g)} as value, {_order_sql(repr(g))} as driver_order from {src}"
+        for g in _GROUPS)
+
+
+def _contrib_head(args, extra=()):
+    target, terms, fit_from = args
+    return model_head(target, terms, fit_from, extra=_contrib_ctes(terms) + tuple(extra))
+
+
+CONTRIBUTION_DAILY = _contrib_head(_S_ARGS) + _long("cfin", "product_id, date")
+CONTRIBUTION_DAILY_BOOKINGS = _contrib_head(_B_ARGS) + _long("cfin", "product_id, date")
+_SUMS = ", ".join(f"sum({g}) as {g}" for g in _GROUPS)
+CONTRIBUTION_ANNUAL = _contrib_head(_S_ARGS, (
+    f"ya as (select product_id, cast(year(date) as bigint) as year, {_SUMS} from cfin group by 1, 2)",)) + \
+    _long("ya", "product_id, year")
+_WEEK = "cast(date_trunc('year', date) as date) + cast(floor((dayofyear(date) - 1) / 7) * 7 as integer)"
+CONTRIBUTION_WEEKLY = _contrib_head(_S_ARGS, (
+    f"wk as (select product_id, {_WEEK} as week_commencing, {_SUMS} from cfin group by 1, 2)",)) + \
+    _long("wk", "product_id, week_commencing")
+_BYP = f"bp as (select product_id, {_SUMS} from cfin group by product_id)"
+CONTRIBUTION_BY_PRODUCT = _contrib_head(_S_ARGS, (_BYP,)) + _long("bp", "product_id")
+CONTRIBUTION_BY_PRODUCT_BOOKINGS = _contrib_head(_B_ARGS, (_BYP,)) + _long("bp", "product_id")
+CONTRIBUTION_SHARE = _contrib_head(_S_ARGS, (_BYP, "lg as (" + _long("bp", "product_id", value=lambda g: g) + ")")) + f"""
+select product_id, driver_group, {r6('value')} as value, driver_order,
+       {r6('value / nullif(sum(abs(value)) over (partition by product_id, sign(value)), 0)')} as share
+from lg"""
+
+_RAW_TERMS = "\nunion all\n".join(
+    f"select s.product_id, s.date, '{t}' as var_name, coalesce(m.beta_{i}, {D0}) * {D1 if i == 0 else 's.' + t} as value "
+    f"from scaled s join om m on s.product_id = m.product_id where m.status = 'ok' and "
+    + " and ".join(f"s.{c} is not null" for c in ("dep_var",) + SESSIONS_TERMS)
+    for i, t in enumerate(_NAMES_S))
+_DICT = ", ".join(f"('{t}', '{g}')" for t, g in _TERM_GROUP.items())
+CONTRIBUTION_TERMS_GROUPED = model_head(*_S_ARGS, extra=(f"tl as ({_RAW_TERMS})",)) + f"""
+select tl.product_id, tl.date, d.grouping as driver_group, {r6('sum(tl.value)')} as value
+from tl left join (values {_DICT}) d(var_name, grouping) on tl.var_name = d.var_name
+group by 1, 2, 3"""
+
+# ---- segment features: driver ratios + product statistics, z-scored across products
+_RATIOS = [g for g in _GROUPS if g != "Base_Sales"]
+_STATS = ("n_total_sessions", "n_total_bookings", "sd_total_sessions", "sd_total_bookings", "av_conv_rate", "uplift")
+SEGMENT_FEATURES = _contrib_head(_S_ARGS, (
+    _BYP,
+    f"""st as (select product_id, cast(sum(sessions) as double) as n_total_sessions,
+  cast(sum(bookings) as double) as n_total_bookings, stddev_samp(sessions) as sd_total_sessions,
+  stddev_samp(bookings) as sd_total_bookings,
+  avg(cast(bookings as double) / nullif(cast(sessions as double), 0)) as av_conv_rate,
+  {_UPLIFT} as uplift from panel_train group by product_id)""",
+    "seg as (select bp.product_id, " + ", ".join(f"bp.{g} / nullif(bp.Base_Sales, 0) as {g}" for g in _RATIOS)
+    + ", " + ", ".join(f"st.{c}" for c in _STATS) + " from bp left join st on bp.product_id = st.product_id)",
+    "segok as (select * from seg where " + " and ".join(f"{c} is not null" for c in list(_RATIOS) + list(_STATS)) + ")",
+)) + "select product_id, " + ", ".join(f"{r6(z(c, ''))} as {c}" for c in list(_RATIOS) + list(_STATS)) + " from segok"
+
+
+# ---- forecasts
+def _stats_cte(terms, pre: str) -> str:
+    cols = ", ".join(f"avg({t}) as {pre}mean_{t}, stddev_samp({t}) as {pre}sd_{t}" for t in terms if t != "tv_adstock")
+    return f"{pre}st as (select product_id, {cols} from raw_design group by product_id)"
+
+
+def _pred(terms, m: str, st: str | None, h: str) -> str:
+    names = ("intercept",) + tuple(terms)
+    out = f"coalesce({m}.beta_0, {D0})"
+    for i, t in enumerate(names[1:], start=1):
+        x = f"{h}.{t}"
+        if st is not None and t != "tv_adstock":
+            x = f"coalesce(({x} - {st}mean_{t}) / nullif({st}sd_{t}, 0), {D0})"
+        out = f"({out} + coalesce({m}.beta_{i}, {D0}) * {x})"
+    return f"case when {m}.beta_0 is not null then {out} end"
+
+
+def _forecast_sql(scale: str) -> str:
+    hterms = _H_TERMS
+    if scale == "train":
+        hsel = "select date, " + ", ".join(hterms) + " from hraw where date >= date '2000-01-01'"
+    else:
+        hsel = ("select * from (select date, " + ", ".join(f"{z(t, '')} as {t}" for t in hterms)
+                + " from hraw) where date >= date '2000-01-01'")
+    ctes = [PANEL, META, TRAIN, DRIVERS, *design_ctes(),
+            scaled_cte(SESSIONS_TERMS, None, name="ss", target="sessions"),
+            *ols_ctes(SESSIONS_TERMS, "ss", "os"),
+            scaled_cte(BOOKINGS_TERMS, "1998-01-01", name="sb", target="bookings"),
+            *ols_ctes(BOOKINGS_TERMS, "sb", "ob"),
+            _stats_cte(SESSIONS_TERMS, "s_"), _stats_cte(BOOKINGS_TERMS, "b_"),
+            *_meta_design(), f"hz as ({hsel})",
+            f"""fw as (select ms.product_id, h.date,
+  {_pred(SESSIONS_TERMS, 'ms', 'sst.s_' if scale == 'train' else None, 'h')} as sessions,
+  {_pred(BOOKINGS_TERMS, 'mb', 'bst.b_' if scale == 'train' else None, 'h')} as bookings
+  from (select * from osm where status = 'ok') ms
+  left join (select * from obm where status = 'ok') mb on ms.product_id = mb.product_id
+  left join s_st sst on ms.product_id = sst.product_id
+  left join b_st bst on ms.product_id = bst.product_id
+  cross join hz h)"""]
+    return with_(*ctes, recursive=True)
+
+
+FORECAST_LONG = _forecast_sql("train") + f"""
+select product_id, date, 'sessions' as target, {r6('sessions')} as prediction from fw
+union all select product_id, date, 'bookings' as target, {r6('bookings')} as prediction from fw"""
+
+FORECAST_HORIZON_SCALED = _forecast_sql("horizon") + f"""
+select product_id, date, {r6('sessions')} as sessions, {r6('bookings')} as bookings from fw"""
+
+ACTUAL_PLUS_FORECAST = _forecast_sql("train") + f"""
+select product_id, date, cast(sessions as double) as sessions, cast(bookings as double) as bookings, 'actual' as kind
+from panel_train
+union all
+select product_id, date, {r6('sessions')} as sessions, {r6('bookings')} as bookings, 'forecast' as kind from fw"""
