@@ -43,6 +43,7 @@ class ModelSpec:
     visibility_power: float = 2.0
     weekend_days: tuple[str, str, str] = ("Friday", "Saturday", "Sunday")
     unscaled: tuple[str, ...] = ("tv_adstock",)
+    impute: bool = False   # interpolate missing scaled terms by row position before fitting (W8)
 
     @property
     def all_terms(self) -> tuple[str, ...]:
@@ -85,6 +86,10 @@ def compat_spec(spec: ModelSpec) -> ModelSpec:
     return replace(spec, weekend_days=("Wednesday", "Saturday", "Sunday"))
 
 
+# the single 'Total' sessions model fills missing scaled terms by interpolation first
+TOTAL_SPEC = replace(SESSIONS_SPEC, impute=True)
+
+
 def _derive(df: DataFrame, spec: ModelSpec, by) -> DataFrame:
     """Window-derived and row-derived raw terms (shared by fit and horizon)."""
     df = S.adstock(df, "tv_ad_reach", spec.adstock_rate, by=by, order=DATE, out="tv_adstock_raw")
@@ -130,6 +135,9 @@ def scale_design(design: DataFrame, spec: ModelSpec, keep_stats: bool = False) -
         out = out.drop(*cols)
     if spec.fit_from is not None:
         out = out.filter(F.col(DATE) >= F.lit(spec.fit_from))
+    if spec.impute:
+        for t in spec.scaled_terms():
+            out = S.interpolate(out, t, by=KEY, order=DATE)
     return out
 
 

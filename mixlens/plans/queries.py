@@ -22,7 +22,7 @@ from mixlens.operators import segment as SG
 from mixlens.operators import series as S
 from mixlens.operators.features import (
     KEY, DATE, SESSIONS_SPEC, BOOKINGS_SPEC, ADSTOCK_RATE, FX_WINDOW, SMOOTH_WINDOW, DECAY_RATES,
-    CHRISTMAS, features, build_design, driver_overlay as _overlay,
+    CHRISTMAS, features, build_design, driver_overlay as _overlay, compat_spec, TOTAL_SPEC,
 )
 from mixlens.plans import sql as Q
 from mixlens.plans.context import panel, panel_train, meta, panel_drivers, rounded
@@ -189,6 +189,11 @@ def features_bookings(spark, sf):
     return rounded(features(panel_drivers(spark, sf), BOOKINGS_SPEC))
 
 
+@register("features_sessions_compat", Q.FEATURES_SESSIONS_COMPAT)
+def features_sessions_compat(spark, sf):
+    return rounded(features(panel_drivers(spark, sf), compat_spec(SESSIONS_SPEC)))
+
+
 @register("features_horizon", Q.FEATURES_HORIZON)
 def features_horizon(spark, sf):
     return rounded(FC.horizon_frame(meta(spark, sf), (SESSIONS_SPEC, BOOKINGS_SPEC), scale="horizon"))
@@ -253,6 +258,14 @@ def coef_table(spark, sf):
     return rounded(R.coef_table(scaled, models, SESSIONS_SPEC))
 
 
+@register("ols_total", Q.OLS_TOTAL)
+def ols_total(spark, sf):
+    """The all-products 'Total' series fitted on its own, missing terms interpolated."""
+    pdr = panel_drivers(spark, sf, total=True).filter(F.col(KEY) == "Total")
+    models, _ = R.fit(pdr, TOTAL_SPEC, keep_design=False)
+    return rounded(_coef_long(models))
+
+
 @register("fit_summary")
 def fit_summary(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)

@@ -224,9 +224,9 @@ select date, case when date in ({_XMAS}) then {D1} else {D0} end as xmas from me
 
 
 # ------------------------------------------------------------------ features
-def _raw_select() -> str:
+def _raw_select(friday_dow: int = 5) -> str:
     return f"""select product_id, date, cast(sessions as double) as y_sessions, cast(bookings as double) as y_bookings,
-       case when dayofweek(date) = 5 then {D1} else {D0} end as day_friday,
+       case when dayofweek(date) = {friday_dow} then {D1} else {D0} end as day_friday,
        case when dayofweek(date) = 6 then {D1} else {D0} end as day_saturday,
        case when dayofweek(date) = 0 then {D1} else {D0} end as day_sunday,
        ln(1 + a) as tv_adstock, consumer_confidence_index,
@@ -236,14 +236,14 @@ def _raw_select() -> str:
        better_than_average_weather_days, worse_than_average_weather_days"""
 
 
-def design_ctes() -> list[str]:
+def design_ctes(friday_dow: int = 5, src: str = "panel_drivers") -> list[str]:
     """CTE ``raw_design``: unscaled design rows of the product fits (date <= train end)."""
     return [
-        *adstock_ctes("panel_drivers", "tv_ad_reach"),
-        """f1 as (select d.*, r.a, r.rn,
+        *adstock_ctes(src, "tv_ad_reach"),
+        f"""f1 as (select d.*, r.a, r.rn,
   avg(d.exchange_rate) over (partition by d.product_id order by d.date rows between 9 preceding and current row) as fx_m
-  from panel_drivers d join ad_rows r on d.product_id = r.product_id and d.date = r.date)""",
-        f"raw_design as ({_raw_select()} from f1)",
+  from {src} d join ad_rows r on d.product_id = r.product_id and d.date = r.date)""",
+        f"raw_design as ({_raw_select(friday_dow)} from f1)",
     ]
 
 
@@ -255,14 +255,16 @@ def scaled_cte(terms: tuple[str, ...], fit_from: str | None, name: str = "scaled
     return f"{name} as (select * from ({inner}){where})"
 
 
-def _feature_sql(target: str, terms: tuple[str, ...], fit_from: str | None) -> str:
-    head = with_(PANEL, META, TRAIN, DRIVERS, *design_ctes(), scaled_cte(terms, fit_from, target=target),
+def _feature_sql(target: str, terms: tuple[str, ...], fit_from: str | None, friday_dow: int = 5) -> str:
+    head = with_(PANEL, META, TRAIN, DRIVERS, *design_ctes(friday_dow), scaled_cte(terms, fit_from, target=target),
                  recursive=True)
     return head + "select product_id, date, " + ", ".join(r6(c) + f" as {c}" for c in ("dep_var",) + terms) + " from scaled"
 
 
 FEATURES_SESSIONS = _feature_sql("sessions", SESSIONS_TERMS, None)
 FEATURES_BOOKINGS = _feature_sql("bookings", BOOKINGS_TERMS, "1998-01-01")
+# the reference's literal set-up flags Wednesday (DuckDB dayofweek 3) as 'Friday'
+FEATURES_SESSIONS_COMPAT = _feature_sql("sessions", SESSIONS_TERMS, None, friday_dow=3)
 
 _H_TERMS = tuple(dict.fromkeys(SESSIONS_TERMS + BOOKINGS_TERMS))
 
@@ -618,3 +620,32 @@ select product_id, date, cast(sessions as double) as sessions, cast(bookings as
 from panel_train
 union all
 select product_id, date, {r6('sessions')} as sessions, {r6('bookings')} as bookings, 'forecast' as kind from fw"""
+
+
+# ---- the Total series alone, missing scaled terms interpolated by row position before the fit
+def _interp_cte(terms, src: str, name: str) -> list[str]:
+    scaled_t = [t for t in terms if t != "tv_adstock"]
+    w_back = "partition by product_id order by rn rows between unbounded preceding and current row"
+    w_fwd = "partition by product_id order by rn rows between current row and unbounded following"
+    cols = []
+    for t in scaled_t:
+        cols += [f"last_value({t} ignore nulls) over ({w_back}) as pv_{t}",
+                 f"last_value(case when {t} is not null then rn end ignore nulls) over ({w_back}) as pr_{t}",
+                 f"first_value({t} ignore nulls) over ({w_fwd}) as nv_{t}",
+                 f"first_value(case when {t} is not null then rn end ignore nulls) over ({w_fwd}) as nr_{t}"]
+    fill = ", ".join(
+        f"case when {t} is not null then {t} when pv_{t} is null then nv_{t} when nv_{t} is null then pv_{t} "
+        f"else pv_{t} + (nv_{t} - pv_{t}) * (cast(rn - pr_{t} as double) / cast(nr_{t} - pr_{t} as double)) end as {t}"
+        for t in scaled_t)
+    return [f"{name}0 as (select *, row_number() over (partition by product_id order by date) as rn from {src})",
+            f"{name}1 as (select *, {', '.join(cols)} from {name}0)",
+            f"{name} as (select product_id, date, dep_var, tv_adstock, {fill} from {name}1)"]
+
+
+OLS_TOTAL = with_(PANEL, META, TRAIN, TRAIN_TOTAL, drivers("panel_train_total"),
+                  "tot_drivers as (select * from panel_drivers where product_id = 'Total')",
+                  *design_ctes(src="tot_drivers"), scaled_cte(SESSIONS_TERMS, None, target="sessions"),
+                  *_interp_cte(SESSIONS_TERMS, "scaled", "filled"), *ols_ctes(SESSIONS_TERMS, "filled", "o"),
+                  recursive=True) + "\nunion all\n".join(
+    f"select 'sessions' as target, product_id, status, rank, n, cast({i} as integer) as term_index, "
+    f"'{t}' as term, {r6(f'beta_{i}')} as estimate from om" for i, t in enumerate(("intercept",) + SESSIONS_TERMS))
