@@ -124,6 +124,17 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
+def filter_products(df: DataFrame, ids, key: str = "product_id") -> DataFrame:
+    """P7 / P8 keep the listed series; numeric ids are compared as text (ids are strings)."""
+    ids = [ids] if isinstance(ids, (str, int)) else list(ids)
+    return df.filter(F.col(key).isin([str(i) for i in ids]))
+
+
+def preview(df: DataFrame, order: Sequence[str], n: int = 6) -> DataFrame:
+    """O1 the first n rows in key order (a deterministic head)."""
+    return df.orderBy(*order).limit(n)
+
+
 def union_all(*dfs: DataFrame) -> DataFrame:
     """O3 union by name; columns missing on one side become NULL."""
     out = dfs[0]

@@ -163,6 +163,7 @@ def weekday_flags(spark, sf):
                     weekday_flag(DATE, "Saturday").alias("day_saturday"),
                     weekday_flag(DATE, "Sunday").alias("day_sunday"),
                     F.dayofmonth(DATE).cast("bigint").alias("day_number"),
+                    F.date_format(DATE, "MMMM").alias("month"),
                     F.year(DATE).cast("bigint").alias("year"))
 
 
@@ -408,6 +409,12 @@ def forecast_horizon_scaled(spark, sf):
     return rounded(_forecast(spark, sf, scale="horizon"))
 
 
+@register("forecast_preview", Q.FORECAST_PREVIEW)
+def forecast_preview(spark, sf):
+    """O1 head of the joined forecast in (product, date) order."""
+    return P.preview(rounded(_forecast(spark, sf)), [KEY, DATE], 6)
+
+
 @register("actual_plus_forecast", Q.ACTUAL_PLUS_FORECAST)
 def actual_plus_forecast(spark, sf):
     return rounded(FC.actual_plus_forecast(panel_train(spark, sf), _forecast(spark, sf)))

@@ -212,7 +212,8 @@ select date,
        case when dayofweek(date) = 5 then {D1} else {D0} end as day_friday,
        case when dayofweek(date) = 6 then {D1} else {D0} end as day_saturday,
        case when dayofweek(date) = 0 then {D1} else {D0} end as day_sunday,
-       cast(dayofmonth(date) as bigint) as day_number, cast(year(date) as bigint) as year
+       cast(dayofmonth(date) as bigint) as day_number, monthname(date) as month,
+       cast(year(date) as bigint) as year
 from meta_series"""
 
 POWER_LOG_FEATURES = with_(META) + f"""
@@ -649,3 +650,7 @@ OLS_TOTAL = with_(PANEL, META, TRAIN, TRAIN_TOTAL, drivers("panel_train_total"),
                   recursive=True) + "\nunion all\n".join(
     f"select 'sessions' as target, product_id, status, rank, n, cast({i} as integer) as term_index, "
     f"'{t}' as term, {r6(f'beta_{i}')} as estimate from om" for i, t in enumerate(("intercept",) + SESSIONS_TERMS))
+
+FORECAST_PREVIEW = _forecast_sql("train") + f"""
+select product_id, date, {r6('sessions')} as sessions, {r6('bookings')} as bookings from fw
+order by product_id, date limit 6"""

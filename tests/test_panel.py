@@ -53,3 +53,9 @@ def test_driver_join_keeps_unmatched_rows(spark):
     meta = spark.createDataFrame([(D1, 5.0)], "date date, tv_ad_reach double")
     out = P.join_drivers(panel, meta).orderBy("date").collect()
     assert [r.tv_ad_reach for r in out] == [5.0, None]
+
+
+def test_filter_products_coerces_numbers(spark):
+    df = spark.createDataFrame([("91", 1), ("9", 2)], "product_id string, v int")
+    assert [r.v for r in P.filter_products(df, 91).collect()] == [1]
+    assert sorted(r.v for r in P.filter_products(df, [91, "9"]).collect()) == [1, 2]
