@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from mixlens.operators.features import KEY, DATE, ModelSpec, build_design, scale_design
 from mixlens.operators.joins import bounded_broadcast
-from mixlens.session import cut_lineage
+from mixlens.session import cut_lineage, bucketed_table
 
 MODEL_BROADCAST_ROWS = 100_000
 ALIAS_TOL = 1e-7
@@ -161,7 +161,7 @@ def fit(panel_drivers: DataFrame, spec: ModelSpec, tol: float = ALIAS_TOL,
     design = build_design(panel_drivers, spec)
     scaled = scale_design(design, spec, keep_stats=True)
     if keep_design:
-        scaled = cut_lineage(scaled)
+        scaled = bucketed_table(scaled, KEY, (KEY, DATE))
     solved = solve(gram(scaled, spec), spec, tol)
     models = cut_lineage(solved.select(
         F.lit(spec.target).alias("target"), KEY, "status", "rank", "n",

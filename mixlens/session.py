@@ -48,6 +48,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def bucketed_table(df: DataFrame, key: str, sort_by: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key`` (files under the shared
+    checkpoint folder) and read it back: every later window, join or aggregate
+    on ``key`` finds its input already hash-distributed by ``key`` and adds no
+    exchange.  The bucket count defaults to ``spark.sql.shuffle.partitions``,
+    the count the engine's own exchanges on ``key`` use."""
+    import uuid
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"mixlens_t_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/mixlens-tables/{name}"
+    w = df.write.mode("errorifexists").option("path", path).format("parquet").bucketBy(buckets, key)
+    if sort_by:
+        w = w.sortBy(*sort_by)
+    w.saveAsTable(name)
+    return spark.table(name)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a parquet table under the shared checkpoint folder and
     read it back: the lineage ends there (never ``localCheckpoint``), the files
