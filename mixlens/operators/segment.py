@@ -82,21 +82,28 @@ def total_within_ss_k1(scaled: DataFrame) -> float:
     return float(sum(row.s["variance"].toArray()) * (n - 1)) if n > 1 else 0.0
 
 
-def elbow(scaled: DataFrame, ks: Sequence[int] = range(1, 16), seed: int = SEED) -> DataFrame:
+def elbow(scaled: DataFrame, ks: Sequence[int] = range(1, 16), seed: int = SEED,
+          parallelism: int = 4) -> DataFrame:
     """M14 total within-cluster sum of squares for each k (k above the number of
-    products cannot be fitted and is left out)."""
+    products cannot be fitted and is left out).
+
+    Each fit is a distributed MLlib job chain; the fits for different k are
+    independent, so they are submitted from a few driver threads at once and
+    share the persisted input (the sweep is bound by job latency, not data)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     scaled = scaled.persist()
     n = scaled.count()
-    rows = []
-    for k in ks:
-        if k > n:
-            continue
+
+    def cost(k: int) -> tuple[int, float]:
         if k == 1:
-            cost = total_within_ss_k1(scaled)
-        else:
-            model = KMeans(k=k, seed=seed, featuresCol="features").fit(scaled)
-            cost = float(model.summary.trainingCost)
-        rows.append((int(k), cost))
+            return 1, total_within_ss_k1(scaled)
+        model = KMeans(k=k, seed=seed, featuresCol="features").fit(scaled)
+        return int(k), float(model.summary.trainingCost)
+
+    todo = [int(k) for k in ks if k <= n]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = sorted(pool.map(cost, todo))
     scaled.unpersist()
     return scaled.sparkSession.createDataFrame(rows, "k bigint, tot_withinss double")
 
