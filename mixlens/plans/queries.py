@@ -231,8 +231,8 @@ def single_driver_fit(spark, sf):
     return rounded(out)
 
 
-def _fit(spark, sf, spec):
-    return R.fit(panel_drivers(spark, sf), spec)
+def _fit(spark, sf, spec, keep_design=True):
+    return R.fit(panel_drivers(spark, sf), spec, keep_design=keep_design)
 
 
 def _coef_long(models):
@@ -243,13 +243,13 @@ def _coef_long(models):
 
 @register("ols_sessions", Q.OLS_SESSIONS)
 def ols_sessions(spark, sf):
-    models, _ = _fit(spark, sf, SESSIONS_SPEC)
+    models, _ = _fit(spark, sf, SESSIONS_SPEC, keep_design=False)
     return rounded(_coef_long(models))
 
 
 @register("ols_bookings", Q.OLS_BOOKINGS)
 def ols_bookings(spark, sf):
-    models, _ = _fit(spark, sf, BOOKINGS_SPEC)
+    models, _ = _fit(spark, sf, BOOKINGS_SPEC, keep_design=False)
     return rounded(_coef_long(models))
 
 
