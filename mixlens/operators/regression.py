@@ -71,11 +71,10 @@ def gram(design: DataFrame, spec: ModelSpec) -> DataFrame:
     return complete_cases(design, spec).groupBy(KEY).agg(*aggs)
 
 
-def _solve_one(n: int, xtx_u: np.ndarray, xty: np.ndarray, p: int, tol: float):
-    a = np.zeros((p, p))
-    iu = np.triu_indices(p)
-    a[iu] = xtx_u
-    a = a + np.triu(a, 1).T
+def _solve_full(n: int, a: np.ndarray, xty: np.ndarray, tol: float):
+    """Solve the normal equations ``a b = xty`` admitting terms in order; a term
+    whose Schur-complement diagonal is <= tol x its diagonal is aliased (NULL)."""
+    p = a.shape[0]
     keep: list[int] = []
     for k in range(p):
         d = a[k, k]
@@ -104,6 +103,13 @@ def _solve_one(n: int, xtx_u: np.ndarray, xty: np.ndarray, p: int, tol: float):
     return coef, inv_diag, rank, status
 
 
+def _solve_one(n: int, xtx_u: np.ndarray, xty: np.ndarray, p: int, tol: float):
+    a = np.zeros((p, p))
+    a[np.triu_indices(p)] = xtx_u
+    a = a + np.triu(a, 1).T
+    return _solve_full(n, a, xty, tol)
+
+
 def _solver(spec: ModelSpec, tol: float):
     p = len(spec.all_terms)
 

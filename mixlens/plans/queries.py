@@ -434,4 +434,12 @@ def transform_grid(spark, sf):
     return rounded(g.withColumn("rank", F.row_number().over(w).cast("bigint")))
 
 
+@register("transform_search")
+def transform_search(spark, sf):
+    """M22 full grid: adstock rate x exchange-rate transform x visibility power,
+    one nine-term model per product and candidate, ranked by RMSE."""
+    from mixlens.operators.search import search
+    return rounded(search(panel_drivers(spark, sf)))
+
+
 FLAGSHIP = "contribution_by_product"
