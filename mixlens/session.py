@@ -52,11 +52,15 @@ def bucketed_table(df: DataFrame, key: str, sort_by: tuple[str, ...] = (), bucke
     """Write ``df`` as a table bucketed by ``key`` (files under the shared
     checkpoint folder) and read it back: every later window, join or aggregate
     on ``key`` finds its input already hash-distributed by ``key`` and adds no
-    exchange.  The bucket count defaults to ``spark.sql.shuffle.partitions``,
-    the count the engine's own exchanges on ``key`` use."""
+    exchange.  The bucket count follows the cluster: twice its default
+    parallelism (so every core reads a bucket or two), capped by
+    ``spark.sql.shuffle.partitions``; a bigger input makes each bucket bigger,
+    not more numerous."""
     import uuid
     spark = df.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not buckets:
+        shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(1, min(shuffle, 2 * spark.sparkContext.defaultParallelism))
     name = f"mixlens_t_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark).rstrip('/')}/mixlens-tables/{name}"
     w = df.write.mode("errorifexists").option("path", path).format("parquet").bucketBy(buckets, key)
