@@ -48,6 +48,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def _drop_scratch() -> None:
+    """At interpreter exit, delete the intermediate tables this process wrote
+    (Hadoop FileSystem API, so shared storage works too).  Outputs written to
+    user paths are never touched.  Runs before PySpark's own exit handlers
+    (registered earlier, run later), while the JVM is still up."""
+    for spark, path in reversed(_SCRATCH):
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - best effort at shutdown
+            pass
+    _SCRATCH.clear()
+
+
+def _scratch_path(spark: SparkSession, name: str) -> str:
+    import atexit
+    if not _SCRATCH:
+        atexit.register(_drop_scratch)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/mixlens-tables/{name}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
 def bucketed_table(df: DataFrame, key: str, sort_by: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
     """Write ``df`` as a table bucketed by ``key`` (files under the shared
     checkpoint folder) and read it back: every later window, join or aggregate
@@ -62,7 +89,7 @@ def bucketed_table(df: DataFrame, key: str, sort_by: tuple[str, ...] = (), bucke
         shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(1, min(shuffle, 2 * spark.sparkContext.defaultParallelism))
     name = f"mixlens_t_{uuid.uuid4().hex}"
-    path = f"{checkpoint_dir(spark).rstrip('/')}/mixlens-tables/{name}"
+    path = _scratch_path(spark, name)
     w = df.write.mode("errorifexists").option("path", path).format("parquet").bucketBy(buckets, key)
     if sort_by:
         w = w.sortBy(*sort_by)
@@ -78,7 +105,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     read it back: the lineage ends there (never ``localCheckpoint``), the files
     survive executor loss, and readers get columnar pruning."""
     import uuid
-    base = checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/mixlens-tables/{uuid.uuid4().hex}"
+    path = _scratch_path(df.sparkSession, uuid.uuid4().hex)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
