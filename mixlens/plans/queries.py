@@ -267,6 +267,24 @@ def ols_total(spark, sf):
     return rounded(_coef_long(models))
 
 
+def _fit_total(spark, sf):
+    pdr = panel_drivers(spark, sf, total=True).filter(F.col(KEY) == "Total")
+    return R.fit(pdr, TOTAL_SPEC)
+
+
+@register("contribution_total_daily", Q.CONTRIBUTION_TOTAL_DAILY)
+def contribution_total_daily(spark, sf):
+    """The Total series' daily driver contributions (its single, interpolated fit)."""
+    models, scaled = _fit_total(spark, sf)
+    return rounded(C.contribution_daily(scaled, models, TOTAL_SPEC))
+
+
+@register("contribution_total_annual", Q.CONTRIBUTION_TOTAL_ANNUAL)
+def contribution_total_annual(spark, sf):
+    models, scaled = _fit_total(spark, sf)
+    return rounded(C.contribution_annual(scaled, models, TOTAL_SPEC))
+
+
 @register("fit_summary")
 def fit_summary(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)

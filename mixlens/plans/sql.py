@@ -654,3 +654,17 @@ OLS_TOTAL = with_(PANEL, META, TRAIN, TRAIN_TOTAL, drivers("panel_train_total"),
 FORECAST_PREVIEW = _forecast_sql("train") + f"""
 select product_id, date, {r6('sessions')} as sessions, {r6('bookings')} as bookings from fw
 order by product_id, date limit 6"""
+
+
+def _total_head(extra=()) -> str:
+    return with_(PANEL, META, TRAIN, TRAIN_TOTAL, drivers("panel_train_total"),
+                 "tot_drivers as (select * from panel_drivers where product_id = 'Total')",
+                 *design_ctes(src="tot_drivers"), scaled_cte(SESSIONS_TERMS, None, name="zdesign", target="sessions"),
+                 *_interp_cte(SESSIONS_TERMS, "zdesign", "scaled"), *ols_ctes(SESSIONS_TERMS, "scaled", "o"),
+                 *_contrib_ctes(SESSIONS_TERMS), *extra, recursive=True)
+
+
+CONTRIBUTION_TOTAL_DAILY = _total_head() + _long("cfin", "product_id, date")
+CONTRIBUTION_TOTAL_ANNUAL = _total_head((
+    f"ya as (select product_id, cast(year(date) as bigint) as year, {_SUMS} from cfin group by 1, 2)",)) + \
+    _long("ya", "product_id, year")
