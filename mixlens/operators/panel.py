@@ -39,12 +39,13 @@ def with_total(panel: DataFrame, key: str = "product_id", date: str = "date",
 
 
 def join_drivers(panel: DataFrame, meta: DataFrame, date: str = "date",
-                 max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                 max_rows: int = MAX_BROADCAST_ROWS, materialise: bool = True) -> DataFrame:
     """J1 left join of every panel row to the shared driver series on the date.
 
     The driver series has one row per date; it is broadcast after a checked
-    count, so the panel is not shuffled for this join."""
-    return panel.join(bounded_broadcast(meta, max_rows), on=date, how="left")
+    count, so the panel is not shuffled for this join (``materialise=False``
+    when the caller passes an already materialised series)."""
+    return panel.join(bounded_broadcast(meta, max_rows, materialise=materialise), on=date, how="left")
 
 
 def one_hot(df: DataFrame, col: str, levels: dict[str, str] | Sequence[str],

@@ -19,19 +19,25 @@ def panel_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark, sf_dir).filter(F.col(DATE) <= F.lit(TRAIN_TO))
 
 
-def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return meta_series(spark, sf_dir)
+def meta(spark: SparkSession, sf_dir: str, materialise: bool = False) -> DataFrame:
+    """The driver series; ``materialise`` writes it once for plans that use it twice."""
+    m = meta_series(spark, sf_dir)
+    return cut_lineage(m) if materialise else m
 
 
 def panel_drivers(spark: SparkSession, sf_dir: str, total: bool = False,
-                  materialise: bool = False) -> DataFrame:
+                  materialise: bool = False, drivers: DataFrame | None = None) -> DataFrame:
     """Training panel (optionally with the Total layer) joined to the drivers,
     one-hot weather.  ``materialise`` writes it once to the checkpoint folder
-    for plans that read it more than once (e.g. two model fits)."""
+    for plans that read it more than once (e.g. two model fits); ``drivers``
+    passes in a driver series the caller already materialised."""
     p = panel_train(spark, sf_dir)
     if total:
         p = P.with_total(p)
-    out = P.weather_onehot(P.join_drivers(p, meta(spark, sf_dir)))
+    if drivers is None:
+        out = P.weather_onehot(P.join_drivers(p, meta(spark, sf_dir)))
+    else:
+        out = P.weather_onehot(P.join_drivers(p, drivers, materialise=False))
     return cut_lineage(out) if materialise else out
 
 

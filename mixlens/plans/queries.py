@@ -411,10 +411,11 @@ def answer_sheet(spark, sf):
 
 # ---------------------------------------------------------------- forecast
 def _forecast(spark, sf, scale="train"):
-    pdr = panel_drivers(spark, sf, materialise=True)
+    drivers = meta(spark, sf, materialise=True)   # read by the panel join and by the horizon
+    pdr = panel_drivers(spark, sf, materialise=True, drivers=drivers)
     ms, _ = R.fit(pdr, SESSIONS_SPEC, keep_design=False)
     mb, _ = R.fit(pdr, BOOKINGS_SPEC, keep_design=False)
-    return FC.forecast({"sessions": (ms, SESSIONS_SPEC), "bookings": (mb, BOOKINGS_SPEC)}, meta(spark, sf), scale)
+    return FC.forecast({"sessions": (ms, SESSIONS_SPEC), "bookings": (mb, BOOKINGS_SPEC)}, drivers, scale)
 
 
 @register("forecast_long", Q.FORECAST_LONG)

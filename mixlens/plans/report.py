@@ -29,7 +29,8 @@ from mixlens.sources import io as IO
 
 def build_report(spark: SparkSession, data_dir: str, out_dir: str, k: int = 3) -> dict[str, str]:
     out = out_dir.rstrip("/")
-    pdr = panel_drivers(spark, data_dir, materialise=True)
+    drivers = meta(spark, data_dir, materialise=True)
+    pdr = panel_drivers(spark, data_dir, materialise=True, drivers=drivers)
     fits = {spec.target: (spec, *R.fit(pdr, spec)) for spec in (SESSIONS_SPEC, BOOKINGS_SPEC)}
     models = fits["sessions"][1].unionByName(fits["bookings"][1])
     IO.write_models(models, f"{out}/models")
@@ -55,7 +56,7 @@ def build_report(spark: SparkSession, data_dir: str, out_dir: str, k: int = 3) -
     IO.write_segments_csv(groups, f"{out}/product_groupings")
     SG.cluster_profile(table, groups).write.mode("overwrite").parquet(f"{out}/cluster_profile")
 
-    wide = FC.forecast({t: (fits[t][1], fits[t][0]) for t in ("sessions", "bookings")}, meta(spark, data_dir))
+    wide = FC.forecast({t: (fits[t][1], fits[t][0]) for t in ("sessions", "bookings")}, drivers)
     wide.write.mode("overwrite").parquet(f"{out}/predictions")
     return {name: f"{out}/{name}" for name in ("models", "contributions_daily", "contributions_by_product",
                                                "elbow", "product_groupings", "cluster_profile", "predictions")}
