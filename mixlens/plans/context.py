@@ -41,22 +41,27 @@ def panel_drivers(spark: SparkSession, sf_dir: str, total: bool = False,
     return cut_lineage(out) if materialise else out
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 8, finest: int = 9) -> DataFrame:
     """Round every double column for value comparison across engines.
 
-    Two steps, each evaluated identically by Spark and DuckDB on the same
-    double: snap to a 2^-24 grid (decimal data never sits exactly on a binary
-    half-step, so values that differ only in the last bits snap together),
-    then round(v * 10^d) / 10^d.  Rounding decimal data straight to d places
-    would put exact ties such as 256.7002725 at the mercy of the last bit.
-    + 0.0 turns -0.0 into 0.0."""
+    Steps, each evaluated identically by Spark and DuckDB on the same double:
+    snap to a 2^-24 grid (decimal data never sits exactly on a binary
+    half-step, so exact decimal ties cannot split), then keep ``digits``
+    significant digits but nothing finer than 10^-``finest`` (noise around an
+    exact zero rounds to 0).  Rounding to a step far coarser than the
+    summation-order noise makes a split between two engines very unlikely;
+    the step is applied with exact powers of ten.  + 0.0 turns -0.0 into 0.0."""
     grid = float(2 ** 24)
-    scale = float(10 ** digits)
     cols = []
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
-            snapped = F.round(F.col(f.name) * grid) / grid
-            cols.append((F.round(snapped * scale) / scale + F.lit(0.0)).alias(f.name))
+            v = F.round(F.col(f.name) * grid) / grid
+            e = F.greatest(F.floor(F.log10(F.abs(v))) - (digits - 1), F.lit(-finest))
+            ten = F.lit(10.0)
+            r = (F.when(v == 0, F.lit(0.0))
+                 .when(e < 0, F.round(v * F.pow(ten, -e)) / F.pow(ten, -e))
+                 .otherwise(F.round(v / F.pow(ten, e)) * F.pow(ten, e)))
+            cols.append((r + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
