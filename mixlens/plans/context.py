@@ -50,18 +50,39 @@ def rounded(df: DataFrame, digits: int = 8, finest: int = 9) -> DataFrame:
     significant digits but nothing finer than 10^-``finest`` (noise around an
     exact zero rounds to 0).  Rounding to a step far coarser than the
     summation-order noise makes a split between two engines very unlikely;
-    the step is applied with exact powers of ten.  + 0.0 turns -0.0 into 0.0."""
+    the step is applied with exact powers of ten and ``rint`` (IEEE
+    round-half-even on the double, what DuckDB's ``round_even`` does; Spark's
+    ``round`` would go through BigDecimal).  + 0.0 turns -0.0 into 0.0."""
     grid = float(2 ** 24)
-    cols = []
+    ten = F.lit(10.0)
+    doubles = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    if not doubles:
+        return df
+    # step 1: the snapped value and its exponent, computed once per column
+    pre = []
     for f in df.schema.fields:
-        if f.dataType.typeName() in ("double", "float"):
-            v = F.round(F.col(f.name) * grid) / grid
-            e = F.greatest(F.floor(F.log10(F.abs(v))) - (digits - 1), F.lit(-finest))
-            ten = F.lit(10.0)
-            r = (F.when(v == 0, F.lit(0.0))
-                 .when(e < 0, F.round(v * F.pow(ten, -e)) / F.pow(ten, -e))
-                 .otherwise(F.round(v / F.pow(ten, e)) * F.pow(ten, e)))
-            cols.append((r + F.lit(0.0)).alias(f.name))
+        if f.name in doubles:
+            v = F.rint(F.col(f.name) * grid) / grid
+            pre.append(v.alias(f"__v_{f.name}"))
         else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+            pre.append(F.col(f.name))
+    df = df.select(*pre)
+    df = df.select(*df.columns, *[
+        F.greatest(F.floor(F.log10(F.abs(F.col(f"__v_{c}")))) - (digits - 1), F.lit(-finest)).alias(f"__e_{c}")
+        for c in doubles])
+    # step 2: keep the significant digits with exact powers of ten
+    cols = []
+    for f in df.schema.fields:
+        if f.name.startswith(("__v_", "__e_")):
+            continue
+        cols.append(F.col(f.name))
+    for c in doubles:
+        v, e = F.col(f"__v_{c}"), F.col(f"__e_{c}")
+        r = (F.when(v == 0, F.lit(0.0))
+             .when(e < 0, F.rint(v * F.pow(ten, -e)) / F.pow(ten, -e))
+             .otherwise(F.rint(v / F.pow(ten, e)) * F.pow(ten, e)))
+        cols.append((r + F.lit(0.0)).alias(c))
+    order = [f.name for f in df.schema.fields if not f.name.startswith("__e_")]
+    order = [n[4:] if n.startswith("__v_") else n for n in order]
+    return df.select(*cols).select(*order)
+

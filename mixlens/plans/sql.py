@@ -16,11 +16,11 @@ D1, D0 = "cast(1 as double)", "cast(0 as double)"
 def r6(expr: str) -> str:
     """Same rounding as ``context.rounded``: snap to 2^-24, then 8 significant
     digits but nothing finer than 1e-9, using exact powers of ten."""
-    v = f"(round(({expr}) * 16777216) / 16777216)"
+    v = f"(round_even(({expr}) * 16777216, 0) / 16777216)"
     e = f"greatest(floor(log10(abs({v}))) - 7, -9)"
     return (f"(case when {v} is null then null when {v} = 0 then {D0} "
-            f"when {e} < 0 then round({v} * pow(10, -{e})) / pow(10, -{e}) "
-            f"else round({v} / pow(10, {e})) * pow(10, {e}) end + {D0})")
+            f"when {e} < 0 then round_even({v} * pow(10, -{e}), 0) / pow(10, -{e}) "
+            f"else round_even({v} / pow(10, {e}), 0) * pow(10, {e}) end + {D0})")
 
 
 def z(col: str, part: str = "partition by product_id") -> str:
