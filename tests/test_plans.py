@@ -42,3 +42,18 @@ def test_gram_is_partially_aggregated(spark):
     g = R.gram(features(panel_drivers(spark, SF001), SESSIONS_SPEC), SESSIONS_SPEC)
     plan = _plan(g)
     assert plan.count("HashAggregate") >= 2 or "ObjectHashAggregate" in plan
+
+
+def test_bounded_broadcast_falls_back_above_the_bound(spark):
+    from mixlens.operators.joins import bounded_broadcast
+    big = spark.range(0, 1000).withColumnRenamed("id", "k")
+    small = spark.range(0, 50).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        under = big.join(bounded_broadcast(small, max_rows=100), "k")
+        over = big.join(bounded_broadcast(small, max_rows=10), "k")
+        assert "BroadcastHashJoin" in _plan(under)
+        assert "BroadcastHashJoin" not in _plan(over)
+        assert under.count() == over.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
