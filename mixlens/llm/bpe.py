@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 from mixlens.llm.common import worker_state
 
 END = b"\xff"            # stands for the end-of-word mark: no UTF-8 text holds this byte
-MAX_WORDS = 700_000      # words cached per worker before the cache starts afresh (memory bound)
+MAX_WORDS = 600_000      # words cached per worker before the cache starts afresh (memory bound)
 LONG_TEXT = 500_000      # characters; beyond it the library encodes
 LONG_WORD = 2_000        # characters; longer words are not cached
 
@@ -75,7 +76,7 @@ class Vocabulary:
             "vocabulary", pat_str=WORD_PATTERN if self.suffix else BYTE_PATTERN,
             mergeable_ranks=ranks, special_tokens={})
         self.core = self.coder._core_bpe.encode_single_piece
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
 
     # -- cutting -----------------------------------------------------------
     def regular(self, text: str) -> bool:
@@ -90,17 +91,32 @@ class Vocabulary:
             return text.lower().split()
         return SPACED.findall(text)
 
-    # -- encoding ----------------------------------------------------------
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        if self.suffix:
-            core = self.core
-            return tuple(i for w in self.pattern.findall(word) for i in core(w.encode() + END))
-        return tuple(self.coder.encode_ordinary(word))
+    def word_table(self, texts: list[str]):
+        """(distinct words, number of each word, word offsets of each text) of
+        regular texts, cut and numbered as a whole by Arrow.  End-of-word
+        vocabularies only; an empty string among the words has no ids."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        cut = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        coded = cut.flatten().dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), cut.offsets.to_numpy()
 
-    def cached(self, word: str) -> tuple[int, ...]:
+    # -- encoding ----------------------------------------------------------
+    def word_ids(self, word: str) -> list[int]:
+        if not self.suffix:
+            return self.coder.encode_ordinary(word)
+        if word.isalpha():                      # one pre-token
+            return self.core(word.encode() + END)
+        return [i for w in self.pattern.findall(word) for i in self.core(w.encode() + END)]
+
+    def cached(self, word: str) -> bytes:
+        """The ids of a word as uint32 bytes.  A letter word before one closing
+        sign is looked up on its own."""
         got = self.cache.get(word)
         if got is None:
-            got = self.word_ids(word)
+            if self.suffix and word[-1:] in ".,;:" and word[:-1].isalpha():
+                return self.cached(word[:-1]) + self.cached(word[-1])
+            got = array("I", self.word_ids(word)).tobytes()
             if len(word) <= LONG_WORD:
                 if len(self.cache) >= MAX_WORDS:
                     self.cache.clear()
@@ -117,10 +133,7 @@ class Vocabulary:
             return np.array(self.library_ids(text), dtype=np.uint32)
         if not self.suffix:
             return self.coder.encode_to_numpy(text, disallowed_special=())
-        out: list[int] = []
-        for w in self.words(text):
-            out.extend(self.cached(w))
-        return np.array(out, dtype=np.uint32)
+        return np.frombuffer(b"".join(map(self.cached, self.words(text))), dtype=np.uint32)
 
 
 def vocabulary(path: str) -> Vocabulary:

@@ -37,7 +37,7 @@ from mixlens.llm.common import gather, size_units, stored
 
 MAGIC = b"RPG1"
 RULE0 = 1 << 20            # first nonterminal
-SHARD_CHARS = 12_000_000   # characters of text in one record, about
+SHARD_CHARS = 10_000_000   # characters of text in one record, about
 RANGE_BYTES = 32 << 20     # text bytes of one range partition
 WORD_ROUNDS, TEXT_ROUNDS = 6, 2
 LEAST = 4                  # a rule pays from this many occurrences on
@@ -61,21 +61,25 @@ def _round(seq, closed, weight, first_symbol: int, least: int = LEAST):
     if not len(at):
         return seq, closed, weight, none
     found, inverse = np.unique(key[at], return_inverse=True)
+    del key, slot, rough
     w = None if weight is None else weight[at]
     often = np.bincount(inverse, weights=w)
-    count = np.zeros(len(seq) + 1)
-    name = np.full(len(seq) + 1, -1, dtype=np.int64)
+    count = np.zeros(len(seq) + 2)
+    name = np.full(len(seq) + 2, -1, dtype=np.int32)
     count[at + 1], name[at + 1] = often[inverse], inverse     # shifted by one: a margin on the left
     count[count < least] = 0
-    here, left, right = slice(1, len(seq)), slice(0, len(seq) - 1), slice(2, len(seq) + 1)
+    # only places with a pair worth replacing are compared with their neighbours
+    at = np.flatnonzero(count) - 1
+    c, m = count[at + 1], name[at + 1]
+    cl, ml, cr, mr = count[at], name[at], count[at + 2], name[at + 2]
     # in a run of one id (equal overlapping pairs) every other occurrence is taken
-    spot = np.arange(len(seq) - 1)
-    same_left = name[here] == name[left]
-    even = (spot - np.maximum.accumulate(np.where(same_left, 0, spot))) % 2 == 0
-    beats_left = (count[here] > count[left]) | ((count[here] == count[left]) & ((name[here] > name[left]) | same_left & even))
-    beats_right = (count[here] > count[right]) | ((count[here] == count[right]) & (name[here] >= name[right]))
-    pick = np.flatnonzero((count[here] > 0) & beats_left & beats_right)
-    chosen = name[here][pick]
+    run = (m == ml) & (cl > 0)
+    spot = np.arange(len(at))
+    even = (spot - np.maximum.accumulate(np.where(run, 0, spot))) % 2 == 0
+    beats_left = (c > cl) | ((c == cl) & ((m > ml) | run & even))
+    beats_right = (c > cr) | ((c == cr) & (m >= mr))
+    pick = at[beats_left & beats_right]
+    chosen = name[pick + 1]
     used = np.bincount(chosen, weights=None if weight is None else weight[pick], minlength=len(found))
     rule_of = np.full(len(found), -1, dtype=np.int64)
     good = np.flatnonzero(used >= least)
@@ -247,43 +251,36 @@ class Record:
 
 
 class _Shard:
-    """Collects documents as word streams until the record is full."""
+    """Collects documents until the record is full."""
 
     def __init__(self, vocab, end_id):
         self.vocab, self.end_id = vocab, end_id
-        self.numbers: dict[str, int] = {}
-        self.parts: list = []          # ids of each distinct word
-        self.streams: list = []
         self.doc_ids: list = []
+        self.texts: list[str] = []
         self.chars = 0
-        self.end = self._add((end_id,))
-
-    def _add(self, ids) -> int:
-        self.parts.append(ids)
-        return len(self.parts) - 1
 
     def add(self, doc_id, text: str):
-        import numpy as np
-        vocab, numbers = self.vocab, self.numbers
-        if vocab.regular(text):
-            words = vocab.words(text)
-            for w in set(words).difference(numbers):
-                numbers[w] = self._add(vocab.cached(w))
-            stream = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        else:
-            ids = vocab.library_ids(text)
-            stream = np.array([self._add(tuple(ids))] if ids else [], dtype=np.int64)
-        self.streams.append(np.append(stream, self.end))
         self.doc_ids.append(doc_id)
+        self.texts.append(text)
         self.chars += len(text) + 1
 
     def record(self) -> bytes:
         import numpy as np
-        lengths = np.fromiter(map(len, self.parts), np.int64, len(self.parts))
-        pool = np.fromiter((i for p in self.parts for i in p), np.uint32, int(lengths.sum()))
-        ends = np.cumsum([len(s) for s in self.streams]) - 1
-        rules, sequence, doc_ends = grammar(pool, np.cumsum(lengths) - lengths, lengths,
-                                            np.concatenate(self.streams), ends)
+        vocab = self.vocab
+        odd = [k for k, t in enumerate(self.texts) if not vocab.regular(t)]
+        # an odd text is one word of its own, encoded by the library
+        own = [np.array(vocab.library_ids(self.texts[k]), dtype=np.uint32).tobytes() for k in odd]
+        for k in odd:
+            self.texts[k] = ""
+        words, stream, offsets = vocab.word_table(self.texts)
+        parts = [vocab.cached(w) for w in words] + own + [np.array([self.end_id], dtype=np.uint32).tobytes()]
+        at = np.append(offsets[1:][odd], offsets[1:])
+        new = np.append(len(words) + np.arange(len(odd)), np.full(len(self.texts), len(parts) - 1))
+        stream = np.insert(stream, at, new.astype(np.int32))
+        ends = offsets[1:] + np.arange(len(self.texts)) + np.searchsorted(odd, np.arange(len(self.texts)), side="right")
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool = np.frombuffer(b"".join(parts), dtype=np.uint32)
+        rules, sequence, doc_ends = grammar(pool, np.cumsum(lengths) - lengths, lengths, stream, ends)
         return write_record(self.doc_ids, rules, sequence, doc_ends)
 
 
