@@ -37,9 +37,9 @@ from mixlens.llm.common import gather, size_units, stored
 
 MAGIC = b"RPG1"
 RULE0 = 1 << 20            # first nonterminal
-SHARD_CHARS = 10_000_000   # characters of text in one record, about
+SHARD_CHARS = 4_000_000   # characters of text in one record, about
 RANGE_BYTES = 32 << 20     # text bytes of one range partition
-WORD_ROUNDS, TEXT_ROUNDS = 6, 2
+WORD_ROUNDS, TEXT_ROUNDS = 4, 2
 LEAST = 4                  # a rule pays from this many occurrences on
 
 
@@ -324,7 +324,7 @@ def read_documents(files: DataFrame) -> DataFrame:
     """Per document, from the records alone: id, start (ids of all documents
     before it), n_tokens, ids_crc32."""
     order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per shard: a few bytes for each 12 MB of text
+    # one row per shard: a few bytes for each 4 MB of text
     base = files.select("part", "shard", "n_ids").select(
         "part", "shard", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
 
