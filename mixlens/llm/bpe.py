@@ -18,7 +18,7 @@ from array import array
 from mixlens.llm.common import worker_state
 
 END = b"\xff"            # stands for the end-of-word mark: no UTF-8 text holds this byte
-MAX_WORDS = 400_000      # words cached per worker before the cache starts afresh (memory bound)
+MAX_WORDS = 650_000      # words cached per worker before the cache starts afresh (memory bound)
 LONG_TEXT = 500_000      # characters; beyond it the library encodes
 LONG_WORD = 2_000        # characters; longer words are not cached
 

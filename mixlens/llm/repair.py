@@ -39,7 +39,8 @@ MAGIC = b"RPG1"
 RULE0 = 1 << 20            # first nonterminal
 SHARD_CHARS = 4_000_000   # characters of text in one record, about
 RANGE_BYTES = 32 << 20     # text bytes of one range partition
-WORD_ROUNDS, TEXT_ROUNDS = 4, 2
+ROUNDS = 12                # at most, inside words and then across them
+WORTH = 1 / 12             # another round follows while one shortens the sequence by this share
 LEAST = 4                  # a rule pays from this many occurrences on
 
 
@@ -111,12 +112,15 @@ def grammar(pool, offsets, lengths, stream, ends):
     weight = np.repeat(times, lengths)
     closed = np.zeros(len(seq), dtype=bool)
     closed[np.cumsum(lengths)[lengths > 0] - 1] = True
-    for _ in range(WORD_ROUNDS):
+    for _ in range(ROUNDS):
+        before = len(seq)
         seq, closed, weight, pairs = _round(seq, closed, weight, RULE0 + n_rules)
         if not len(pairs):
             break
         rules.append(pairs)
         n_rules += len(pairs)
+        if len(seq) > before * (1 - WORTH):
+            break
     size = np.zeros(len(lengths), dtype=np.int64)
     last = np.flatnonzero(closed)
     full = np.flatnonzero(lengths > 0)
@@ -128,12 +132,15 @@ def grammar(pool, offsets, lengths, stream, ends):
     done = np.cumsum(per_word)[ends]
     shut = np.zeros(len(text), dtype=bool)
     shut[done - 1] = True
-    for _ in range(TEXT_ROUNDS):
+    for _ in range(ROUNDS):
+        before = len(text)
         text, shut, _, pairs = _round(text, shut, None, RULE0 + n_rules)
         if not len(pairs):
             break
         rules.append(pairs)
         n_rules += len(pairs)
+        if len(text) > before * (1 - WORTH):
+            break
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return table, text, np.flatnonzero(shut) + 1
 
@@ -273,7 +280,8 @@ class _Shard:
         for k in odd:
             self.texts[k] = ""
         words, stream, offsets = vocab.word_table(self.texts)
-        parts = [vocab.cached(w) for w in words] + own + [np.array([self.end_id], dtype=np.uint32).tobytes()]
+        known, cached = vocab.cache.get, vocab.cached
+        parts = [known(w) or cached(w) for w in words] + own + [np.array([self.end_id], dtype=np.uint32).tobytes()]
         at = np.append(offsets[1:][odd], offsets[1:])
         new = np.append(len(words) + np.arange(len(odd)), np.full(len(self.texts), len(parts) - 1))
         stream = np.insert(stream, at, new.astype(np.int32))
