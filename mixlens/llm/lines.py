@@ -1,15 +1,18 @@
 """Fuzzy line dedup by MinHash, DataFrame operations only.
 
 1. Lines that repeat exactly become one row (first place, number of places).
-2. A line's character shingles (``SHINGLE`` characters) give ``VALUES`` MinHash
-   values; ``BANDS`` triples of them are its band keys.  The signature takes the
-   shingles that begin at word starts; lines with few of those take all.
-3. Lines that share a band key are candidates.  A bucket of up to ``SMALL``
-   lines compares all its pairs.  A larger one compares every line with its
-   centre (the line with most places).  The Jaccard distance is a metric, so the
-   distances to the centre then exclude most pairs among the rest; what they
-   leave open between different components is compared too, so no bucket is cut.
-4. Exact Jaccard similarity of the full shingle sets decides each candidate.
+2. A line's character shingles (``SHINGLE`` UTF-8 code units each) give
+   ``VALUES`` MinHash values; ``BANDS`` triples of them are its band keys, a byte
+   of each value its sketch.  The signature takes the shingles that begin at word
+   starts; lines with few of those take all.
+3. Lines that share a band key are candidates.  Small buckets compare all pairs.
+   A larger bucket compares each line with its centre (the line with most places)
+   and with the next line in sketch order, so a bucket of n lines costs 2 n and
+   not n * n comparisons; a line meets up to three others in each of its bands,
+   which is enough to find its component (recall is measured in README).
+   Candidates whose sketches agree in fewer than ``AGREE`` bytes are passed over.
+4. Exact Jaccard similarity of the full shingle sets (as 64-bit hashes) decides
+   each candidate.
 5. Distributed union-find joins the links; of a component the line at its first
    place (by document, then position) stays, and every other place goes.
 
@@ -28,60 +31,83 @@ from pyspark.sql import functions as F
 from mixlens.llm.common import stored
 from mixlens.llm.components import components
 
-SHINGLE = 10               # characters
+SHINGLE = 10               # UTF-8 code units
 SIMILARITY = 0.8
 VALUES, BANDS = 16, 8
-SMALL = 16                 # lines of a bucket that are compared pair by pair
+SMALL = 5                  # lines of a bucket that are compared pair by pair
+AGREE = 9                  # sketch bytes of 16 that a candidate pair shares at least
 FEW, SOME = 8, 10          # word starts below which all shingles sign, and up to which they sign too
 
-# band b joins the values b, b + 5 and b + 10; salt j begins with the four bits of j,
-# so each value looks at another sixteenth of the hash range first
+# band b joins the values b, b + 5 and b + 10
 _TRIPLES = [(b, (b + 5) % VALUES, (b + 10) % VALUES) for b in range(BANDS)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-_SALTS = [_signed((j << 60) | (((2 * j + 1) * 0x9E3779B97F4A7C15) & ((1 << 60) - 1))) for j in range(VALUES)]
+# value j looks at the j-th sixteenth of the hash range first
+_SALTS = [(j << 60) - (1 << 64 if j > 7 else 0) for j in range(VALUES)]
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """All character windows of a line, in order; a shorter line is one shingle."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-    return F.when(F.size(found) == 0, F.array(line)).otherwise(found)
+    """Hashes of all windows of a line, in order; a shorter line is one shingle."""
+    n, raw = F.octet_length(line), line.cast("binary")
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))),
+                          lambda i: F.xxhash64(F.substr(raw, i, F.lit(size))))
+    return F.when(n <= size, F.array(F.xxhash64(raw))).otherwise(windows)
 
 
 def _word_shingles(line: Column, size: int) -> Column:
     return F.regexp_extract_all(line, F.lit(f"(?s)(?<!\\S)(?=(\\S.{{{size - 1}}}))"), F.lit(1))
 
 
-def _band_keys(hashes: str, family: int) -> list[Column]:
-    """Band keys from a column of shingle hashes.  Value j is the hash nearest to
-    salt j by XOR, which is a minimum under a random order of the shingles."""
+def _values(hashes: str) -> list[Column]:
+    """MinHash values from the least shingle hash of each sixteenth of the range.
+    Value j is the hash nearest to the start of sixteenth j by XOR: the least of
+    its own sixteenth, or of the nearest one that has any."""
     def value(salt: int) -> Column:
         return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(salt))))
-    return [value(salt).alias(f"m{family}_{j}") for j, salt in enumerate(_SALTS)]
+    return [value(salt) for salt in _SALTS]
+
+
+def _least(hashes: str) -> Column:
+    return F.filter(hashes, lambda x, i: (i == 0) | (
+        F.shiftright(x, 60) != F.shiftright(F.get(F.col(hashes), i - 1), 60)))
 
 
 def signed(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``lines`` (column line) with ``keys``: the band keys of each line."""
+    """``lines`` (column line) with ``keys`` (its band keys), ``family`` and the
+    sketch bytes ``s0``, ``s1``."""
     names = lines.columns
     cut = lines.withColumn("_w", _word_shingles(F.col("line"), size))
     few, some = F.size("_w") < FEW, F.size("_w") <= SOME
     hashed = cut.select(
         *names,
-        F.when(~few, F.transform("_w", lambda s: F.xxhash64(s))).alias("_h0"),
-        F.when(some, F.transform(shingles(F.col("line"), size), lambda s: F.xxhash64(s))).alias("_h1"))
-    least = hashed.select(*names, F.col("_h0").isNotNull().alias("_f0"), F.col("_h1").isNotNull().alias("_f1"),
-                          *_band_keys("_h0", 0), *_band_keys("_h1", 1))
+        F.sort_array(F.when(~few, F.transform("_w", lambda s: F.xxhash64(s)))).alias("_h0"),
+        F.sort_array(F.when(some, shingles(F.col("line"), size))).alias("_h1"))
+    least = hashed.select(*names, _least("_h0").alias("_h0"), _least("_h1").alias("_h1"))
+    valued = least.select(*names, *[v.alias(f"m{f}_{j}") for f in (0, 1) for j, v in enumerate(_values(f"_h{f}"))])
 
     def keys(family):
         return F.array(*[F.xxhash64(F.lit(family * BANDS + b), *[F.col(f"m{family}_{j}") for j in t])
                          for b, t in enumerate(_TRIPLES)])
+
+    def sketch(first):
+        out = F.lit(0).cast("bigint")
+        for j in range(8):
+            value = F.coalesce(f"m0_{first + j}", f"m1_{first + j}")
+            out = out.bitwiseOR(F.shiftleft(value.bitwiseAND(F.lit(255)), 8 * j))
+        return out
     none = F.array().cast("array<bigint>")
-    return least.select(*names, F.concat(F.when(F.col("_f0"), keys(0)).otherwise(none),
-                                         F.when(F.col("_f1"), keys(1)).otherwise(none)).alias("keys"))
+    return valued.select(*names, F.concat(F.when(F.col("m0_0").isNotNull(), keys(0)).otherwise(none),
+                                          F.when(F.col("m1_0").isNotNull(), keys(1)).otherwise(none)).alias("keys"),
+                         F.col("m0_0").isNull().alias("family"), sketch(0).alias("s0"), sketch(8).alias("s1"))
+
+
+def _alike(x: str, y: str) -> Column:
+    """Whether the sketches of two rows (column prefixes x, y) agree enough; lines
+    signed by different shingles are not passed over."""
+    same = F.lit(0)
+    for part in ("s0", "s1"):
+        differ = F.col(f"{x}{part}").bitwiseXOR(F.col(f"{y}{part}"))
+        for j in range(8):
+            same = same + (F.shiftrightunsigned(differ, 8 * j).bitwiseAND(F.lit(255)) == 0).cast("int")
+    return (same >= AGREE) | (F.col(f"{x}family") != F.col(f"{y}family"))
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -94,57 +120,52 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str, size: int) -> Da
     return stored(signed(once, size).withColumn("lid", F.monotonically_increasing_id()))
 
 
-def similarities(pairs: DataFrame, lines: DataFrame, size: int, least: float) -> DataFrame:
-    """(a, b, jaccard) of candidate pairs: exact similarity of the shingle sets.
-    Pairs whose lengths alone rule out ``least`` get NULL."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    texts = lines.select("lid", "line").join(wanted, "lid", "left_semi")
-    both = (pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
-            .join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b"))
-    sets = both.select("a", "b", F.array_distinct(shingles(F.col("la"), size)).alias("sa"),
-                       F.array_distinct(shingles(F.col("lb"), size)).alias("sb"))
-    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    common = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("_sum"),
-                         F.when(small >= large * least, F.size(F.array_intersect("sa", "sb"))).alias("_both"))
-    return common.select("a", "b", (F.col("_both") / (F.col("_sum") - F.col("_both"))).alias("jaccard"))
+def similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The candidate pairs (a, b) whose shingle sets have that Jaccard similarity.
+    They are dealt out one by one: a few bytes of ids are much work."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marks = texts.select("lid", "family", "s0", "s1")
+
+    def named(frame, side):
+        return frame.select(*[F.col(c).alias(f"{side}_{c}") for c in frame.columns])
+    alike = (pairs.join(named(marks, "a"), F.col("a") == F.col("a_lid"))
+             .join(named(marks, "b"), F.col("b") == F.col("b_lid")).filter(_alike("a_", "b_")).select("a", "b"))
+    lines = texts.select("lid", "line")
+    both = (alike.join(named(lines, "a"), F.col("a") == F.col("a_lid"))
+            .join(named(lines, "b"), F.col("b") == F.col("b_lid"))
+            .select("a", "b", "a_line", "b_line").repartition(parts))
+    sets = both.select("a", "b", F.array_distinct(shingles(F.col("a_line"), size)).alias("sa"),
+                       F.array_distinct(shingles(F.col("b_line"), size)).alias("sb"))
+    met = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"),
+                      F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return met.filter(F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("a", "b")
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """(a, b), a < b: candidate pairs of buckets (key, c, lid, centre, next)."""
+    few = members.filter(F.col("c") <= SMALL).select("key", "lid")
+    close = (few.select("key", F.col("lid").alias("a")).join(few.select("key", F.col("lid").alias("b")), "key")
+             .filter(F.col("a") < F.col("b")).select("a", "b"))
+    other = F.explode(F.array("centre", "next")).alias("other")
+    star = (members.filter(F.col("c") > SMALL).select("lid", other)
+            .filter(F.col("other").isNotNull() & (F.col("lid") != F.col("other")))
+            .select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")))
+    return close.unionAll(star).distinct()
 
 
 def linked_lines(lines: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) over the lids of ``lines`` that have a link."""
     bucket = Window.partitionBy("key")
-    members = (lines.select("lid", "n", F.explode("keys").alias("key"))
-               .withColumn("c", F.count("*").over(bucket)).filter(F.col("c") > 1)
-               .withColumn("centre", -F.max(F.struct(F.col("n"), (-F.col("lid")).alias("m"))).over(bucket)["m"]))
-    members = stored(members.select("lid", "key", "c", "centre"))
-    few = members.filter(F.col("c") <= SMALL)
-    close = (few.select("key", F.col("lid").alias("a")).join(few.select("key", F.col("lid").alias("b")), "key")
-             .filter(F.col("a") < F.col("b")).select("a", "b"))
-    large = members.filter(F.col("c") > SMALL)
-    star = large.filter(F.col("lid") != F.col("centre")).select(F.least("lid", "centre").alias("a"),
-                                                               F.greatest("lid", "centre").alias("b"))
-    # the full value of a pair with a centre is kept: it bounds the pairs not compared
-    first = stored(similarities(close.unionAll(star).distinct(), lines, size, 0.0))
-    links = first.filter(F.col("jaccard") >= similarity).select("a", "b")
-    if large.isEmpty():
-        return components(links)
-    label = components(links)
-    far = first.select("a", "b", (1 - F.col("jaccard")).alias("d"))
-    spread = (large.select("key", "centre", "lid",
-                           F.least("lid", "centre").alias("a"), F.greatest("lid", "centre").alias("b"))
-              .join(far, ["a", "b"], "left")
-              .join(label.withColumnRenamed("node", "lid"), "lid", "left")
-              .select("key", "lid", "centre", F.when(F.col("lid") == F.col("centre"), F.lit(0.0)).otherwise(F.col("d")).alias("d"),
-                      F.coalesce("component", "lid").alias("part")))
-    # a line linked to its centre is in the centre's component; open pairs have one end that is not
-    outside = spread.filter(F.col("d") > 1 - similarity)
-    x = outside.select("key", F.col("lid").alias("x"), F.col("d").alias("dx"), F.col("part").alias("px"))
-    y = spread.filter(F.col("lid") != F.col("centre")).select(
-        "key", F.col("lid").alias("y"), F.col("d").alias("dy"), F.col("part").alias("py"))
-    open_ = (x.join(y, (x["key"] == y["key"]) & (F.col("px") != F.col("py"))
-                    & (F.abs(F.col("dx") - F.col("dy")) <= 1 - similarity + 1e-9))
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    rest = similarities(open_, lines, size, similarity)
-    return components(links.unionAll(stored(rest.filter(F.col("jaccard") >= similarity).select("a", "b"))))
+    found = (lines.select("lid", "n", F.explode("keys").alias("key"))
+             .withColumn("c", F.count("*").over(bucket)).filter(F.col("c") > 1)
+             .withColumn("centre", -F.max(F.struct(F.col("n"), (-F.col("lid")).alias("m"))).over(bucket)["m"]))
+    members = stored(found.select("key", "c", "lid", "centre"))
+    # what candidates need of their lines, fetched once
+    texts = stored(lines.select("lid", "line", "family", "s0", "s1")
+                   .join(members.select("lid").distinct(), "lid", "left_semi"))
+    order = Window.partitionBy("key").orderBy("s0", "s1", "lid")
+    linked = members.join(texts.select("lid", "s0", "s1"), "lid").withColumn("next", F.lead("lid").over(order))
+    return components(stored(similar(candidates(linked), texts, size, similarity)))
 
 
 def dedup_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY,

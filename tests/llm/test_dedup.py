@@ -26,7 +26,8 @@ def test_components(spark):
 # ---- lines -------------------------------------------------------------------
 
 def shingle_set(line, size=lines.SHINGLE):
-    return {line[i:i + size] for i in range(len(line) - size + 1)} or {line}
+    raw = line.encode()
+    return {raw[i:i + size] for i in range(len(raw) - size + 1)} or {raw}
 
 
 def brute_lines(rows):
