@@ -84,7 +84,7 @@ ORACLE_SQL = {
     # cosine links over all pairs, and the smallest vector reachable by them
     "op3_embedding_dedup": """
 with recursive v as (
-  select vec_id, embedding::double[] e, sqrt(list_sum(list_transform(embedding::double[], x -> x * x))) n
+  select vec_id, embedding::double[] e, sqrt(list_dot_product(embedding::double[], embedding::double[])) n
   from embeddings where embedding is not null),
 links as (
   select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id
@@ -97,9 +97,9 @@ select e.vec_id, coalesce(d.n, 0)::bigint n_links, c.c component_id, c.c = e.vec
 from embeddings e join comp c on c.node = e.vec_id left join deg d on d.a = e.vec_id""",
     # Hamming distances of the sign bits, all rows against every twentieth
     "op7_topk": """
-with c as (select vec_id, list_transform(embedding, x -> case when x >= 0 then 1 else 0 end) b from embeddings),
+with c as (select vec_id, [case when x >= 0 then 1 else 0 end for x in embedding] b from embeddings),
 d as (select q.vec_id query_id, r.vec_id neighbour_id,
-             cast(list_sum(list_transform(list_zip(q.b, r.b), p -> abs(p[1] - p[2]))) as int) distance
+             cast(list_sum([abs(p[1] - p[2]) for p in list_zip(q.b, r.b)]) as int) distance
       from c q join c r on q.vec_id <> r.vec_id where q.vec_id % 20 = 0),
 k as (select *, cast(row_number() over (partition by query_id order by distance, neighbour_id) as int) rank from d)
 select query_id, neighbour_id, distance, rank from k where rank <= 10""",
