@@ -41,6 +41,9 @@ def horizon_frame(meta: DataFrame, specs: tuple[ModelSpec, ...], scale: str = "t
                             terms=horizon_terms(*specs))
 
 
+ROWS_PER_TASK = 50_000     # forecast rows that one task makes, about
+
+
 def _prediction(spec: ModelSpec, prefix: str, scale: str):
     coef, mean, sd = F.col(f"{prefix}coef"), F.col(f"{prefix}scale_mean"), F.col(f"{prefix}scale_sd")
     scaled = spec.scaled_terms()
@@ -72,7 +75,11 @@ def forecast(models: dict[str, tuple[DataFrame, ModelSpec]], meta: DataFrame, sc
     if bounds is None or bounds.lo is None:
         expanded = table.withColumn(DATE, F.lit(None).cast("date")).limit(0)
     else:
-        expanded = table.withColumn(DATE, F.explode(F.sequence(F.lit(bounds.lo), F.lit(bounds.hi))))
+        # a compact model table becomes models x days rows: deal the models out first
+        days = (bounds.hi - bounds.lo).days + 1
+        parts = max(1, -(-table.count() * days // ROWS_PER_TASK))
+        expanded = table.repartition(parts, KEY).withColumn(
+            DATE, F.explode(F.sequence(F.lit(bounds.lo), F.lit(bounds.hi))))
     j = expanded.join(h, on=DATE, how="inner")
     return j.select(KEY, DATE, *[_prediction(models[t][1], f"{t}__", scale).alias(t) for t in targets])
 
@@ -82,11 +89,6 @@ def forecast_long(wide: DataFrame, targets: tuple[str, ...] = ("sessions", "book
     return to_long(wide, [KEY, DATE], list(targets), "target", "prediction")
 
 
-def join_targets(a: DataFrame, b: DataFrame) -> DataFrame:
-    """J4 left join of two per-target forecasts on (product_id, date)."""
-    return a.join(b, on=[KEY, DATE], how="left")
-
-
 def actual_plus_forecast(panel_train: DataFrame, wide: DataFrame) -> DataFrame:
     """O4 actuals and forecasts stacked with a ``kind`` column."""
     act = panel_train.select(KEY, DATE, F.col("sessions").cast("double").alias("sessions"),

@@ -1,9 +1,10 @@
 """Product segmentation.
 
 Per-product statistics are one grouped aggregate; the feature matrix is a
-join of two one-row-per-product tables; scaling and k-means are MLlib stages
-(distributed summaries and Lloyd iterations over partitions; only the k
-centres travel to the driver).  Cluster labels are made canonical: clusters
+join of two one-row-per-product tables; scaling is an MLlib stage; k-means
+starts from centres fixed by the data and takes Lloyd steps as aggregates of
+whole numbers, so labels do not depend on partitioning (only the k centres
+travel to the driver).  Cluster labels are made canonical: clusters
 sorted by size, descending, ties by smallest product id -> type_1, type_2 ...
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
+import pandas as pd
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -20,13 +21,13 @@ from pyspark.sql import functions as F
 from mixlens.functions.scalar import safe_div, type_label
 from mixlens.operators.contribution import BASE
 from mixlens.operators.features import KEY, DATE, UPLIFT_YEARS
+from mixlens.session import cut_lineage
 from mixlens.sources.tables import DRIVER_GROUPS
 
 STAT_COLS = ("n_total_sessions", "n_total_bookings", "sd_total_sessions", "sd_total_bookings",
              "av_conv_rate", "uplift")
 RATIO_COLS = tuple(g for g in DRIVER_GROUPS if g != BASE)
 FEATURE_COLS = RATIO_COLS + STAT_COLS
-SEED = 42
 
 
 def uplift_expr(years: tuple[int, int] = UPLIFT_YEARS):
@@ -62,7 +63,7 @@ def segment_table(contrib_by_product_wide: DataFrame, stats: DataFrame) -> DataF
 
 def scale_features(table: DataFrame, cols: Sequence[str] = FEATURE_COLS) -> DataFrame:
     """M13 z-score across products (sample SD) with MLlib; rows with a NULL
-    feature are skipped (they cannot be clustered) and so get no segment."""
+    feature are skipped here; ``with_unclustered`` lists them with a reason."""
     va = VectorAssembler(inputCols=list(cols), outputCol="raw", handleInvalid="skip")
     v = va.transform(table.select(KEY, *cols))
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(v)
@@ -74,44 +75,116 @@ def scaled_columns(scaled: DataFrame, cols: Sequence[str] = FEATURE_COLS) -> Dat
     return scaled.select(KEY, *[arr[i].alias(c) for i, c in enumerate(cols)])
 
 
-def total_within_ss_k1(scaled: DataFrame) -> float:
-    """k = 1: sum of squared distances to the overall mean (MLlib needs k >= 2)."""
-    from pyspark.ml.stat import Summarizer
-    row = scaled.select(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("s")).first()
-    n = row.s["count"]
-    return float(sum(row.s["variance"].toArray()) * (n - 1)) if n > 1 else 0.0
-
-
-def elbow(scaled: DataFrame, ks: Sequence[int] = range(1, 16), seed: int = SEED,
-          parallelism: int = 4) -> DataFrame:
-    """M14 total within-cluster sum of squares for each k (k above the number of
-    products cannot be fitted and is left out).
-
-    Each fit is a distributed MLlib job chain; the fits for different k are
-    independent, so they are submitted from a few driver threads at once and
-    share the persisted input (the sweep is bound by job latency, not data)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    scaled = scaled.persist()
-    n = scaled.count()
-
-    def cost(k: int) -> tuple[int, float]:
-        if k == 1:
-            return 1, total_within_ss_k1(scaled)
-        model = KMeans(k=k, seed=seed, featuresCol="features").fit(scaled)
-        return int(k), float(model.summary.trainingCost)
-
-    todo = [int(k) for k in ks if k <= n]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = sorted(pool.map(cost, todo))
-    scaled.unpersist()
-    return scaled.sparkSession.createDataFrame(rows, "k bigint, tot_withinss double")
-
-
-def cluster(scaled: DataFrame, k: int = 3, seed: int = SEED) -> DataFrame:
+GRID = 1e9                 # features are compared and summed as whole multiples of 1e-9
+MAX_STEPS = 100            # Lloyd steps at most; a step that moves no centre ends the loop
+
+
+def _points(scaled: DataFrame) -> DataFrame:
+    """(product_id, x): features on the grid, so that sums do not depend on row order."""
+    x = F.transform(vector_to_array("features"), lambda v: F.rint(v * GRID).cast("bigint"))
+    return scaled.select(KEY, x.alias("x"))
+
+
+def _square(x: str, centre: Sequence[int]):
+    """Squared distance (in feature units) of the grid point x to a centre."""
+    c = F.array(*[F.lit(int(v)).cast("bigint") for v in centre])
+    return F.aggregate(F.zip_with(x, c, lambda p, q: (p - q).cast("double") / GRID), F.lit(0.0), lambda s, d: s + d * d)
+
+
+def starting_centres(points: DataFrame, k: int) -> list[list[int]]:
+    """Up to k centres fixed by the data: the point farthest from the overall mean
+    (the origin, as features are z-scores), then again and again the point
+    farthest from the centres so far; ties go to the smaller product_id.  Fewer
+    if the points are fewer.  The first j of them are the centres for j."""
+    first = points.select("x").first()
+    centres: list[list[int]] = []
+    if first is None:
+        return centres
+    # the squared distance to the nearest centre, carried as an expression over at most k centres
+    near = _square("x", [0] * len(first.x))
+    for _ in range(k):
+        best = points.select("x", near.alias("d"), KEY).orderBy(F.desc("d"), F.asc(KEY)).first()
+        if centres and best.d <= 0:
+            break
+        centres.append(list(best.x))
+        near = F.least(near, _square("x", best.x)) if len(centres) > 1 else _square("x", best.x)
+    return centres
+
+
+def _assign(x, centres):
+    """(cluster, squared distance) of each row of x; ties go to the smaller cluster."""
+    import numpy as np
+    diff = (x[:, None, :] - centres[None, :, :]) / GRID
+    square = (diff * diff).sum(axis=2)
+    nearest = square.argmin(axis=1)
+    return nearest, square[np.arange(len(x)), nearest]
+
+
+def lloyd(points: DataFrame, starts: dict[int, list[list[int]]]) -> dict[int, tuple[list[list[int]], float]]:
+    """k-means from given centres for several k at once: {k: (centres, total within SS)}.
+    A step assigns every point to its nearest centre and moves each centre to the
+    mean of its points.  Tasks hand back whole-number sums per (k, cluster), at
+    most sum(k) x (dimensions + 1) rows, so the result is the same for every
+    partitioning."""
+    import numpy as np
+    now = {k: np.array(c, dtype=np.int64) for k, c in starts.items()}
+    for _ in range(MAX_STEPS):
+        held = dict(now)
+
+        def sums(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.array(pdf["x"].tolist(), dtype=np.int64)
+                for k, centres in held.items():
+                    nearest, square = _assign(x, centres)
+                    for j in np.unique(nearest):
+                        at = nearest == j
+                        yield pd.DataFrame({
+                            "k": k, "cluster": int(j), "dim": range(-1, x.shape[1]), "n": int(at.sum()),
+                            "s": [int(np.rint(square[at] * GRID).astype(np.int64).sum()), *x[at].sum(axis=0).tolist()]})
+
+        rows = (points.select("x").mapInPandas(sums, "k int, cluster int, dim int, n bigint, s bigint")
+                .groupBy("k", "cluster", "dim").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
+                .collect())
+        cost = dict.fromkeys(held, 0)
+        moved = {k: c.copy() for k, c in held.items()}
+        for r in rows:
+            if r.dim < 0:
+                cost[r.k] += int(r.s)
+            else:
+                moved[r.k][r.cluster, r.dim] = round(int(r.s) / r.n)
+        if all(np.array_equal(moved[k], held[k]) for k in held):
+            break
+        now = moved
+    return {k: (held[k].tolist(), cost[k] / GRID) for k in held}
+
+
+def elbow(scaled: DataFrame, ks: Sequence[int] = range(1, 16)) -> DataFrame:
+    """M14 total within-cluster sum of squares for every k asked for; NULL with a
+    status where there are fewer distinct products than k."""
+    points = cut_lineage(_points(scaled))
+    ks = sorted({int(k) for k in ks})
+    starts = starting_centres(points, max(ks))
+    fits = lloyd(points, {k: starts[:k] for k in ks if k <= len(starts)})
+    rows = [(k, fits[k][1], "ok") if k in fits else (k, None, "too_few_products") for k in ks]
+    return scaled.sparkSession.createDataFrame(rows, "k bigint, tot_withinss double, status string")
+
+
+def cluster(scaled: DataFrame, k: int = 3) -> DataFrame:
     """M15 + M16 k-means and canonical labels: (product_id, product_type)."""
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled)
-    pred = model.transform(scaled).select(KEY, "cluster")
+    import numpy as np
+    points = cut_lineage(_points(scaled))
+    starts = starting_centres(points, k)
+    if not starts:
+        return scaled.select(KEY, F.lit(None).cast("string").alias("product_type"))
+    centres = np.array(lloyd(points, {len(starts): starts})[len(starts)][0], dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def nearest(x: pd.Series) -> pd.Series:
+        return pd.Series(_assign(np.array(x.tolist(), dtype=np.int64), centres)[0])
+
+    pred = points.select(KEY, nearest("x").alias("cluster"))
     sizes = pred.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min(KEY).alias("first_id"))
     # k rows: the ordering window over them is trivially small
     ranked = sizes.select("cluster", F.row_number().over(
@@ -119,6 +192,16 @@ def cluster(scaled: DataFrame, k: int = 3, seed: int = SEED) -> DataFrame:
     return pred.join(F.broadcast(ranked), on="cluster").select(KEY, type_label("label").alias("product_type"))
 
 
+def with_unclustered(table: DataFrame, groupings: DataFrame, cols: Sequence[str] = FEATURE_COLS) -> DataFrame:
+    """(product_id, product_type, reason): every product of ``table``; one that has
+    a NULL feature has no type and the reason ``null_feature``."""
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(c)
+    reason = F.when(~whole, F.lit("null_feature"))
+    return table.select(KEY, reason.alias("reason")).join(groupings, on=KEY, how="left").select(KEY, "product_type", "reason")
+
+
 def cluster_profile(table: DataFrame, groupings: DataFrame, cols: Sequence[str] = FEATURE_COLS) -> DataFrame:
     """M17 mean of each (unscaled) feature per segment."""
     j = table.join(groupings, on=KEY, how="inner")

@@ -394,7 +394,7 @@ def _groupings(spark, sf):
 
 @register("product_groupings")
 def product_groupings(spark, sf):
-    return _groupings(spark, sf)[1]
+    return SG.with_unclustered(*_groupings(spark, sf))
 
 
 @register("cluster_profile")

@@ -53,7 +53,7 @@ def build_report(spark: SparkSession, data_dir: str, out_dir: str, k: int = 3) -
     SG.elbow(scaled_features).write.mode("overwrite").parquet(f"{out}/elbow")
     groups = cut_lineage(SG.cluster(scaled_features, k=k))
     scaled_features.unpersist()
-    IO.write_segments_csv(groups, f"{out}/product_groupings")
+    IO.write_segments_csv(SG.with_unclustered(table, groups), f"{out}/product_groupings")
     SG.cluster_profile(table, groups).write.mode("overwrite").parquet(f"{out}/cluster_profile")
 
     wide = FC.forecast({t: (fits[t][1], fits[t][0]) for t in ("sessions", "bookings")}, drivers)

@@ -43,6 +43,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="mixlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -79,24 +81,18 @@ def bucketed_table(df: DataFrame, key: str, sort_by: tuple[str, ...] = (), bucke
     """Write ``df`` as a table bucketed by ``key`` (files under the shared
     checkpoint folder) and read it back: every later window, join or aggregate
     on ``key`` finds its input already hash-distributed by ``key`` and adds no
-    exchange.  The bucket count follows the cluster: twice its default
-    parallelism (so every core reads a bucket or two), capped by
-    ``spark.sql.shuffle.partitions``; a bigger input makes each bucket bigger,
-    not more numerous."""
+    exchange.  There are as many buckets as ``spark.sql.shuffle.partitions``,
+    which is what sizes every other exchange of the job too."""
     import uuid
     spark = df.sparkSession
     if not buckets:
-        shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(1, min(shuffle, 2 * spark.sparkContext.defaultParallelism))
+        buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"mixlens_t_{uuid.uuid4().hex}"
     path = _scratch_path(spark, name)
     w = df.write.mode("errorifexists").option("path", path).format("parquet").bucketBy(buckets, key)
     if sort_by:
         w = w.sortBy(*sort_by)
-    try:
-        w.saveAsTable(name)
-    except Exception:  # noqa: BLE001 - no usable catalog: a plain table still cuts the lineage
-        return cut_lineage(df)
+    w.saveAsTable(name)
     return spark.table(name)
 
 

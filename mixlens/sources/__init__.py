@@ -5,13 +5,13 @@ from mixlens.sources.tables import (
     DRIVER_GROUPS, DRIVER_ORDER, TERM_GROUPS,
 )
 from mixlens.sources.io import (
-    PANEL_SCHEMA, META_CSV_SCHEMA, read_panel_csv, read_meta_csv, read_groupings_csv,
+    PANEL_SCHEMA, META_SCHEMA, read_panel_csv, read_meta_csv, read_groupings_csv,
     write_segments_csv, write_models, read_models, answer_sheet,
 )
 
 __all__ = [
     "read_table", "product_series", "meta_series", "variable_groupings",
     "DRIVER_GROUPS", "DRIVER_ORDER", "TERM_GROUPS",
-    "PANEL_SCHEMA", "META_CSV_SCHEMA", "read_panel_csv", "read_meta_csv", "read_groupings_csv",
+    "PANEL_SCHEMA", "META_SCHEMA", "read_panel_csv", "read_meta_csv", "read_groupings_csv",
     "write_segments_csv", "write_models", "read_models", "answer_sheet",
 ]

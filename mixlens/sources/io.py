@@ -1,6 +1,6 @@
 """File sources and sinks.
 
-Readers use explicit schemas (no inference).  Text dates in the driver file
+Readers find columns by header name and cast them to explicit types (no inference).  Text dates in the driver file
 are day/month/year with '/' or '-' and are parsed with ``try_to_date`` (a bad
 date is NULL, not an error).  Column names with spaces are snake_cased once,
 here, by one mapping.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,43 +23,59 @@ PANEL_SCHEMA = T.StructType([
     T.StructField("bookings", T.LongType()),
 ])
 
-META_CSV_SCHEMA = T.StructType([
-    T.StructField("Date", T.StringType()),
-    T.StructField("TV Ad Reach", T.DoubleType()),
-    T.StructField("Consumer Confidence Index", T.DoubleType()),
-    T.StructField("Exchange Rate", T.DoubleType()),
-    T.StructField("Online Visibility", T.DoubleType()),
-    T.StructField("Weather Index", T.StringType()),
+META_SCHEMA = T.StructType([
+    T.StructField("date", T.StringType()),
+    T.StructField("tv_ad_reach", T.DoubleType()),
+    T.StructField("consumer_confidence_index", T.DoubleType()),
+    T.StructField("exchange_rate", T.DoubleType()),
+    T.StructField("online_visibility", T.DoubleType()),
+    T.StructField("weather_index", T.StringType()),
 ])
 
 GROUPINGS_SCHEMA = T.StructType([
-    T.StructField("Var_Name", T.StringType()),
-    T.StructField("Grouping", T.StringType()),
+    T.StructField("var_name", T.StringType()),
+    T.StructField("grouping", T.StringType()),
 ])
 
+SHEET_SCHEMA = T.StructType([T.StructField("product_id", T.StringType())])
+
 
 def snake(name: str) -> str:
-    """'Consumer Confidence Index' / 'Consumer.Confidence.Index' -> 'consumer_confidence_index'."""
-    return re.sub(r"[^0-9a-zA-Z]+", "_", name).strip("_").lower()
+    """'Consumer.Confidence.Index', 'DayFriday' -> 'consumer_confidence_index', 'day_friday'."""
+    split = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
+    return re.sub(r"[^0-9a-zA-Z]+", "_", split).strip("_").lower()
+
+
+def snake_col(col: Column) -> Column:
+    """``snake`` of a string column."""
+    split = F.regexp_replace(col, "([a-z0-9])([A-Z])", "$1_$2")
+    return F.lower(F.btrim(F.regexp_replace(split, "[^0-9a-zA-Z]+", "_"), F.lit("_")))
+
+
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Columns by header name (snake_cased), in any order; a missing one is an error."""
+    raw = spark.read.option("header", True).csv(path)
+    by_name = {snake(c): c for c in raw.columns}
+    missing = [f.name for f in schema.fields if f.name not in by_name]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} among {', '.join(raw.columns)}")
+    return raw.select(*[F.col(f"`{by_name[f.name]}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
     """S1 product panel CSV (header; ISO dates); ids are read as text."""
-    return spark.read.schema(PANEL_SCHEMA).option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+    return _read_csv(spark, path, PANEL_SCHEMA)
 
 
 def read_meta_csv(spark: SparkSession, path: str) -> DataFrame:
     """S2 driver series CSV; day/month/year text dates -> date; snake_case names."""
-    df = spark.read.schema(META_CSV_SCHEMA).option("header", True).csv(path)
-    df = df.select(*[F.col(f"`{c}`").alias(snake(c)) for c in df.columns])
-    return df.withColumn("date", parse_dmy("date"))
+    return _read_csv(spark, path, META_SCHEMA).withColumn("date", parse_dmy("date"))
 
 
 def read_groupings_csv(spark: SparkSession, path: str) -> DataFrame:
     """S3 term -> group dictionary; term names snake_cased to match the engine."""
-    df = spark.read.schema(GROUPINGS_SCHEMA).option("header", True).csv(path)
-    to_snake = F.lower(F.regexp_replace(F.col("Var_Name"), r"[^0-9a-zA-Z]+", "_"))
-    return df.select(to_snake.alias("var_name"), F.col("Grouping").alias("grouping"))
+    df = _read_csv(spark, path, GROUPINGS_SCHEMA)
+    return df.select(snake_col(F.col("var_name")).alias("var_name"), "grouping")
 
 
 def write_segments_csv(groupings: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -80,5 +96,4 @@ def read_models(spark: SparkSession, path: str, target: str | None = None) -> Da
 
 def answer_sheet(spark: SparkSession, sheet_path: str, groupings: DataFrame) -> DataFrame:
     """S7 complete an answer sheet CSV (product_id, blank product_type)."""
-    sheet = spark.read.schema("product_id string, product_type string").option("header", True).csv(sheet_path)
-    return sheet.select("product_id").join(groupings, on="product_id", how="left")
+    return _read_csv(spark, sheet_path, SHEET_SCHEMA).join(groupings, on="product_id", how="left")

@@ -43,3 +43,17 @@ def test_csv_round_trip_and_models(spark):
     models = spark.createDataFrame([("sessions", "1", [1.0, 2.0])], "target string, product_id string, coef array<double>")
     IO.write_models(models, os.path.join(d, "models"))
     assert IO.read_models(spark, os.path.join(d, "models"), "sessions").first().coef == [1.0, 2.0]
+
+
+def test_csv_columns_go_by_header(spark, tmp_path):
+    import pytest
+    f = tmp_path / "panel.csv"
+    f.write_text("date,bookings,product_id,sessions\n2017-01-01,3,7,90\n")
+    r = IO.read_panel_csv(spark, str(f)).first()
+    assert (r.product_id, str(r.date), r.sessions, r.bookings) == ("7", "2017-01-01", 90, 3)
+    f.write_text("date,bookings,product_id\n2017-01-01,3,7\n")
+    with pytest.raises(ValueError, match="sessions"):
+        IO.read_panel_csv(spark, str(f))
+    g = tmp_path / "g.csv"
+    g.write_text("Grouping,Var_Name\nSeasonality,DayFriday\n")
+    assert IO.read_groupings_csv(spark, str(g)).first().var_name == "day_friday" == IO.snake("DayFriday")

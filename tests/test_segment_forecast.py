@@ -66,3 +66,28 @@ def test_answer_sheet_complete(spark):
     assert len(ids) == len(set(ids))
     n = spark.read.parquet(f"{SF001}/lineitem.parquet").select("l_suppkey").distinct().count()
     assert len(ids) == n
+
+
+def test_labels_do_not_depend_on_partitioning(spark):
+    from mixlens.plans.queries import QUERIES
+    table = None
+    seen = []
+    from mixlens.plans import queries as Q
+    table = Q._segment_table(spark, "/root/testdata/sf0.01").toPandas()
+    for parts in (1, 4, 16):
+        frame = spark.createDataFrame(table).repartition(parts)
+        groups = SG.cluster(SG.scale_features(frame), k=3)
+        curve = SG.elbow(SG.scale_features(frame), ks=(1, 2, 3, 5))
+        seen.append((sorted(map(tuple, groups.collect())), [round(r.tot_withinss, 6) for r in curve.collect()]))
+    assert seen[0] == seen[1] == seen[2] and "product_groupings" in QUERIES
+
+
+def test_elbow_keeps_every_k_and_products_with_nulls_stay(spark):
+    rows = [(str(i), float(i), float(i % 3)) for i in range(4)] + [("9", None, 1.0)]
+    table = spark.createDataFrame(rows, "product_id string, a double, b double")
+    scaled = SG.scale_features(table, ["a", "b"])
+    curve = {r.k: (r.tot_withinss, r.status) for r in SG.elbow(scaled, ks=range(1, 8)).collect()}
+    assert len(curve) == 7 and curve[4][0] == 0 and curve[5] == (None, "too_few_products")
+    out = {r.product_id: (r.product_type, r.reason) for r in
+           SG.with_unclustered(table, SG.cluster(scaled, k=2), ["a", "b"]).collect()}
+    assert len(out) == 5 and out["9"] == (None, "null_feature") and all(out[str(i)][0] for i in range(4))
