@@ -2,7 +2,7 @@
 
 ``QUERIES[name](spark, sf_dir) -> DataFrame`` and, where the result is
 expressible in plain SQL, ``ORACLE_SQL[name]`` gives the same result computed
-by DuckDB over the same parquet views.  Double columns are rounded to 6 dp on
+by DuckDB over the same parquet views.  Double columns are rounded (see context.rounded) on
 both sides (sums in a different order differ in the last bits).
 """
 

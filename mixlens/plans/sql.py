@@ -3,7 +3,7 @@
 Each string recomputes a query from the raw parquet views (lineitem, orders)
 with plain SQL: window frames, GROUP BY and, for adstock, an exact recursive
 CTE (no truncation), so it checks the Spark plans independently.  Doubles are
-rounded to 6 dp; integer literals are cast to double where Spark has doubles.
+rounded (see context.rounded); integer literals are cast to double where Spark has doubles.
 """
 
 from __future__ import annotations
