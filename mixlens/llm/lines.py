@@ -46,14 +46,17 @@ _SALTS = [(j << 60) - (1 << 64 if j > 7 else 0) for j in range(VALUES)]
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """Hashes of all windows of a line, in order; a shorter line is one shingle."""
-    n, raw = F.octet_length(line), line.cast("binary")
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))),
-                          lambda i: F.xxhash64(F.substr(raw, i, F.lit(size))))
-    return F.when(n <= size, F.array(F.xxhash64(raw))).otherwise(windows)
+    def windows(raw: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - size + 1, F.lit(1))),
+                           lambda i: F.xxhash64(F.substr(raw, i, F.lit(size))))
+    # the bytes are a variable of the outer transform: made once a line, not once a window
+    bound = F.transform(F.array(line.cast("binary")), windows)
+    return F.when(F.octet_length(line) <= size, F.array(F.xxhash64(line.cast("binary")))).otherwise(F.get(bound, F.lit(0)))
 
 
 def _word_shingles(line: Column, size: int) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?<!\\S)(?=(\\S.{{{size - 1}}}))"), F.lit(1))
+    """The windows that begin at word starts; a match runs on to the next start."""
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(\\S.{{{size - 1}}}))\\S*+\\s*+"), F.lit(1))
 
 
 def _values(hashes: str) -> list[Column]:
