@@ -33,9 +33,14 @@ def with_total(panel: DataFrame, key: str = "product_id", date: str = "date",
 
     The per-date sum is a second aggregate over the same input; Spark reuses the
     input's exchange (ReusedExchange) instead of scanning twice."""
+    return panel.select(key, date, *measures).unionByName(total_series(panel, key, date, measures, label))
+
+
+def total_series(panel: DataFrame, key: str = "product_id", date: str = "date",
+                 measures: Sequence[str] = ("sessions", "bookings"), label: str = "Total") -> DataFrame:
+    """A4 the synthetic key ``label`` alone; a product of that name is not mixed in."""
     total = panel.groupBy(date).agg(*[F.sum(m).alias(m) for m in measures])
-    total = total.select(F.lit(label).alias(key), date, *measures)
-    return panel.select(key, date, *measures).unionByName(total)
+    return total.select(F.lit(label).alias(key), date, *measures)
 
 
 def join_drivers(panel: DataFrame, meta: DataFrame, date: str = "date",

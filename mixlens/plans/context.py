@@ -41,6 +41,11 @@ def panel_drivers(spark: SparkSession, sf_dir: str, total: bool = False,
     return cut_lineage(out) if materialise else out
 
 
+def total_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Total series alone, joined to the drivers: one aggregate by date over one scan."""
+    return P.weather_onehot(P.join_drivers(P.total_series(panel_train(spark, sf_dir)), meta(spark, sf_dir)))
+
+
 def rounded(df: DataFrame, digits: int = 8, finest: int = 9) -> DataFrame:
     """Round every double column for value comparison across engines.
 

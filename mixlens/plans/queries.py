@@ -25,7 +25,7 @@ from mixlens.operators.features import (
     CHRISTMAS, features, build_design, driver_overlay as _overlay, compat_spec, TOTAL_SPEC,
 )
 from mixlens.plans import sql as Q
-from mixlens.plans.context import panel, panel_train, meta, panel_drivers, rounded
+from mixlens.plans.context import panel, panel_train, meta, panel_drivers, total_drivers, rounded
 from mixlens.session import cut_lineage
 from mixlens.sources.tables import variable_groupings
 
@@ -262,14 +262,12 @@ def coef_table(spark, sf):
 @register("ols_total", Q.OLS_TOTAL)
 def ols_total(spark, sf):
     """The all-products 'Total' series fitted on its own, missing terms interpolated."""
-    pdr = panel_drivers(spark, sf, total=True).filter(F.col(KEY) == "Total")
-    models, _ = R.fit(pdr, TOTAL_SPEC, keep_design=False)
+    models, _ = R.fit(total_drivers(spark, sf), TOTAL_SPEC, keep_design=False)
     return rounded(_coef_long(models))
 
 
 def _fit_total(spark, sf):
-    pdr = panel_drivers(spark, sf, total=True).filter(F.col(KEY) == "Total")
-    return R.fit(pdr, TOTAL_SPEC)
+    return R.fit(total_drivers(spark, sf), TOTAL_SPEC)
 
 
 @register("contribution_total_daily", Q.CONTRIBUTION_TOTAL_DAILY)
@@ -297,12 +295,24 @@ def model_quality(spark, sf):
     return rounded(R.model_quality(scaled, models, SESSIONS_SPEC))
 
 
+@register("model_quality_bookings", Q.MODEL_QUALITY_BOOKINGS)
+def model_quality_bookings(spark, sf):
+    models, scaled = _fit(spark, sf, BOOKINGS_SPEC)
+    return rounded(R.model_quality(scaled, models, BOOKINGS_SPEC))
+
+
 @register("actual_vs_model", Q.ACTUAL_VS_MODEL)
 def actual_vs_model(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
     return rounded(R.actual_vs_model(scaled, models, SESSIONS_SPEC))
 
 
+@register("actual_vs_model_bookings", Q.ACTUAL_VS_MODEL_BOOKINGS)
+def actual_vs_model_bookings(spark, sf):
+    models, scaled = _fit(spark, sf, BOOKINGS_SPEC)
+    return rounded(R.actual_vs_model(scaled, models, BOOKINGS_SPEC))
+
+
 @register("rmse_by_product", Q.RMSE_BY_PRODUCT)
 def rmse_by_product(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
@@ -359,6 +369,12 @@ def contribution_share(spark, sf):
     return rounded(C.contribution_share(scaled, models, SESSIONS_SPEC))
 
 
+@register("contribution_share_bookings", Q.CONTRIBUTION_SHARE_BOOKINGS)
+def contribution_share_bookings(spark, sf):
+    models, scaled = _fit(spark, sf, BOOKINGS_SPEC)
+    return rounded(C.contribution_share(scaled, models, BOOKINGS_SPEC))
+
+
 # ---------------------------------------------------------------- segmentation
 @register("product_stats", Q.PRODUCT_STATS)
 def product_stats(spark, sf):

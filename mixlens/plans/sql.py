@@ -449,21 +449,33 @@ def _quality_ctes(terms) -> tuple[str, ...]:
   from fr group by product_id)""")
 
 
-MODEL_QUALITY = model_head(*_S_ARGS, extra=_quality_ctes(SESSIONS_TERMS)) + f"""
-select 'sessions' as target, product_id, n, rank, {r6('rss')} as rss, {r6('tss')} as tss,
+def _quality_sql(args) -> str:
+    return model_head(*args, extra=_quality_ctes(args[1])) + f"""
+select '{args[0]}' as target, product_id, n, rank, {r6('rss')} as rss, {r6('tss')} as tss,
   {r6('1 - rss / nullif(tss, 0)')} as r_squared,
   {r6('1 - (rss / cast(n - rank as double)) / nullif(tss / (n - 1), 0)')} as adj_r_squared,
   {r6('((tss - rss) / cast(rank - 1 as double)) / nullif(rss / cast(n - rank as double), 0)')} as f_statistic,
   {r6('sqrt(rss / cast(n - rank as double))')} as sigma, {r6('sqrt(rss / n)')} as rmse
 from q"""
 
+
+MODEL_QUALITY = _quality_sql(_S_ARGS)
+MODEL_QUALITY_BOOKINGS = _quality_sql(_B_ARGS)
+
 RMSE_BY_PRODUCT = model_head(*_S_ARGS, extra=_quality_ctes(SESSIONS_TERMS)) + f"""
 select 'sessions' as target, product_id, {r6('sqrt(rss / n)')} as rmse from q"""
 
-ACTUAL_VS_MODEL = model_head(*_S_ARGS, extra=(_OK_ROWS(SESSIONS_TERMS),)) + f"""
+
+
+def _actual_sql(args) -> str:
+    return model_head(*args, extra=(_OK_ROWS(args[1]),)) + f"""
 select product_id, date, {r6('dep_var')} as actual, {r6('fitted')} as fitted, {r6('dep_var - fitted')} as residual
 from fr"""
 
+
+ACTUAL_VS_MODEL = _actual_sql(_S_ARGS)
+ACTUAL_VS_MODEL_BOOKINGS = _actual_sql(_B_ARGS)
+
 _NAMES_S = ("intercept",) + SESSIONS_TERMS
 COEF_TABLE = model_head(*_S_ARGS, extra=_quality_ctes(SESSIONS_TERMS)) + "\nunion all\n".join(
     f"select 'sessions' as target, m.product_id, cast({i} as integer) as term_index, '{t}' as term, "
@@ -541,11 +553,18 @@ CONTRIBUTION_WEEKLY = _contrib_head(_S_ARGS, (
 _BYP = f"bp as (select product_id, {_SUMS} from cfin group by product_id)"
 CONTRIBUTION_BY_PRODUCT = _contrib_head(_S_ARGS, (_BYP,)) + _long("bp", "product_id")
 CONTRIBUTION_BY_PRODUCT_BOOKINGS = _contrib_head(_B_ARGS, (_BYP,)) + _long("bp", "product_id")
-CONTRIBUTION_SHARE = _contrib_head(_S_ARGS, (_BYP, "lg as (" + _long("bp", "product_id", value=lambda g: g) + ")")) + f"""
+
+
+def _share_sql(args) -> str:
+    return _contrib_head(args, (_BYP, "lg as (" + _long("bp", "product_id", value=lambda g: g) + ")")) + f"""
 select product_id, driver_group, {r6('value')} as value, driver_order,
        {r6('value / nullif(sum(abs(value)) over (partition by product_id, sign(value)), 0)')} as share
 from lg"""
 
+
+CONTRIBUTION_SHARE = _share_sql(_S_ARGS)
+CONTRIBUTION_SHARE_BOOKINGS = _share_sql(_B_ARGS)
+
 _RAW_TERMS = "\nunion all\n".join(
     f"select s.product_id, s.date, '{t}' as var_name, coalesce(m.beta_{i}, {D0}) * {D1 if i == 0 else 's.' + t} as value "
     f"from scaled s join om m on s.product_id = m.product_id where m.status = 'ok' and "
