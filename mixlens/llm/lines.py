@@ -8,8 +8,8 @@
 3. Lines that share a band key are candidates.  Small buckets compare all pairs.
    A larger bucket compares each line with its centre (the line with most places)
    and with the next line in sketch order, so a bucket of n lines costs 2 n and
-   not n * n comparisons; a line meets up to three others in each of its bands,
-   which is enough to find its component (recall is measured in README).
+   not n * n comparisons; a line meets up to three others in each of its bands.
+   That finds its component in the cases measured in README, without proof.
    Candidates whose sketches agree in fewer than ``AGREE`` bytes are passed over.
 4. Exact Jaccard similarity of the full shingle sets (as 64-bit hashes) decides
    each candidate.
