@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from mixlens.functions.scalar import week_commencing
 from mixlens.operators import series as S
+from mixlens.operators.joins import bounded_broadcast
 from mixlens.operators.features import KEY, DATE, ModelSpec, SMOOTH_WINDOW
 from mixlens.operators.regression import complete_cases, with_models
 from mixlens.sources.tables import TERM_GROUPS, DRIVER_GROUPS, DRIVER_ORDER
@@ -47,7 +48,7 @@ def term_contributions(scaled: DataFrame, models: DataFrame, spec: ModelSpec) ->
 def group_terms(term_long: DataFrame, dictionary: DataFrame) -> DataFrame:
     """J2 + A8 the dictionary join: sum term contributions per (product, date, group).
     A term missing from the dictionary keeps a NULL group (reported, not dropped)."""
-    j = term_long.join(F.broadcast(dictionary), on="var_name", how="left")
+    j = term_long.join(bounded_broadcast(dictionary, materialise=False), on="var_name", how="left")
     return j.groupBy(KEY, DATE, F.col("grouping").alias("driver_group")).agg(F.sum("value").alias("value"))
 
 

@@ -73,7 +73,7 @@ def event_dummy(df: DataFrame, name: str, dates: Sequence[_dt.date | str], date:
     joined on (date[, market]); rows with no event get 0.
 
     The event table is built from the two given lists, so its size is
-    len(dates) x len(markets) and it is broadcast."""
+    len(dates) x len(markets); it is broadcast after a checked count."""
     spark = df.sparkSession
     ds = [_dt.date.fromisoformat(d) if isinstance(d, str) else d for d in dates]
     ev = spark.createDataFrame([(d,) for d in ds], T.StructType([T.StructField(date, T.DateType())]))
@@ -82,7 +82,7 @@ def event_dummy(df: DataFrame, name: str, dates: Sequence[_dt.date | str], date:
         ev = ev.withColumn(market_col, F.explode(F.array(*[F.lit(str(m)) for m in markets])))
         keys.append(market_col)
     ev = ev.dropDuplicates(keys).withColumn(name, F.lit(1.0))
-    out = df.join(F.broadcast(ev), on=keys, how="left")
+    out = df.join(bounded_broadcast(ev, materialise=False), on=keys, how="left")
     return out.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
 
 
