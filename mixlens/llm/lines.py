@@ -6,10 +6,12 @@
    of each value its sketch.  The signature takes the shingles that begin at word
    starts; lines with few of those take all.
 3. Lines that share a band key are candidates.  Small buckets compare all pairs.
-   A larger bucket compares each line with its centre (the line with most places)
-   and with the next line in sketch order, so a bucket of n lines costs 2 n and
-   not n * n comparisons; a line meets up to three others in each of its bands.
-   That finds its component in the cases measured in README, without proof.
+   A larger bucket first compares each line with its centre (the line with most
+   places) and with the next line in sketch order.  Jaccard distance is a metric,
+   so the distances to the centre and the sizes of the sets then exclude pairs;
+   every other pair of the bucket whose lines are in different components yet is
+   compared too.  No bucket is cut: one of n lines that stay apart and are of one
+   size costs up to n * n / 2 comparisons, dealt out in parts of ``SPREAD`` lines.
    Candidates whose sketches agree in fewer than ``AGREE`` bytes are passed over.
 4. Exact Jaccard similarity of the full shingle sets (as 64-bit hashes) decides
    each candidate.
@@ -25,6 +27,8 @@ share only the id are separate documents; a document may end up without lines
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,7 @@ SHINGLE = 10               # UTF-8 code units
 SIMILARITY = 0.8
 VALUES, BANDS = 16, 8
 SMALL = 5                  # lines of a bucket that are compared pair by pair
+SPREAD = 256               # lines of a larger bucket whose open pairs one part compares
 AGREE = 9                  # sketch bytes of 16 that a candidate pair shares at least
 FEW, SOME = 8, 10          # word starts below which all shingles sign, and up to which they sign too
 
@@ -74,8 +79,8 @@ def _least(hashes: str) -> Column:
 
 
 def signed(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``lines`` (column line) with ``keys`` (its band keys), ``family`` and the
-    sketch bytes ``s0``, ``s1``."""
+    """``lines`` (column line) with ``keys`` (its band keys), ``family``, the
+    sketch bytes ``s0``, ``s1`` and ``g``, the size of its shingle set."""
     names = lines.columns
     cut = lines.withColumn("_w", _word_shingles(F.col("line"), size))
     few, some = F.size("_w") < FEW, F.size("_w") <= SOME
@@ -99,7 +104,8 @@ def signed(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     none = F.array().cast("array<bigint>")
     return valued.select(*names, F.concat(F.when(F.col("m0_0").isNotNull(), keys(0)).otherwise(none),
                                           F.when(F.col("m1_0").isNotNull(), keys(1)).otherwise(none)).alias("keys"),
-                         F.col("m0_0").isNull().alias("family"), sketch(0).alias("s0"), sketch(8).alias("s1"))
+                         F.col("m0_0").isNull().alias("family"), sketch(0).alias("s0"), sketch(8).alias("s1"),
+                         F.size(F.array_distinct(shingles(F.col("line"), size))).alias("g"))
 
 
 def _alike(x: str, y: str) -> Column:
@@ -114,7 +120,7 @@ def _alike(x: str, y: str) -> Column:
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(lid, line, at, n, keys) of the distinct non-blank lines; ``at`` is the
+    """(lid, line, at, n, keys, g and sketch) of the distinct non-blank lines; ``at`` is the
     first place (id, text hash, position).  Stored, so lid is fixed."""
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"),
                         F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
@@ -123,32 +129,43 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str, size: int) -> Da
     return stored(signed(once, size).withColumn("lid", F.monotonically_increasing_id()))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The candidate pairs (a, b) whose shingle sets have that Jaccard similarity.
+def similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(a, b, jaccard) of candidate pairs: exact similarity of the shingle sets.
     They are dealt out one by one: a few bytes of ids are much work."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = texts.select("lid", "family", "s0", "s1")
-
-    def named(frame, side):
-        return frame.select(*[F.col(c).alias(f"{side}_{c}") for c in frame.columns])
-    alike = (pairs.join(named(marks, "a"), F.col("a") == F.col("a_lid"))
-             .join(named(marks, "b"), F.col("b") == F.col("b_lid")).filter(_alike("a_", "b_")).select("a", "b"))
     lines = texts.select("lid", "line")
-    both = (alike.join(named(lines, "a"), F.col("a") == F.col("a_lid"))
-            .join(named(lines, "b"), F.col("b") == F.col("b_lid"))
-            .select("a", "b", "a_line", "b_line").repartition(parts))
+
+    def named(side):
+        return lines.select(F.col("lid").alias(side), F.col("line").alias(f"{side}_line"))
+    both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_line", "b_line").repartition(parts)
     sets = both.select("a", "b", F.array_distinct(shingles(F.col("a_line"), size)).alias("sa"),
                        F.array_distinct(shingles(F.col("b_line"), size)).alias("sb"))
     met = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"),
                       F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return met.filter(F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("a", "b")
+    return met.select("a", "b", (F.col("common") / (F.col("total") - F.col("common"))).alias("jaccard"))
+
+
+def _near(x: str, y: str, similarity: float) -> Column:
+    """Whether two set sizes allow that similarity."""
+    return F.least(x, y) >= similarity * F.greatest(x, y)
 
 
-def candidates(members: DataFrame) -> DataFrame:
-    """(a, b), a < b: candidate pairs of buckets (key, c, lid, centre, next)."""
-    few = members.filter(F.col("c") <= SMALL).select("key", "lid")
-    close = (few.select("key", F.col("lid").alias("a")).join(few.select("key", F.col("lid").alias("b")), "key")
-             .filter(F.col("a") < F.col("b")).select("a", "b"))
+def _passed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree enough."""
+    marks = texts.select("lid", "family", "s0", "s1")
+
+    def named(side):
+        return marks.select(*[F.col(c).alias(f"{side}_{c}") for c in marks.columns])
+    return (pairs.join(named("a"), F.col("a") == F.col("a_lid")).join(named("b"), F.col("b") == F.col("b_lid"))
+            .filter(_alike("a_", "b_")).select("a", "b"))
+
+
+def candidates(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: first candidate pairs of buckets (key, c, lid, g, centre, next)."""
+    few = members.filter(F.col("c") <= SMALL)
+    close = (few.select("key", F.col("lid").alias("a"), F.col("g").alias("ga"))
+             .join(few.select("key", F.col("lid").alias("b"), F.col("g").alias("gb")), "key")
+             .filter((F.col("a") < F.col("b")) & _near("ga", "gb", similarity)).select("a", "b"))
     other = F.explode(F.array("centre", "next")).alias("other")
     star = (members.filter(F.col("c") > SMALL).select("lid", other)
             .filter(F.col("other").isNotNull() & (F.col("lid") != F.col("other")))
@@ -156,19 +173,56 @@ def candidates(members: DataFrame) -> DataFrame:
     return close.unionAll(star).distinct()
 
 
+def open_pairs(large: DataFrame, first: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: the pairs of the larger buckets (key, c, lid, g, centre) that
+    ``first`` (a, b, jaccard) leaves open: in different components of ``label``,
+    and not excluded by set sizes or by the distances to the centre."""
+    far = first.select("a", "b", (1 - F.col("jaccard")).alias("d"))
+    # sets of two similar lines lie on the same level of size or on neighbouring ones
+    width = max(-math.log(similarity) * 1.000001, 1e-6)
+    spread = (large.select("key", "c", "lid", "g", F.least("lid", "centre").alias("a"), F.greatest("lid", "centre").alias("b"))
+              .filter(F.col("a") != F.col("b")).join(far, ["a", "b"])
+              .join(label.withColumnRenamed("node", "lid"), "lid", "left")
+              .select("key", "lid", "g", "d", F.coalesce("component", "lid").alias("part"),
+                      F.floor(F.log(F.col("g")) / F.lit(width)).alias("level"),
+                      F.ceil(F.col("c") / F.lit(SPREAD)).alias("parts")))
+    apart = F.col("d") > 1 - similarity
+
+    def side(frame, name, level, deal):
+        return frame.select("key", level.alias("level"), deal.alias("deal"),
+                            *[F.col(c).alias(f"{name}_{c}") for c in ("lid", "g", "d", "part")])
+    # a line linked to its centre is in the centre's component; open pairs have one end that is not
+    x = side(spread.filter(apart), "x", F.col("level"), F.pmod(F.xxhash64("lid"), F.col("parts")))
+    y = spread.withColumn("near", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)))
+    y = side(y, "y", F.col("near"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    return (x.join(y, ["key", "level", "deal"])
+            .filter((F.col("x_part") != F.col("y_part")) & _near("x_g", "y_g", similarity)
+                    & (F.abs(F.col("x_d") - F.col("y_d")) <= 1 - similarity + 1e-9)
+                    & ((F.col("y_d") <= 1 - similarity) | (F.col("x_lid") < F.col("y_lid"))))
+            .select(F.least("x_lid", "y_lid").alias("a"), F.greatest("x_lid", "y_lid").alias("b")).distinct())
+
+
 def linked_lines(lines: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) over the lids of ``lines`` that have a link."""
     bucket = Window.partitionBy("key")
-    found = (lines.select("lid", "n", F.explode("keys").alias("key"))
+    found = (lines.select("lid", "n", "g", F.explode("keys").alias("key"))
              .withColumn("c", F.count("*").over(bucket)).filter(F.col("c") > 1)
              .withColumn("centre", -F.max(F.struct(F.col("n"), (-F.col("lid")).alias("m"))).over(bucket)["m"]))
-    members = stored(found.select("key", "c", "lid", "centre"))
+    members = stored(found.select("key", "c", "lid", "g", "centre"))
     # what candidates need of their lines, fetched once
     texts = stored(lines.select("lid", "line", "family", "s0", "s1")
                    .join(members.select("lid").distinct(), "lid", "left_semi"))
     order = Window.partitionBy("key").orderBy("s0", "s1", "lid")
-    linked = members.join(texts.select("lid", "s0", "s1"), "lid").withColumn("next", F.lead("lid").over(order))
-    return components(stored(similar(candidates(linked), texts, size, similarity)))
+    chained = members.join(texts.select("lid", "s0", "s1"), "lid").withColumn("next", F.lead("lid").over(order))
+    # the full value of a pair with a centre is kept: it bounds the pairs not compared
+    first = stored(similarities(candidates(chained, similarity), texts, size))
+    links = first.filter(F.col("jaccard") >= similarity).select("a", "b")
+    large = members.filter(F.col("c") > SMALL)
+    if large.isEmpty():
+        return components(links)
+    left = open_pairs(large, first, stored(components(links)), similarity)
+    rest = stored(similarities(_passed(left, texts), texts, size).filter(F.col("jaccard") >= similarity).select("a", "b"))
+    return components(links.unionAll(rest))
 
 
 def dedup_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY,

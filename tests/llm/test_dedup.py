@@ -92,6 +92,21 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert {(r.doc_id, 0) for r in out if r.text} == kept
 
 
+def test_every_pair_of_a_large_bucket_is_decided(spark):
+    """Twins that stand far apart in sketch order and far from the centre are linked."""
+    rng = random.Random(5)
+    rows, want = [], set()
+    for i in range(30):
+        line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=150))
+        for lid, place, text in ((i, i, line), (100 + i, 90 - i, line + " x")):
+            rows.append((lid, text, 9 if lid == 29 else 1, [7], False, place << 56, 0, len(text) - lines.SHINGLE + 1))
+        want.add((i, 100 + i))
+    frame = spark.createDataFrame(rows, "lid bigint, line string, n int, keys array<bigint>, family boolean, "
+                                        "s0 bigint, s1 bigint, g int")
+    got = {(r.component, r.node) for r in lines.linked_lines(frame).collect() if r.node != r.component}
+    assert got == want
+
+
 def test_line_query(spark):
     docs = [(r.doc_id, r.text) for r in sample_docs(spark).collect()]
     kept, _ = brute_lines(docs)
