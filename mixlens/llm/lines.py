@@ -3,8 +3,7 @@
 1. Lines that repeat exactly become one row (first place, number of places).
 2. A line's character shingles (``SHINGLE`` UTF-8 code units each) give
    ``VALUES`` MinHash values; ``BANDS`` triples of them are its band keys, a byte
-   of each value its sketch.  The signature takes the shingles that begin at word
-   starts; lines with few of those take all.
+   of each value its sketch.
 3. Lines that share a band key are candidates.  Small buckets compare all pairs.
    A larger bucket first compares each line with its centre (the line with most
    places) and with the next line in sketch order.  Jaccard distance is a metric,
@@ -12,7 +11,6 @@
    every other pair of the bucket whose lines are in different components yet is
    compared too.  No bucket is cut: one of n lines that stay apart and are of one
    size costs up to n * n / 2 comparisons, dealt out in parts of ``SPREAD`` lines.
-   Candidates whose sketches agree in fewer than ``AGREE`` bytes are passed over.
 4. Exact Jaccard similarity of the full shingle sets (as 64-bit hashes) decides
    each candidate.
 5. Distributed union-find joins the links; of a component the line at its first
@@ -40,8 +38,6 @@ SIMILARITY = 0.8
 VALUES, BANDS = 16, 8
 SMALL = 5                  # lines of a bucket that are compared pair by pair
 SPREAD = 256               # lines of a larger bucket whose open pairs one part compares
-AGREE = 9                  # sketch bytes of 16 that a candidate pair shares at least
-FEW, SOME = 8, 10          # word starts below which all shingles sign, and up to which they sign too
 
 # band b joins the values b, b + 5 and b + 10
 _TRIPLES = [(b, (b + 5) % VALUES, (b + 10) % VALUES) for b in range(BANDS)]
@@ -59,11 +55,6 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
     return F.when(F.octet_length(line) <= size, F.array(F.xxhash64(line.cast("binary")))).otherwise(F.get(bound, F.lit(0)))
 
 
-def _word_shingles(line: Column, size: int) -> Column:
-    """The windows that begin at word starts; a match runs on to the next start."""
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(\\S.{{{size - 1}}}))\\S*+\\s*+"), F.lit(1))
-
-
 def _values(hashes: str) -> list[Column]:
     """MinHash values from the least shingle hash of each sixteenth of the range.
     Value j is the hash nearest to the start of sixteenth j by XOR: the least of
@@ -79,48 +70,24 @@ def _least(hashes: str) -> Column:
 
 
 def signed(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``lines`` (column line) with ``keys`` (its band keys), ``family``, the
-    sketch bytes ``s0``, ``s1`` and ``g``, the size of its shingle set."""
+    """``lines`` (column line) with ``keys`` (its band keys), the sketch bytes
+    ``s0``, ``s1`` and ``g``, the size of its shingle set."""
     names = lines.columns
-    cut = lines.withColumn("_w", _word_shingles(F.col("line"), size))
-    few, some = F.size("_w") < FEW, F.size("_w") <= SOME
-    hashed = cut.select(
-        *names,
-        F.sort_array(F.when(~few, F.transform("_w", lambda s: F.xxhash64(s)))).alias("_h0"),
-        F.sort_array(F.when(some, shingles(F.col("line"), size))).alias("_h1"))
-    least = hashed.select(*names, _least("_h0").alias("_h0"), _least("_h1").alias("_h1"))
-    valued = least.select(*names, *[v.alias(f"m{f}_{j}") for f in (0, 1) for j, v in enumerate(_values(f"_h{f}"))])
-
-    def keys(family):
-        return F.array(*[F.xxhash64(F.lit(family * BANDS + b), *[F.col(f"m{family}_{j}") for j in t])
-                         for b, t in enumerate(_TRIPLES)])
+    hashed = lines.select(*names, F.sort_array(F.array_distinct(shingles(F.col("line"), size))).alias("_h"))
+    least = hashed.select(*names, F.size("_h").alias("g"), _least("_h").alias("_h"))
+    valued = least.select(*names, "g", *[v.alias(f"m{j}") for j, v in enumerate(_values("_h"))])
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in t]) for b, t in enumerate(_TRIPLES)]
 
     def sketch(first):
         out = F.lit(0).cast("bigint")
         for j in range(8):
-            value = F.coalesce(f"m0_{first + j}", f"m1_{first + j}")
-            out = out.bitwiseOR(F.shiftleft(value.bitwiseAND(F.lit(255)), 8 * j))
+            out = out.bitwiseOR(F.shiftleft(F.col(f"m{first + j}").bitwiseAND(F.lit(255)), 8 * j))
         return out
-    none = F.array().cast("array<bigint>")
-    return valued.select(*names, F.concat(F.when(F.col("m0_0").isNotNull(), keys(0)).otherwise(none),
-                                          F.when(F.col("m1_0").isNotNull(), keys(1)).otherwise(none)).alias("keys"),
-                         F.col("m0_0").isNull().alias("family"), sketch(0).alias("s0"), sketch(8).alias("s1"),
-                         F.size(F.array_distinct(shingles(F.col("line"), size))).alias("g"))
-
-
-def _alike(x: str, y: str) -> Column:
-    """Whether the sketches of two rows (column prefixes x, y) agree enough; lines
-    signed by different shingles are not passed over."""
-    same = F.lit(0)
-    for part in ("s0", "s1"):
-        differ = F.col(f"{x}{part}").bitwiseXOR(F.col(f"{y}{part}"))
-        for j in range(8):
-            same = same + (F.shiftrightunsigned(differ, 8 * j).bitwiseAND(F.lit(255)) == 0).cast("int")
-    return (same >= AGREE) | (F.col(f"{x}family") != F.col(f"{y}family"))
+    return valued.select(*names, F.array(*keys).alias("keys"), sketch(0).alias("s0"), sketch(8).alias("s1"), "g")
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(lid, line, at, n, keys, g and sketch) of the distinct non-blank lines; ``at`` is the
+    """(lid, line, at, n, keys, s0, s1, g) of the distinct non-blank lines; ``at`` is the
     first place (id, text hash, position).  Stored, so lid is fixed."""
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"),
                         F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
@@ -150,16 +117,6 @@ def _near(x: str, y: str, similarity: float) -> Column:
     return F.least(x, y) >= similarity * F.greatest(x, y)
 
 
-def _passed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose sketches agree enough."""
-    marks = texts.select("lid", "family", "s0", "s1")
-
-    def named(side):
-        return marks.select(*[F.col(c).alias(f"{side}_{c}") for c in marks.columns])
-    return (pairs.join(named("a"), F.col("a") == F.col("a_lid")).join(named("b"), F.col("b") == F.col("b_lid"))
-            .filter(_alike("a_", "b_")).select("a", "b"))
-
-
 def candidates(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: first candidate pairs of buckets (key, c, lid, g, centre, next)."""
     few = members.filter(F.col("c") <= SMALL)
@@ -210,7 +167,7 @@ def linked_lines(lines: DataFrame, size: int = SHINGLE, similarity: float = SIMI
              .withColumn("centre", -F.max(F.struct(F.col("n"), (-F.col("lid")).alias("m"))).over(bucket)["m"]))
     members = stored(found.select("key", "c", "lid", "g", "centre"))
     # what candidates need of their lines, fetched once
-    texts = stored(lines.select("lid", "line", "family", "s0", "s1")
+    texts = stored(lines.select("lid", "line", "s0", "s1")
                    .join(members.select("lid").distinct(), "lid", "left_semi"))
     order = Window.partitionBy("key").orderBy("s0", "s1", "lid")
     chained = members.join(texts.select("lid", "s0", "s1"), "lid").withColumn("next", F.lead("lid").over(order))
@@ -221,7 +178,7 @@ def linked_lines(lines: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     if large.isEmpty():
         return components(links)
     left = open_pairs(large, first, stored(components(links)), similarity)
-    rest = stored(similarities(_passed(left, texts), texts, size).filter(F.col("jaccard") >= similarity).select("a", "b"))
+    rest = stored(similarities(left, texts, size).filter(F.col("jaccard") >= similarity).select("a", "b"))
     return components(links.unionAll(rest))
 
 

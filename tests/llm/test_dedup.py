@@ -107,6 +107,45 @@ def test_every_pair_of_a_large_bucket_is_decided(spark):
     assert got == want
 
 
+def near_lines(rng):
+    """Pairs of one kind of line that differ in short fields only."""
+    def number(n):
+        return "".join(rng.choices("0123456789", k=n))
+
+    def token(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+
+    def fields(head, tail, change):
+        other = list(head)
+        for k in change:
+            other[k] = number(len(other[k]))
+        return " ".join([*head, tail]), " ".join([*other, tail])
+    long = " ".join(token(20) for _ in range(7))
+    return {"link": fields([number(2) for _ in range(12)], "https://" + token(130), [rng.randrange(12)]),
+            "log": fields([number(2) for _ in range(11)], "id=" + token(260), rng.sample(range(11), 2)),
+            "table": (("| 1 | 22 | " + (row := " | ".join(token(6) for _ in range(24)))), "| 7 | 22 | " + row),
+            "code": ("    if x == 1 : " + (call := f"return {token(70)}({token(40)})"), "    if x == 2 : " + call),
+            "words": (long, long + " a b c d")}
+
+
+def test_lines_of_short_fields_meet(spark):
+    rng, rows, kinds = random.Random(13), [], []
+    for _ in range(100):
+        for kind, pair in near_lines(rng).items():
+            a, b = map(shingle_set, pair)
+            if len(a & b) >= 0.8 * len(a | b):
+                rows += [(len(kinds), line) for line in pair]
+                kinds.append(kind)
+    out = lines.signed(spark.createDataFrame(rows, "pair int, line string")).collect()
+    met, all_ = {}, {}
+    for i, kind in enumerate(kinds):
+        a, b = (set(r["keys"]) for r in out if r.pair == i)
+        met[kind] = met.get(kind, 0) + bool(a & b)
+        all_[kind] = all_.get(kind, 0) + 1
+    assert len(all_) == 5 and min(all_.values()) >= 50, all_
+    assert all(met[k] >= 0.95 * all_[k] for k in all_), (met, all_)
+
+
 def test_line_query(spark):
     docs = [(r.doc_id, r.text) for r in sample_docs(spark).collect()]
     kept, _ = brute_lines(docs)
