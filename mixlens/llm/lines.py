@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash, DataFrame operations only.
 
 1. Lines that repeat exactly become one row (first place, number of places).
-2. A line's character shingles (``SHINGLE`` UTF-8 code units each) give
+2. A line's character shingles (``SHINGLE`` characters each) give
    ``VALUES`` MinHash values; ``BANDS`` triples of them are its band keys, a byte
    of each value its sketch.
 3. Lines that share a band key are candidates.  Small buckets compare all pairs.
@@ -16,7 +16,7 @@
 5. Distributed union-find joins the links; of a component the line at its first
    place (by document, then position) stays, and every other place goes.
 
-Defined results: blank lines are never dropped; a NULL text stays NULL (0
+Defined results: blank lines (white space of any kind) are never dropped; a NULL text stays NULL (0
 lines); lines shorter than a shingle are compared as wholes; a NULL id sorts
 first; rows that repeat id and text lose and keep the same lines, rows that
 share only the id are separate documents; a document may end up without lines
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from mixlens.llm.common import stored
 from mixlens.llm.components import components
 
-SHINGLE = 10               # UTF-8 code units
+SHINGLE = 10               # characters
 SIMILARITY = 0.8
 VALUES, BANDS = 16, 8
 SMALL = 5                  # lines of a bucket that are compared pair by pair
@@ -45,14 +45,24 @@ _TRIPLES = [(b, (b + 5) % VALUES, (b + 10) % VALUES) for b in range(BANDS)]
 _SALTS = [(j << 60) - (1 << 64 if j > 7 else 0) for j in range(VALUES)]
 
 
+def _blank(line: Column) -> Column:
+    """Whether a line holds white space only, of any kind."""
+    return ~line.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
 def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """Hashes of all windows of a line, in order; a shorter line is one shingle."""
-    def windows(raw: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - size + 1, F.lit(1))),
-                           lambda i: F.xxhash64(F.substr(raw, i, F.lit(size))))
-    # the bytes are a variable of the outer transform: made once a line, not once a window
-    bound = F.transform(F.array(line.cast("binary")), windows)
-    return F.when(F.octet_length(line) <= size, F.array(F.xxhash64(line.cast("binary")))).otherwise(F.get(bound, F.lit(0)))
+    """Hashes of all windows of ``size`` characters of a line, in order; a shorter
+    line is one shingle."""
+    def windows(raw: Column, width: int, shown) -> Column:
+        # the bytes are a variable of the outer transform: made once a line, not once a window
+        return F.get(F.transform(F.array(raw), lambda x: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.octet_length(x) - (size * width - 1), F.lit(1)), F.lit(width)),
+            lambda i: F.xxhash64(shown(F.substr(x, i, F.lit(size * width)))))), F.lit(0))
+    # the bytes of ASCII lines are their characters; other lines are cut at four bytes a
+    # character, and their windows hashed as UTF-8, so both kinds of line compare
+    return (F.when(F.char_length(line) <= size, F.array(F.xxhash64(line.cast("binary"))))
+            .when(F.char_length(line) == F.octet_length(line), windows(line.cast("binary"), 1, lambda x: x))
+            .otherwise(windows(F.encode(line, "UTF-32"), 4, lambda x: F.decode(x, "UTF-32").cast("binary"))))
 
 
 def _values(hashes: str) -> list[Column]:
@@ -91,7 +101,7 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str, size: int) -> Da
     first place (id, text hash, position).  Stored, so lid is fixed."""
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"),
                         F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    once = (lines.filter(F.trim("line") != "").groupBy("line")
+    once = (lines.filter(~_blank(F.col("line"))).groupBy("line")
             .agg(F.min(F.struct("id", "th", "pos")).alias("at"), F.count("*").alias("n")))
     return stored(signed(once, size).withColumn("lid", F.monotonically_increasing_id()))
 
@@ -201,7 +211,7 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
     cut = met.select(*names, F.split(F.col(text_col), "\n", -1).alias("_line_all"),
                      F.coalesce("_line_kept", F.array().cast("array<int>")).alias("_line_kept"))
     blank = F.filter(F.sequence(F.lit(0), F.size("_line_all") - 1),
-                     lambda i: F.trim(F.get(F.col("_line_all"), i)) == "")
+                     lambda i: _blank(F.get(F.col("_line_all"), i)))
     stay = cut.withColumn("_line_stay", F.when(F.col("_line_all").isNotNull(),
                                                F.array_sort(F.array_union("_line_kept", blank))))
     text = F.array_join(F.transform("_line_stay", lambda i: F.get(F.col("_line_all"), i)), "\n")

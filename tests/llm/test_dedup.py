@@ -146,6 +146,26 @@ def test_lines_of_short_fields_meet(spark):
     assert all(met[k] >= 0.95 * all_[k] for k in all_), (met, all_)
 
 
+def test_shingles_are_characters(spark):
+    rng = random.Random(3)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60))
+    texts = ["plain ascii, long enough", "naïve café, long enough", "ascii then é", "😀 emoji 👩\u200d👩 end of it", "日本語テキスト中文", han]
+    frame = spark.createDataFrame([(t,) for t in texts], "line string").select("line", lines.shingles(F.col("line")).alias("h"))
+    for r in frame.collect():
+        want = [r.line[i:i + 10] for i in range(len(r.line) - 9)] or [r.line]
+        assert r.h == [x - (1 << 64) if x >> 63 else x for x in (xxh64_intdigest(w.encode(), 42) for w in want)]
+    # one character of 60 changed: 0.67 in characters (0.87 in bytes), so both stay
+    docs = spark.createDataFrame([(1, han), (2, han[:30] + "一" + han[31:])], "doc_id bigint, text string")
+    assert [r.n_kept for r in lines.dedup_lines(docs).collect()] == [1, 1]
+
+
+def test_white_space_lines_stay(spark):
+    text = "one line of words here\r\n\r\n\t\n\u3000\n \x0b \nend of document {}, quite unlike\r"
+    docs = [(i, text.format("".join(random.Random(i).choices("abcdefgh", k=60)))) for i in range(3)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {i: t if i == 0 else t.split("\n", 1)[1] for i, t in docs}
+
+
 def test_line_query(spark):
     docs = [(r.doc_id, r.text) for r in sample_docs(spark).collect()]
     kept, _ = brute_lines(docs)
