@@ -5,9 +5,11 @@ level (lines that begin with ``>`` signs, an attribution line above them goes
 with them).  Normalised passages, and their lines, are hashed and joined to the
 hashes of what earlier messages wrote themselves: whole texts, paragraphs and
 lines, each hash reduced to its first message (of the conversation, and of the
-table) before the join, so a phrase that everybody writes meets one row.  A
-message answers the message of which it quotes most at level 1, else the one
-before it in its conversation.  Conversations joined by quotation form one
+table) before the join, so a phrase that everybody writes meets one row.  Parts
+shorter than ``LEAST_CHARS`` are matched inside the conversation only.  A
+message answers the message of which it quotes most at level 1, else at the
+next deeper level that an earlier message wrote, else the one before it in its
+conversation.  Conversations joined by quotation form one
 thread, ordered so that every answer follows what it answers.
 
 Defined results: NULL text counts as empty; a message with NULL conversation
@@ -28,10 +30,10 @@ from mixlens.llm.components import components
 
 MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 ATTRIBUTION = re.compile(r"(wrote|schrieb|escribió|a écrit)[ \t]*:[ \t]*$")
-LEAST_CHARS = 12           # shorter passages and lines do not identify a message
+LEAST_CHARS = 12           # shorter passages and lines identify a message only inside its conversation
 
 PARSED = ("own string, max_level int, n_quoted_lines int, "
-          "passages array<struct<level:int,hash:bigint,size:int>>, units array<bigint>")
+          "passages array<struct<level:int,hash:bigint,size:int>>, units array<struct<hash:bigint,size:int>>")
 
 
 def normal(text: str) -> str:
@@ -75,11 +77,11 @@ def _hash(text: str) -> int:
 
 def units(text: str) -> dict[int, int]:
     """hash -> length of what may be quoted from a text: the whole, its
-    paragraphs and its lines, normalised, not shorter than ``LEAST_CHARS``."""
+    paragraphs and its lines, normalised."""
     out = {}
     for part in [text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")]:
         shown = normal(part)
-        if len(shown) >= LEAST_CHARS:
+        if shown:
             out[_hash(shown)] = len(shown)
     return out
 
@@ -89,6 +91,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("size", pa.int32())]))
+        part = pa.list_(pa.struct([("hash", pa.int64()), ("size", pa.int32())]))
         for batch in batches:
             own, deepest, quoted, passages, wrote = [], [], [], [], []
             for cell in batch.column(3):
@@ -98,10 +101,10 @@ def parsed(messages: DataFrame) -> DataFrame:
                 quoted.append(q)
                 passages.append([{"level": level, "hash": h, "size": n}
                                  for level, passage in p for h, n in units(passage).items()])
-                wrote.append(list(units(o)))
+                wrote.append([{"hash": h, "size": n} for h, n in units(o).items()])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in range(3)), pa.array(own, pa.string()), pa.array(deepest, pa.int32()),
-                 pa.array(quoted, pa.int32()), pa.array(passages, kind), pa.array(wrote, pa.list_(pa.int64()))],
+                 pa.array(quoted, pa.int32()), pa.array(passages, kind), pa.array(wrote, part)],
                 names=["conv_id", "turn", "role", "own", "max_level", "n_quoted_lines", "passages", "units"])
     return (messages.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"),
                             F.col("role").cast("string"), F.col("text").cast("string"))
@@ -109,21 +112,24 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def quoted_parents(parts: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent_conv, parent_turn): per message with a level-1 quote
-    that an earlier message wrote, the one from which it quotes most."""
-    wrote = parts.select("conv_id", "turn", F.explode("units").alias("hash"))
+    """(conv_id, turn, parent_conv, parent_turn): per message with a quote that an
+    earlier message wrote, the one from which it quotes most at the first level
+    that has any."""
+    wrote = (parts.select("conv_id", "turn", F.explode("units").alias("u"))
+             .select("conv_id", "turn", F.col("u.hash").alias("hash"), F.col("u.size").alias("size")))
     here = wrote.groupBy("conv_id", "hash").agg(F.min("turn").alias("here_turn"))
-    anywhere = wrote.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("any"))
-    quotes = (parts.select("conv_id", "turn", F.explode("passages").alias("q")).filter(F.col("q.level") == 1)
-              .select("conv_id", "turn", F.col("q.hash").alias("hash"), F.col("q.size").alias("size"))
-              .groupBy("conv_id", "turn", "hash").agg(F.max("size").alias("size")))
+    anywhere = wrote.filter(F.col("size") >= LEAST_CHARS).groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("any"))
+    quotes = (parts.select("conv_id", "turn", F.explode("passages").alias("q"))
+              .select("conv_id", "turn", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"),
+                      F.col("q.size").alias("size"))
+              .groupBy("conv_id", "turn", "level", "hash").agg(F.max("size").alias("size")))
     met = quotes.join(here, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
     own = F.when(F.col("here_turn") < F.col("turn"), F.struct("conv_id", F.col("here_turn").alias("turn")))
     other = F.when((F.col("any.conv_id") < F.col("conv_id")), F.col("any"))
     source = met.withColumn("source", F.coalesce(own, other)).filter(F.col("source").isNotNull())
-    votes = source.groupBy("conv_id", "turn", "source").agg(F.sum("size").alias("size"))
+    votes = source.groupBy("conv_id", "turn", "level", "source").agg(F.sum("size").alias("size"))
     best = votes.groupBy("conv_id", "turn").agg(
-        F.max(F.struct("size", F.col("source.conv_id").alias("c"), F.col("source.turn").alias("t"))).alias("best"))
+        F.max(F.struct((-F.col("level")).alias("l"), "size", F.col("source.conv_id").alias("c"), F.col("source.turn").alias("t"))).alias("best"))
     return best.select("conv_id", "turn", F.col("best.c").alias("parent_conv"), F.col("best.t").alias("parent_turn"))
 
 

@@ -95,6 +95,18 @@ def test_conversations(spark):
     assert quotes.conversations(frame.filter("false")).count() == 0
 
 
+def test_deep_and_short_quotes_link(spark):
+    rows = [(1, 0, "Where shall we meet on Sunday?"), (1, 1, "Yes, agreed\nBye"), (1, 2, "Something else altogether."),
+            (1, 3, "> Yes, agreed\nGood."), (1, 4, ">> Where shall we meet on Sunday?\nAt noon."),
+            (1, 5, "> nobody wrote this here\n>> Where shall we meet on Sunday?\nWell."),
+            (1, 6, "> Something else altogether.\n>> Where shall we meet on Sunday?\nYes."),
+            (2, 0, "Hello to all of you."), (2, 1, "> Yes, agreed\nNo.")]
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    at = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn, r.quoted) for r in quotes.conversations(frame).collect()}
+    assert [at[1, t] for t in (3, 4, 5, 6)] == [(1, 1, True), (1, 0, True), (1, 0, True), (1, 2, True)]
+    assert at[2, 1] == (2, 0, False)         # a short part says nothing outside its conversation
+
+
 def test_every_answer_follows_its_parent(spark):
     out = op6_quotation(spark, DATA).collect()
     rows = spark.read.parquet(f"{DATA}/conversations.parquet").collect()
