@@ -115,10 +115,12 @@ def top_k(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
     coded = stored(rows.filter(queries.isNotNull() & F.col(id_col).isNotNull() & F.col(code_col).isNotNull())
                    .select(F.col(id_col).cast("bigint").alias("id"), F.col(code_col).alias("code"),
                            queries.alias("asks")))
-    # of one code only its k + 1 smallest ids can be answers (one of them may be the query)
+    # of one code only its k + 1 smallest ids can be answers (one of them may be the query), each k times at most
     first = Window.partitionBy("code").orderBy("id")
-    kept = coded.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
-    codes = stored(kept.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    kept = (coded.groupBy("code", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("m"))
+            .withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1))
+    codes = stored(kept.groupBy("code").agg(
+        F.sort_array(F.flatten(F.collect_list(F.array_repeat("id", F.col("m"))))).alias("ids")))
     n = codes.count()
     shards = max(1, -(-n // shard))
     asked = coded.filter("asks").select("id", "code").distinct()
@@ -140,13 +142,19 @@ def top_k(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
                 sizes, ids = np.frombuffer(cell["sizes"], "<i8"), np.frombuffer(cell["ids"], "<i8")
                 first = np.cumsum(sizes) - sizes
                 shard_index = ShardIndex(np.frombuffer(cell["codes"], "<u8"))
-
-                def enough(distances, covered, positions):
-                    # k answers besides the query itself lie within the covered distance
-                    return sum(int(sizes[p[d <= covered]].sum()) for p, d in zip(positions, distances)) >= k + 1
+                by_id = np.argsort(ids, kind="stable")
+                owner, in_order = np.repeat(np.arange(len(sizes)), sizes)[by_id], ids[by_id]
 
                 out = ([], [], [])
                 for code, me in zip(qcodes, qids):
+                    a, b = np.searchsorted(in_order, me, "left"), np.searchsorted(in_order, me, "right")
+                    own = np.bitwise_count(shard_index.codes[owner[a:b]] ^ code)
+
+                    def enough(distances, covered, positions):
+                        # k answers besides the query's own rows lie within the covered distance
+                        met = sum(int(sizes[p[d <= covered]].sum()) for p, d in zip(positions, distances))
+                        return met - int((own <= covered).sum()) >= k
+
                     at, dist = shard_index.search(code, enough, masks)
                     who = ids[np.repeat(first[at] - (np.cumsum(sizes[at]) - sizes[at]), sizes[at])
                               + np.arange(int(sizes[at].sum()))] if len(at) else ids[:0]

@@ -287,6 +287,16 @@ def test_search_edges(spark):
     assert codes[1] is codes[2] is codes[3] is codes[5] is None and codes[4] & 7 == 5
 
 
+def test_search_with_repeated_query_rows(spark):
+    # the query's 12 rows fill its code; 8 is in no segment's radius 0, 900 to 907 are met there but further away
+    rows = [(0, 0)] * 12 + [(5, 0)] * 3 + [(8, 0x0001000100010001)] * 2
+    rows += [(900 + i, (0x1FFF << 16) - (i << 16)) for i in range(8)] + [(20, 0), (20, 0), (20, 3)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, code bigint")
+    for k in (2, 5, 7):
+        got = [tuple(r) for r in mih.top_k(frame, F.col("vec_id") == 0, k=k).collect()]
+        assert len(got) == k and set(got) == brute_topk(rows, lambda q: q == 0, k)
+
+
 # ---- fingerprints ------------------------------------------------------------
 
 def brute_fingerprint(text):
