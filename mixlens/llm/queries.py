@@ -11,7 +11,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixlens.llm import counts, embed, lines, mih, packing, quality, quotes, repair, simhash, wordtable
+from mixlens.llm import (
+    counts, embed, lexical, lines, mih, mixture, packing, quality, quotes, repair, simhash, turns, wordtable)
+from mixlens.llm import sql
 from mixlens.llm.common import table
 
 SCORE_CUT = 0.7
@@ -77,8 +79,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    with_values=False)
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_report(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixture.mixed(docs, weights=(5, 2, 1), max_copies=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_embedding_dedup, op4_packing, op5_token_counts,
-                                   op6_quotation, op7_topk, op8_simhash, op9_repair, op10_bpe)}
+                                   op6_quotation, op7_topk, op8_simhash, op9_repair, op10_bpe,
+                                   op11_structure_repair, op12_source_mix, op13_lexical_topk)}
 
 ORACLE_SQL = {
     # cosine links over all pairs, and the smallest vector reachable by them
@@ -103,4 +119,7 @@ d as (select q.vec_id query_id, r.vec_id neighbour_id,
       from c q join c r on q.vec_id <> r.vec_id where q.vec_id % 20 = 0),
 k as (select *, cast(row_number() over (partition by query_id order by distance, neighbour_id) as int) rank from d)
 select query_id, neighbour_id, distance, rank from k where rank <= 10""",
+    "op11_structure_repair": sql.STRUCTURE_REPAIR,
+    "op12_source_mix": sql.SOURCE_MIX,
+    "op13_lexical_topk": sql.LEXICAL_TOPK,
 }
