@@ -395,10 +395,11 @@ def _segment_table(spark, sf):
 
 @register("segment_features", Q.SEGMENT_FEATURES)
 def segment_features(spark, sf):
-    return rounded(SG.scaled_columns(SG.scale_features(_segment_table(spark, sf))))
+    table = _segment_table(spark, sf)
+    return rounded(SG.scaled_columns(table, SG.scale_features(table)))
 
 
-@register("elbow")
+@register("elbow", Q.ELBOW)
 def elbow(spark, sf):
     return rounded(SG.elbow(SG.scale_features(_segment_table(spark, sf))))
 
@@ -408,18 +409,18 @@ def _groupings(spark, sf):
     return table, SG.cluster(SG.scale_features(table), k=3)
 
 
-@register("product_groupings")
+@register("product_groupings", Q.PRODUCT_GROUPINGS)
 def product_groupings(spark, sf):
     return SG.with_unclustered(*_groupings(spark, sf))
 
 
-@register("cluster_profile")
+@register("cluster_profile", Q.CLUSTER_PROFILE)
 def cluster_profile(spark, sf):
     table, groups = _groupings(spark, sf)
     return rounded(SG.cluster_profile(table, groups))
 
 
-@register("answer_sheet")
+@register("answer_sheet", Q.ANSWER_SHEET)
 def answer_sheet(spark, sf):
     _, groups = _groupings(spark, sf)
     return SG.answer_sheet(panel(spark, sf), groups)

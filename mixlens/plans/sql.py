@@ -8,7 +8,9 @@ rounded (see context.rounded); integer literals are cast to double where Spark h
 
 from __future__ import annotations
 
+from mixlens.operators.contribution import REBASE_GROUPS
 from mixlens.operators.features import SESSIONS_TERMS, BOOKINGS_TERMS
+from mixlens.sources.tables import DRIVER_GROUPS, DRIVER_ORDER, TERM_GROUPS
 
 D1, D0 = "cast(1 as double)", "cast(0 as double)"
 
@@ -356,16 +358,7 @@ from g"""
 # diagonal is skipped (term aliased, coefficient NULL), as in the Spark solve.
 ALIAS_TOL = "1e-7"
 
-_GROUPS = ("Base_Sales", "Consumer_Confidence", "Exchange_Rate", "Online_Visibility", "Seasonality", "TV", "Weather")
-_ORDER = ("TV", "Online_Visibility", "Exchange_Rate", "Weather", "Seasonality", "Consumer_Confidence", "Base_Sales")
-_TERM_GROUP = {
-    "intercept": "Base_Sales", "day_friday": "Seasonality", "day_saturday": "Seasonality",
-    "day_sunday": "Seasonality", "tv_adstock": "TV", "consumer_confidence_index": "Consumer_Confidence",
-    "exchange_rate_moving_av": "Exchange_Rate", "online_visibility": "Online_Visibility",
-    "online_visibility_exp": "Online_Visibility", "better_than_average_weather_days": "Weather",
-    "worse_than_average_weather_days": "Weather",
-}
-_REBASED = ("Consumer_Confidence", "Exchange_Rate", "Online_Visibility")
+_GROUPS, _ORDER, _TERM_GROUP, _REBASED = DRIVER_GROUPS, DRIVER_ORDER, TERM_GROUPS, REBASE_GROUPS
 
 
 def _cc(terms) -> str:
@@ -579,17 +572,91 @@ group by 1, 2, 3"""
 # ---- segment features: driver ratios + product statistics, z-scored across products
 _RATIOS = [g for g in _GROUPS if g != "Base_Sales"]
 _STATS = ("n_total_sessions", "n_total_bookings", "sd_total_sessions", "sd_total_bookings", "av_conv_rate", "uplift")
-SEGMENT_FEATURES = _contrib_head(_S_ARGS, (
+_FEATURES = tuple(_RATIOS) + _STATS
+_SEG = (
     _BYP,
     f"""st as (select product_id, cast(sum(sessions) as double) as n_total_sessions,
   cast(sum(bookings) as double) as n_total_bookings, stddev_samp(sessions) as sd_total_sessions,
   stddev_samp(bookings) as sd_total_bookings,
   avg(cast(bookings as double) / nullif(cast(sessions as double), 0)) as av_conv_rate,
   {_UPLIFT} as uplift from panel_train group by product_id)""",
-    "seg as (select bp.product_id, " + ", ".join(f"bp.{g} / nullif(bp.Base_Sales, 0) as {g}" for g in _RATIOS)
+    "seg as materialized (select bp.product_id, " + ", ".join(f"bp.{g} / nullif(bp.Base_Sales, 0) as {g}" for g in _RATIOS)
     + ", " + ", ".join(f"st.{c}" for c in _STATS) + " from bp left join st on bp.product_id = st.product_id)",
-    "segok as (select * from seg where " + " and ".join(f"{c} is not null" for c in list(_RATIOS) + list(_STATS)) + ")",
-)) + "select product_id, " + ", ".join(f"{r6(z(c, ''))} as {c}" for c in list(_RATIOS) + list(_STATS)) + " from segok"
+    "segok as (select * from seg where " + " and ".join(f"{c} is not null" for c in _FEATURES) + ")",
+    "segz as materialized (select product_id, " + ", ".join(f"{z(c, '')} as {c}" for c in _FEATURES) + " from segok)",
+)
+SEGMENT_FEATURES = _contrib_head(_S_ARGS, _SEG) + "select seg.product_id, " + ", ".join(
+    f"{r6('segz.' + c)} as {c}" for c in _FEATURES) + """,
+  case when segz.product_id is null then 'null_feature' end as reason
+from seg left join segz on seg.product_id = segz.product_id"""
+
+# ---- k-means: whole-number Lloyd steps as a recursive state, one row per k
+_KS, _K, _STEPS = 15, 3, 200
+
+
+def _dist(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda q: cast(q[1] - q[2] as double) * cast(q[1] - q[2] as double)))"
+
+
+def _start_ctes() -> list[str]:
+    """The farthest point from the origin, then from the centres so far (ties: smaller product_id)."""
+    zero = "[" + ", ".join(["0"] * len(_FEATURES)) + "]"
+    out = [f"near0 as (select product_id, x, {_dist('x', zero)} as near from pts)"]
+    for i in range(1, _KS + 1):
+        out.append(f"c{i} as (select x from near{i - 1} {'where near > 0' if i > 1 else ''} order by near desc, product_id limit 1)")
+        here = _dist("n.x", f"c{i}.x")
+        out.append(f"near{i} as (select n.product_id, n.x, {here if i == 1 else f'least(n.near, {here})'} as near from near{i - 1} n, c{i})")
+    arms = " union all ".join(f"select {i} as i, x from c{i}" for i in range(1, _KS + 1))
+    out.append(f"centre_list as materialized (select list(x order by i) as cs from ({arms}))")
+    return out
+
+
+_KMEANS = _SEG + (
+    "pts as materialized (select product_id, [" + ", ".join(
+        f"cast(round_even({c} * 1000000, 0) as bigint)" for c in _FEATURES) + "] as x from segz)",
+    *_start_ctes(),
+    "starts as (select cast(k as bigint) as k, cs[1:k] as centres from centre_list, range(1, " + str(_KS + 1) + ") r(k) where len(cs) >= k)",
+    f"""lloyd as (
+  select k, 0 as step, centres, false as settled, cast(0 as hugeint) as cost from starts
+  union all
+  select k, step + 1, moved, moved = centres, cost from (
+    select k, any_value(step) as step, any_value(centres) as centres, cast(sum(cost) as hugeint) as cost,
+      list_transform(any_value(centres), lambda c, i: coalesce(
+        list_extract(list_filter(list(struct_pack(j := cluster, m := mean)), lambda w: w.j = i), 1).m, c)) as moved
+    from (
+      select k, cluster, any_value(step) as step, any_value(centres) as centres, cast(sum(cast(d as hugeint)) as hugeint) as cost,
+        [{', '.join(f'cast((2 * sum(x[{i}]) + sign(sum(x[{i}])) * count(*)) // (2 * count(*)) as bigint)' for i in range(1, len(_FEATURES) + 1))}] as mean
+      from (select k, step, centres, x, list_min(dd) as d, list_position(dd, list_min(dd)) as cluster from (
+        select s.k, s.step, s.centres, p.x, list_transform(s.centres, lambda c: {_dist('p.x', 'c')}) as dd
+        from lloyd s, pts p where not s.settled and s.step < {_STEPS}))
+      group by k, cluster)
+    group by k))""",
+    f"fits as materialized (select * from lloyd where settled or step = {_STEPS})",
+    "fit as (select centres, settled, k from fits where k = (select least(" + str(_K) + ", len(cs)) from centre_list))",
+    f"""pred as (select product_id, list_position(dd, list_min(dd)) as cluster from (
+  select p.product_id, list_transform(fit.centres, lambda c: {_dist('p.x', 'c')}) as dd from pts p, fit))""",
+    """named as (select cluster, 'type_' || row_number() over (order by count(*) desc, min(product_id)) as product_type
+  from pred group by cluster)""",
+    "groups as (select product_id, product_type from pred join named on pred.cluster = named.cluster)",
+)
+
+ELBOW = _contrib_head(_S_ARGS, _KMEANS) + f"""
+select cast(r.k as bigint) as k, {r6('cast(cost as double) / 1e12')} as tot_withinss,
+  case when fits.k is null then 'too_few_products' when settled then 'ok' else 'not_converged' end as status
+from range(1, {_KS + 1}) r(k) left join fits on fits.k = r.k"""
+
+PRODUCT_GROUPINGS = _contrib_head(_S_ARGS, _KMEANS) + f"""
+select seg.product_id, product_type, case when groups.product_id is null then 'null_feature'
+  when (select k from fit) < {_K} then 'fewer_clusters' when (select settled from fit) then 'ok' else 'not_converged' end as status
+from seg left join groups on seg.product_id = groups.product_id"""
+
+CLUSTER_PROFILE = _contrib_head(_S_ARGS, _KMEANS) + "select product_type, count(*) as n_products, " + ", ".join(
+    f"{r6(f'avg(seg.{c})')} as {c}" for c in _FEATURES) + """
+from seg join groups on seg.product_id = groups.product_id group by product_type"""
+
+ANSWER_SHEET = _contrib_head(_S_ARGS, _KMEANS) + """
+select p.product_id, product_type from (select distinct product_id from product_series) p
+left join groups on p.product_id = groups.product_id"""
 
 
 # ---- forecasts

@@ -88,6 +88,33 @@ def test_elbow_keeps_every_k_and_products_with_nulls_stay(spark):
     scaled = SG.scale_features(table, ["a", "b"])
     curve = {r.k: (r.tot_withinss, r.status) for r in SG.elbow(scaled, ks=range(1, 8)).collect()}
     assert len(curve) == 7 and curve[4][0] == 0 and curve[5] == (None, "too_few_products")
-    out = {r.product_id: (r.product_type, r.reason) for r in
+    out = {r.product_id: (r.product_type, r.status) for r in
            SG.with_unclustered(table, SG.cluster(scaled, k=2), ["a", "b"]).collect()}
     assert len(out) == 5 and out["9"] == (None, "null_feature") and all(out[str(i)][0] for i in range(4))
+    kept = {r.product_id: (r.a, r.reason) for r in SG.scaled_columns(table, scaled, ["a", "b"]).collect()}
+    assert len(kept) == 5 and kept["9"] == (None, "null_feature") and all(kept[str(i)][1] is None for i in range(4))
+
+
+def test_kmeans_says_when_it_has_not_settled(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"{i:03d}", *map(float, rng.normal(size=2))) for i in range(200)]
+    scaled = SG.scale_features(spark.createDataFrame(rows, "product_id string, a double, b double"), ["a", "b"])
+    points = SG._points(scaled).cache()
+    starts = SG.starting_centres(points, 5)
+    short, whole = SG.lloyd(points, {5: starts}, max_steps=2)[5], SG.lloyd(points, {5: starts})[5]
+    assert not short.converged and whole.converged and whole.cost <= short.cost
+    # plain Lloyd steps from the same centres, in whole numbers
+    x = {r.product_id: list(r.x) for r in points.collect()}
+    centres = [list(c) for c in starts]
+    while True:
+        square = {p: [sum((a - b) ** 2 for a, b in zip(v, c)) for c in centres] for p, v in x.items()}
+        own = {p: d.index(min(d)) for p, d in square.items()}
+        moved = []
+        for j, c in enumerate(centres):
+            mine = [x[p] for p in own if own[p] == j]
+            sums = [sum(v) for v in zip(*mine)]
+            moved.append([(1 if t >= 0 else -1) * ((2 * abs(t) + len(mine)) // (2 * len(mine))) for t in sums] if mine else c)
+        if moved == centres:
+            break
+        centres = moved
+    assert whole.centres == centres and whole.cost == sum(min(d) for d in square.values()) / SG.GRID ** 2
