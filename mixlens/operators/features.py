@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixlens.functions.scalar import weekday_flag
+from mixlens.operators import longseries as L
 from mixlens.operators import series as S
 
 KEY, DATE = "product_id", "date"
@@ -95,6 +96,10 @@ def _derive(df: DataFrame, spec: ModelSpec, by) -> DataFrame:
     df = S.adstock(df, "tv_ad_reach", spec.adstock_rate, by=by, order=DATE, out="tv_adstock_raw")
     df = S.rolling_mean_right(df, "exchange_rate", spec.fx_window, by=by, order=DATE,
                               out="exchange_rate_moving_av")
+    return _derive_rows(df, spec)
+
+
+def _derive_rows(df: DataFrame, spec: ModelSpec) -> DataFrame:
     fri, sat, sun = spec.weekend_days
     return df.withColumns({
         "day_friday": weekday_flag(DATE, fri),
@@ -163,6 +168,18 @@ def horizon_features(meta_onehot: DataFrame, spec: ModelSpec, horizon_from: _dt.
     return df.filter(F.col(DATE) >= F.lit(horizon_from)) if horizon_from else df
 
 
+def horizon_features_blocks(meta_onehot: DataFrame, spec: ModelSpec, horizon_from: _dt.date = HORIZON_FROM,
+                            terms: tuple[str, ...] | None = None, chunk: int = L.CHUNK) -> DataFrame:
+    """M18 with scale='horizon' for a driver series larger than a task (sub-daily
+    rows): the same features by blocks and a scan over blocks."""
+    terms = terms or spec.terms
+    df = L.lay_out(meta_onehot, DATE, chunk)
+    df = L.adstock(df, "tv_ad_reach", spec.adstock_rate, out="tv_adstock_raw", chunk=chunk)
+    df = _derive_rows(L.rolling_mean_right(df, "exchange_rate", spec.fx_window, out="exchange_rate_moving_av", chunk=chunk), spec)
+    df = L.zscore(df.select(DATE, *terms), terms, suffix="")
+    return df.filter(F.col(DATE) >= F.lit(horizon_from)) if horizon_from else df
+
+
 def driver_overlay(design: DataFrame, variable: str, dep: str = "dep_var") -> DataFrame:
     """M21 the target and one driver z-scored side by side, per product."""
     out = S.zscore(design.select(KEY, DATE, dep, variable), [dep, variable], by=KEY, suffix="_z")

@@ -16,18 +16,19 @@ from pyspark.sql import functions as F
 from mixlens.functions.scalar import weekday_flag, date_in, power_col, log1p_col
 from mixlens.operators import contribution as C
 from mixlens.operators import forecast as FC
+from mixlens.operators import longseries as L
 from mixlens.operators import panel as P
 from mixlens.operators import regression as R
 from mixlens.operators import segment as SG
 from mixlens.operators import series as S
 from mixlens.operators.features import (
     KEY, DATE, SESSIONS_SPEC, BOOKINGS_SPEC, ADSTOCK_RATE, FX_WINDOW, SMOOTH_WINDOW, DECAY_RATES,
-    CHRISTMAS, features, build_design, driver_overlay as _overlay, compat_spec, TOTAL_SPEC,
+    CHRISTMAS, features, build_design, driver_overlay as _overlay, compat_spec, TOTAL_SPEC, horizon_features_blocks,
 )
 from mixlens.plans import sql as Q
 from mixlens.plans.context import panel, panel_train, meta, panel_drivers, total_drivers, rounded
 from mixlens.session import cut_lineage
-from mixlens.sources.tables import variable_groupings
+from mixlens.sources.tables import read_table, variable_groupings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,6 +156,24 @@ def rebase_sessions(spark, sf):
     return rounded(S.rebase(d, ["bookings"], "base", by=KEY))
 
 
+@register("long_series", Q.LONG_SERIES)
+def long_series(spark, sf):
+    """W1, W3-W8 over ONE series of all lineitem rows: blocks and a scan over blocks."""
+    rows = read_table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("bigint").alias("l_orderkey"), F.col("l_linenumber").cast("bigint").alias("l_linenumber"),
+        "l_shipdate", "l_partkey", "l_suppkey",
+        F.col("l_quantity").cast("double").alias("quantity"), F.col("l_extendedprice").cast("double").alias("price"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice").cast("double")).alias("returned_price"))
+    d = L.lay_out(rows, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price", "quantity"])
+    d = L.adstock(d, "quantity", ADSTOCK_RATE, out="quantity_adstock")
+    d = L.zscore(L.interpolate(d, "returned_price"), "quantity")
+    d = L.lag(d, "price", 1, out="price_lag1")
+    d = L.rolling_mean_right(d, "price", FX_WINDOW, out="price_mean10")
+    d = L.rolling_mean_center(d, "price", SMOOTH_WINDOW, out="price_smooth")
+    return rounded(d.select("l_orderkey", "l_linenumber", F.col("rn").alias("trend"), "quantity_adstock", "price_mean10",
+                            "price_smooth", "price_lag1", "returned_price", "quantity_z"))
+
+
 # ---------------------------------------------------------------- scalar features
 @register("weekday_flags", Q.WEEKDAY_FLAGS)
 def weekday_flags(spark, sf):
@@ -200,6 +219,13 @@ def features_horizon(spark, sf):
     return rounded(FC.horizon_frame(meta(spark, sf), (SESSIONS_SPEC, BOOKINGS_SPEC), scale="horizon"))
 
 
+@register("features_horizon_blocks", Q.FEATURES_HORIZON)
+def features_horizon_blocks(spark, sf):
+    """M18 as above, for a driver series of any length: blocks of 1024 rows and a scan over blocks."""
+    terms = tuple(dict.fromkeys(SESSIONS_SPEC.terms + BOOKINGS_SPEC.terms))
+    return rounded(horizon_features_blocks(P.weather_onehot(meta(spark, sf)), SESSIONS_SPEC, terms=terms, chunk=1024))
+
+
 @register("driver_overlay", Q.DRIVER_OVERLAY)
 def driver_overlay(spark, sf):
     design = build_design(panel_drivers(spark, sf), SESSIONS_SPEC)

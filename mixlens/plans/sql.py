@@ -72,29 +72,29 @@ def with_(*ctes: str, recursive: bool = False) -> str:
 
 
 def adstock_ctes(src: str, x: str, rate_sql: str = "0.8", keys: str = "product_id",
-                 rates: tuple[float, ...] | None = None) -> list[str]:
+                 rates: tuple[float, ...] | None = None, pre: str = "ad") -> list[str]:
     """Exact recursion a_1 = x_1, a_i = x_i + r a_(i-1) per key, in date order.
-    Produces CTE ``ad_rows`` (keys, [rate,] date, rn, a)."""
+    Produces CTE ``{pre}_rows`` (keys, [rate,] date, rn, a)."""
     key_list = [k.strip() for k in keys.split(",")]
     if rates:
         vals = ", ".join(f"(cast({r!r} as double))" for r in rates)
-        base = (f"ad_src as materialized (select {keys}, rt.rate, date, coalesce({x}, 0) as x, "
+        base = (f"{pre}_src as materialized (select {keys}, rt.rate, date, coalesce({x}, 0) as x, "
                 f"row_number() over (partition by {keys}, rt.rate order by date) as rn "
                 f"from {src}, (values {vals}) rt(rate))")
         k2 = key_list + ["rate"]
         rate_expr = "s.rate"
     else:
-        base = (f"ad_src as materialized (select {keys}, date, coalesce({x}, 0) as x, "
+        base = (f"{pre}_src as materialized (select {keys}, date, coalesce({x}, 0) as x, "
                 f"row_number() over (partition by {keys} order by date) as rn from {src})")
         k2 = key_list
         rate_expr = rate_sql
-    on = " and ".join(f"s.{k} = ad.{k}" for k in k2)
+    on = " and ".join(f"s.{k} = {pre}.{k}" for k in k2)
     cols = ", ".join(k2)
-    rec = (f"ad({cols}, rn, a) as (select {cols}, rn, x from ad_src where rn = 1 union all "
-           f"select {', '.join('s.' + k for k in k2)}, s.rn, s.x + {rate_expr} * ad.a from ad join ad_src s "
-           f"on {on} and s.rn = ad.rn + 1)")
-    rows = (f"ad_rows as (select {', '.join('s.' + k for k in k2)}, s.date, s.rn, ad.a from ad_src s join ad "
-            f"on {on} and s.rn = ad.rn)")
+    rec = (f"{pre}({cols}, rn, a) as (select {cols}, rn, x from {pre}_src where rn = 1 union all "
+           f"select {', '.join('s.' + k for k in k2)}, s.rn, s.x + {rate_expr} * {pre}.a from {pre} join {pre}_src s "
+           f"on {on} and s.rn = {pre}.rn + 1)")
+    rows = (f"{pre}_rows as (select {', '.join('s.' + k for k in k2)}, s.date, s.rn, {pre}.a from {pre}_src s join {pre} "
+            f"on {on} and s.rn = {pre}.rn)")
     return [base, rec, rows]
 
 
@@ -214,6 +214,31 @@ select product_id, date,
        {r6('cast(bookings as double) - min(cast(bookings as double)) over (partition by product_id)')} as bookings
 from panel_train"""
 
+# one series over all of lineitem; 200 rows back an input's weight is 0.8^200 = 4e-20
+LONG_SERIES = f"""with l as (
+  select l_orderkey, l_linenumber, l_quantity as x, case when l_returnflag = 'R' then l_extendedprice end as y,
+         row_number() over w as rn, count(*) over () as n,
+         list(cast(l_quantity as double)) over (w rows between 200 preceding and current row) as xs,
+         avg(l_extendedprice) over (w rows between 9 preceding and current row) as m10,
+         avg(l_extendedprice) over (w rows between 3 preceding and 3 following) as m7,
+         lag(l_extendedprice) over w as before
+  from lineitem window w as (order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)),
+c as (select *,
+    last_value(y ignore nulls) over (order by rn rows between unbounded preceding and current row) as pv,
+    last_value(case when y is not null then rn end ignore nulls) over (order by rn rows between unbounded preceding and current row) as pr,
+    first_value(y ignore nulls) over (order by rn rows between current row and unbounded following) as nv,
+    first_value(case when y is not null then rn end ignore nulls) over (order by rn rows between current row and unbounded following) as nr
+  from l)
+select cast(l_orderkey as bigint) as l_orderkey, cast(l_linenumber as bigint) as l_linenumber, rn as trend,
+  {r6('list_reduce(xs, lambda s, v: s * 0.8 + v)')} as quantity_adstock,
+  {r6('case when rn >= 10 then m10 else (select m10 from l where rn = 10) end')} as price_mean10,
+  {r6('case when n < 7 then null when rn < 4 then (select m7 from l where rn = 4) when rn > n - 3 then (select m7 from l where rn = n - 3) else m7 end')} as price_smooth,
+  {r6('before')} as price_lag1,
+  {r6('case when y is not null then y when pv is null then nv when nv is null then pv '
+      'else pv + (nv - pv) * (cast(rn - pr as double) / cast(nr - pr as double)) end')} as returned_price,
+  {r6('(x - avg(x) over ()) / stddev_samp(x) over ()')} as quantity_z
+from c"""
+
 # ------------------------------------------------------------------ scalar features
 WEEKDAY_FLAGS = with_(META) + f"""
 select date,
@@ -280,9 +305,10 @@ _H_TERMS = tuple(dict.fromkeys(SESSIONS_TERMS + BOOKINGS_TERMS))
 
 def _meta_design() -> list[str]:
     return [
-        f"""h1 as (select *, row_number() over (order by date) as rn from meta_series)""",
+        "h0 as materialized (select *, 0 as g from meta_series)",
+        *adstock_ctes("h0", "tv_ad_reach", keys="g", pre="had"),
+        "h1 as (select h0.*, had_rows.rn, had_rows.a from h0 join had_rows on h0.date = had_rows.date)",
         f"""h2 as (select *,
-   power(0.8, rn) * sum(coalesce(tv_ad_reach, 0) * power(0.8, -rn)) over (order by rn rows between unbounded preceding and current row) as a,
    avg(exchange_rate) over (order by rn rows between 9 preceding and current row) as fx_m,
    case when weather_index = 'better than average' then {D1} else {D0} end as better_than_average_weather_days,
    case when weather_index = 'worse than average' then {D1} else {D0} end as worse_than_average_weather_days
@@ -299,12 +325,12 @@ def _meta_design() -> list[str]:
     ]
 
 
-FEATURES_HORIZON = with_(META, *_meta_design()) + "select * from (select date, " + ", ".join(
+FEATURES_HORIZON = with_(META, *_meta_design(), recursive=True) + "select * from (select date, " + ", ".join(
     f"{r6(z(t, ''))} as {t}" for t in _H_TERMS) + " from hraw) where date >= date '2000-01-01'"
 
 _V9_TERMS = tuple(t for t in BOOKINGS_TERMS if not t.startswith("day_"))
 SCALED_DRIVERS_LONG = with_(META, *_meta_design(), "hs as (select date, " + ", ".join(
-    f"{z(t, '')} as {t}" for t in _V9_TERMS) + " from hraw)") + "\nunion all\n".join(
+    f"{z(t, '')} as {t}" for t in _V9_TERMS) + " from hraw)", recursive=True) + "\nunion all\n".join(
     f"select date, '{t}' as variable, {r6(t)} as value from hs" for t in _V9_TERMS)
 
 DRIVER_OVERLAY = with_(PANEL, META, TRAIN, DRIVERS, *design_ctes(), recursive=True) + f"""
