@@ -153,6 +153,13 @@ def solve(gram_df: DataFrame, spec: ModelSpec, tol: float = ALIAS_TOL) -> DataFr
     return gram_df.mapInPandas(_solver(spec, tol), SOLVED_SCHEMA)
 
 
+def model_table(solved: DataFrame, spec: ModelSpec) -> DataFrame:
+    return solved.select(
+        F.lit(spec.target).alias("target"), KEY, "status", "rank", "n",
+        F.array(*[F.lit(t) for t in spec.all_terms]).alias("terms"),
+        "coef", "xtx_inv_diag", "mean_y", "scale_mean", "scale_sd")
+
+
 def fit(panel_drivers: DataFrame, spec: ModelSpec, tol: float = ALIAS_TOL,
         keep_design: bool = True) -> tuple[DataFrame, DataFrame]:
     """M3/M4 fit every product.  Returns (model table, scaled design).
@@ -169,11 +176,7 @@ def fit(panel_drivers: DataFrame, spec: ModelSpec, tol: float = ALIAS_TOL,
     if keep_design:
         scaled = bucketed_table(scaled, KEY, (KEY, DATE))
     solved = solve(gram(scaled, spec), spec, tol)
-    models = cut_lineage(solved.select(
-        F.lit(spec.target).alias("target"), KEY, "status", "rank", "n",
-        F.array(*[F.lit(t) for t in spec.all_terms]).alias("terms"),
-        "coef", "xtx_inv_diag", "mean_y", "scale_mean", "scale_sd",
-    ))
+    models = cut_lineage(model_table(solved, spec))
     stats = [c for c in scaled.columns if c.startswith(("mean__", "sd__"))]
     return models, scaled.drop(*stats)
 

@@ -27,7 +27,8 @@ from mixlens.operators.features import (
 )
 from mixlens.plans import sql as Q
 from mixlens.plans.context import panel, panel_train, meta, panel_drivers, total_drivers, rounded
-from mixlens.session import cut_lineage
+from mixlens.operators.increments import MomentStore
+from mixlens.session import cut_lineage, scratch_path
 from mixlens.sources.tables import read_table, variable_groupings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -279,6 +280,26 @@ def ols_bookings(spark, sf):
     return rounded(_coef_long(models))
 
 
+def _by_increment(spark, sf, spec):
+    """The history to October 1999 as one batch, then November and December, each read alone."""
+    store = MomentStore(spark, scratch_path(spark, "moments"), spec)
+    cuts = (None, "1999-11-01", "1999-12-01", "2000-01-01")
+    for low, high in zip(cuts, cuts[1:]):
+        rows = panel_drivers(spark, sf).filter(F.col(DATE) < F.lit(high).cast("date"))
+        store.append(rows if low is None else rows.filter(F.col(DATE) >= F.lit(low).cast("date")), batch=f"to-{high}")
+    return store.fit()
+
+
+@register("ols_sessions_by_increment", Q.OLS_SESSIONS)
+def ols_sessions_by_increment(spark, sf):
+    return rounded(_coef_long(_by_increment(spark, sf, SESSIONS_SPEC)))
+
+
+@register("ols_bookings_by_increment", Q.OLS_BOOKINGS)
+def ols_bookings_by_increment(spark, sf):
+    return rounded(_coef_long(_by_increment(spark, sf, BOOKINGS_SPEC)))
+
+
 @register("coef_table", Q.COEF_TABLE)
 def coef_table(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)

@@ -77,6 +77,12 @@ def _scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new folder name under the shared checkpoint folder, deleted at exit."""
+    import uuid
+    return _scratch_path(spark, f"{kind}-{uuid.uuid4().hex}")
+
+
 def bucketed_table(df: DataFrame, key: str, sort_by: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
     """Write ``df`` as a table bucketed by ``key`` (files under the shared
     checkpoint folder) and read it back: every later window, join or aggregate
