@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mixlens.functions.tails import f_upper, t_two_sided
 from mixlens.operators.features import KEY, DATE, ModelSpec, build_design, scale_design
 from mixlens.operators.joins import bounded_broadcast
 from mixlens.session import cut_lineage, bucketed_table
@@ -242,66 +243,6 @@ def rmse_by_product(scaled: DataFrame, models: DataFrame, spec: ModelSpec) -> Da
     return model_quality(scaled, models, spec).select("target", KEY, "rmse")
 
 
-# --- Student-t tail without scipy: regularised incomplete beta (Lentz CF) ----------
-def _betacf(a, b, x, iters=300):
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < tiny, tiny, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2.0 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-    return h
-
-
-def betainc_reg(a, b, x):
-    """Regularised incomplete beta I_x(a, b), vectorised."""
-    from math import lgamma
-    a = np.asarray(a, float)
-    b = np.asarray(b, float)
-    x = np.clip(np.asarray(x, float), 0.0, 1.0)
-    lg = np.vectorize(lgamma)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        lbt = lg(a + b) - lg(a) - lg(b) + a * np.log(x) + b * np.log1p(-x)
-        bt = np.exp(lbt)
-        use_direct = x < (a + 1.0) / (a + b + 2.0)
-        direct = bt * _betacf(a, b, x) / a
-        flipped = 1.0 - bt * _betacf(b, a, 1.0 - x) / b
-        out = np.where(use_direct, direct, flipped)
-    out = np.where(x <= 0.0, 0.0, np.where(x >= 1.0, 1.0, out))
-    return out
-
-
-def t_two_sided_p(t, df):
-    t = np.asarray(t, float)
-    df = np.asarray(df, float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = betainc_reg(df / 2.0, 0.5, df / (df + t * t))
-    return np.where(np.isfinite(t) & (df > 0), p, np.nan)
-
-
-@F.pandas_udf(T.DoubleType())
-def _t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
-    p = t_two_sided_p(t.to_numpy(dtype=float, na_value=np.nan), df.to_numpy(dtype=float, na_value=np.nan))
-    return pd.Series(p).where(np.isfinite(p), None)
-
-
 def coef_table(scaled: DataFrame, models: DataFrame, spec: ModelSpec) -> DataFrame:
     """M5 per term: estimate, standard error, t value and residual degrees of freedom."""
     q = model_quality(scaled, models, spec).select(KEY, "rss", "n", "rank")
@@ -319,7 +260,10 @@ def coef_table(scaled: DataFrame, models: DataFrame, spec: ModelSpec) -> DataFra
 
 
 def fit_summary(scaled: DataFrame, models: DataFrame, spec: ModelSpec) -> DataFrame:
-    """M5 the coefficient table plus the two-sided p value of each t (Student t
-    with n - rank degrees of freedom, evaluated in an Arrow-batched pandas UDF)."""
+    """M5 the coefficient table with the two-sided p value of each t (n - rank
+    degrees of freedom), and the model's F statistic with its p value."""
+    q = model_quality(scaled, models, spec).select(
+        KEY, "f_statistic", f_upper(F.col("f_statistic"), F.col("rank") - 1, F.col("n") - F.col("rank")).alias("f_p_value"))
     out = coef_table(scaled, models, spec)
-    return out.withColumn("p_value", _t_pvalue(F.col("t_value"), F.col("df_resid")))
+    out = out.withColumn("p_value", t_two_sided(F.col("t_value"), F.col("df_resid")))
+    return out.join(q, on=KEY, how="left")

@@ -330,7 +330,7 @@ def contribution_total_annual(spark, sf):
     return rounded(C.contribution_annual(scaled, models, TOTAL_SPEC))
 
 
-@register("fit_summary")
+@register("fit_summary", Q.FIT_SUMMARY)
 def fit_summary(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
     return rounded(R.fit_summary(scaled, models, SESSIONS_SPEC))

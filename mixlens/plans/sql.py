@@ -504,6 +504,62 @@ COEF_TABLE = model_head(*_S_ARGS, extra=_quality_ctes(SESSIONS_TERMS)) + "\nunio
     for i, t in enumerate(_NAMES_S))
 
 
+
+
+def _series_sql(t2: str, df: str) -> str:
+    """The terms of the t distribution's finite series in one pass: sum before the
+    N-th (head), the N-th (mid), sum from it on (tail)."""
+    cell = "struct_pack(k := cast({k} as double), term := {t}, mid := cast(0 as double), head := cast(0 as double), tail := cast(0 as double))"
+    n, x = f"floor({df} / 2)", f"({df} / ({df} + {t2}))"
+    beyond = f"case when {t2} > 36 then ceil(least(37 * {df} / {t2}, 1e6)) + 60 else 0 end"
+    steps = f"list_transform(range(1, cast({n} + {beyond} as bigint) + 2), lambda k: {cell.format(k='k', t='cast(0 as double)')})"
+    return f"""list_reduce(list_prepend({cell.format(k='0', t='cast(1 as double)')}, {steps}), lambda s, e: struct_pack(
+      k := e.k, term := s.term * ({x} * ((2 * e.k - 1 + {df} % 2) / (2 * e.k + {df} % 2))),
+      mid := case when e.k - 1 = {n} then s.term else s.mid end,
+      head := case when e.k - 1 < {n} then s.head + s.term else s.head end,
+      tail := case when e.k - 1 >= {n} then s.tail + s.term else s.tail end))"""
+
+
+def _t_tail_sql(t2: str, df: str, s: str) -> str:
+    x = f"({df} / ({df} + {t2}))"
+    scale = f"case when {df} % 2 = 1 then sqrt({t2} / ({df} + {t2})) * sqrt({x}) * (2 / pi()) else sqrt({t2} / ({df} + {t2})) end"
+    angle = f"case when {df} % 2 = 1 then atan(sqrt({t2} / {df})) * (2 / pi()) else {D0} end"
+    return f"(case when {t2} > 36 then {scale} * {s}.tail else greatest({D0}, 1 - ({angle} + {scale} * {s}.head)) end)"
+
+
+def _f_tail_sql() -> str:
+    """From columns t2 (= m F), m, df (doubles) and s (the series)."""
+    x, y = "(df / (df + t2))", "(t2 / (df + t2))"
+    start = f"case when m % 2 = 1 then {_t_tail_sql('t2', 'df', 's')} else pow({x}, df / 2) end"
+    first = (f"case when m % 2 = 0 then pow({x}, df / 2) * {y} * (df / 2) "
+             f"when df % 2 = 1 then sqrt({y}) * sqrt({x}) * (2 * floor(df / 2) + 1) * s.mid * (2 / pi()) "
+             f"else sqrt({y}) * 2 * floor(df / 2) * s.mid end")
+    b = "case when m % 2 = 1 then 0.5 else 1.0 end"
+    out, term = start, first
+    for k in range((_P - 2) // 2 + 1):           # at most (m - 1) / 2 closed terms
+        out = f"({out}) + case when {k} < floor((m - 1) / 2) then {term} else {D0} end"
+        term = f"({term}) * ({y} * ((df / 2 + ({b}) + {k}) / (({b}) + {k} + 1)))"
+    return f"least({D1}, {out})"
+
+
+FIT_SUMMARY = model_head(*_S_ARGS, extra=(*_quality_ctes(SESSIONS_TERMS), f"""fq as (
+  select product_id, f, f * (rank - 1) as t2, cast(rank - 1 as double) as m, cast(n - rank as double) as df from (
+    select *, ((tss - rss) / cast(rank - 1 as double)) / nullif(rss / cast(n - rank as double), 0) as f from q)),
+fs as (select *, case when m >= 1 and df >= 1 and f > 0 then {_series_sql('t2', 'df')} end as s from fq),
+fp as (select product_id, f, case when not (m >= 1 and df >= 1) then null when f <= 0 then 1 when f > 0 then {_f_tail_sql()} end as p from fs),
+ct as (""" + "\nunion all\n".join(
+    f"select 'sessions' as target, m.product_id, cast({i} as integer) as term_index, '{t}' as term, m.beta_{i} as estimate, "
+    f"sqrt(q.rss / cast(m.n - m.rank as double) * m.inv_{i}) as se, "
+    f"m.beta_{i} / nullif(sqrt(q.rss / cast(m.n - m.rank as double) * m.inv_{i}), 0) as t, m.n - m.rank as df_resid "
+    f"from om m join q on m.product_id = q.product_id where m.status = 'ok'" for i, t in enumerate(_NAMES_S)) + f"""),
+cs as (select *, t * t as t2, cast(df_resid as double) as df, case when t is not null then {_series_sql('(t * t)', 'cast(df_resid as double)')} end as s from ct)
+""")) + f"""
+select target, cs.product_id, term_index, term, {r6('estimate')} as estimate, {r6('se')} as std_error, {r6('t')} as t_value, df_resid,
+  {r6('case when t is not null then ' + _t_tail_sql('t2', 'df', 's') + ' end')} as p_value,
+  {r6('fp.f')} as f_statistic, {r6('fp.p')} as f_p_value
+from cs left join fp on cs.product_id = fp.product_id"""
+
+
 # ---- contributions
 def _group_exprs(terms) -> list[str]:
     names = ("intercept",) + tuple(terms)
