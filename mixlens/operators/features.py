@@ -19,7 +19,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixlens.functions.scalar import weekday_flag
+from mixlens.functions.scalar import date_in, weekday_flag
 from mixlens.operators import longseries as L
 from mixlens.operators import series as S
 
@@ -107,6 +107,7 @@ def _derive_rows(df: DataFrame, spec: ModelSpec) -> DataFrame:
         "day_sunday": weekday_flag(DATE, sun),
         "tv_adstock": F.log1p(F.col("tv_adstock_raw")),
         "online_visibility_exp": F.pow(F.col("online_visibility"), F.lit(spec.visibility_power)),
+        "xmas": date_in(DATE, CHRISTMAS),
     })
 
 

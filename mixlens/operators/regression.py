@@ -6,11 +6,11 @@ each task before the shuffle, so the exchange carries (products x tasks) small
 rows whatever the row count, and a product holding a third of all rows is
 combined map-side like any other.
 
-Solve (one row per model): ``mapInPandas`` over the Gram table; per row, a
-p x p system (p = 10) is solved with numpy.  Terms are admitted in term order;
-a term whose residual diagonal, after projecting out the terms already
-admitted, is below ``tol`` x its own diagonal is aliased: coefficient NULL, the
-rest solved without it (what a pivoting QR with a tolerance does).
+Solve (one row per model): ``mapInArrow`` over the Gram table; the p x p systems
+(p = 10) of an Arrow batch are swept together, term by term.  Terms are admitted
+in term order; a term whose residual diagonal, after projecting out the terms
+already admitted, is below ``tol`` x its own diagonal is aliased: coefficient
+NULL, the rest solved without it (what a pivoting QR with a tolerance does).
 
 Pass 2 (Spark): residuals, RSS, TSS, RMSE, R^2, standard errors, t and p.
 RSS is summed from the residuals themselves, never y'y - b'X'y.
@@ -19,7 +19,6 @@ RSS is summed from the residuals themselves, never y'y - b'X'y.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,68 +71,81 @@ def gram(design: DataFrame, spec: ModelSpec) -> DataFrame:
     return complete_cases(design, spec).groupBy(KEY).agg(*aggs)
 
 
-def _solve_full(n: int, a: np.ndarray, xty: np.ndarray, tol: float):
-    """Solve the normal equations ``a b = xty`` admitting terms in order; a term
-    whose Schur-complement diagonal is <= tol x its diagonal is aliased (NULL)."""
-    p = a.shape[0]
-    keep: list[int] = []
-    for k in range(p):
-        d = a[k, k]
-        if not np.isfinite(d) or d <= 0:
-            continue
-        if keep:
-            sub = a[np.ix_(keep, keep)]
-            v = a[keep, k]
-            resid = d - v @ np.linalg.solve(sub, v)
-        else:
-            resid = d
-        if resid > tol * d:
-            keep.append(k)
-    coef = [None] * p
-    inv_diag = [None] * p
-    rank = len(keep)
-    if rank == 0:
-        return coef, inv_diag, rank, "no_rows" if n == 0 else "rank_zero"
-    sub = a[np.ix_(keep, keep)]
-    inv = np.linalg.inv(sub)
-    beta = inv @ xty[keep]
-    for pos, k in enumerate(keep):
-        coef[k] = float(beta[pos])
-        inv_diag[k] = float(inv[pos, pos])
-    status = "ok" if n > rank else "too_few_rows"
-    return coef, inv_diag, rank, status
-
-
-def _solve_one(n: int, xtx_u: np.ndarray, xty: np.ndarray, p: int, tol: float):
-    a = np.zeros((p, p))
-    a[np.triu_indices(p)] = xtx_u
-    a = a + np.triu(a, 1).T
-    return _solve_full(n, a, xty, tol)
+def sweep(m: np.ndarray, k: int, tol: float, diagonal: np.ndarray) -> np.ndarray:
+    """Sweep term ``k`` into a batch of systems (rows, q, q), in place: where the
+    term keeps more than ``tol`` of its own ``diagonal`` it is admitted, elsewhere
+    the system stays as it is.  Returns the mask of admitted systems.
+
+    After sweeping the terms of a set S, the block S x S holds the inverse of
+    X_S'X_S and row k the coefficient of term k in the columns not swept."""
+    pivot = m[:, k, k]
+    with np.errstate(invalid="ignore"):
+        admit = np.isfinite(diagonal) & (diagonal > 0) & (pivot > tol * diagonal)
+    safe = np.where(admit, pivot, 1.0)
+    row = m[:, k, :] / safe[:, None]
+    column = m[:, :, k].copy()
+    column[:, k] = 0.0
+    swept = m - column[:, :, None] * row[:, None, :]
+    swept[:, k, :] = row
+    swept[:, :, k] = -column / safe[:, None]
+    swept[:, k, k] = 1.0 / safe
+    m[admit] = swept[admit]
+    return admit
+
+
+def square(upper: np.ndarray, p: int) -> np.ndarray:
+    """(rows, p, p) from row-major upper triangles."""
+    a = np.zeros((len(upper), p, p))
+    i, j = np.triu_indices(p)
+    a[:, i, j] = upper
+    a[:, j, i] = upper
+    return a
+
+
+def solve_batch(xtx: np.ndarray, xty: np.ndarray, tol: float = ALIAS_TOL):
+    """Normal equations of a batch, terms admitted in order: (coefficients, diagonal
+    of the inverse, admitted), each (rows, p).  A term that keeps no more than
+    ``tol`` of its diagonal beside the terms before it is not admitted (aliased)."""
+    rows, p = xty.shape
+    m = np.zeros((rows, p + 1, p + 1))
+    m[:, :p, :p] = xtx
+    m[:, :p, p] = m[:, p, :p] = xty
+    diagonal = xtx[:, range(p), range(p)]
+    admitted = np.stack([sweep(m, k, tol, diagonal[:, k]) for k in range(p)], axis=1) if rows else np.zeros((0, p), bool)
+    return m[:, :p, p], m[:, range(p), range(p)], admitted
+
+
+def _lists(values: np.ndarray, known: np.ndarray):
+    """Rows of a matrix as an Arrow list column, NULL where not known."""
+    import pyarrow as pa
+    rows, p = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * p, pa.int32()),
+                                    pa.array(values.ravel(), pa.float64(), mask=~known.ravel()))
+
+
+def matrix(column, width: int) -> np.ndarray:
+    """An Arrow column of equally long lists without NULLs as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
 
 def _solver(spec: ModelSpec, tol: float):
     p = len(spec.all_terms)
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for n, xtx, xty in zip(pdf["n"], pdf["xtx"], pdf["xty"]):
-                coef, inv_diag, rank, status = _solve_one(
-                    int(n), np.asarray(xtx, dtype=float), np.asarray(xty, dtype=float), p, tol)
-                if status == "too_few_rows":
-                    coef = [None] * p
-                rows.append((coef, inv_diag, rank, status))
-            yield pd.DataFrame({
-                KEY: pdf[KEY],
-                "n": pdf["n"].astype("int64"),
-                "rank": [r[2] for r in rows],
-                "status": [r[3] for r in rows],
-                "coef": [r[0] for r in rows],
-                "xtx_inv_diag": [r[1] for r in rows],
-                "mean_y": pdf["sum_y"] / pdf["n"],
-                "scale_mean": pdf["scale_mean"],
-                "scale_sd": pdf["scale_sd"],
-            })
+        import pyarrow as pa
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            n = col["n"].to_numpy()
+            coef, inverse, admitted = solve_batch(square(matrix(col["xtx"], p * (p + 1) // 2), p), matrix(col["xty"], p), tol)
+            rank = admitted.sum(axis=1)
+            status = np.where(rank == 0, "rank_zero", np.where(n > rank, "ok", "too_few_rows"))
+            usable = admitted & (status == "ok")[:, None]
+            yield pa.RecordBatch.from_arrays([
+                col[KEY], pa.array(n, pa.int64()), pa.array(rank.astype(np.int32)), pa.array(status.tolist(), pa.string()),
+                _lists(coef, usable), _lists(inverse, admitted), pa.array(col["sum_y"].to_numpy() / n),
+                col["scale_mean"], col["scale_sd"]], names=SOLVED_SCHEMA.names)
     return run
 
 
@@ -151,7 +163,7 @@ SOLVED_SCHEMA = T.StructType([
 
 
 def solve(gram_df: DataFrame, spec: ModelSpec, tol: float = ALIAS_TOL) -> DataFrame:
-    return gram_df.mapInPandas(_solver(spec, tol), SOLVED_SCHEMA)
+    return gram_df.mapInArrow(_solver(spec, tol), SOLVED_SCHEMA)
 
 
 def model_table(solved: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -182,6 +194,20 @@ def fit(panel_drivers: DataFrame, spec: ModelSpec, tol: float = ALIAS_TOL,
     return models, scaled.drop(*stats)
 
 
+def fit_notes(models: DataFrame, spec: ModelSpec) -> DataFrame:
+    """M4 how each model came out: its status (``ok``, ``too_few_rows``,
+    ``rank_zero``), the scaled terms without variation and the other terms that
+    are aliased, and a note: ``rank_deficient`` if any is aliased, else
+    ``constant_term`` if any does not vary, else ``full_rank``."""
+    at = [i for i, t in enumerate(spec.all_terms) if t in spec.scaled_terms()]
+    still = [F.coalesce(F.col("scale_sd")[i] == 0, F.lit(False)).cast("bigint") for i in at]
+    constant = sum(still[1:], still[0]) if still else F.lit(0).cast("bigint")
+    aliased = F.lit(len(spec.all_terms)).cast("bigint") - F.col("rank") - constant
+    note = F.when(aliased > 0, "rank_deficient").when(constant > 0, "constant_term").otherwise("full_rank")
+    return models.select("target", KEY, "status", "rank", "n", constant.alias("constant_terms"), aliased.alias("aliased_terms"),
+                         note.alias("note"))
+
+
 def with_models(design: DataFrame, models: DataFrame) -> DataFrame:
     """Attach each product's model row; broadcast only after a checked count."""
     m = bounded_broadcast(models.filter(F.col("status") == "ok"), MODEL_BROADCAST_ROWS,

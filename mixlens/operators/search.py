@@ -5,8 +5,10 @@ Scale design: every candidate transform is computed once as its own column
 (16 columns: intercept, 6 shared terms, 4 adstock rates, 2 exchange-rate
 transforms, 3 visibility powers), and ONE grouped aggregate builds each
 product's Gram matrix over that superset.  Every candidate's normal equations
-are a sub-matrix of it, so the 24 fits per product are solved from one row in
-``mapInPandas``; the data rows are never multiplied by the candidate count.
+are a sub-matrix of it, so the 24 fits per product are solved from one row: the
+systems of an Arrow batch are swept together along a tree of 43 sweeps (7 shared
+terms, 4 rates, 8 exchange transforms, 24 powers); the data rows are never
+multiplied by the candidate count.
 A second pass sums each candidate's squared residuals in-row (24 sums per
 product, partial-aggregated), so RSS comes from residuals, not from the Gram.
 All candidates of a product are fitted on the same rows (complete over the
@@ -18,7 +20,6 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +28,10 @@ from mixlens.functions.scalar import weekday_flag
 from mixlens.operators import series as S
 from mixlens.operators.features import KEY, DATE, TRAIN_TO, DECAY_RATES, FX_WINDOW
 from mixlens.operators.joins import bounded_broadcast
-from mixlens.operators.regression import ALIAS_TOL, MODEL_BROADCAST_ROWS, _solve_full
+from mixlens.operators.regression import ALIAS_TOL, matrix, square, sweep
 from mixlens.session import bucketed_table
 
+BROADCAST_BYTES = 64 << 20
 SHARED = ("day_friday", "day_saturday", "day_sunday", "consumer_confidence_index",
           "better_than_average_weather_days", "worse_than_average_weather_days")
 FX = ("mean", "lag")
@@ -73,11 +75,37 @@ def search_design(panel_drivers: DataFrame, target: str = "sessions", rates=DECA
 
 def _sub(cands, cols):
     pos = {c: i for i, c in enumerate(cols)}
-    out = []
-    for r, f, p in cands:
-        names = ["intercept", *SHARED, _tv(r), f"fx_{f}", _vis(p)]
-        out.append([pos[n] for n in names])
-    return out
+    return [[pos[n] for n in ("intercept", *SHARED, _tv(r), f"fx_{f}", _vis(p))] for r, f, p in cands]
+
+
+def solve_branches(xtx: np.ndarray, xty: np.ndarray, subs: list[list[int]], tol: float):
+    """Coefficients (rows, candidates, terms; 0 where aliased) and ranks (rows,
+    candidates) of every candidate.  Candidates are paths of a tree: the shared
+    terms are swept once, then each adstock rate, below it each exchange-rate
+    transform, below that each visibility power."""
+    rows, p = xty.shape
+    whole = np.zeros((rows, p + 1, p + 1))
+    whole[:, :p, :p] = xtx
+    whole[:, :p, p] = whole[:, p, :p] = xty
+    diagonal = xtx[:, range(p), range(p)]
+    done: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {(): (whole, np.zeros((rows, p), bool))}
+
+    def swept(path):
+        if path not in done:
+            m, admitted = (x.copy() for x in swept(path[:-1]))
+            admitted[:, path[-1]] = sweep(m, path[-1], tol, diagonal[:, path[-1]])
+            done[path] = m, admitted
+            # a finished branch above is not needed again once the next one begins
+            for other in [q for q in done if len(q) >= len(path) and q != path]:
+                del done[other]
+        return done[path]
+
+    coefs, ranks = [], []
+    for idx in subs:
+        m, admitted = swept(tuple(idx))
+        coefs.append(np.where(admitted[:, idx], m[:, idx, p], 0.0))
+        ranks.append(admitted[:, idx].sum(axis=1))
+    return np.stack(coefs, axis=1), np.stack(ranks, axis=1)
 
 
 def search(panel_drivers: DataFrame, target: str = "sessions", rates=DECAY_RATES, fx=FX, powers=POWERS,
@@ -102,31 +130,31 @@ def search(panel_drivers: DataFrame, target: str = "sessions", rates=DECAY_RATES
         F.array(*[F.sum(x[i] * y) for i in range(p)]).alias("xty"),
         F.avg(y).alias("mean_y"))
 
+    terms = len(subs[0])
+
     def run(batches):
-        iu = np.triu_indices(p)
-        for pdf in batches:
-            coefs, ranks = [], []
-            for n, xtx, xty in zip(pdf["n"], pdf["xtx"], pdf["xty"]):
-                a = np.zeros((p, p))
-                a[iu] = np.asarray(xtx, float)
-                a = a + np.triu(a, 1).T
-                b = np.asarray(xty, float)
-                cs, rs = [], []
-                for idx in subs:
-                    coef, _, rank, status = _solve_full(int(n), a[np.ix_(idx, idx)], b[idx], tol)
-                    cs.append([0.0 if v is None else v for v in coef] if status == "ok" else None)
-                    rs.append(rank)
-                coefs.append(cs)
-                ranks.append(rs)
-            yield pd.DataFrame({KEY: pdf[KEY], "n": pdf["n"].astype("int64"), "mean_y": pdf["mean_y"],
-                                "coefs": coefs, "ranks": ranks})
+        import pyarrow as pa
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            n = col["n"].to_numpy()
+            coefs, ranks = solve_branches(square(matrix(col["xtx"], p * (p + 1) // 2), p), matrix(col["xty"], p), subs, tol)
+            ok = np.repeat((n[:, None] > ranks).ravel(), terms)          # too few rows: no coefficients
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(ranks.size + 1) * terms, pa.int32()),
+                                            pa.array(coefs.ravel(), mask=~ok))
+            per = pa.array(np.arange(len(n) + 1) * len(subs), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                col[KEY], pa.array(n, pa.int64()), col["mean_y"], pa.ListArray.from_arrays(per, flat),
+                pa.ListArray.from_arrays(per, pa.array(ranks.ravel().astype(np.int32)))], names=schema.names)
 
     schema = T.StructType([
         T.StructField(KEY, T.StringType()), T.StructField("n", T.LongType()), T.StructField("mean_y", T.DoubleType()),
         T.StructField("coefs", T.ArrayType(T.ArrayType(T.DoubleType()))),
         T.StructField("ranks", T.ArrayType(T.IntegerType()))])
-    models = gram.mapInPandas(run, schema)
-    m = bounded_broadcast(models, MODEL_BROADCAST_ROWS)
+    models = gram.mapInArrow(run, schema)
+    row_bytes = 8 * len(cands) * terms + 500
+    m = bounded_broadcast(models, BROADCAST_BYTES // row_bytes)
     d = design.join(m, on=KEY, how="inner")
     sums = []
     for c, idx in enumerate(subs):
@@ -147,5 +175,6 @@ def search(panel_drivers: DataFrame, target: str = "sessions", rates=DECAY_RATES
         F.col("ranks")[F.col("cand.c")].alias("rank"),
         F.sqrt(F.col("rss")[F.col("cand.c")] / F.col("n")).alias("rmse"),
         (F.lit(1.0) - F.try_divide(F.col("rss")[F.col("cand.c")], F.col("tss"))).alias("r_squared"))
-    w = Window.partitionBy(KEY).orderBy(F.asc_nulls_last("rmse"), "adstock_rate", "fx_transform", "visibility_power")
+    # fits equal to six decimals rank in the order of the candidates
+    w = Window.partitionBy(KEY).orderBy(F.round("rmse", 6).asc_nulls_last(), "adstock_rate", "fx_transform", "visibility_power")
     return long.withColumn("fit_rank", F.row_number().over(w).cast("bigint"))

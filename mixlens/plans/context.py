@@ -46,8 +46,9 @@ def total_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.weather_onehot(P.join_drivers(P.total_series(panel_train(spark, sf_dir)), meta(spark, sf_dir)))
 
 
-def rounded(df: DataFrame, digits: int = 8, finest: int = 9) -> DataFrame:
-    """Round every double column for value comparison across engines.
+def rounded(df: DataFrame, digits: int = 8, finest: int = 9, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Round every double column for value comparison across engines, but for the
+    parameters named in ``keep``, which are the same doubles everywhere.
 
     Steps, each evaluated identically by Spark and DuckDB on the same double:
     snap to a 2^-24 grid (decimal data never sits exactly on a binary
@@ -60,7 +61,7 @@ def rounded(df: DataFrame, digits: int = 8, finest: int = 9) -> DataFrame:
     ``round`` would go through BigDecimal).  + 0.0 turns -0.0 into 0.0."""
     grid = float(2 ** 24)
     ten = F.lit(10.0)
-    doubles = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    doubles = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float") and f.name not in keep]
     if not doubles:
         return df
     # step 1: the snapped value and its exponent, computed once per column

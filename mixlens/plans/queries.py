@@ -9,6 +9,7 @@ both sides (sums in a different order differ in the last bits).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,7 +115,7 @@ def adstock_tv(spark, sf):
 def adstock_multi_rate(spark, sf):
     d = panel_drivers(spark, sf).select(KEY, DATE, "tv_ad_reach")
     return rounded(S.adstock_rates(d, "tv_ad_reach", DECAY_RATES, by=KEY, order=DATE, out="adstock")
-                   .select(KEY, DATE, "rate", "adstock"))
+                   .select(KEY, DATE, "rate", "adstock"), keep=("rate",))
 
 
 @register("fx_rolling_mean", Q.FX_ROLLING_MEAN)
@@ -306,6 +307,19 @@ def coef_table(spark, sf):
     return rounded(R.coef_table(scaled, models, SESSIONS_SPEC))
 
 
+@register("fit_status", Q.FIT_STATUS)
+def fit_status(spark, sf):
+    """M4 statuses and notes, with a Christmas flag (constant where a product has no
+    such day) and with all three weather flags (one too many beside the intercept)."""
+    out = None
+    for label, extra in (("with_christmas", "xmas"), ("all_weather", "average_weather_days")):
+        spec = replace(SESSIONS_SPEC, terms=(*SESSIONS_SPEC.terms, extra))
+        models, _ = _fit(spark, sf, spec, keep_design=False)
+        one = R.fit_notes(models, spec).select(F.lit(label).alias("terms"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("ols_total", Q.OLS_TOTAL)
 def ols_total(spark, sf):
     """The all-products 'Total' series fitted on its own, missing terms interpolated."""
@@ -514,15 +528,15 @@ def transform_grid(spark, sf):
                                       F.regr_slope("y", "x").alias("slope"))
     from pyspark.sql import Window
     w = Window.partitionBy(KEY).orderBy(F.desc_nulls_last("r_squared"), F.asc("rate"))
-    return rounded(g.withColumn("rank", F.row_number().over(w).cast("bigint")))
+    return rounded(g.withColumn("rank", F.row_number().over(w).cast("bigint")), keep=("rate",))
 
 
-@register("transform_search")
+@register("transform_search", Q.TRANSFORM_SEARCH)
 def transform_search(spark, sf):
     """M22 full grid: adstock rate x exchange-rate transform x visibility power,
     one nine-term model per product and candidate, ranked by RMSE."""
     from mixlens.operators.search import search
-    return rounded(search(panel_drivers(spark, sf)))
+    return rounded(search(panel_drivers(spark, sf)), keep=("adstock_rate", "visibility_power"))
 
 
 FLAGSHIP = "contribution_by_product"

@@ -159,7 +159,7 @@ ADSTOCK_TV = with_(PANEL, META, TRAIN, DRIVERS, *adstock_ctes("panel_drivers", "
 
 DECAY = (0.1, 0.5, 0.8, 0.9)
 ADSTOCK_MULTI_RATE = with_(PANEL, META, TRAIN, DRIVERS, *adstock_ctes("panel_drivers", "tv_ad_reach", rates=DECAY),
-                           recursive=True) + f"select product_id, date, {r6('rate')} as rate, {r6('a')} as adstock from ad_rows"
+                           recursive=True) + f"select product_id, date, rate, {r6('a')} as adstock from ad_rows"
 
 FX_ROLLING_MEAN = with_(PANEL, META, TRAIN, DRIVERS, """f as (
   select product_id, date, row_number() over (partition by product_id order by date) as rn,
@@ -373,7 +373,7 @@ TRANSFORM_GRID = with_(PANEL, META, TRAIN, DRIVERS, *adstock_ctes("panel_drivers
        regr_slope(cast(d.sessions as double), ln(1 + r.a)) as slope
   from ad_rows r join panel_drivers d on r.product_id = d.product_id and r.date = d.date
   group by r.product_id, r.rate)""", recursive=True) + f"""
-select product_id, {r6('rate')} as rate, {r6('r_squared')} as r_squared, {r6('slope')} as slope,
+select product_id, rate, {r6('r_squared')} as r_squared, {r6('slope')} as slope,
        row_number() over (partition by product_id order by r_squared desc nulls last, rate asc) as rank
 from g"""
 
@@ -560,6 +560,69 @@ select target, cs.product_id, term_index, term, {r6('estimate')} as estimate, {r
 from cs left join fp on cs.product_id = fp.product_id"""
 
 
+# ---- how fits come out: a Christmas flag (some products have no row on one), or all three weather flags
+def _status_sql(extra: str, label: str) -> str:
+    terms = SESSIONS_TERMS + (extra,)
+    named = "raw_design as (select f.*, " + (f"case when f.date in ({_XMAS}) then {D1} else {D0} end as xmas" if extra == "xmas" else
+                                              "d.average_weather_days") + (
+        " from raw0 f join panel_drivers d on f.product_id = d.product_id and f.date = d.date)")
+    design = design_ctes()
+    design[-1] = design[-1].replace("raw_design as", "raw0 as")
+    sds = " + ".join(f"case when stddev_samp({t}) = 0 then 1 else 0 end" for t in terms if t != "tv_adstock")
+    p = len(terms) + 1
+    return with_(PANEL, META, TRAIN, DRIVERS, *design, named, scaled_cte(terms, None), *ols_ctes(terms, "scaled", "o"),
+                 f"cst as (select product_id, cast({sds} as bigint) as constant_terms from raw_design group by product_id)",
+                 recursive=True) + f"""
+select '{label}' as terms, 'sessions' as target, om.product_id, status, rank, n, constant_terms,
+  {p} - rank - constant_terms as aliased_terms,
+  case when {p} - rank - constant_terms > 0 then 'rank_deficient' when constant_terms > 0 then 'constant_term' else 'full_rank' end as note
+from om join cst on om.product_id = cst.product_id"""
+
+
+FIT_STATUS = f"select * from ({_status_sql('xmas', 'with_christmas')}) union all select * from ({_status_sql('average_weather_days', 'all_weather')})"
+
+# ---- every candidate of the transform search as a group of its own
+_SHARED = ("day_friday", "day_saturday", "day_sunday", "consumer_confidence_index",
+           "better_than_average_weather_days", "worse_than_average_weather_days")
+_SEARCH_TERMS = _SHARED + ("tv", "fx", "vis")
+
+
+def _search_sql() -> str:
+    zs = ", ".join(f"{z(c)} as {c}" for c in _SHARED + ("fx_mean", "fx_lag", "vis_1", "vis_2", "vis_4"))
+    known = " and ".join(f"{c} is not null" for c in ("dep_var", "fx_mean", "fx_lag", "vis_1") + _SHARED)
+    return with_(
+        PANEL, META, TRAIN, DRIVERS, *adstock_ctes("panel_drivers", "tv_ad_reach", rates=DECAY),
+        """s0 as (select product_id, date, cast(sessions as double) as dep_var, row_number() over w as rn,
+  avg(exchange_rate) over (w rows between 9 preceding and current row) as m10, lag(exchange_rate) over w as fx_lag,
+  consumer_confidence_index, online_visibility, better_than_average_weather_days, worse_than_average_weather_days
+  from panel_drivers window w as (partition by product_id order by date))""",
+        f"""s1 as (select *, case when rn >= 10 then m10 else max(case when rn = 10 then m10 end) over (partition by product_id) end as fx_mean,
+  online_visibility as vis_1, pow(online_visibility, 2) as vis_2, pow(online_visibility, 4) as vis_4,
+  case when dayofweek(date) = 5 then {D1} else {D0} end as day_friday, case when dayofweek(date) = 6 then {D1} else {D0} end as day_saturday,
+  case when dayofweek(date) = 0 then {D1} else {D0} end as day_sunday from s0)""",
+        f"s2 as (select product_id, date, dep_var, {zs} from s1)",
+        f"s3 as materialized (select * from s2 where {known})",
+        f"""cand as (select rate, f, p, rate || '/' || f || '/' || p as c from
+  (values {', '.join(f'(cast({r!r} as double))' for r in DECAY)}) a(rate), (values ('mean'), ('lag')) b(f),
+  (values ({D1}), (cast(2 as double)), (cast(4 as double))) d(p))""",
+        f"""scaled as materialized (select s3.product_id || '#' || c as product_id, dep_var, {', '.join(_SHARED)}, ln(1 + a) as tv,
+  case f when 'mean' then fx_mean else fx_lag end as fx, case p when 1 then vis_1 when 2 then vis_2 else vis_4 end as vis
+  from s3 join ad_rows r on r.product_id = s3.product_id and r.date = s3.date join cand on cand.rate = r.rate)""",
+        *ols_ctes(_SEARCH_TERMS, "scaled", "o"),
+        f"""sf as (select m.product_id, any_value(m.n) as n, any_value(m.rank) as rank, any_value(status) as status,
+  sum((dep_var - fitted) * (dep_var - fitted)) as rss, sum((dep_var - mean_y) * (dep_var - mean_y)) as tss
+  from (select s.*, {_fitted(_SEARCH_TERMS)} as fitted from scaled s join om m on m.product_id = s.product_id) s
+  join om m on m.product_id = s.product_id group by m.product_id)""",
+        """sr as (select split_part(sf.product_id, '#', 1) as product_id, rate as adstock_rate, f as fx_transform, p as visibility_power,
+  n, rank, case when status = 'ok' then sqrt(rss / n) end as rmse, case when status = 'ok' then 1 - rss / nullif(tss, 0) end as r_squared
+  from sf join cand on cand.c = split_part(sf.product_id, '#', 2))""", recursive=True) + f"""
+select product_id, adstock_rate, fx_transform, visibility_power, n, rank, {r6('rmse')} as rmse, {r6('r_squared')} as r_squared,
+  row_number() over (partition by product_id order by round(rmse, 6) asc nulls last, adstock_rate, fx_transform, visibility_power) as fit_rank
+from sr"""
+
+
+TRANSFORM_SEARCH = _search_sql()
+
 # ---- contributions
 def _group_exprs(terms) -> list[str]:
     names = ("intercept",) + tuple(terms)
