@@ -52,13 +52,15 @@ def group_terms(term_long: DataFrame, dictionary: DataFrame) -> DataFrame:
     return j.groupBy(KEY, DATE, F.col("grouping").alias("driver_group")).agg(F.sum("value").alias("value"))
 
 
-def grouped_wide(scaled: DataFrame, models: DataFrame, spec: ModelSpec) -> DataFrame:
+def grouped_wide(scaled: DataFrame, models: DataFrame, spec: ModelSpec,
+                 term_groups: dict[str, str] | None = None) -> DataFrame:
     """A8 + R3 without a shuffle: one column per driver group (sum of its terms)."""
+    groups = term_groups or TERM_GROUPS
     d = with_models(complete_cases(scaled, spec), models)
     x = _term_values(spec)
     sums: dict[str, list] = {g: [] for g in DRIVER_GROUPS}
     for i, t in enumerate(spec.all_terms):
-        sums[TERM_GROUPS[t]].append(F.coalesce(F.col("coef")[i], F.lit(0.0)) * x[i])
+        sums[groups[t]].append(F.coalesce(F.col("coef")[i], F.lit(0.0)) * x[i])
     cols = []
     for g in DRIVER_GROUPS:
         parts = sums[g]
@@ -73,9 +75,10 @@ def grouped_wide(scaled: DataFrame, models: DataFrame, spec: ModelSpec) -> DataF
 
 def contribution_wide(scaled: DataFrame, models: DataFrame, spec: ModelSpec,
                       smooth: int | None = SMOOTH_WINDOW,
-                      rebase_groups: Sequence[str] = REBASE_GROUPS) -> DataFrame:
+                      rebase_groups: Sequence[str] = REBASE_GROUPS,
+                      term_groups: dict[str, str] | None = None) -> DataFrame:
     """M10 daily driver contributions, wide: smoothed (W4) and re-based."""
-    wide = grouped_wide(scaled, models, spec)
+    wide = grouped_wide(scaled, models, spec, term_groups)
     if smooth:
         others = [g for g in DRIVER_GROUPS if g != BASE]
         wide = S.rolling_mean_center(wide, others, smooth, by=KEY, order=DATE)

@@ -27,9 +27,11 @@ from mixlens.operators.features import (
     CHRISTMAS, features, build_design, driver_overlay as _overlay, compat_spec, TOTAL_SPEC, horizon_features_blocks,
 )
 from mixlens.plans import sql as Q
+from mixlens.plans.score import score
 from mixlens.plans.context import panel, panel_train, meta, panel_drivers, total_drivers, rounded
 from mixlens.operators.increments import MomentStore
 from mixlens.session import cut_lineage, scratch_path
+from mixlens.sources import io as IO
 from mixlens.sources.tables import read_table, variable_groupings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +84,43 @@ def panel_profile(spark, sf):
     return P.profile(panel_drivers(spark, sf))
 
 
+# ---------------------------------------------------------------- CSV front door
+def _csv_files(spark, sf):
+    """The two views written as CSV: the panel's years in two column orders and,
+    among them, copies of some days with a broken number or date."""
+    folder = scratch_path(spark, "csv")
+    p = panel(spark, sf).withColumns({c: F.col(c).cast("string") for c in ("date", "sessions", "bookings")})
+    even = F.substring(DATE, 1, 4).cast("int") % 2 == 0
+    names = [F.col("product_id").alias("Product ID"), F.col(DATE).alias("Date"), F.col("sessions").alias("Sessions"),
+             F.col("bookings").alias("Bookings")]
+    bad_number = p.filter(F.substring(DATE, 9, 2) == "01").withColumn("sessions", F.lit("n/a"))
+    bad_date = p.filter(F.substring(DATE, 9, 2) == "02").withColumn(DATE, F.concat(DATE, F.lit("?")))
+    p.filter(even).unionByName(bad_number).select(*names).write.option("header", True).csv(f"{folder}/panel/a")
+    p.filter(~even).unionByName(bad_date).select(names[1], names[3], names[0], names[2]).write.option("header", True).csv(f"{folder}/panel/b")
+    meta(spark, sf).select(
+        F.col("weather_index").alias("Weather Index"), F.date_format(DATE, "dd/MM/yyyy").alias("Date"),
+        *[F.col(c).alias(c.replace("_", " ").title()) for c in
+          ("online_visibility", "tv_ad_reach", "exchange_rate", "consumer_confidence_index")]
+    ).write.option("header", True).csv(f"{folder}/meta")
+    return f"{folder}/panel/*", f"{folder}/meta"
+
+
+@register("panel_from_csv", Q.PANEL_FROM_CSV)
+def panel_from_csv(spark, sf):
+    return IO.read_panel_csv(spark, _csv_files(spark, sf)[0])
+
+
+@register("meta_from_csv", Q.META_FROM_CSV)
+def meta_from_csv(spark, sf):
+    return rounded(IO.read_meta_csv(spark, _csv_files(spark, sf)[1]))
+
+
+@register("csv_rejects", Q.CSV_REJECTS)
+def csv_rejects(spark, sf):
+    found = IO.check_panel_csv(spark, _csv_files(spark, sf)[0])
+    return found.rejects.groupBy("column", "reason", "value").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- panel build
 @register("total_layer", Q.TOTAL_LAYER)
 def total_layer(spark, sf):
@@ -501,6 +540,20 @@ def forecast_long(spark, sf):
     return rounded(FC.forecast_long(_forecast(spark, sf)))
 
 
+@register("forecast_from_store", Q.FORECAST_LONG)
+def forecast_from_store(spark, sf):
+    """S6 -> M19 as two jobs: fits saved as a run of the model store (after an older
+    run of other models), then predictions from the latest run alone."""
+    store = IO.ModelStore(spark, scratch_path(spark, "models"))
+    drivers = meta(spark, sf, materialise=True)
+    pdr = panel_drivers(spark, sf, materialise=True, drivers=drivers)
+    specs = (SESSIONS_SPEC, BOOKINGS_SPEC)
+    older = R.fit(pdr, replace(SESSIONS_SPEC, adstock_rate=0.5), keep_design=False)[0]
+    store.save(older, "run-1")
+    store.save(R.fit(pdr, specs[0], keep_design=False)[0].unionByName(R.fit(pdr, specs[1], keep_design=False)[0]), "run-2")
+    return rounded(FC.forecast_long(score(store, specs, meta(spark, sf))))
+
+
 @register("forecast_horizon_scaled", Q.FORECAST_HORIZON_SCALED)
 def forecast_horizon_scaled(spark, sf):
     return rounded(_forecast(spark, sf, scale="horizon"))

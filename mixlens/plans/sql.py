@@ -127,6 +127,17 @@ PANEL_PROFILE = with_(PANEL, META, TRAIN, DRIVERS) + "\nunion all\n".join(
     f"select '{c}' as column_name, count(*) as n_rows, count({c}) as n_non_null, count(*) - count({c}) as n_null "
     f"from panel_drivers" for c in _PROFILE_COLS)
 
+# ------------------------------------------------------------------ CSV front door
+PANEL_FROM_CSV = with_(PANEL) + "select * from product_series"
+
+META_FROM_CSV = with_(META) + "select date, " + ", ".join(f"{r6(c)} as {c}" for c in (
+    "tv_ad_reach", "consumer_confidence_index", "exchange_rate", "online_visibility")) + ", weather_index from meta_series"
+
+CSV_REJECTS = with_(PANEL) + """
+select 'sessions' as column, 'not_bigint' as reason, 'n/a' as value, count(*) as n from product_series where day(date) = 1
+union all
+select 'date', 'not_date', cast(date as varchar) || '?', count(*) from product_series where day(date) = 2 group by date"""
+
 # ------------------------------------------------------------------ panel build
 TOTAL_LAYER = with_(PANEL) + """
 select product_id, date, sessions, bookings from product_series
