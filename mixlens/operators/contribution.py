@@ -128,6 +128,20 @@ def contribution_by_product(scaled, models, spec, **kw) -> DataFrame:
     return to_long(contribution_by_product_wide(scaled, models, spec, **kw), [KEY])
 
 
+def contribution_rollups(scaled, models, spec, **kw) -> DataFrame:
+    """A9, A10 and A14 from one pass over one smoothed frame (grouping sets):
+    (product_id, level, year, week_commencing, driver_group, value, driver_order),
+    level ``year``, ``week`` or ``product``; a level's other keys are NULL."""
+    w = contribution_wide(scaled, models, spec, **kw).withColumns({
+        "year": F.year(DATE).cast("bigint"), "week_commencing": week_commencing(DATE)})
+    sets = [[F.col(KEY), F.col("year")], [F.col(KEY), F.col("week_commencing")], [F.col(KEY)]]
+    sums = w.groupingSets(sets, F.col(KEY), F.col("year"), F.col("week_commencing")).agg(
+        F.grouping("year").alias("no_year"), F.grouping("week_commencing").alias("no_week"),
+        *[F.sum(g).alias(g) for g in DRIVER_GROUPS])
+    level = F.when(F.col("no_year") == 0, "year").when(F.col("no_week") == 0, "week").otherwise("product")
+    return to_long(sums.withColumn("level", level), [KEY, "level", "year", "week_commencing"])
+
+
 def contribution_share(scaled, models, spec, **kw) -> DataFrame:
     """W10 each driver's signed share of the product's total (V7)."""
     long = contribution_by_product(scaled, models, spec, **kw)

@@ -19,7 +19,7 @@ RSS is summed from the residuals themselves, never y'y - b'X'y.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -293,3 +293,23 @@ def fit_summary(scaled: DataFrame, models: DataFrame, spec: ModelSpec) -> DataFr
     out = coef_table(scaled, models, spec)
     out = out.withColumn("p_value", t_two_sided(F.col("t_value"), F.col("df_resid")))
     return out.join(q, on=KEY, how="left")
+
+
+def residual_diagnostics(scaled: DataFrame, models: DataFrame, spec: ModelSpec, tol: float = ALIAS_TOL) -> DataFrame:
+    """M8 per product: Durbin-Watson (lag-1 autocorrelation of the residuals in date
+    order; near 2 without any) and Breusch-Pagan (the squared residuals fitted on
+    the same terms: n R^2, and the F form with its p value; a small p means the
+    variance moves with the terms).  NULL where the residuals are all zero."""
+    r = F.col("dep_var") - fitted_expr(spec)
+    d = with_models(complete_cases(scaled, spec), models).select(KEY, DATE, r.alias("resid"), *spec.terms)
+    d = bucketed_table(d, KEY, (KEY, DATE))            # read three times, each without an exchange
+    before = F.lag("resid", 1).over(Window.partitionBy(KEY).orderBy(DATE))
+    dw = d.select(KEY, "resid", (F.col("resid") - before).alias("step")).groupBy(KEY).agg(
+        F.try_divide(F.sum(F.col("step") * F.col("step")), F.sum(F.col("resid") * F.col("resid"))).alias("durbin_watson"))
+    squares = d.withColumn("dep_var", F.col("resid") * F.col("resid")).drop("resid")
+    aux = cut_lineage(model_table(solve(gram(squares, spec), spec, tol), spec))
+    q = model_quality(squares, aux, spec)
+    q = q.select(KEY, "n", "rank", (F.col("n") * F.col("r_squared")).alias("breusch_pagan"), F.col("f_statistic").alias("bp_f"),
+                 f_upper(F.col("f_statistic"), F.col("rank") - 1, F.col("n") - F.col("rank")).alias("bp_p_value"))
+    return q.join(dw, on=KEY, how="left").select(F.lit(spec.target).alias("target"), KEY, "n", "durbin_watson", "breusch_pagan",
+                                                 "bp_f", "bp_p_value")

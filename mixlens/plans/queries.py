@@ -413,6 +413,12 @@ def actual_vs_model_bookings(spark, sf):
     return rounded(R.actual_vs_model(scaled, models, BOOKINGS_SPEC))
 
 
+@register("residual_diagnostics", Q.RESIDUAL_DIAGNOSTICS)
+def residual_diagnostics(spark, sf):
+    models, scaled = _fit(spark, sf, SESSIONS_SPEC)
+    return rounded(R.residual_diagnostics(scaled, models, SESSIONS_SPEC))
+
+
 @register("rmse_by_product", Q.RMSE_BY_PRODUCT)
 def rmse_by_product(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
@@ -448,7 +454,13 @@ def contribution_annual(spark, sf):
 @register("contribution_weekly", Q.CONTRIBUTION_WEEKLY)
 def contribution_weekly(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
-    return rounded(C.contribution_weekly(scaled, models, SESSIONS_SPEC))
+    return rounded(C.contribution_weekly(scaled, models, SESSIONS_SPEC), digits=6)
+
+
+@register("contribution_rollups", Q.CONTRIBUTION_ROLLUPS)
+def contribution_rollups(spark, sf):
+    models, scaled = _fit(spark, sf, SESSIONS_SPEC)
+    return rounded(C.contribution_rollups(scaled, models, SESSIONS_SPEC), digits=6)
 
 
 @register("contribution_by_product", Q.CONTRIBUTION_BY_PRODUCT)

@@ -15,11 +15,11 @@ from mixlens.sources.tables import DRIVER_GROUPS, DRIVER_ORDER, TERM_GROUPS
 D1, D0 = "cast(1 as double)", "cast(0 as double)"
 
 
-def r6(expr: str) -> str:
+def r6(expr: str, digits: int = 8) -> str:
     """Same rounding as ``context.rounded``: snap to 2^-24, then 8 significant
     digits but nothing finer than 1e-9, using exact powers of ten."""
     v = f"(round_even(({expr}) * 16777216, 0) / 16777216)"
-    e = f"greatest(floor(log10(abs({v}))) - 7, -9)"
+    e = f"greatest(floor(log10(abs({v}))) - {digits - 1}, -9)"
     return (f"(case when {v} is null then null when {v} = 0 then {D0} "
             f"when {e} < 0 then round_even({v} * pow(10, -{e}), 0) / pow(10, -{e}) "
             f"else round_even({v} / pow(10, {e}), 0) * pow(10, {e}) end + {D0})")
@@ -571,6 +571,24 @@ select target, cs.product_id, term_index, term, {r6('estimate')} as estimate, {r
 from cs left join fp on cs.product_id = fp.product_id"""
 
 
+# ---- residuals: lag-1 products, and their squares fitted on the same terms
+_AUX = tuple(c.replace("fr as", "fr2 as").replace("q as", "q2 as").replace("from fr ", "from fr2 ").replace("from scaled s join om m", "from squares s join am m")
+             for c in _quality_ctes(SESSIONS_TERMS))
+RESIDUAL_DIAGNOSTICS = model_head(*_S_ARGS, extra=(
+    _OK_ROWS(SESSIONS_TERMS),
+    "rs as materialized (select product_id, date, dep_var - fitted as e, " + ", ".join(SESSIONS_TERMS) + " from fr)",
+    """dw as (select product_id, sum((e - before) * (e - before)) / nullif(sum(e * e), 0) as durbin_watson from (
+  select *, lag(e) over (partition by product_id order by date) as before from rs) group by product_id)""",
+    "squares as materialized (select product_id, date, e * e as dep_var, " + ", ".join(SESSIONS_TERMS) + " from rs)",
+    *ols_ctes(SESSIONS_TERMS, "squares", "a"), *_AUX,
+    """fq as (select product_id, n, 1 - rss / nullif(tss, 0) as r2, f, f * (rank - 1) as t2, cast(rank - 1 as double) as m,
+  cast(n - rank as double) as df from (
+    select *, ((tss - rss) / cast(rank - 1 as double)) / nullif(rss / cast(n - rank as double), 0) as f from q2))""",
+    f"fs as (select *, case when m >= 1 and df >= 1 and f > 0 then {_series_sql('t2', 'df')} end as s from fq)")) + f"""
+select 'sessions' as target, fs.product_id, n, {r6('durbin_watson')} as durbin_watson, {r6('n * r2')} as breusch_pagan, {r6('f')} as bp_f,
+  {r6('case when not (m >= 1 and df >= 1) then null when f <= 0 then 1 when f > 0 then ' + _f_tail_sql() + ' end')} as bp_p_value
+from fs left join dw on fs.product_id = dw.product_id"""
+
 # ---- how fits come out: a Christmas flag (some products have no row on one), or all three weather flags
 def _status_sql(extra: str, label: str) -> str:
     terms = SESSIONS_TERMS + (extra,)
@@ -689,6 +707,11 @@ def _contrib_head(args, extra=()):
     return model_head(target, terms, fit_from, extra=_contrib_ctes(terms) + tuple(extra))
 
 
+# sums of some 10^5 groups: one value in the last of 8 digits differs with the order of summation in most runs
+def _r_long(expr: str) -> str:
+    return r6(expr, 6)
+
+
 CONTRIBUTION_DAILY = _contrib_head(_S_ARGS) + _long("cfin", "product_id, date")
 CONTRIBUTION_DAILY_BOOKINGS = _contrib_head(_B_ARGS) + _long("cfin", "product_id, date")
 _SUMS = ", ".join(f"sum({g}) as {g}" for g in _GROUPS)
@@ -698,12 +721,20 @@ CONTRIBUTION_ANNUAL = _contrib_head(_S_ARGS, (
 _WEEK = "cast(date_trunc('year', date) as date) + cast(floor((dayofyear(date) - 1) / 7) * 7 as integer)"
 CONTRIBUTION_WEEKLY = _contrib_head(_S_ARGS, (
     f"wk as (select product_id, {_WEEK} as week_commencing, {_SUMS} from cfin group by 1, 2)",)) + \
-    _long("wk", "product_id, week_commencing")
+    _long("wk", "product_id, week_commencing", value=_r_long)
 _BYP = f"bp as (select product_id, {_SUMS} from cfin group by product_id)"
 CONTRIBUTION_BY_PRODUCT = _contrib_head(_S_ARGS, (_BYP,)) + _long("bp", "product_id")
 CONTRIBUTION_BY_PRODUCT_BOOKINGS = _contrib_head(_B_ARGS, (_BYP,)) + _long("bp", "product_id")
 
 
+CONTRIBUTION_ROLLUPS = _contrib_head(_S_ARGS, (
+    f"ya as (select product_id, cast(year(date) as bigint) as year, {_SUMS} from cfin group by 1, 2)",
+    f"wk as (select product_id, {_WEEK} as week_commencing, {_SUMS} from cfin group by 1, 2)", _BYP)) + \
+    _long("ya", "product_id, 'year' as level, year, cast(null as date) as week_commencing", value=_r_long) + "\nunion all\n" + \
+    _long("wk", "product_id, 'week' as level, cast(null as bigint) as year, week_commencing", value=_r_long) + "\nunion all\n" + \
+    _long("bp", "product_id, 'product' as level, cast(null as bigint) as year, cast(null as date) as week_commencing", value=_r_long)
+
+
 def _share_sql(args) -> str:
     return _contrib_head(args, (_BYP, "lg as (" + _long("bp", "product_id", value=lambda g: g) + ")")) + f"""
 select product_id, driver_group, {r6('value')} as value, driver_order,

@@ -59,3 +59,17 @@ def test_by_product_and_share(spark, fitted):
         if r.s != 0:
             assert r.t == pytest.approx(r.s)
     assert share.select("driver_group").distinct().count() == 7
+
+
+def test_rollups_in_one_pass(spark):
+    models, scaled = R.fit(panel_drivers(spark, SF001), SESSIONS_SPEC)
+    args = (scaled, models, SESSIONS_SPEC)
+    rolled = C.contribution_rollups(*args)
+    plan = rolled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Expand") >= 1 and plan.count("FileScan") <= 2          # one design, one model table
+    found = {(r.product_id, r.level, r.year, r.week_commencing, r.driver_group): r.value for r in rolled.collect()}
+    want = {(r.product_id, "year", r.year, None, r.driver_group): r.value for r in C.contribution_annual(*args).collect()}
+    want |= {(r.product_id, "week", None, r.week_commencing, r.driver_group): r.value for r in C.contribution_weekly(*args).collect()}
+    want |= {(r.product_id, "product", None, None, r.driver_group): r.value for r in C.contribution_by_product(*args).collect()}
+    assert set(found) == set(want)
+    assert all((v is None and want[k] is None) or abs(v - want[k]) < 1e-8 * (1 + abs(v)) for k, v in found.items())

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -83,3 +84,27 @@ def test_bookings_fit_range(spark):
     models, scaled = R.fit(pdr, BOOKINGS_SPEC)
     assert scaled.agg(F.min("date")).first()[0] >= dt.date(1998, 1, 1)
     assert models.filter("status = 'ok'").count() > 0
+
+
+def test_residual_diagnostics_against_numpy(spark):
+    rng = np.random.default_rng(12)
+    spec = replace(SESSIONS_SPEC, terms=("day_friday", "consumer_confidence_index"), unscaled=("day_friday", "consumer_confidence_index"))
+    rows, want = [], {}
+    for pid in ("a", "b"):
+        x = np.column_stack([np.ones(60), rng.integers(0, 2, 60), rng.normal(size=60)])
+        noise = rng.normal(size=60) * (np.exp(x[:, 2]) if pid == "b" else 1)
+        noise = np.cumsum(noise) if pid == "a" else noise
+        y = x @ [5.0, 2.0, -1.0] + noise
+        e = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        u = e * e
+        g = u - x @ np.linalg.lstsq(x, u, rcond=None)[0]
+        r2 = 1 - (g @ g) / ((u - u.mean()) @ (u - u.mean()))
+        want[pid] = (np.diff(e) @ np.diff(e) / (e @ e), 60 * r2, (r2 / 2) / ((1 - r2) / 57))
+        rows += [(pid, dt.date(1999, 1, 1) + dt.timedelta(days=i), float(y[i]), float(x[i, 1]), float(x[i, 2])) for i in range(60)]
+    design = spark.createDataFrame(rows, "product_id string, date date, dep_var double, day_friday double, consumer_confidence_index double")
+    models = R.model_table(R.solve(R.gram(design, spec), spec), spec)
+    for r in R.residual_diagnostics(design, models, spec).collect():
+        assert (r.durbin_watson, r.breusch_pagan, r.bp_f) == pytest.approx(want[r.product_id], rel=1e-8)
+        assert 0 <= r.bp_p_value <= 1
+    got = {r.product_id: r for r in R.residual_diagnostics(design, models, spec).collect()}
+    assert got["a"].durbin_watson < 1 < got["b"].durbin_watson and got["b"].bp_p_value < 0.01
