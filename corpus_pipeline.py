@@ -17,8 +17,11 @@ from mixlens.llm.queries import SCORE_CUT, vocabulary_path
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: documents that score below the cut go."""
+    """Operator 1: documents that score below the cut go.  Without a single usable
+    label nothing speaks against any document, and all stay."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if model is None:
+        return docs
     scored = quality.score(docs.withColumnRenamed("score", "_score_in"), model)
     kept = scored.filter(F.col("score") >= SCORE_CUT).drop("score")
     return kept.withColumnRenamed("_score_in", "score").select(*docs.columns)
@@ -33,11 +36,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each group of linked documents the one with the smallest id stays."""
-    found = simhash.near_duplicates(docs, words=3, max_bits=3).select(
-        F.col("doc_id").alias("_dup_id"), "component_id")
-    first = found.filter(F.col("_dup_id").eqNullSafe(F.col("component_id"))).select("_dup_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_dup_id"]), "left_semi").select(*docs.columns)
+    """Operator 8: of each group of linked rows the one with the smallest id stays (a
+    NULL id comes last).  Rows are told apart by number, so of rows repeated with
+    the same id, or without one, a single one stays too."""
+    rows = stored(docs.withColumn("_near_row", F.monotonically_increasing_id()))
+    found = simhash.near_duplicates(rows, words=3, max_bits=3, id_col="_near_row").select("_near_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_near_row"))
+    first = found.join(rows.select("_near_row", order.alias("order")), "_near_row").groupBy("component_id").agg(
+        F.min("order").alias("least")).select(F.col("least._near_row").alias("_near_row"))
+    return rows.join(first, "_near_row", "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
