@@ -147,3 +147,21 @@ def test_pipeline_edges(spark, frame):
         assert out.columns == docs.columns
         out.collect()
     corpus_pipeline.pack(spark, docs, DATA).collect()
+
+
+def test_pipeline_keeps_one_of_repeated_rows_and_all_without_labels(spark, tmp_path):
+    long = " ".join(f"word{i} stands here" for i in range(60))
+    other = " ".join(f"quite another sentence number {i}" for i in range(60))
+    rows = [(7, long, 1), (7, long, 2), (3, long + " end", 3), (None, other, 4), (None, other, 5), (None, "alone " * 40, 6), (9, other, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, keys int").repartition(3)
+    kept = sorted(((r.doc_id, r["keys"]) for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()), key=repr)
+    assert kept == [(3, 3), (9, 7), (None, 6)]
+    # one of two rows alike in everything but a further column, and of two without an id
+    kept = corpus_pipeline.near_duplicates(spark, docs.filter("keys in (1, 2, 4, 5)"), DATA).collect()
+    assert sorted(r["keys"] in (1, 2) for r in kept) == [False, True]
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.quality_filter(spark, docs, str(tmp_path)).count() == len(rows)
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    # repeated lines go in the line stage, so which near copies remain is that stage's doing; no document is lost for want of labels
+    assert packed.count() >= 3
