@@ -45,6 +45,7 @@ class ModelSpec:
     weekend_days: tuple[str, str, str] = ("Friday", "Saturday", "Sunday")
     unscaled: tuple[str, ...] = ("tv_adstock",)
     impute: bool = False   # interpolate missing scaled terms by row position before fitting (W8)
+    tv_on_null: str = "zero"   # 'propagate': after the first unknown TV value the adstock stays unknown (W1)
 
     @property
     def all_terms(self) -> tuple[str, ...]:
@@ -87,13 +88,20 @@ def compat_spec(spec: ModelSpec) -> ModelSpec:
     return replace(spec, weekend_days=("Wednesday", "Saturday", "Sunday"))
 
 
-# the single 'Total' sessions model fills missing scaled terms by interpolation first
+# the single 'Total' models fill missing scaled terms by interpolation first
 TOTAL_SPEC = replace(SESSIONS_SPEC, impute=True)
+TOTAL_BOOKINGS_SPEC = replace(BOOKINGS_SPEC, impute=True)
+
+
+def strict_spec(spec: ModelSpec) -> ModelSpec:
+    """The plain recursion: an unknown TV value makes every later adstock of the series unknown."""
+    return replace(spec, tv_on_null="propagate")
 
 
 def _derive(df: DataFrame, spec: ModelSpec, by) -> DataFrame:
     """Window-derived and row-derived raw terms (shared by fit and horizon)."""
-    df = S.adstock(df, "tv_ad_reach", spec.adstock_rate, by=by, order=DATE, out="tv_adstock_raw")
+    df = S.adstock(df, "tv_ad_reach", spec.adstock_rate, by=by, order=DATE, out="tv_adstock_raw",
+                   on_null=spec.tv_on_null)
     df = S.rolling_mean_right(df, "exchange_rate", spec.fx_window, by=by, order=DATE,
                               out="exchange_rate_moving_av")
     return _derive_rows(df, spec)
@@ -173,6 +181,8 @@ def horizon_features_blocks(meta_onehot: DataFrame, spec: ModelSpec, horizon_fro
                             terms: tuple[str, ...] | None = None, chunk: int = L.CHUNK) -> DataFrame:
     """M18 with scale='horizon' for a driver series larger than a task (sub-daily
     rows): the same features by blocks and a scan over blocks."""
+    if spec.tv_on_null != "zero":
+        raise ValueError("horizon_features_blocks: tv_on_null='zero' only")
     terms = terms or spec.terms
     df = L.lay_out(meta_onehot, DATE, chunk)
     df = L.adstock(df, "tv_ad_reach", spec.adstock_rate, out="tv_adstock_raw", chunk=chunk)

@@ -189,6 +189,8 @@ class MomentStore:
     """The folder of one spec's moments and state (shared storage on a cluster)."""
 
     def __init__(self, spark: SparkSession, path: str, spec: ModelSpec):
+        if spec.tv_on_null != "zero":
+            raise ValueError("MomentStore: tv_on_null='zero' only")
         self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
 
     def batches(self) -> list[str]:

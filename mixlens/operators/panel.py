@@ -86,12 +86,33 @@ def event_dummy(df: DataFrame, name: str, dates: Sequence[_dt.date | str], date:
     return out.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
 
 
+def with_market(panel: DataFrame, markets: DataFrame, key: str = "product_id", market: str = "market",
+                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The panel with each series' market from ``markets`` (key, market), one row per
+    series; a series without one keeps its rows with a NULL market.  The table grows
+    with the series, so it is broadcast only after a checked count."""
+    one = markets.groupBy(key).agg(F.min(market).alias(market))
+    return panel.join(bounded_broadcast(one, max_rows), on=key, how="left")
+
+
+def lead_product(panel: DataFrame, measure: str = "sessions", key: str = "product_id") -> DataFrame:
+    """The series with the largest total of ``measure``, one row (ties: the smaller id)."""
+    totals = panel.groupBy(key).agg(F.sum(measure).alias("total"))
+    return totals.orderBy(F.desc_nulls_last("total"), F.asc(key)).limit(1)
+
+
 def daily_totals(panel: DataFrame, date: str = "date",
                  measures: Sequence[str] = ("sessions", "bookings")) -> DataFrame:
     """A2 sum of each measure per date."""
     return panel.groupBy(date).agg(*[F.sum(m).alias(m) for m in measures])
 
 
+def daily_conversion_long(panel: DataFrame, date: str = "date") -> DataFrame:
+    """V2 long: (date, metric, value) of both sums and of their ratio; a day without
+    sessions keeps its row with a NULL rate."""
+    return to_long(daily_conversion(panel, date), [date], ["sessions", "bookings", "conv_rate"])
+
+
 def daily_conversion(panel: DataFrame, date: str = "date") -> DataFrame:
     """V2 / A5 per-date sums and the conversion rate as a ratio OF SUMS."""
     d = daily_totals(panel, date)

@@ -26,12 +26,16 @@ def meta(spark: SparkSession, sf_dir: str, materialise: bool = False) -> DataFra
 
 
 def panel_drivers(spark: SparkSession, sf_dir: str, total: bool = False,
-                  materialise: bool = False, drivers: DataFrame | None = None) -> DataFrame:
+                  materialise: bool = False, drivers: DataFrame | None = None,
+                  products: list[str] | None = None) -> DataFrame:
     """Training panel (optionally with the Total layer) joined to the drivers,
     one-hot weather.  ``materialise`` writes it once to the checkpoint folder
     for plans that read it more than once (e.g. two model fits); ``drivers``
-    passes in a driver series the caller already materialised."""
+    passes in a driver series the caller already materialised; ``products`` keeps
+    the listed series alone (P7)."""
     p = panel_train(spark, sf_dir)
+    if products is not None:
+        p = P.filter_products(p, products)
     if total:
         p = P.with_total(p)
     if drivers is None:

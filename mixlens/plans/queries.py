@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixlens.functions.scalar import weekday_flag, date_in, power_col, log1p_col
@@ -25,6 +25,7 @@ from mixlens.operators import series as S
 from mixlens.operators.features import (
     KEY, DATE, SESSIONS_SPEC, BOOKINGS_SPEC, ADSTOCK_RATE, FX_WINDOW, SMOOTH_WINDOW, DECAY_RATES,
     CHRISTMAS, features, build_design, driver_overlay as _overlay, compat_spec, TOTAL_SPEC, horizon_features_blocks,
+    strict_spec, TOTAL_BOOKINGS_SPEC,
 )
 from mixlens.plans import sql as Q
 from mixlens.plans.score import score
@@ -32,7 +33,7 @@ from mixlens.plans.context import panel, panel_train, meta, panel_drivers, total
 from mixlens.operators.increments import MomentStore
 from mixlens.session import cut_lineage, scratch_path
 from mixlens.sources import io as IO
-from mixlens.sources.tables import read_table, variable_groupings
+from mixlens.sources.tables import product_markets, read_table, variable_groupings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +65,11 @@ def daily_conversion(spark, sf):
     return rounded(P.daily_conversion(panel(spark, sf)))
 
 
+@register("daily_conversion_long", Q.DAILY_CONVERSION_LONG)
+def daily_conversion_long(spark, sf):
+    return rounded(P.daily_conversion_long(panel(spark, sf)))
+
+
 @register("product_series_long", Q.PRODUCT_SERIES_LONG)
 def product_series_long(spark, sf):
     return P.to_long(panel(spark, sf), [KEY, DATE], ["sessions", "bookings"])
@@ -143,6 +149,19 @@ def event_dummy(spark, sf):
     return P.event_dummy(panel_train(spark, sf), "xmas", CHRISTMAS).select(KEY, DATE, "xmas")
 
 
+# a campaign of three markets on two days a year
+EVENT_DAYS = tuple(f"{y}-{d}" for y in range(1995, 2000) for d in ("05-01", "11-27"))
+EVENT_MARKETS = ("NATION_3", "NATION_7", "NATION_12")
+
+
+@register("event_dummy_market", Q.EVENT_DUMMY_MARKET)
+def event_dummy_market(spark, sf):
+    """J5 an event on given dates in given markets only: flag joined on date and market."""
+    d = P.with_market(panel_train(spark, sf), product_markets(spark, sf))
+    d = P.event_dummy(d, "campaign", EVENT_DAYS, market_col="market", markets=EVENT_MARKETS)
+    return d.select(KEY, DATE, "market", "campaign")
+
+
 # ---------------------------------------------------------------- series windows
 @register("adstock_tv", Q.ADSTOCK_TV)
 def adstock_tv(spark, sf):
@@ -255,6 +274,13 @@ def features_sessions_compat(spark, sf):
     return rounded(features(panel_drivers(spark, sf), compat_spec(SESSIONS_SPEC)))
 
 
+@register("features_sessions_strict", Q.FEATURES_SESSIONS_STRICT)
+def features_sessions_strict(spark, sf):
+    """W1 / M1 with days of no TV reach unknown rather than 0, and the plain recursion."""
+    unknown = meta(spark, sf).withColumn("tv_ad_reach", F.nullif("tv_ad_reach", F.lit(0.0)))
+    return rounded(features(panel_drivers(spark, sf, drivers=cut_lineage(unknown)), strict_spec(SESSIONS_SPEC)))
+
+
 @register("features_horizon", Q.FEATURES_HORIZON)
 def features_horizon(spark, sf):
     return rounded(FC.horizon_frame(meta(spark, sf), (SESSIONS_SPEC, BOOKINGS_SPEC), scale="horizon"))
@@ -366,8 +392,15 @@ def ols_total(spark, sf):
     return rounded(_coef_long(models))
 
 
-def _fit_total(spark, sf):
-    return R.fit(total_drivers(spark, sf), TOTAL_SPEC)
+@register("ols_total_bookings", Q.OLS_TOTAL_BOOKINGS)
+def ols_total_bookings(spark, sf):
+    """The Total series' bookings: scaled on the whole range, fitted on the later years."""
+    models, _ = R.fit(total_drivers(spark, sf), TOTAL_BOOKINGS_SPEC, keep_design=False)
+    return rounded(_coef_long(models))
+
+
+def _fit_total(spark, sf, spec=TOTAL_SPEC):
+    return R.fit(total_drivers(spark, sf), spec)
 
 
 @register("contribution_total_daily", Q.CONTRIBUTION_TOTAL_DAILY)
@@ -383,6 +416,18 @@ def contribution_total_annual(spark, sf):
     return rounded(C.contribution_annual(scaled, models, TOTAL_SPEC))
 
 
+@register("contribution_total_daily_bookings", Q.CONTRIBUTION_TOTAL_DAILY_BOOKINGS)
+def contribution_total_daily_bookings(spark, sf):
+    models, scaled = _fit_total(spark, sf, TOTAL_BOOKINGS_SPEC)
+    return rounded(C.contribution_daily(scaled, models, TOTAL_BOOKINGS_SPEC))
+
+
+@register("contribution_total_annual_bookings", Q.CONTRIBUTION_TOTAL_ANNUAL_BOOKINGS)
+def contribution_total_annual_bookings(spark, sf):
+    models, scaled = _fit_total(spark, sf, TOTAL_BOOKINGS_SPEC)
+    return rounded(C.contribution_annual(scaled, models, TOTAL_BOOKINGS_SPEC))
+
+
 @register("fit_summary", Q.FIT_SUMMARY)
 def fit_summary(spark, sf):
     models, scaled = _fit(spark, sf, SESSIONS_SPEC)
@@ -539,9 +584,9 @@ def answer_sheet(spark, sf):
 
 
 # ---------------------------------------------------------------- forecast
-def _forecast(spark, sf, scale="train"):
+def _forecast(spark, sf, scale="train", products=None):
     drivers = meta(spark, sf, materialise=True)   # read by the panel join and by the horizon
-    pdr = panel_drivers(spark, sf, materialise=True, drivers=drivers)
+    pdr = panel_drivers(spark, sf, materialise=True, drivers=drivers, products=products)
     ms, _ = R.fit(pdr, SESSIONS_SPEC, keep_design=False)
     mb, _ = R.fit(pdr, BOOKINGS_SPEC, keep_design=False)
     return FC.forecast({"sessions": (ms, SESSIONS_SPEC), "bookings": (mb, BOOKINGS_SPEC)}, drivers, scale)
@@ -582,16 +627,38 @@ def actual_plus_forecast(spark, sf):
     return rounded(FC.actual_plus_forecast(panel_train(spark, sf), _forecast(spark, sf)))
 
 
+def _lead(spark, sf) -> list[str]:
+    """The id of the series with the most sessions (none in an empty table)."""
+    return [r[KEY] for r in P.lead_product(panel_train(spark, sf)).collect()]
+
+
+@register("one_product_view", Q.ONE_PRODUCT_VIEW)
+def one_product_view(spark, sf):
+    """O4 / P7 actuals and forecast of one series: only its rows are fitted and scored."""
+    ids = _lead(spark, sf)
+    return rounded(FC.actual_plus_forecast(P.filter_products(panel_train(spark, sf), ids), _forecast(spark, sf, products=ids)))
+
+
+@register("one_product_overlay", Q.ONE_PRODUCT_OVERLAY)
+def one_product_overlay(spark, sf):
+    """M21 / P7 target and one driver side by side for one series."""
+    design = build_design(panel_drivers(spark, sf, products=_lead(spark, sf)), SESSIONS_SPEC)
+    return rounded(_overlay(design, "tv_adstock"))
+
+
 # ---------------------------------------------------------------- transform search
 @register("transform_grid", Q.TRANSFORM_GRID)
 def transform_grid(spark, sf):
     """M22 candidate adstock rates per product, ranked by the R^2 of a one-term fit."""
     d = panel_drivers(spark, sf).select(KEY, DATE, "sessions", "tv_ad_reach")
-    long = S.adstock_rates(d, "tv_ad_reach", DECAY_RATES, by=KEY, order=DATE, out="adstock")
-    long = long.withColumn("x", F.log1p("adstock")).withColumn("y", F.col("sessions").cast("double"))
-    g = long.groupBy(KEY, "rate").agg(F.regr_r2("y", "x").alias("r_squared"),
-                                      F.regr_slope("y", "x").alias("slope"))
-    from pyspark.sql import Window
+    for i, rate in enumerate(DECAY_RATES):
+        d = S.adstock(d, "tv_ad_reach", rate, by=KEY, order=DATE, out=f"adstock_{i}")
+    # every rate's sums in one aggregate of the products' rows; only its result is unpivoted
+    d = d.select(KEY, F.col("sessions").cast("double").alias("y"), *[F.log1p(f"adstock_{i}").alias(f"x{i}") for i in range(len(DECAY_RATES))])
+    sums = d.groupBy(KEY).agg(*[F.struct(F.lit(rate).alias("rate"), F.regr_r2("y", f"x{i}").alias("r_squared"),
+                                         F.regr_slope("y", f"x{i}").alias("slope")).alias(f"f{i}")
+                                for i, rate in enumerate(DECAY_RATES)])
+    g = sums.select(KEY, F.explode(F.array(*[f"f{i}" for i in range(len(DECAY_RATES))])).alias("f")).select(KEY, "f.*")
     w = Window.partitionBy(KEY).orderBy(F.desc_nulls_last("r_squared"), F.asc("rate"))
     return rounded(g.withColumn("rank", F.row_number().over(w).cast("bigint")), keep=("rate",))
 

@@ -72,8 +72,9 @@ def with_(*ctes: str, recursive: bool = False) -> str:
 
 
 def adstock_ctes(src: str, x: str, rate_sql: str = "0.8", keys: str = "product_id",
-                 rates: tuple[float, ...] | None = None, pre: str = "ad") -> list[str]:
-    """Exact recursion a_1 = x_1, a_i = x_i + r a_(i-1) per key, in date order.
+                 rates: tuple[float, ...] | None = None, pre: str = "ad", strict: bool = False) -> list[str]:
+    """Exact recursion a_1 = x_1, a_i = x_i + r a_(i-1) per key, in date order
+    (a missing x is 0; with ``strict`` it stays missing, and all after it).
     Produces CTE ``{pre}_rows`` (keys, [rate,] date, rn, a)."""
     key_list = [k.strip() for k in keys.split(",")]
     if rates:
@@ -84,7 +85,7 @@ def adstock_ctes(src: str, x: str, rate_sql: str = "0.8", keys: str = "product_i
         k2 = key_list + ["rate"]
         rate_expr = "s.rate"
     else:
-        base = (f"{pre}_src as materialized (select {keys}, date, coalesce({x}, 0) as x, "
+        base = (f"{pre}_src as materialized (select {keys}, date, {x if strict else f'coalesce({x}, 0)'} as x, "
                 f"row_number() over (partition by {keys} order by date) as rn from {src})")
         k2 = key_list
         rate_expr = rate_sql
@@ -110,6 +111,11 @@ select date, cast(sum(sessions) as bigint) as sessions, cast(sum(bookings) as bi
        {r6('cast(sum(bookings) as double) / nullif(cast(sum(sessions) as double), 0)')} as conv_rate
 from product_series group by date"""
 
+DAILY_CONVERSION_LONG = with_(PANEL, """d as (select date, cast(sum(sessions) as double) as s, cast(sum(bookings) as double) as b
+  from product_series group by date)""") + f"""
+select date, 'sessions' as metric, s as value from d union all select date, 'bookings', b from d
+union all select date, 'conv_rate', {r6('b / nullif(s, 0)')} from d"""
+
 PRODUCT_SERIES_LONG = with_(PANEL) + """
 select product_id, date, 'sessions' as metric, cast(sessions as double) as value from product_series
 union all select product_id, date, 'bookings' as metric, cast(bookings as double) as value from product_series"""
@@ -164,6 +170,14 @@ _XMAS = ", ".join(f"date '{y}-12-25'" for y in range(1995, 2000))
 EVENT_DUMMY = with_(PANEL, TRAIN) + f"""
 select product_id, date, case when date in ({_XMAS}) then {D1} else {D0} end as xmas from panel_train"""
 
+_CAMPAIGN = ", ".join(f"date '{y}-{d}'" for y in range(1995, 2000) for d in ("05-01", "11-27"))
+EVENT_DUMMY_MARKET = with_(PANEL, TRAIN, """markets as (
+  select cast(s_suppkey as varchar) as product_id, min(n_name) as market
+  from supplier left join nation on s_nationkey = n_nationkey group by 1)""") + f"""
+select p.product_id, date, market,
+  case when date in ({_CAMPAIGN}) and market in ('NATION_3', 'NATION_7', 'NATION_12') then {D1} else {D0} end as campaign
+from panel_train p left join markets m on p.product_id = m.product_id"""
+
 # ------------------------------------------------------------------ series windows
 ADSTOCK_TV = with_(PANEL, META, TRAIN, DRIVERS, *adstock_ctes("panel_drivers", "tv_ad_reach"),
                    recursive=True) + f"select product_id, date, {r6('a')} as tv_adstock from ad_rows"
@@ -281,10 +295,10 @@ def _raw_select(friday_dow: int = 5) -> str:
        better_than_average_weather_days, worse_than_average_weather_days"""
 
 
-def design_ctes(friday_dow: int = 5, src: str = "panel_drivers") -> list[str]:
+def design_ctes(friday_dow: int = 5, src: str = "panel_drivers", strict: bool = False) -> list[str]:
     """CTE ``raw_design``: unscaled design rows of the product fits (date <= train end)."""
     return [
-        *adstock_ctes(src, "tv_ad_reach"),
+        *adstock_ctes(src, "tv_ad_reach", strict=strict),
         f"""f1 as (select d.*, r.a, r.rn,
   avg(d.exchange_rate) over (partition by d.product_id order by d.date rows between 9 preceding and current row) as fx_m
   from {src} d join ad_rows r on d.product_id = r.product_id and d.date = r.date)""",
@@ -311,6 +325,12 @@ FEATURES_BOOKINGS = _feature_sql("bookings", BOOKINGS_TERMS, "1998-01-01")
 # the reference's literal set-up flags Wednesday (DuckDB dayofweek 3) as 'Friday'
 FEATURES_SESSIONS_COMPAT = _feature_sql("sessions", SESSIONS_TERMS, None, friday_dow=3)
 
+FEATURES_SESSIONS_STRICT = with_(
+    PANEL, META.replace("meta_series as", "known_series as", 1),
+    "meta_series as (select * replace (nullif(tv_ad_reach, 0) as tv_ad_reach) from known_series)",
+    TRAIN, DRIVERS, *design_ctes(strict=True), scaled_cte(SESSIONS_TERMS, None), recursive=True) + \
+    "select product_id, date, " + ", ".join(r6(c) + f" as {c}" for c in ("dep_var",) + SESSIONS_TERMS) + " from scaled"
+
 _H_TERMS = tuple(dict.fromkeys(SESSIONS_TERMS + BOOKINGS_TERMS))
 
 
@@ -922,28 +942,42 @@ def _interp_cte(terms, src: str, name: str) -> list[str]:
             f"{name} as (select product_id, date, dep_var, tv_adstock, {fill} from {name}1)"]
 
 
-OLS_TOTAL = with_(PANEL, META, TRAIN, TRAIN_TOTAL, drivers("panel_train_total"),
-                  "tot_drivers as (select * from panel_drivers where product_id = 'Total')",
-                  *design_ctes(src="tot_drivers"), scaled_cte(SESSIONS_TERMS, None, target="sessions"),
-                  *_interp_cte(SESSIONS_TERMS, "scaled", "filled"), *ols_ctes(SESSIONS_TERMS, "filled", "o"),
-                  recursive=True) + "\nunion all\n".join(
-    f"select 'sessions' as target, product_id, status, rank, n, cast({i} as integer) as term_index, "
-    f"'{t}' as term, {r6(f'beta_{i}')} as estimate from om" for i, t in enumerate(("intercept",) + SESSIONS_TERMS))
+def _ols_total_sql(args) -> str:
+    target, terms, fit_from = args
+    return with_(PANEL, META, TRAIN, TRAIN_TOTAL, drivers("panel_train_total"),
+                 "tot_drivers as (select * from panel_drivers where product_id = 'Total')",
+                 *design_ctes(src="tot_drivers"), scaled_cte(terms, fit_from, target=target),
+                 *_interp_cte(terms, "scaled", "filled"), *ols_ctes(terms, "filled", "o"),
+                 recursive=True) + "\nunion all\n".join(
+        f"select '{target}' as target, product_id, status, rank, n, cast({i} as integer) as term_index, "
+        f"'{t}' as term, {r6(f'beta_{i}')} as estimate from om" for i, t in enumerate(("intercept",) + terms))
+
+
+OLS_TOTAL = _ols_total_sql(_S_ARGS)
+OLS_TOTAL_BOOKINGS = _ols_total_sql(_B_ARGS)
 
 FORECAST_PREVIEW = _forecast_sql("train") + f"""
 select product_id, date, {r6('sessions')} as sessions, {r6('bookings')} as bookings from fw
 order by product_id, date limit 6"""
 
 
-def _total_head(extra=()) -> str:
+def _total_head(args, extra=()) -> str:
+    target, terms, fit_from = args
     return with_(PANEL, META, TRAIN, TRAIN_TOTAL, drivers("panel_train_total"),
                  "tot_drivers as (select * from panel_drivers where product_id = 'Total')",
-                 *design_ctes(src="tot_drivers"), scaled_cte(SESSIONS_TERMS, None, name="zdesign", target="sessions"),
-                 *_interp_cte(SESSIONS_TERMS, "zdesign", "scaled"), *ols_ctes(SESSIONS_TERMS, "scaled", "o"),
-                 *_contrib_ctes(SESSIONS_TERMS), *extra, recursive=True)
-
-
-CONTRIBUTION_TOTAL_DAILY = _total_head() + _long("cfin", "product_id, date")
-CONTRIBUTION_TOTAL_ANNUAL = _total_head((
-    f"ya as (select product_id, cast(year(date) as bigint) as year, {_SUMS} from cfin group by 1, 2)",)) + \
-    _long("ya", "product_id, year")
+                 *design_ctes(src="tot_drivers"), scaled_cte(terms, fit_from, name="zdesign", target=target),
+                 *_interp_cte(terms, "zdesign", "scaled"), *ols_ctes(terms, "scaled", "o"),
+                 *_contrib_ctes(terms), *extra, recursive=True)
+
+
+_BY_YEAR = f"ya as (select product_id, cast(year(date) as bigint) as year, {_SUMS} from cfin group by 1, 2)"
+CONTRIBUTION_TOTAL_DAILY = _total_head(_S_ARGS) + _long("cfin", "product_id, date")
+CONTRIBUTION_TOTAL_ANNUAL = _total_head(_S_ARGS, (_BY_YEAR,)) + _long("ya", "product_id, year")
+CONTRIBUTION_TOTAL_DAILY_BOOKINGS = _total_head(_B_ARGS) + _long("cfin", "product_id, date")
+CONTRIBUTION_TOTAL_ANNUAL_BOOKINGS = _total_head(_B_ARGS, (_BY_YEAR,)) + _long("ya", "product_id, year")
+
+# ---- one series alone: the one with the most sessions
+_LEAD = ("(select product_id from (select cast(l_suppkey as varchar) as product_id, sum(l_quantity) as total from lineitem "
+         "where cast(l_shipdate as date) <= date '1999-12-31' group by 1) order by total desc, product_id limit 1)")
+ONE_PRODUCT_VIEW = f"select * from ({ACTUAL_PLUS_FORECAST}) where product_id = {_LEAD}"
+ONE_PRODUCT_OVERLAY = f"select * from ({DRIVER_OVERLAY}) where product_id = {_LEAD}"

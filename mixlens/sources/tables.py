@@ -36,6 +36,13 @@ def product_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def product_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(product_id, market): a series' market is its supplier's nation."""
+    s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("product_id"), "s_nationkey")
+    n = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("market"))
+    return s.join(n, on="s_nationkey", how="left").select("product_id", "market")
+
+
 def meta_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     price = F.col("o_totalprice")

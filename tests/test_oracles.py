@@ -28,7 +28,9 @@ FAMILY = ["total_layer", "panel_with_drivers", "event_dummy", "adstock_multi_rat
           "centered_mean_extend", "interpolated_fx", "features_bookings", "features_horizon", "gram_by_product",
           "ols_total", "coef_table", "contribution_weekly", "contribution_share", "segment_features",
           "forecast_horizon_scaled", "transform_grid", "product_stats", "fit_summary", "fit_status", "transform_search",
-          "elbow", "product_groupings", "long_series", "residual_diagnostics", "csv_rejects"]
+          "elbow", "product_groupings", "long_series", "residual_diagnostics", "csv_rejects",
+          "daily_conversion_long", "event_dummy_market", "features_sessions_strict", "ols_total_bookings",
+          "contribution_total_annual_bookings", "one_product_view", "one_product_overlay"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("MIXLENS_ALL_ORACLES") else FAMILY
 
 
