@@ -3,14 +3,24 @@
 Each message is parsed into its own text and its quoted passages by nesting
 level (lines that begin with ``>`` signs, an attribution line above them goes
 with them).  Normalised passages, and their lines, are hashed and joined to the
-hashes of what earlier messages wrote themselves: whole texts, paragraphs and
-lines, each hash reduced to its first message (of the conversation, and of the
-table) before the join, so a phrase that everybody writes meets one row.  Parts
+hashes of what other messages wrote themselves: whole texts, paragraphs and
+lines, each hash reduced before the join to its first message of the
+conversation and to those of the smallest and the largest conversation of the
+table, so a phrase that everybody writes meets one row.  The original is the
+first earlier message of the own conversation that wrote it, else that of the
+smallest conversation, or of the largest where the own one is the smallest.  Parts
 shorter than ``LEAST_CHARS`` are matched inside the conversation only.  A
 message answers the message of which it quotes most at level 1, else at the
-next deeper level that an earlier message wrote, else the one before it in its
-conversation.  Conversations joined by quotation form one
-thread, ordered so that every answer follows what it answers.
+next deeper level that another message wrote (equally much: the smaller conversation,
+then turn), else the one before it in its conversation.
+
+Answers so found may run in a circle through several conversations.  Pointer
+doubling over the conversations that quote each other finds the circles; in each,
+the quotation of its smallest (conversation, turn) is dropped and the message
+answers the one before it, until no circle is left.  Conversations joined by
+quotation form one thread.  A thread of several conversations is ordered by
+reply depth, then conversation and turn, a single conversation by turn; so
+every answer follows what it answers.
 
 Defined results: NULL text counts as empty; a message with NULL conversation
 or turn stands alone (no thread, parent or position); rows that repeat
@@ -22,7 +32,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixlens.llm.common import stored
@@ -112,24 +122,28 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def quoted_parents(parts: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent_conv, parent_turn): per message with a quote that an
-    earlier message wrote, the one from which it quotes most at the first level
+    """(conv_id, turn, parent_conv, parent_turn): per message with a quote that
+    another message wrote, the one from which it quotes most at the first level
     that has any."""
     wrote = (parts.select("conv_id", "turn", F.explode("units").alias("u"))
              .select("conv_id", "turn", F.col("u.hash").alias("hash"), F.col("u.size").alias("size")))
     here = wrote.groupBy("conv_id", "hash").agg(F.min("turn").alias("here_turn"))
-    anywhere = wrote.filter(F.col("size") >= LEAST_CHARS).groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("any"))
+    place = F.struct("conv_id", "turn")
+    anywhere = (wrote.filter(F.col("size") >= LEAST_CHARS).groupBy("hash")
+                .agg(F.min(place).alias("first"), F.max(F.struct("conv_id", (-F.col("turn")).alias("t"))).alias("last")))
     quotes = (parts.select("conv_id", "turn", F.explode("passages").alias("q"))
               .select("conv_id", "turn", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"),
                       F.col("q.size").alias("size"))
               .groupBy("conv_id", "turn", "level", "hash").agg(F.max("size").alias("size")))
     met = quotes.join(here, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
     own = F.when(F.col("here_turn") < F.col("turn"), F.struct("conv_id", F.col("here_turn").alias("turn")))
-    other = F.when((F.col("any.conv_id") < F.col("conv_id")), F.col("any"))
+    other = (F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first"))
+             .when(F.col("last.conv_id") != F.col("conv_id"),
+                   F.struct(F.col("last.conv_id").alias("conv_id"), (-F.col("last.t")).alias("turn"))))
     source = met.withColumn("source", F.coalesce(own, other)).filter(F.col("source").isNotNull())
     votes = source.groupBy("conv_id", "turn", "level", "source").agg(F.sum("size").alias("size"))
     best = votes.groupBy("conv_id", "turn").agg(
-        F.max(F.struct((-F.col("level")).alias("l"), "size", F.col("source.conv_id").alias("c"), F.col("source.turn").alias("t"))).alias("best"))
+        F.min(F.struct("level", (-F.col("size")).alias("s"), F.col("source.conv_id").alias("c"), F.col("source.turn").alias("t"))).alias("best"))
     return best.select("conv_id", "turn", F.col("best.c").alias("parent_conv"), F.col("best.t").alias("parent_turn"))
 
 
@@ -148,6 +162,52 @@ def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
             .drop("_at", "_part", "_first", "_shift"))
 
 
+def _message(conv: str = "conv_id", turn: str = "turn") -> Column:
+    return F.when(F.col(conv).isNotNull(), F.struct(F.col(conv).alias("conv_id"), F.col(turn).alias("turn")))
+
+
+def reply_depths(parents: DataFrame) -> DataFrame:
+    """(node, up, depth, low) from (node, parent), by pointer doubling: ``up`` is NULL
+    and ``depth`` the number of answers up to the root, unless the way up ends in a
+    circle; there ``low``, the least node on the way, is the node itself for the
+    least node of the circle alone.  Rounds: log2 of the longest way."""
+    now = stored(parents.select("node", F.col("parent").alias("up"), F.col("parent").alias("low"),
+                                F.col("parent").isNotNull().cast("bigint").alias("depth")))
+    reach, before = 1, None
+    while True:
+        left = now.filter(F.col("up").isNotNull()).count()
+        # a round that ends no way leaves only ways into circles, none longer than their nodes
+        if not left or (left == before and reach >= left):
+            return now
+        before, reach = left, reach * 2
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("low").alias("_low"), F.col("depth").alias("_depth"))
+        moved = now.filter(F.col("up").isNotNull()).join(above, "up").select(
+            "node", F.col("_up").alias("up"), F.least("low", "_low").alias("low"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        now = stored(now.filter(F.col("up").isNull()).select("node", "up", "low", "depth").unionAll(moved))
+
+
+def without_circles(links: DataFrame, default: DataFrame):
+    """``links`` (conv_id, turn, parent_conv, parent_turn) less the quotations that close
+    a circle, and (node, depth) of the messages whose conversations quote each other
+    (None where none do).  ``default``: (conv_id, turn, _previous) of every message.
+
+    The least node of a circle answers another conversation: any answer inside its
+    own goes to a smaller turn.  Each round drops at least one link, so the rounds end."""
+    while True:
+        cross = links.filter(F.col("conv_id") != F.col("parent_conv"))
+        if cross.isEmpty():
+            return links, None
+        linked = cross.select("conv_id").unionAll(cross.select(F.col("parent_conv").alias("conv_id"))).distinct()
+        nodes = (default.join(linked, "conv_id", "left_semi").join(links, ["conv_id", "turn"], "left")
+                 .withColumn("_conv", F.when(F.col("_previous").isNotNull(), F.col("conv_id")))
+                 .select(_message().alias("node"), F.coalesce(_message("parent_conv", "parent_turn"), _message("_conv", "_previous")).alias("parent")))
+        found = reply_depths(nodes)
+        closing = found.filter(F.col("up").isNotNull() & (F.col("low") == F.col("node"))).select("node.conv_id", "node.turn")
+        if closing.isEmpty():
+            return links, found.select("node", "depth")
+        links = stored(links.join(closing, ["conv_id", "turn"], "left_anti"))
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, text (without quotes), n_quoted_lines,
     max_level, parent_conv, parent_turn, quoted (the parent was found by its
@@ -156,26 +216,27 @@ def conversations(messages: DataFrame) -> DataFrame:
     shown = ["conv_id", "turn", "role", "own", "max_level", "n_quoted_lines"]
     inside = parts.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     links = stored(quoted_parents(inside))
-    threads = components(links.filter(F.col("conv_id") != F.col("parent_conv"))
-                         .select(F.col("conv_id").alias("a"), F.col("parent_conv").alias("b")))
     placed = stored(numbered(inside.select(*shown), "conv_id", ["turn", "role", "own"]))
     # the message before, as the default parent: the last turn that differs
     turns = placed.groupBy("conv_id", "turn").agg(F.min("place").alias("_first"), F.max("place").alias("_last"))
     previous = turns.select("conv_id", F.col("turn").alias("_previous"), (F.col("_last") + 1).alias("_first"))
-    default = turns.join(previous, ["conv_id", "_first"], "left").select("conv_id", "turn", "_previous")
-    # whole conversations follow each other in a thread, so places only shift
-    sizes = placed.groupBy("conv_id").agg(F.count("*").alias("_n")).join(
-        threads.select(F.col("node").alias("conv_id"), "component"), "conv_id", "left")
-    sizes = sizes.withColumn("thread_id", F.coalesce("component", "conv_id"))
-    before = Window.partitionBy("thread_id").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("conv_id", "thread_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    linked = (placed.join(default, ["conv_id", "turn"]).join(links, ["conv_id", "turn"], "left")
-              .join(sizes, "conv_id")
+    default = stored(turns.join(previous, ["conv_id", "_first"], "left").select("conv_id", "turn", "_previous"))
+    links, depths = without_circles(links, default)
+    ordered = placed.withColumn("thread_id", F.col("conv_id"))
+    if depths is not None:
+        threads = stored(components(links.filter(F.col("conv_id") != F.col("parent_conv"))
+                                    .select(F.col("conv_id").alias("a"), F.col("parent_conv").alias("b")))
+                         .select(F.col("node").alias("conv_id"), F.col("component").alias("thread_id")))
+        joined = (placed.drop("place").join(threads, "conv_id")
+                  .join(depths.select("node.conv_id", "node.turn", "depth"), ["conv_id", "turn"]))
+        joined = numbered(joined, "thread_id", ["depth", "conv_id", "turn", "role", "own"])
+        ordered = ordered.join(threads, "conv_id", "left_anti").unionByName(joined.drop("depth"))
+    linked = (ordered.join(default, ["conv_id", "turn"]).join(links, ["conv_id", "turn"], "left")
               .select("conv_id", "turn", "role", F.col("own").alias("text"), "n_quoted_lines", "max_level",
                       F.coalesce("parent_conv", F.when(F.col("_previous").isNotNull(), F.col("conv_id"))).alias("parent_conv"),
                       F.coalesce("parent_turn", "_previous").alias("parent_turn"),
                       F.col("parent_conv").isNotNull().alias("quoted"), "thread_id",
-                      (F.col("place") + F.col("_shift")).alias("position")))
+                      F.col("place").alias("position")))
     nothing = F.lit(None).cast("bigint")
     alone = parts.filter(F.col("conv_id").isNull() | F.col("turn").isNull()).select(
         "conv_id", "turn", "role", F.col("own").alias("text"), "n_quoted_lines", "max_level",

@@ -107,6 +107,100 @@ def test_deep_and_short_quotes_link(spark):
     assert at[2, 1] == (2, 0, False)         # a short part says nothing outside its conversation
 
 
+def brute_threads(rows):
+    """{(conv, turn): (parent, quoted, thread, position)} of (conv, turn, text) rows, one a turn."""
+    own, quoted = {}, {}
+    for c, t, x in rows:
+        o, _, _, passages = quotes.parse(x)
+        own[c, t] = quotes.units(o)
+        parts = {}
+        for level, p in passages:
+            for h, n in quotes.units(p).items():
+                parts.setdefault(level, {})[h] = n
+        quoted[c, t] = parts
+    before = {(c, t): max(((c, u) for d, u, _ in rows if d == c and u < t), default=None) for c, t, _ in rows}
+    link = {}
+    for m, parts in quoted.items():
+        for level in sorted(parts):
+            votes = {}
+            for h, n in parts[level].items():
+                here = [k for k in own if k[0] == m[0] and k[1] < m[1] and h in own[k]]
+                some = sorted(k for k in own if h in own[k] and own[k][h] >= quotes.LEAST_CHARS)
+                source = min(here) if here else None
+                if source is None and some and some[0][0] != m[0]:
+                    source = some[0]
+                elif source is None and some and some[-1][0] != m[0]:
+                    source = min(k for k in some if k[0] == some[-1][0])
+                if source is not None:
+                    votes[source] = votes.get(source, 0) + n
+            if votes:
+                link[m] = min(votes, key=lambda k: (-votes[k], k))
+                break
+    while True:
+        up = {m: link.get(m, before[m]) for m in own}
+        least = set()
+        for m in own:
+            way, k = [], up[m]
+            while k is not None and k not in way:
+                way.append(k)
+                k = up[k]
+            if m in way and m == min(way):
+                least.add(m)
+        if not least:
+            break
+        for m in least:
+            del link[m]
+    group = {c: c for c, _ in own}
+
+    def head(c):
+        while group[c] != c:
+            c = group[c]
+        return c
+    for m, k in link.items():
+        a, b = sorted((head(m[0]), head(k[0])))
+        group[b] = a
+    many = {c for m, k in link.items() if m[0] != k[0] for c in (m[0], k[0])}
+
+    def depth(m):
+        return 0 if up[m] is None else 1 + depth(up[m])
+    out = {}
+    for thread in {head(c) for c in group}:
+        inside = [m for m in own if head(m[0]) == thread]
+        for at, m in enumerate(sorted(inside, key=lambda m: (depth(m) if m[0] in many else 0, m))):
+            out[m] = (up[m], m in link, thread, at)
+    return out
+
+
+def test_threads_by_brute_force(spark):
+    import random
+    rng = random.Random(5)
+    names = ["alpha", "bravo", "carol", "delta", "echo", "fox"]
+    rows = []
+    for c in range(1, 41):
+        for t in range(rng.randint(1, 6)):
+            said = [f"message {c}/{t} about {rng.choice(names)} and more"] + ["we all say this sentence often"] * (rng.random() < 0.2)
+            lines = []
+            if rng.random() < 0.5:                      # of any conversation, smaller or larger, or not existing
+                d, u = rng.randint(1, 42) if rng.random() < 0.6 else c, rng.randint(0, 2)
+                mark = "> " * rng.choice([1, 1, 2, 3])
+                lines = [f"{mark}message {d}/{u} about {n} and more" for n in rng.sample(names, 5)]
+            if rng.random() < 0.1:
+                lines.append("> we all say this sentence often")
+            rows.append((c, t, "\n".join(lines + said)))
+    # two rings, one of them through the middle of its conversations
+    rows += [(50, 0, "> words of the third one here\nwords of the first one here"), (51, 0, "> words of the first one here\nwords of the second one here"),
+             (52, 0, "> words of the second one here\nwords of the third one here"),
+             (60, 0, "start of conversation sixty"), (60, 1, "> what sixty-one says on this\nwhat sixty says on this"),
+             (61, 0, "> what sixty says on this\nstart of sixty-one"), (61, 1, "what sixty-one says on this")]
+    want = brute_threads(rows)
+    assert sum(q and p[0] > m[0] for m, (p, q, _, _) in want.items()) > 5      # originals in larger conversations too
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    got = {(r.conv_id, r.turn): (None if r.parent_conv is None else (r.parent_conv, r.parent_turn), r.quoted, r.thread_id, r.position)
+           for r in quotes.conversations(frame.repartition(7)).collect()}
+    assert got == want
+    assert want[50, 0][:2] == (None, False) and want[60, 1][:2] == ((60, 0), False) and want[61, 0][:2] == ((60, 1), True)
+
+
 def test_every_answer_follows_its_parent(spark):
     out = op6_quotation(spark, DATA).collect()
     rows = spark.read.parquet(f"{DATA}/conversations.parquet").collect()
