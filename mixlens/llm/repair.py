@@ -11,7 +11,7 @@ A round replaces the pair occurrences that are more frequent than both
 overlapping neighbours, so many nonterminals are made at once and no two
 replacements overlap.  Rounds first run inside the distinct words of a shard,
 weighted by how often each occurs, then across words on the shortened
-sequence.  Pairs never span a document's end.
+sequence, each until no pair is left that occurs ``LEAST`` times.  Pairs never span a document's end.
 
 Record layout (all little-endian): magic ``RPG1``; uint32 counts of documents,
 rules, symbols; int64 document ids; uint8 null flags of the ids; uint32 first
@@ -39,8 +39,6 @@ MAGIC = b"RPG1"
 RULE0 = 1 << 20            # first nonterminal
 SHARD_CHARS = 4_000_000   # characters of text in one record, about
 RANGE_BYTES = 32 << 20     # text bytes of one range partition
-ROUNDS = 12                # at most, inside words and then across them
-WORTH = 1 / 12             # another round follows while one shortens the sequence by this share
 LEAST = 4                  # a rule pays from this many occurrences on
 
 
@@ -61,6 +59,11 @@ def _round(seq, closed, weight, first_symbol: int, least: int = LEAST):
     at = np.flatnonzero(open_ & (rough[slot] >= least))
     if not len(at):
         return seq, closed, weight, none
+    # in a run of one id (equal overlapping pairs) every other occurrence counts, so the
+    # most frequent pair is replaced at all its places: a round without a rule is the last
+    again = np.append(False, (np.diff(at) == 1) & (key[at[1:]] == key[at[:-1]]))
+    spot = np.arange(len(at))
+    at = at[(spot - np.maximum.accumulate(np.where(again, 0, spot))) % 2 == 0]
     found, inverse = np.unique(key[at], return_inverse=True)
     del key, slot, rough
     w = None if weight is None else weight[at]
@@ -73,12 +76,8 @@ def _round(seq, closed, weight, first_symbol: int, least: int = LEAST):
     at = np.flatnonzero(count) - 1
     c, m = count[at + 1], name[at + 1]
     cl, ml, cr, mr = count[at], name[at], count[at + 2], name[at + 2]
-    # in a run of one id (equal overlapping pairs) every other occurrence is taken
-    run = (m == ml) & (cl > 0)
-    spot = np.arange(len(at))
-    even = (spot - np.maximum.accumulate(np.where(run, 0, spot))) % 2 == 0
-    beats_left = (c > cl) | ((c == cl) & ((m > ml) | run & even))
-    beats_right = (c > cr) | ((c == cr) & (m >= mr))
+    beats_left = (c > cl) | ((c == cl) & (m > ml))
+    beats_right = (c > cr) | ((c == cr) & (m > mr))
     pick = at[beats_left & beats_right]
     chosen = name[pick + 1]
     used = np.bincount(chosen, weights=None if weight is None else weight[pick], minlength=len(found))
@@ -112,15 +111,12 @@ def grammar(pool, offsets, lengths, stream, ends):
     weight = np.repeat(times, lengths)
     closed = np.zeros(len(seq), dtype=bool)
     closed[np.cumsum(lengths)[lengths > 0] - 1] = True
-    for _ in range(ROUNDS):
-        before = len(seq)
+    while True:
         seq, closed, weight, pairs = _round(seq, closed, weight, RULE0 + n_rules)
         if not len(pairs):
             break
         rules.append(pairs)
         n_rules += len(pairs)
-        if len(seq) > before * (1 - WORTH):
-            break
     size = np.zeros(len(lengths), dtype=np.int64)
     last = np.flatnonzero(closed)
     full = np.flatnonzero(lengths > 0)
@@ -132,15 +128,12 @@ def grammar(pool, offsets, lengths, stream, ends):
     done = np.cumsum(per_word)[ends]
     shut = np.zeros(len(text), dtype=bool)
     shut[done - 1] = True
-    for _ in range(ROUNDS):
-        before = len(text)
+    while True:
         text, shut, _, pairs = _round(text, shut, None, RULE0 + n_rules)
         if not len(pairs):
             break
         rules.append(pairs)
         n_rules += len(pairs)
-        if len(text) > before * (1 - WORTH):
-            break
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return table, text, np.flatnonzero(shut) + 1
 

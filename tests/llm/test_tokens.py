@@ -232,3 +232,25 @@ def test_word_table_edges(spark):
     assert sorted(((r.doc_id if r.doc_id is not None else -1, r.n_tokens, list(r.ids), r.decoded) for r in out),
                   key=key) == sorted(want, key=key)
     assert wordtable.encode_decode(empty_docs(spark), BYTE).count() == 0
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(9)
+    for case in range(12):
+        n_ids = [2, 3, 12][case % 3]
+        lengths = rng.integers(1, 9, 30)
+        pool = rng.integers(0, n_ids, int(lengths.sum())).astype(np.uint32)
+        if case % 2:
+            pool[: len(pool) // 2] = 1                     # long runs of one id
+        stream = rng.integers(0, 30, 500)
+        ends = np.unique(np.append(rng.integers(0, 500, 6), 499))
+        rules, seq, doc_ends = repair.grammar(pool, np.cumsum(lengths) - lengths, lengths, stream, ends)
+        seen = {}
+        for a, b in zip(np.append(0, doc_ends), doc_ends):
+            last = {}
+            for i in range(a, b - 1):                      # occurrences that do not overlap, from the left
+                pair = (int(seq[i]), int(seq[i + 1]))
+                if last.get(pair) != i - 1:
+                    last[pair] = i
+                    seen[pair] = seen.get(pair, 0) + 1
+        assert len(rules) and max(seen.values(), default=0) < repair.LEAST
