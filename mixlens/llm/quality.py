@@ -14,7 +14,8 @@ Votes are weighted against the sampling rate of their label.
 Defined results: NULL and empty texts are documents without terms and score
 the labelled share of label 1; a NULL id is scored but never learned from (and
 is not held out); repeated label rows of one document count once (the larger
-label); labels other than 0 and 1, and NULL, are not learned from; other
+label), repeated document rows are scored each and learned from once (the
+least text); labels other than 0 and 1, and NULL, are not learned from; other
 columns are ignored; without any usable label every score is 0.5; an empty
 table gives no rows.
 """
@@ -176,7 +177,9 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_c
     totals = known.groupBy("label").agg(F.count("*").alias("total"))
     few = picked[0].unionAll(picked[1]).join(F.broadcast(totals), "label")      # at most 2 x sample rows
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(few), "_id").select("_id", "label", "total", "text")
+    # documents that repeat an id are one sampled row, the least of their texts
+    return (texts.join(F.broadcast(few), "_id").groupBy("_id", "label", "total").agg(F.min("text").alias("text"))
+            .select("_id", "label", "total", "text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",

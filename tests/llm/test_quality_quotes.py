@@ -259,3 +259,13 @@ def test_pipeline_keeps_one_of_repeated_rows_and_all_without_labels(spark, tmp_p
     packed = corpus_pipeline.run(spark, str(tmp_path))
     # repeated lines go in the line stage, so which near copies remain is that stage's doing; no document is lost for want of labels
     assert packed.count() >= 3
+
+
+def test_sample_holds_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (1, None), (2, None), (2, None), (3, "c")] + [(4, "x")] * 50,
+                                 "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id bigint, quality int")
+    got = {(r["_id"], r.text) for r in quality.sampled(docs, labels, 10, "doc_id", "text", "quality").collect()}
+    out = quality.sampled(docs, labels, 10, "doc_id", "text", "quality")
+    held = {r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    assert got == {(i, t) for i, t in ((1, "a"), (2, None), (3, "c"), (4, "x")) if i not in held} and out.count() == len(got)
