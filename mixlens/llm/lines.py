@@ -1,21 +1,26 @@
-"""Fuzzy line dedup by MinHash, DataFrame operations only.
+"""Fuzzy line dedup by MinHash.
 
 1. Lines that repeat exactly become one row (first place, number of places).
-2. A line's character shingles (``SHINGLE`` characters each) give
-   ``VALUES`` MinHash values; ``BANDS`` triples of them are its band keys, a byte
-   of each value its sketch.
+2. A line's character shingles (``SHINGLE`` characters each) give ``BANDS`` times
+   ``ROWS`` MinHash values; each band of them is one band key, and the key with one
+   more value is its finer key.
 3. Lines that share a band key are candidates.  Small buckets compare all pairs.
-   A larger bucket first compares each line with its centre (the line with most
-   places) and with the next line in sketch order.  Jaccard distance is a metric,
-   so the distances to the centre and the sizes of the sets then exclude pairs;
-   every other pair of the bucket whose lines are in different components yet is
-   compared too.  No bucket is cut: one of n lines that stay apart and are of one
-   size costs up to n * n / 2 comparisons, dealt out in parts of ``SPREAD`` lines.
+   In a larger bucket each line meets the bucket's centre (the line with most
+   places) and the centre of its finer key.  Jaccard distance is a metric, so
+   the distances to the centre, the sizes of the sets and the components so far
+   exclude pairs.  Of the other pairs those are compared that share a shingle
+   of both lines' prefixes: with the shingles of a line ordered by the number of
+   lines that hold them, two sets of similarity s meet in their first
+   ``g - ceil(s * g) + 1``, and from the first common one on enough must follow.
+   No bucket is cut and no link inside one is lost.
 4. Exact Jaccard similarity of the full shingle sets (as 64-bit hashes) decides
    each candidate.
 5. Distributed union-find joins the links; of a component the line at its first
    place (by document, then position) stays, and every other place goes.
 
+Signatures and exact sets are made by numpy in Arrow batches, joins, grouping and
+links by DataFrames.
+
 Defined results: blank lines (white space of any kind) are never dropped; a NULL text stays NULL (0
 lines); lines shorter than a shingle are compared as wholes; a NULL id sorts
 first; rows that repeat id and text lose and keep the same lines, rows that
@@ -25,24 +30,19 @@ share only the id are separate documents; a document may end up without lines
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import stored
+from mixlens.llm.common import gather, stored
 from mixlens.llm.components import components
 
 SHINGLE = 10               # characters
 SIMILARITY = 0.8
-VALUES, BANDS = 16, 8
+BANDS, ROWS = 8, 3
 SMALL = 5                  # lines of a bucket that are compared pair by pair
-SPREAD = 256               # lines of a larger bucket whose open pairs one part compares
+CHUNK = 1 << 20            # characters hashed at a time: bounds a batch's memory
 
-# band b joins the values b, b + 5 and b + 10
-_TRIPLES = [(b, (b + 5) % VALUES, (b + 10) % VALUES) for b in range(BANDS)]
-# value j looks at the j-th sixteenth of the hash range first
-_SALTS = [(j << 60) - (1 << 64 if j > 7 else 0) for j in range(VALUES)]
+_ODD, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def _blank(line: Column) -> Column:
@@ -50,144 +50,244 @@ def _blank(line: Column) -> Column:
     return ~line.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
-def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """Hashes of all windows of ``size`` characters of a line, in order; a shorter
-    line is one shingle."""
-    def windows(raw: Column, width: int, shown) -> Column:
-        # the bytes are a variable of the outer transform: made once a line, not once a window
-        return F.get(F.transform(F.array(raw), lambda x: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.octet_length(x) - (size * width - 1), F.lit(1)), F.lit(width)),
-            lambda i: F.xxhash64(shown(F.substr(x, i, F.lit(size * width)))))), F.lit(0))
-    # the bytes of ASCII lines are their characters; other lines are cut at four bytes a
-    # character, and their windows hashed as UTF-8, so both kinds of line compare
-    return (F.when(F.char_length(line) <= size, F.array(F.xxhash64(line.cast("binary"))))
-            .when(F.char_length(line) == F.octet_length(line), windows(line.cast("binary"), 1, lambda x: x))
-            .otherwise(windows(F.encode(line, "UTF-32"), 4, lambda x: F.decode(x, "UTF-32").cast("binary"))))
-
-
-def _values(hashes: str) -> list[Column]:
-    """MinHash values from the least shingle hash of each sixteenth of the range.
-    Value j is the hash nearest to the start of sixteenth j by XOR: the least of
-    its own sixteenth, or of the nearest one that has any."""
-    def value(salt: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(salt))))
-    return [value(salt) for salt in _SALTS]
-
-
-def _least(hashes: str) -> Column:
-    return F.filter(hashes, lambda x, i: (i == 0) | (
-        F.shiftright(x, 60) != F.shiftright(F.get(F.col(hashes), i - 1), 60)))
+def _mixed(x):
+    import numpy as np
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(_MIX)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingles(texts: list[str], size: int = SHINGLE):
+    """(hashes, counts): the 64-bit hashes of all windows of ``size`` characters of
+    every text, one text after the other, and how many each text has; a text
+    shorter than a window has one, of the text as a whole."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    short = np.flatnonzero(length < size)
+    padded = texts
+    if len(short):
+        padded = list(texts)
+        for k in short:
+            padded[k] = texts[k].ljust(size)
+        length = np.maximum(length, size)
+    counts, starts = length - size + 1, np.cumsum(length) - length
+    points = np.frombuffer("".join(padded).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    # polynomial hashes of windows, of one, two, four ... characters, put together to size
+    step, width, whole, done = _mixed(points + np.uint64(1)), 1, None, 0
+    while True:
+        if size // width % 2:
+            if whole is None:
+                whole = step
+            else:
+                whole = whole[:len(step) - done] * np.uint64(pow(_ODD, width, 1 << 64)) + step[done:]
+            done += width
+        if done == size:
+            break
+        step = step[:-width] * np.uint64(pow(_ODD, width, 1 << 64)) + step[width:]
+        width *= 2
+    hashes = _mixed(gather(whole, starts, counts))
+    if len(short):
+        at = np.cumsum(counts) - counts
+        hashes[at[short]] = [xxh64_intdigest(texts[k].encode()) for k in short]
+    return hashes, counts
+
+
+def shingle_sets(texts: list[str], size: int = SHINGLE) -> list:
+    """The sorted distinct shingle hashes of every text."""
+    import numpy as np
+    hashes, counts = shingles(texts, size)
+    return [np.unique(part) for part in np.split(hashes, np.cumsum(counts)[:-1])]
+
+
+def signatures(texts: list[str], size: int = SHINGLE):
+    """(keys, finer): arrays of ``BANDS`` band keys and finer keys for each text."""
+    return band_keys(*shingles(texts, size))
+
+
+def band_keys(hashes, counts):
+    """``signatures`` from the hashes of all texts and how many each text has."""
+    import numpy as np
+    starts, room = np.cumsum(counts) - counts, np.empty_like(hashes)
+    factor = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(_ODD)) | np.uint64(1)
+    least = [np.minimum.reduceat(np.multiply(hashes, f, out=room), starts) for f in factor]
+    keys, finer = [], []
+    for band in range(BANDS):
+        key = np.full(len(counts), band + 1, np.uint64)
+        for row in range(ROWS):
+            key = _mixed(key * np.uint64(_ODD) + least[band * ROWS + row])
+        keys.append(key)
+        finer.append(_mixed(key * np.uint64(_ODD) + least[(band + 1) * ROWS % len(least)]))
+    return np.stack(keys, axis=1).view(np.int64), np.stack(finer, axis=1).view(np.int64)
+
+
+def _chunks(lengths, limit: int = CHUNK):
+    """Ranges of rows whose lengths add up to about ``limit`` (at least one row)."""
+    start, total = 0, 0
+    for k, n in enumerate(lengths):
+        if total and total + n > limit:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def signed(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``lines`` (column line) with ``keys`` (its band keys), the sketch bytes
-    ``s0``, ``s1`` and ``g``, the size of its shingle set."""
-    names = lines.columns
-    hashed = lines.select(*names, F.sort_array(F.array_distinct(shingles(F.col("line"), size))).alias("_h"))
-    least = hashed.select(*names, F.size("_h").alias("g"), _least("_h").alias("_h"))
-    valued = least.select(*names, "g", *[v.alias(f"m{j}") for j, v in enumerate(_values("_h"))])
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in t]) for b, t in enumerate(_TRIPLES)]
-
-    def sketch(first):
-        out = F.lit(0).cast("bigint")
-        for j in range(8):
-            out = out.bitwiseOR(F.shiftleft(F.col(f"m{first + j}").bitwiseAND(F.lit(255)), 8 * j))
-        return out
-    return valued.select(*names, F.array(*keys).alias("keys"), sketch(0).alias("s0"), sketch(8).alias("s1"), "g")
-
-
-def distinct_lines(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(lid, line, at, n, keys, s0, s1, g) of the distinct non-blank lines; ``at`` is the
-    first place (id, text hash, position).  Stored, so lid is fixed."""
+    """(lid, n, keys, finer) of ``lines`` (columns lid, n, line)."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in _chunks([len(t) for t in texts]):
+                made = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), BANDS).cast(pa.list_(pa.int64()))
+                        for x in signatures(texts[a:b], size)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *made],
+                                                 names=["lid", "n", "keys", "finer"])
+    return lines.select("lid", F.col("n").cast("bigint").alias("n"), "line").mapInArrow(
+        run, "lid bigint, n bigint, keys array<bigint>, finer array<bigint>")
+
+
+def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(lid, line, at, n) of the distinct non-blank lines; ``at`` is the first place
+    (id, text hash, position).  Stored, so lid is fixed."""
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"),
                         F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
     once = (lines.filter(~_blank(F.col("line"))).groupBy("line")
             .agg(F.min(F.struct("id", "th", "pos")).alias("at"), F.count("*").alias("n")))
-    return stored(signed(once, size).withColumn("lid", F.monotonically_increasing_id()))
+    return stored(once.withColumn("lid", F.monotonically_increasing_id()))
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(a, b, jaccard) of candidate pairs: exact similarity of the shingle sets.
-    They are dealt out one by one: a few bytes of ids are much work."""
+    """(a, b, ga, gb, jaccard) of candidate pairs: sizes and exact similarity of the
+    shingle sets.  They are dealt out one by one: a few bytes of ids are much work."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = texts.select("lid", "line")
 
     def named(side):
         return lines.select(F.col("lid").alias(side), F.col("line").alias(f"{side}_line"))
     both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_line", "b_line").repartition(parts)
-    sets = both.select("a", "b", F.array_distinct(shingles(F.col("a_line"), size)).alias("sa"),
-                       F.array_distinct(shingles(F.col("b_line"), size)).alias("sb"))
-    met = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"),
-                      F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return met.select("a", "b", (F.col("common") / (F.col("total") - F.col("common"))).alias("jaccard"))
-
 
-def _near(x: str, y: str, similarity: float) -> Column:
-    """Whether two set sizes allow that similarity."""
-    return F.least(x, y) >= similarity * F.greatest(x, y)
-
-
-def candidates(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: first candidate pairs of buckets (key, c, lid, g, centre, next)."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            a, b, left, right = (c.to_pylist() for c in batch.columns)
+            for start, end in _chunks([len(x) + len(y) for x, y in zip(left, right)]):
+                line = dict(zip(a[start:end] + b[start:end], left[start:end] + right[start:end]))
+                sets = dict(zip(line, shingle_sets(list(line.values()), size)))
+                ga, gb, found = [], [], []
+                for x, y in zip(a[start:end], b[start:end]):
+                    x, y = sets[x], sets[y]
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    ga.append(len(x))
+                    gb.append(len(y))
+                    found.append(common / (len(x) + len(y) - common))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(start, end - start) for c in batch.columns[:2]), pa.array(ga, pa.int64()),
+                     pa.array(gb, pa.int64()), pa.array(found, pa.float64())],
+                    names=["a", "b", "ga", "gb", "jaccard"])
+    return both.mapInArrow(run, "a bigint, b bigint, ga bigint, gb bigint, jaccard double")
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def buckets(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(key, c, lid, centre, near) of the buckets of two lines and more: the number
+    of lines, the bucket's centre and that of the line's finer key."""
+    found = stored(signed(lines, size)).select("lid", "n", F.explode(F.arrays_zip("keys", "finer")).alias("k"))
+    found = found.select("lid", "n", F.col("k.keys").alias("key"), F.col("k.finer").alias("finer"))
+    middle = F.min(F.struct((-F.col("n")).alias("m"), "lid"))["lid"]
+    whole = found.groupBy("key").agg(F.count("*").alias("c"), middle.alias("centre")).filter(F.col("c") > 1)
+    members = stored(found.join(whole, "key"))
+    parts = members.groupBy("key", "finer").agg(middle.alias("near"))
+    return stored(members.join(parts, ["key", "finer"]).select("key", "c", "lid", "centre", "near"))
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """(a, b), a < b: first candidate pairs of ``buckets``."""
     few = members.filter(F.col("c") <= SMALL)
-    close = (few.select("key", F.col("lid").alias("a"), F.col("g").alias("ga"))
-             .join(few.select("key", F.col("lid").alias("b"), F.col("g").alias("gb")), "key")
-             .filter((F.col("a") < F.col("b")) & _near("ga", "gb", similarity)).select("a", "b"))
-    other = F.explode(F.array("centre", "next")).alias("other")
-    star = (members.filter(F.col("c") > SMALL).select("lid", other)
-            .filter(F.col("other").isNotNull() & (F.col("lid") != F.col("other")))
-            .select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")))
+    close = (few.select("key", F.col("lid").alias("a")).join(few.select("key", F.col("lid").alias("b")), "key")
+             .filter(F.col("a") < F.col("b")).select("a", "b"))
+    star = (members.filter(F.col("c") > SMALL).select("lid", F.explode(F.array("centre", "near")).alias("other"))
+            .filter(F.col("lid") != F.col("other")).select(*_pair("lid", "other")))
     return close.unionAll(star).distinct()
 
 
-def open_pairs(large: DataFrame, first: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: the pairs of the larger buckets (key, c, lid, g, centre) that
-    ``first`` (a, b, jaccard) leaves open: in different components of ``label``,
-    and not excluded by set sizes or by the distances to the centre."""
-    far = first.select("a", "b", (1 - F.col("jaccard")).alias("d"))
-    # sets of two similar lines lie on the same level of size or on neighbouring ones
-    width = max(-math.log(similarity) * 1.000001, 1e-6)
-    spread = (large.select("key", "c", "lid", "g", F.least("lid", "centre").alias("a"), F.greatest("lid", "centre").alias("b"))
-              .filter(F.col("a") != F.col("b")).join(far, ["a", "b"])
-              .join(label.withColumnRenamed("node", "lid"), "lid", "left")
-              .select("key", "lid", "g", "d", F.coalesce("component", "lid").alias("part"),
-                      F.floor(F.log(F.col("g")) / F.lit(width)).alias("level"),
-                      F.ceil(F.col("c") / F.lit(SPREAD)).alias("parts")))
-    apart = F.col("d") > 1 - similarity
-
-    def side(frame, name, level, deal):
-        return frame.select("key", level.alias("level"), deal.alias("deal"),
-                            *[F.col(c).alias(f"{name}_{c}") for c in ("lid", "g", "d", "part")])
+def prefixes(lids: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(lid, h, at): the shingles of each line's prefix that another of the lines
+    holds too, and their place (from 1) among the line's shingles, rarest first.
+    Shingles of one line only come first and meet nothing."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in _chunks([len(t) for t in texts]):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a),
+                     pa.array([s.view("int64") for s in shingle_sets(texts[a:b], size)], pa.list_(pa.int64()))],
+                    names=["lid", "hashes"])
+    sets = stored(texts.join(lids, "lid", "left_semi").select("lid", "line").mapInArrow(
+        run, "lid bigint, hashes array<bigint>"))
+    each = sets.select("lid", F.size("hashes").alias("g"), F.explode("hashes").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    ranked = (each.join(shared, "h").groupBy("lid", "g")
+              .agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("held")))
+    length = F.col("g") - F.ceil(F.col("g") * F.lit(similarity) - F.lit(1e-9)) + 1
+    alone = F.col("g") - F.size("held")
+    take = F.greatest(length - alone, F.lit(0)).cast("int")
+    return (ranked.select("lid", alone.alias("alone"), F.posexplode(F.slice("held", F.lit(1), take)["h"]).alias("i", "h"))
+            .select("lid", "h", (F.col("alone") + F.col("i") + 1).alias("at")))
+
+
+def open_pairs(large: DataFrame, first: DataFrame, label: DataFrame, texts: DataFrame, size: int,
+               similarity: float) -> DataFrame:
+    """(a, b), a < b: the pairs of the larger ``buckets`` that ``first`` leaves
+    open: in different components of ``label``, not excluded by set sizes or by
+    the distances to the centre, and with a shingle of both prefixes in common."""
+    far = first.select("a", "b", "ga", "gb", (1 - F.col("jaccard")).alias("d"))
+    spread = stored(large.select("key", "lid", *_pair("lid", "centre")).filter(F.col("a") != F.col("b"))
+                    .join(far, ["a", "b"]).join(label.withColumnRenamed("node", "lid"), "lid", "left")
+                    .select("key", "lid", F.when(F.col("lid") == F.col("a"), F.col("ga")).otherwise(F.col("gb")).alias("g"),
+                            "d", F.coalesce("component", "lid").alias("part")))
     # a line linked to its centre is in the centre's component; open pairs have one end that is not
-    x = side(spread.filter(apart), "x", F.col("level"), F.pmod(F.xxhash64("lid"), F.col("parts")))
-    y = spread.withColumn("near", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)))
-    y = side(y, "y", F.col("near"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    return (x.join(y, ["key", "level", "deal"])
-            .filter((F.col("x_part") != F.col("y_part")) & _near("x_g", "y_g", similarity)
+    apart = F.col("d") > 1 - similarity
+    spread = spread.join(spread.filter(apart).select("key").distinct(), "key", "left_semi")
+    prefix = stored(prefixes(spread.select("lid").distinct(), texts, size, similarity))
+
+    def side(frame, name):
+        return frame.join(prefix, "lid").select(
+            "key", "h", *[F.col(c).alias(f"{name}_{c}") for c in ("lid", "g", "d", "part", "at")])
+    # after their first common shingle two sets still need the others of a similar pair
+    needed = (F.col("x_g") + F.col("y_g")) * F.lit(similarity / (1 + similarity)) - 1e-9
+    ahead = 1 + F.least(F.col("x_g") - F.col("x_at"), F.col("y_g") - F.col("y_at"))
+    return (side(spread.filter(apart), "x").join(side(spread, "y"), ["key", "h"])
+            .filter((F.col("x_part") != F.col("y_part")) & (ahead >= needed)
+                    & (F.least("x_g", "y_g") >= similarity * F.greatest("x_g", "y_g"))
                     & (F.abs(F.col("x_d") - F.col("y_d")) <= 1 - similarity + 1e-9)
                     & ((F.col("y_d") <= 1 - similarity) | (F.col("x_lid") < F.col("y_lid"))))
-            .select(F.least("x_lid", "y_lid").alias("a"), F.greatest("x_lid", "y_lid").alias("b")).distinct())
+            .select(*_pair("x_lid", "y_lid")).distinct())
 
 
 def linked_lines(lines: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) over the lids of ``lines`` that have a link."""
-    bucket = Window.partitionBy("key")
-    found = (lines.select("lid", "n", "g", F.explode("keys").alias("key"))
-             .withColumn("c", F.count("*").over(bucket)).filter(F.col("c") > 1)
-             .withColumn("centre", -F.max(F.struct(F.col("n"), (-F.col("lid")).alias("m"))).over(bucket)["m"]))
-    members = stored(found.select("key", "c", "lid", "g", "centre"))
+    return linked_members(buckets(lines, size), lines, size, similarity)
+
+
+def linked_members(members: DataFrame, lines: DataFrame, size: int = SHINGLE,
+                   similarity: float = SIMILARITY) -> DataFrame:
+    """``linked_lines`` from the ``buckets`` of the lines."""
     # what candidates need of their lines, fetched once
-    texts = stored(lines.select("lid", "line", "s0", "s1")
-                   .join(members.select("lid").distinct(), "lid", "left_semi"))
-    order = Window.partitionBy("key").orderBy("s0", "s1", "lid")
-    chained = members.join(texts.select("lid", "s0", "s1"), "lid").withColumn("next", F.lead("lid").over(order))
+    texts = stored(lines.select("lid", "line").join(members.select("lid").distinct(), "lid", "left_semi"))
     # the full value of a pair with a centre is kept: it bounds the pairs not compared
-    first = stored(similarities(candidates(chained, similarity), texts, size))
+    first = stored(similarities(candidates(members), texts, size))
     links = first.filter(F.col("jaccard") >= similarity).select("a", "b")
     large = members.filter(F.col("c") > SMALL)
     if large.isEmpty():
         return components(links)
-    left = open_pairs(large, first, stored(components(links)), similarity)
+    left = open_pairs(large, first, stored(components(links)), texts, size, similarity)
     rest = stored(similarities(left, texts, size).filter(F.col("jaccard") >= similarity).select("a", "b"))
     return components(links.unionAll(rest))
 
@@ -196,7 +296,7 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that go taken out of the text, and the columns
     ``n_lines`` and ``n_kept`` (which replace columns of those names)."""
-    lines = distinct_lines(docs, id_col, text_col, size)
+    lines = distinct_lines(docs, id_col, text_col)
     groups = stored(linked_lines(lines, size, similarity))
     # of a component the line with the first place stays
     placed = groups.join(lines.select(F.col("lid").alias("node"), "at"), "node")
