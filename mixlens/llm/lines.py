@@ -2,11 +2,11 @@
 
 1. Lines that repeat exactly become one row (first place, number of places).
 2. A line's character shingles (``SHINGLE`` characters each) give ``BANDS`` times
-   ``ROWS`` MinHash values; each band of them is one band key, and the key with one
-   more value is its finer key.
+   ``ROWS`` MinHash values; each band of them is one band key; one more value is
+   the line's fine key.
 3. Lines that share a band key are candidates.  Small buckets compare all pairs.
    In a larger bucket each line meets the bucket's centre (the line with most
-   places) and the centre of its finer key.  Jaccard distance is a metric, so
+   places) and the centre of the bucket's lines of its fine key.  Jaccard distance is a metric, so
    the distances to the centre, the sizes of the sets and the components so far
    exclude pairs.  Of the other pairs those are compared that share a shingle
    of both lines' prefixes: with the shingles of a line ordered by the number of
@@ -101,7 +101,7 @@ def shingle_sets(texts: list[str], size: int = SHINGLE) -> list:
 
 
 def signatures(texts: list[str], size: int = SHINGLE):
-    """(keys, finer): arrays of ``BANDS`` band keys and finer keys for each text."""
+    """(keys, fine): ``BANDS`` band keys and the fine key of each text."""
     return band_keys(*shingles(texts, size))
 
 
@@ -109,16 +109,15 @@ def band_keys(hashes, counts):
     """``signatures`` from the hashes of all texts and how many each text has."""
     import numpy as np
     starts, room = np.cumsum(counts) - counts, np.empty_like(hashes)
-    factor = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(_ODD)) | np.uint64(1)
+    factor = _mixed(np.arange(1, BANDS * ROWS + 2, dtype=np.uint64) * np.uint64(_ODD)) | np.uint64(1)
     least = [np.minimum.reduceat(np.multiply(hashes, f, out=room), starts) for f in factor]
-    keys, finer = [], []
+    keys = []
     for band in range(BANDS):
         key = np.full(len(counts), band + 1, np.uint64)
         for row in range(ROWS):
             key = _mixed(key * np.uint64(_ODD) + least[band * ROWS + row])
         keys.append(key)
-        finer.append(_mixed(key * np.uint64(_ODD) + least[(band + 1) * ROWS % len(least)]))
-    return np.stack(keys, axis=1).view(np.int64), np.stack(finer, axis=1).view(np.int64)
+    return np.stack(keys, axis=1).view(np.int64), least[-1].view(np.int64)
 
 
 def _chunks(lengths, limit: int = CHUNK):
@@ -134,18 +133,18 @@ def _chunks(lengths, limit: int = CHUNK):
 
 
 def signed(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(lid, n, keys, finer) of ``lines`` (columns lid, n, line)."""
+    """(lid, n, keys, fine) of ``lines`` (columns lid, n, line)."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in _chunks([len(t) for t in texts]):
-                made = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), BANDS).cast(pa.list_(pa.int64()))
-                        for x in signatures(texts[a:b], size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *made],
-                                                 names=["lid", "n", "keys", "finer"])
+                keys, fine = signatures(texts[a:b], size)
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), keys, pa.array(fine)],
+                                                 names=["lid", "n", "keys", "fine"])
     return lines.select("lid", F.col("n").cast("bigint").alias("n"), "line").mapInArrow(
-        run, "lid bigint, n bigint, keys array<bigint>, finer array<bigint>")
+        run, "lid bigint, n bigint, keys array<bigint>, fine bigint")
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -196,14 +195,15 @@ def _pair(x: str, y: str) -> list[Column]:
 
 def buckets(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(key, c, lid, centre, near) of the buckets of two lines and more: the number
-    of lines, the bucket's centre and that of the line's finer key."""
-    found = stored(signed(lines, size)).select("lid", "n", F.explode(F.arrays_zip("keys", "finer")).alias("k"))
-    found = found.select("lid", "n", F.col("k.keys").alias("key"), F.col("k.finer").alias("finer"))
+    of lines, the bucket's centre and that of its lines with this fine key."""
+    found = stored(signed(lines, size)).select("lid", "n", "fine", F.explode("keys").alias("key"))
+    # counts alone first: most keys belong to one line
+    several = found.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > 1)
+    members = stored(found.join(several, "key"))
     middle = F.min(F.struct((-F.col("n")).alias("m"), "lid"))["lid"]
-    whole = found.groupBy("key").agg(F.count("*").alias("c"), middle.alias("centre")).filter(F.col("c") > 1)
-    members = stored(found.join(whole, "key"))
-    parts = members.groupBy("key", "finer").agg(middle.alias("near"))
-    return stored(members.join(parts, ["key", "finer"]).select("key", "c", "lid", "centre", "near"))
+    whole = members.groupBy("key").agg(middle.alias("centre"))
+    parts = members.groupBy("key", "fine").agg(middle.alias("near"))
+    return stored(members.join(parts, ["key", "fine"]).join(whole, "key").select("key", "c", "lid", "centre", "near"))
 
 
 def candidates(members: DataFrame) -> DataFrame:
@@ -242,32 +242,45 @@ def prefixes(lids: DataFrame, texts: DataFrame, size: int, similarity: float) ->
             .select("lid", "h", (F.col("alone") + F.col("i") + 1).alias("at")))
 
 
-def open_pairs(large: DataFrame, first: DataFrame, label: DataFrame, texts: DataFrame, size: int,
-               similarity: float) -> DataFrame:
-    """(a, b), a < b: the pairs of the larger ``buckets`` that ``first`` leaves
-    open: in different components of ``label``, not excluded by set sizes or by
-    the distances to the centre, and with a shingle of both prefixes in common."""
+def spread_lines(large: DataFrame, first: DataFrame) -> DataFrame:
+    """(key, lid, g, d): the lines of the larger ``buckets`` beside their centres, with
+    the size of the shingle set and the distance to the centre."""
     far = first.select("a", "b", "ga", "gb", (1 - F.col("jaccard")).alias("d"))
-    spread = stored(large.select("key", "lid", *_pair("lid", "centre")).filter(F.col("a") != F.col("b"))
-                    .join(far, ["a", "b"]).join(label.withColumnRenamed("node", "lid"), "lid", "left")
-                    .select("key", "lid", F.when(F.col("lid") == F.col("a"), F.col("ga")).otherwise(F.col("gb")).alias("g"),
-                            "d", F.coalesce("component", "lid").alias("part")))
-    # a line linked to its centre is in the centre's component; open pairs have one end that is not
-    apart = F.col("d") > 1 - similarity
-    spread = spread.join(spread.filter(apart).select("key").distinct(), "key", "left_semi")
-    prefix = stored(prefixes(spread.select("lid").distinct(), texts, size, similarity))
+    return (large.select("key", "lid", *_pair("lid", "centre")).filter(F.col("a") != F.col("b")).join(far, ["a", "b"])
+            .select("key", "lid", F.when(F.col("lid") == F.col("a"), F.col("ga")).otherwise(F.col("gb")).alias("g"), "d"))
+
 
+def open_lines(spread: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """``spread`` with the component ``part`` and whether the line is ``apart`` from its
+    centre; without the lines that have no open pair in their bucket."""
+    # a line linked to its centre is in the centre's component; open pairs have one end that is not
+    known = (spread.join(label.withColumnRenamed("node", "lid"), "lid", "left")
+             .select("key", "lid", "g", "d", F.coalesce("component", "lid").alias("part"),
+                     (F.col("d") > 1 - similarity).alias("apart")))
+    x_part = F.when(F.col("apart"), F.col("part"))
+    sides = known.groupBy("key").agg(F.min(x_part).alias("x0"), F.max(x_part).alias("x1"),
+                                     F.min("part").alias("y0"), F.max("part").alias("y1"))
+    meets_x = (F.col("x0") != F.col("part")) | (F.col("x1") != F.col("part"))
+    meets_y = (F.col("y0") != F.col("part")) | (F.col("y1") != F.col("part"))
+    return (known.join(sides.filter(F.col("x0").isNotNull() & (F.col("y0") != F.col("y1"))), "key")
+            .filter(meets_x | (F.col("apart") & meets_y)).select("key", "lid", "g", "d", "part", "apart"))
+
+
+def open_pairs(known: DataFrame, prefix: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: the pairs of ``open_lines`` in different components, not excluded by
+    set sizes or by the distances to the centre, and with a shingle of both
+    ``prefixes`` in common."""
     def side(frame, name):
         return frame.join(prefix, "lid").select(
-            "key", "h", *[F.col(c).alias(f"{name}_{c}") for c in ("lid", "g", "d", "part", "at")])
+            "key", "h", *[F.col(c).alias(f"{name}_{c}") for c in ("lid", "g", "d", "part", "apart", "at")])
     # after their first common shingle two sets still need the others of a similar pair
     needed = (F.col("x_g") + F.col("y_g")) * F.lit(similarity / (1 + similarity)) - 1e-9
     ahead = 1 + F.least(F.col("x_g") - F.col("x_at"), F.col("y_g") - F.col("y_at"))
-    return (side(spread.filter(apart), "x").join(side(spread, "y"), ["key", "h"])
+    once = ~F.col("y_apart") | (F.col("x_lid") < F.col("y_lid"))
+    return (side(known.filter("apart"), "x").join(side(known, "y"), ["key", "h"])
             .filter((F.col("x_part") != F.col("y_part")) & (ahead >= needed)
                     & (F.least("x_g", "y_g") >= similarity * F.greatest("x_g", "y_g"))
-                    & (F.abs(F.col("x_d") - F.col("y_d")) <= 1 - similarity + 1e-9)
-                    & ((F.col("y_d") <= 1 - similarity) | (F.col("x_lid") < F.col("y_lid"))))
+                    & (F.abs(F.col("x_d") - F.col("y_d")) <= 1 - similarity + 1e-9) & once)
             .select(*_pair("x_lid", "y_lid")).distinct())
 
 
@@ -287,7 +300,9 @@ def linked_members(members: DataFrame, lines: DataFrame, size: int = SHINGLE,
     large = members.filter(F.col("c") > SMALL)
     if large.isEmpty():
         return components(links)
-    left = open_pairs(large, first, stored(components(links)), texts, size, similarity)
+    known = stored(open_lines(spread_lines(large, first), stored(components(links)), similarity))
+    prefix = stored(prefixes(known.select("lid").distinct(), texts, size, similarity))
+    left = open_pairs(known, prefix, similarity)
     rest = stored(similarities(left, texts, size).filter(F.col("jaccard") >= similarity).select("a", "b"))
     return components(links.unionAll(rest))
 
