@@ -109,8 +109,9 @@ def solve_branches(xtx: np.ndarray, xty: np.ndarray, subs: list[list[int]], tol:
 
 
 def search(panel_drivers: DataFrame, target: str = "sessions", rates=DECAY_RATES, fx=FX, powers=POWERS,
-           tol: float = ALIAS_TOL) -> DataFrame:
-    """(product_id, adstock_rate, fx_transform, visibility_power, n, rank, rmse, r_squared, fit_rank)."""
+           tol: float = ALIAS_TOL, buckets: int | None = None) -> DataFrame:
+    """(product_id, adstock_rate, fx_transform, visibility_power, n, rank, rmse, r_squared, fit_rank).
+    ``buckets``: as in ``regression.fit``."""
     cols = superset(rates, fx, powers)
     cands = candidates(rates, fx, powers)
     subs = _sub(cands, cols)
@@ -121,7 +122,7 @@ def search(panel_drivers: DataFrame, target: str = "sessions", rates=DECAY_RATES
         complete = complete & F.col(c).isNotNull()
     # read twice (Gram, residuals): written once, bucketed by product so both
     # passes aggregate per product without an exchange
-    design = bucketed_table(design.filter(complete), KEY, (KEY, DATE))
+    design = bucketed_table(design.filter(complete), KEY, (KEY, DATE), buckets)
     p = len(cols)
     y = F.col("dep_var")
     gram = design.groupBy(KEY).agg(
