@@ -5,7 +5,9 @@ what the ordered features need from the past: the last adstock, the last
 exchange rates of the rolling mean, the number of rows, and rows that still
 wait for the first full mean.  ``moments`` holds per (product, month) the
 counts, means and centred co-moments of the raw terms and the target; they
-merge pairwise without loss (differences of means, never raw second moments).
+merge without loss (differences of means, never raw second moments).  They are
+computed per Arrow batch, where the rows of a product lie together, so a month
+on a batch's edge has two rows and no row is shuffled to compute them.
 
 A fit reads the moments only.  The z-scores of the design are applied to the
 merged Gram matrix by algebra: with m, s the mean and SD of a term over the
@@ -22,6 +24,7 @@ the store as it was and can be repeated.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +63,10 @@ def advance(rows: DataFrame, state: DataFrame, spec: ModelSpec) -> tuple[DataFra
     new = new.withColumns({
         "at": F.row_number().over(w).cast("bigint"),
         "fx_mean": F.avg("exchange_rate").over(w.rowsBetween(-(k - 1), 0)),
-        # structs keep NULL rates in the list
-        "fx_new": F.transform(F.collect_list(F.struct(F.col("exchange_rate").cast("double").alias("v"))).over(
-            w.rowsBetween(-(k - 1), 0)), lambda e: e["v"])})
+        "last": F.lead(F.lit(1)).over(w).isNull(),
+        # the last k rates, NULL ones too
+        "fx_new": F.array(*[F.lag(F.col("exchange_rate").cast("double"), i).over(w) for i in range(k - 1, -1, -1)])})
+    new = new.withColumn("fx_new", F.slice("fx_new", F.lit(k + 1) - F.least("at", F.lit(k)).cast("int"), F.least("at", F.lit(k)).cast("int")))
     new = new.join(state, KEY, "left")
     seen = F.coalesce("rows_before", F.lit(0))
     window = F.concat(F.coalesce("fx_before", F.array().cast("array<double>")), F.col("fx_new"))
@@ -72,7 +76,9 @@ def advance(rows: DataFrame, state: DataFrame, spec: ModelSpec) -> tuple[DataFra
     new = new.withColumns({
         "tv_adstock_raw": F.col("tv_new") + F.pow(F.lit(spec.adstock_rate), F.col("at")) * F.coalesce("tv_before", F.lit(0.0)),
         "exchange_rate_moving_av": F.when(F.col("at") >= k, F.col("fx_mean")).otherwise(mean),
-        "fx_tail": F.slice(window, F.greatest(F.size(window) - (k - 2), F.lit(1)), k - 1) if k > 1 else F.array().cast("array<double>"),
+        # of a product's last row, the only one that passes it on
+        "fx_tail": F.when(F.col("last"), F.slice(window, F.greatest(F.size(window) - (k - 2), F.lit(1)), k - 1)
+                          if k > 1 else F.array().cast("array<double>")),
         "rows_now": seen + F.col("at")})
     new = _derive_rows(new, spec).withColumn("dep_var", F.col(spec.target).cast("double"))
     for t in spec.terms:
@@ -99,69 +105,123 @@ def advance(rows: DataFrame, state: DataFrame, spec: ModelSpec) -> tuple[DataFra
     return ready, after
 
 
+def _pair_index(spec: ModelSpec) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(len(_variables(spec)))
+
+
+def _moments_of(x: np.ndarray, known: np.ndarray, fit: np.ndarray, starts: np.ndarray, spec: ModelSpec) -> np.ndarray:
+    """Moments of the row groups that begin at ``starts``, one line a group: n, means and
+    co-moments of the complete rows to fit, then counts, means and squared
+    deviations of each term's known values (0 where there are none)."""
+    i, j = _pair_index(spec)
+    sizes = np.diff(np.append(starts, len(x)))
+    total = lambda v: np.add.reduceat(v, starts, axis=0)
+    x = np.where(known, x, 0.0)
+    whole = known.all(axis=1) & fit
+    n = total(whole.astype(float))[:, None]
+    mean = total(np.where(whole[:, None], x, 0.0)) / np.maximum(n, 1.0)
+    d = np.where(whole[:, None], x - np.repeat(mean, sizes, axis=0), 0.0)
+    terms, seen = x[:, :-1], known[:, :-1]
+    count = total(seen.astype(float))
+    middle = total(terms) / np.maximum(count, 1.0)
+    off = np.where(seen, terms - np.repeat(middle, sizes, axis=0), 0.0)
+    return np.hstack([n, mean, total(d[:, i] * d[:, j]), count, middle, total(off * off)])
+
+
+def _merge(m: np.ndarray, starts: np.ndarray, spec: ModelSpec) -> np.ndarray:
+    """Lines of ``_moments_of`` merged by group: co-moments about the merged means."""
+    i, j = _pair_index(spec)
+    q, t = len(_variables(spec)), len(spec.terms)
+    sizes = np.diff(np.append(starts, len(m)))
+    total = lambda v: np.add.reduceat(v, starts, axis=0)
+    n, mean, c, count, middle, m2 = np.split(m, np.cumsum([1, q, len(i), t, t]), axis=1)
+    out_n, out_count = total(n), total(count)
+    out_mean, out_middle = total(n * mean) / np.maximum(out_n, 1.0), total(count * middle) / np.maximum(out_count, 1.0)
+    d, off = mean - np.repeat(out_mean, sizes, axis=0), middle - np.repeat(out_middle, sizes, axis=0)
+    return np.hstack([out_n, out_mean, total(c + n * d[:, i] * d[:, j]), out_count, out_middle, total(m2 + count * off * off)])
+
+
+def _runs(*columns) -> np.ndarray:
+    """Where a run of equal values of the Arrow columns begins."""
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        code = c.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _lines(m: np.ndarray):
+    import pyarrow as pa
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+
+
 def moments(design: DataFrame, spec: ModelSpec) -> DataFrame:
-    """One row per (product, month): ``scale`` has (n, mean, m2) of each term over
-    its known values, ``n`` and ``pairs`` the complete rows of the fit range and
-    (mean_i, mean_j, c_ij) of every pair of terms and target.  Built-in one-pass
-    aggregates, combined inside each task."""
+    """(product, month, m): ``m`` has the numbers of ``_moments_of`` over the product's
+    rows of the month, or a part of them; parts merge without loss."""
     v = _variables(spec)
-    whole = F.lit(True)
-    for c in v:
-        whole = whole & F.col(c).isNotNull()
-    if spec.fit_from is not None:
-        whole = whole & (F.col(DATE) >= F.lit(spec.fit_from))
     if spec.scale_from is not None:
         design = design.filter(F.col(DATE) >= F.lit(spec.scale_from))
-    x = {c: F.when(F.col("_whole"), F.col(c)) for c in v}
-    n = F.count_if(F.col("_whole"))
-    aggs = [n.alias("n"),
-            *[F.avg(x[c]).alias(f"mu_{i}") for i, c in enumerate(v)],
-            *[(F.covar_pop(x[v[i]], x[v[j]]) * n).alias(f"c_{i}_{j}") for i, j in _pairs(spec)],
-            F.array(*[F.struct(F.count(c).cast("double").alias("n"), F.avg(c).alias("mean"),
-                               (F.var_pop(c) * F.count(c)).alias("m2")) for c in spec.terms]).alias("scale")]
-    per = design.withColumn("_whole", whole).groupBy(KEY, F.trunc(DATE, "month").alias("month")).agg(*aggs)
-    pairs = F.array(*[F.struct(F.col(f"mu_{i}").alias("a"), F.col(f"mu_{j}").alias("b"), F.col(f"c_{i}_{j}").alias("c"))
-                      for i, j in _pairs(spec)])
-    return per.select(KEY, "month", F.col("n").cast("double").alias("n"), pairs.alias("pairs"), "scale")
-
-
-def _merge_pairs(s: Column, t: Column) -> Column:
-    n = s["n"] + t["n"]
-    share = t["n"] / n
-    return F.struct(n.alias("n"), F.zip_with(s["pairs"], t["pairs"], lambda p, q: F.struct(
-        (p["a"] + (q["a"] - p["a"]) * share).alias("a"), (p["b"] + (q["b"] - p["b"]) * share).alias("b"),
-        (p["c"] + q["c"] + (q["a"] - p["a"]) * (q["b"] - p["b"]) * s["n"] * share).alias("c"))).alias("pairs"))
-
-
-def _merge_scale(p: Column, q: Column) -> Column:
-    n = p["n"] + q["n"]
-    share = q["n"] / n
-    step = q["mean"] - p["mean"]
-    both = F.struct(n.alias("n"), (p["mean"] + step * share).alias("mean"), (p["m2"] + q["m2"] + step * step * p["n"] * share).alias("m2"))
-    return F.when(q["n"] == 0, p).when(p["n"] == 0, q).otherwise(both)
+    fit = F.col(DATE) >= F.lit(spec.fit_from) if spec.fit_from is not None else F.lit(True)
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i) for i in range(batch.num_columns)]
+            starts = _runs(cols[0], cols[1])
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in cols[3:]])
+            known = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in cols[3:]])
+            m = _moments_of(x, known, cols[2].to_numpy(zero_copy_only=False).astype(bool), starts, spec)
+            at = pa.array(starts)
+            yield pa.RecordBatch.from_arrays([cols[0].take(at), cols[1].take(at), _lines(m)], names=[KEY, "month", "m"])
+
+    rows = design.select(KEY, F.trunc(DATE, "month").alias("month"), fit.alias("fit"), *[F.col(c).cast("double").alias(c) for c in v])
+    return rows.mapInArrow(run, f"{KEY} string, month date, m array<double>")
+
+
+def merged_moments(found: DataFrame, spec: ModelSpec) -> DataFrame:
+    """(product, m): the moments of each product merged, first those that lie together in
+    a batch, so that few rows a product are shuffled, then the rest."""
+    q, t = len(_variables(spec)), len(spec.terms)
+    width = 1 + q + len(_pairs(spec)) + 3 * t
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, m = batch.column(0), batch.column(1)
+            if pa.types.is_list(m.type.value_type):       # one list of lines a product
+                starts = np.append(0, np.cumsum([len(x) for x in m])[:-1])
+                m = m.flatten()
+            else:
+                starts = _runs(keys)
+                keys = keys.take(pa.array(starts))
+            lines = m.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([keys, _lines(_merge(lines, starts, spec))], names=[KEY, "m"])
+
+    schema = f"{KEY} string, m array<double>"
+    part = found.select(KEY, "m").mapInArrow(run, schema)
+    return part.groupBy(KEY).agg(F.sort_array(F.collect_list("m")).alias("m")).mapInArrow(run, schema)
 
 
 def merged_gram(found: DataFrame, spec: ModelSpec) -> DataFrame:
-    """The Gram table of ``regression.gram`` from moments: merged month by month
-    (a product has one short row a month), then scaled by algebra."""
+    """The Gram table of ``regression.gram`` from moments: merged by product, then scaled by algebra."""
     v, terms = _variables(spec), spec.terms
     pairs = _pairs(spec)
     at = {p: i for i, p in enumerate(pairs)}
     zero = F.lit(0.0)
-    start = F.struct(zero.alias("n"), F.array(*[F.struct(zero.alias("a"), zero.alias("b"), zero.alias("c"))
-                                                for _ in pairs]).alias("pairs"))
-    blank = F.array(*[F.struct(zero.alias("n"), zero.alias("mean"), zero.alias("m2")) for _ in terms])
-    months = F.sort_array(F.collect_list(F.struct("month", "part", "n", "pairs", "scale")))
-    per = found.groupBy(KEY).agg(months.alias("months"))
-    per = per.select(
-        KEY, F.aggregate(F.filter("months", lambda m: m["n"] > 0), start, lambda s, m: _merge_pairs(s, m)).alias("g"),
-        F.aggregate("months", blank, lambda s, m: F.zip_with(s, m["scale"], _merge_scale)).alias("scale"))
-    per = per.filter("g.n > 0").select(KEY, F.col("g.n").alias("n"), F.col("g.pairs").alias("pairs"), "scale")
-    wide = per.select(KEY, "n", *[F.col("pairs")[i]["c"].alias(f"c{i}") for i in range(len(pairs))],
-                      *[F.col("pairs")[at[i, i]]["a"].alias(f"mu{i}") for i in range(len(v))],
-                      *[F.col("scale")[i]["mean"].alias(f"m{i}") for i in range(len(terms))],
-                      *[F.when(F.col("scale")[i]["n"] > 1, F.sqrt(F.col("scale")[i]["m2"] / (F.col("scale")[i]["n"] - 1))).alias(f"s{i}")
-                        for i in range(len(terms))])
+    m = F.col("m")
+    means, comoments = 1, 1 + len(v)
+    counts = comoments + len(pairs)
+    middles, squares = counts + len(terms), counts + 2 * len(terms)
+    wide = merged_moments(found, spec).filter(m[0] > 0).select(
+        KEY, m[0].alias("n"), *[m[comoments + i].alias(f"c{i}") for i in range(len(pairs))],
+        *[m[means + i].alias(f"mu{i}") for i in range(len(v))],
+        *[m[middles + i].alias(f"m{i}") for i in range(len(terms))],
+        *[F.when(m[counts + i] > 1, F.sqrt(m[squares + i] / (m[counts + i] - 1))).alias(f"s{i}") for i in range(len(terms))])
     scaled = {i for i, t in enumerate(terms) if t in spec.scaled_terms()}
     y = len(terms)
 

@@ -88,3 +88,14 @@ def test_an_append_reads_its_batch_and_the_last_state_only(spark, rows, tmp_path
     assert min(r[0] for r in ready.select(DATE).collect()) >= dt.date(1999, 3, 1)
     plan = I.merged_gram(store.moments(), SESSIONS_SPEC)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_moments_are_computed_without_an_exchange_and_parts_merge(spark, rows):
+    ready, _ = I.advance(rows, I.no_state(spark, SESSIONS_SPEC), SESSIONS_SPEC)
+    whole = I.moments(ready.repartition(1, KEY).sortWithinPartitions(KEY, DATE), SESSIONS_SPEC)
+    assert "Exchange" not in I.moments(ready, SESSIONS_SPEC)._jdf.queryExecution().executedPlan().toString()
+    parts = I.moments(ready.repartition(7, DATE), SESSIONS_SPEC)          # months torn apart
+    a, b = ({r[KEY]: r["m"] for r in I.merged_moments(m, SESSIONS_SPEC).collect()} for m in (whole, parts))
+    assert set(a) == set(b)
+    for p in a:
+        assert a[p] == pytest.approx(b[p], rel=1e-9, abs=1e-9)
