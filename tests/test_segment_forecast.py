@@ -118,3 +118,17 @@ def test_kmeans_says_when_it_has_not_settled(spark):
             break
         centres = moved
     assert whole.centres == centres and whole.cost == sum(min(d) for d in square.values()) / SG.GRID ** 2
+
+
+def test_model_columns_carry_the_whole_model_row_as_numbers(spark):
+    terms = SESSIONS_SPEC.all_terms
+    k = len(terms)
+    models = spark.createDataFrame(
+        [("a", [1.0] * (k - 1) + [None], [2.0] * k, [0.0, 4.0] + [None] + [3.0] * (k - 3)), ("b", None, None, None)],
+        "product_id string, coef array<double>, scale_mean array<double>, scale_sd array<double>")
+    got = {r["product_id"]: r for r in models.select("product_id", *FC._model_columns(SESSIONS_SPEC, "t__")).collect()}
+    a = got["a"]
+    assert a["t__known"] and not got["b"]["t__known"]
+    assert (a["t__b0"], a[f"t__b{k - 1}"]) == (1.0, 0.0)
+    assert (a["t__m1"], a["t__s1"]) == (2.0, 4.0) and (a["t__m2"], a["t__s2"]) == (None, 1.0)
+    assert all(not n.startswith("array") for _, n in models.select(*FC._model_columns(SESSIONS_SPEC, "t__")).dtypes)
