@@ -42,60 +42,81 @@ RANGE_BYTES = 32 << 20     # text bytes of one range partition
 LEAST = 4                  # a rule pays from this many occurrences on
 
 
-def _round(seq, closed, weight, first_symbol: int, least: int = LEAST):
-    """One round of pair replacement.  ``closed`` marks positions after which no
-    pair may start (ends of words or documents), ``weight`` counts an occurrence.
-    Returns (seq, closed, weight, pairs) with the new rules as (left, right) rows."""
+def _frequent(seq, closed, weight, least: int):
+    """The open places of ``seq`` whose pair may occur ``least`` times, by a hashed
+    count: most pairs are rare and need no sorting."""
     import numpy as np
-    none = np.zeros((0, 2), np.int64)
-    if len(seq) < 2:
-        return seq, closed, weight, none
     key = (seq[:-1] << 32) | seq[1:]
     open_ = ~closed[:-1]
-    # a hashed count first: most pairs are rare and need no sorting
     bits = min(22, len(seq).bit_length())
     slot = ((key * np.int64(-7046029254386353131)) >> np.int64(64 - bits)) & np.int64((1 << bits) - 1)
     rough = np.bincount(slot[open_], weights=None if weight is None else weight[:-1][open_], minlength=1 << bits)
-    at = np.flatnonzero(open_ & (rough[slot] >= least))
+    return np.flatnonzero(open_ & (rough[slot] >= least))
+
+
+def _round(seq, closed, weight, at, first_symbol: int, least: int = LEAST):
+    """One round of pair replacement.  ``closed`` marks positions after which no
+    pair may start (ends of words or documents), ``weight`` counts an occurrence,
+    ``at`` lists in order the open places that hold every pair occurring ``least`` times.
+    Returns (seq, closed, weight, at, pairs) with the new rules as (left, right) rows."""
+    import numpy as np
+    same = seq, closed, weight, at, np.zeros((0, 2), np.int64)
     if not len(at):
-        return seq, closed, weight, none
+        return same
+    key = (seq[at] << 32) | seq[at + 1]
     # in a run of one id (equal overlapping pairs) every other occurrence counts, so the
     # most frequent pair is replaced at all its places: a round without a rule is the last
-    again = np.append(False, (np.diff(at) == 1) & (key[at[1:]] == key[at[:-1]]))
+    again = np.append(False, (np.diff(at) == 1) & (key[1:] == key[:-1]))
     spot = np.arange(len(at))
-    at = at[(spot - np.maximum.accumulate(np.where(again, 0, spot))) % 2 == 0]
-    found, inverse = np.unique(key[at], return_inverse=True)
-    del key, slot, rough
-    w = None if weight is None else weight[at]
-    often = np.bincount(inverse, weights=w)
-    count = np.zeros(len(seq) + 2)
-    name = np.full(len(seq) + 2, -1, dtype=np.int32)
-    count[at + 1], name[at + 1] = often[inverse], inverse     # shifted by one: a margin on the left
-    count[count < least] = 0
-    # only places with a pair worth replacing are compared with their neighbours
-    at = np.flatnonzero(count) - 1
-    c, m = count[at + 1], name[at + 1]
-    cl, ml, cr, mr = count[at], name[at], count[at + 2], name[at + 2]
-    beats_left = (c > cl) | ((c == cl) & (m > ml))
-    beats_right = (c > cr) | ((c == cr) & (m > mr))
-    pick = at[beats_left & beats_right]
-    chosen = name[pick + 1]
+    counted = (spot - np.maximum.accumulate(np.where(again, 0, spot))) % 2 == 0
+    found, inverse = np.unique(key[counted], return_inverse=True)
+    often = np.bincount(inverse, weights=None if weight is None else weight[at[counted]])
+    # only places with a pair worth replacing are compared with their neighbours; no other pair
+    # of these symbols gets more frequent later, so the next round does not look at it
+    inverse = inverse[np.cumsum(counted) - 1]
+    worth = often[inverse] >= least
+    at, inverse, counted = at[worth], inverse[worth], counted[worth]
+    place, m = at[counted], inverse[counted]
+    if not len(place):
+        return same
+    c = often[m]
+    beside = np.diff(place) == 1
+    more = (c[1:] > c[:-1]) | ((c[1:] == c[:-1]) & (m[1:] > m[:-1]))
+    less = (c[1:] < c[:-1]) | ((c[1:] == c[:-1]) & (m[1:] < m[:-1]))
+    best = np.append(True, ~beside | more) & np.append(~beside | less, True)
+    pick, chosen = place[best], m[best]
     used = np.bincount(chosen, weights=None if weight is None else weight[pick], minlength=len(found))
-    rule_of = np.full(len(found), -1, dtype=np.int64)
     good = np.flatnonzero(used >= least)
     if not len(good):
-        return seq, closed, weight, none
+        return same
+    rule_of = np.full(len(found), -1, dtype=np.int64)
     rule_of[good] = first_symbol + np.arange(len(good))
     keep_pick = rule_of[chosen] >= 0
     pick, chosen = pick[keep_pick], chosen[keep_pick]
-    new = seq.copy()
-    new[pick] = rule_of[chosen]
-    shut = closed.copy()
-    shut[pick] = closed[pick + 1]
+    seq[pick] = rule_of[chosen]
+    closed[pick] = closed[pick + 1]
     stay = np.ones(len(seq), dtype=bool)
     stay[pick + 1] = False
+    # what the next round looks at: these places as far as they last, and those beside a new symbol
+    look = np.zeros(len(seq), dtype=bool)
+    look[at] = True
+    look[pick] = True
+    look[pick[pick > 0] - 1] = True
+    seq, closed = seq[stay], closed[stay]
+    at = np.flatnonzero(look[stay] & ~closed)
     pairs = np.stack([found[good] >> 32, found[good] & np.int64(0xFFFFFFFF)], axis=1)
-    return new[stay], shut[stay], None if weight is None else weight[stay], pairs
+    return seq, closed, None if weight is None else weight[stay], at, pairs
+
+
+def _rounds(seq, closed, weight, first_symbol: int):
+    """Rounds until no pair occurs ``LEAST`` times: (seq, closed, list of the rounds' pairs)."""
+    at, rules = _frequent(seq, closed, weight, LEAST), []
+    while True:
+        seq, closed, weight, at, pairs = _round(seq, closed, weight, at, first_symbol)
+        if not len(pairs):
+            return seq, closed, rules
+        rules.append(pairs)
+        first_symbol += len(pairs)
 
 
 def grammar(pool, offsets, lengths, stream, ends):
@@ -103,20 +124,12 @@ def grammar(pool, offsets, lengths, stream, ends):
     pool[offsets[w] : +lengths[w]]; ``ends`` marks the last word of a document.
     Returns (rules, sequence, position in the sequence after each document)."""
     import numpy as np
-    rules = []
-    n_rules = 0
     # inside the distinct words, weighted by their occurrences
     times = np.bincount(stream, minlength=len(lengths)).astype(np.float64)
     seq = gather(pool, offsets, lengths).astype(np.int64)
-    weight = np.repeat(times, lengths)
     closed = np.zeros(len(seq), dtype=bool)
     closed[np.cumsum(lengths)[lengths > 0] - 1] = True
-    while True:
-        seq, closed, weight, pairs = _round(seq, closed, weight, RULE0 + n_rules)
-        if not len(pairs):
-            break
-        rules.append(pairs)
-        n_rules += len(pairs)
+    seq, closed, rules = _rounds(seq, closed, np.repeat(times, lengths), RULE0)
     size = np.zeros(len(lengths), dtype=np.int64)
     last = np.flatnonzero(closed)
     full = np.flatnonzero(lengths > 0)
@@ -128,12 +141,8 @@ def grammar(pool, offsets, lengths, stream, ends):
     done = np.cumsum(per_word)[ends]
     shut = np.zeros(len(text), dtype=bool)
     shut[done - 1] = True
-    while True:
-        text, shut, _, pairs = _round(text, shut, None, RULE0 + n_rules)
-        if not len(pairs):
-            break
-        rules.append(pairs)
-        n_rules += len(pairs)
+    text, shut, more = _rounds(text, shut, None, RULE0 + sum(map(len, rules)))
+    rules += more
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return table, text, np.flatnonzero(shut) + 1
 

@@ -254,3 +254,49 @@ def test_repair_goes_on_until_no_pair_is_frequent():
                     last[pair] = i
                     seen[pair] = seen.get(pair, 0) + 1
         assert len(rules) and max(seen.values(), default=0) < repair.LEAST
+
+
+def recounted(seq, closed, first):
+    """Pair replacement as ``repair`` does it, every round over the whole sequence."""
+    rules = []
+    while True:
+        places, count, last = [], {}, {}
+        for i in range(len(seq) - 1):
+            pair = (seq[i], seq[i + 1])
+            if not closed[i] and last.get(pair) != i - 1:
+                last[pair] = i
+                places.append(i)
+                count[pair] = count.get(pair, 0) + 1
+        rank = {i: (count[seq[i], seq[i + 1]], (seq[i], seq[i + 1])) for i in places if count[seq[i], seq[i + 1]] >= repair.LEAST}
+        best = [i for i in rank if all(rank[i] > rank.get(j, (0,)) for j in (i - 1, i + 1))]
+        used = {}
+        for i in best:
+            used[seq[i], seq[i + 1]] = used.get((seq[i], seq[i + 1]), 0) + 1
+        new = {pair: first + len(rules) + k for k, pair in enumerate(sorted(p for p in used if used[p] >= repair.LEAST))}
+        if not new:
+            return rules, seq
+        best = {i for i in best if (seq[i], seq[i + 1]) in new}
+        rules += sorted(new)
+        closed = [closed[i + 1] if i in best else closed[i] for i in range(len(seq)) if i - 1 not in best]
+        seq = [new[seq[i], seq[i + 1]] if i in best else seq[i] for i in range(len(seq)) if i - 1 not in best]
+
+
+def test_repair_rounds_equal_full_recounts_and_look_at_few_places(monkeypatch):
+    rng = np.random.default_rng(11)
+    looked, whole, one = 0, 0, repair._round
+
+    def counting(seq, closed, weight, at, *rest):
+        nonlocal looked, whole
+        looked, whole = looked + len(at), whole + len(seq)
+        return one(seq, closed, weight, at, *rest)
+    monkeypatch.setattr(repair, "_round", counting)
+    for case in range(40):
+        n = int(rng.integers(0, 900))
+        seq = np.minimum(rng.zipf(1.3, n), 400) if case % 2 else rng.integers(0, [2, 3, 30][case % 3], n)
+        closed = rng.random(n) < [0.0, 0.05][case // 2 % 2]
+        closed[-1:] = True
+        want_rules, want = recounted(seq.tolist(), closed.tolist(), repair.RULE0)
+        got, shut, rules = repair._rounds(seq.astype(np.int64), closed, None, repair.RULE0)
+        assert got.tolist() == want
+        assert [tuple(p) for part in rules for p in part.tolist()] == want_rules
+    assert looked < whole / 2
