@@ -18,8 +18,8 @@
 5. Distributed union-find joins the links; of a component the line at its first
    place (by document, then position) stays, and every other place goes.
 
-Signatures and exact sets are made by numpy in Arrow batches, joins, grouping and
-links by DataFrames.
+All of it is DataFrame operations; ``shingles``, ``signatures`` and ``band_keys`` say the
+same in numpy, for measuring the recall of the bands.
 
 Defined results: blank lines (white space of any kind) are never dropped; a NULL text stays NULL (0
 lines); lines shorter than a shingle are compared as wholes; a NULL id sorts
@@ -33,16 +33,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import gather, stored
+from mixlens.llm.common import stored
 from mixlens.llm.components import components
 
 SHINGLE = 10               # characters
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 SMALL = 5                  # lines of a bucket that are compared pair by pair
-CHUNK = 1 << 20            # characters hashed at a time: bounds a batch's memory
+BLOCK = 8                  # shingles hashed in one row
+SHIFTS = BANDS * ROWS // 4  # least and greatest of two hashes by this many shifts
 
-_ODD, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_FINE = 0x5A17C3D2E4B69F01
 
 
 def _blank(line: Column) -> Column:
@@ -50,101 +51,75 @@ def _blank(line: Column) -> Column:
     return ~line.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
-def _mixed(x):
-    import numpy as np
-    for _ in range(2):
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(_MIX)
-    return x ^ (x >> np.uint64(32))
+def shingle_set(line: str, size: int = SHINGLE) -> Column:
+    """The distinct shingle hashes of a column of texts: XXH64 of every window of ``size``
+    characters (as UTF-32, whose windows are cut without a search); a text
+    shorter than a window has one, of the text as a whole."""
+    def windows(points):
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(points) - F.lit(4 * size), F.lit(0)) + 1, F.lit(4))
+        return F.transform(starts, lambda i: F.xxhash64(F.substring(points, i, F.lit(4 * size))))
+    # as a lambda's variable the text is encoded once, not for every window
+    return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "utf-32")), windows), F.lit(0)))
+
+
+def _values(one: list[str], two: list[str]) -> dict[str, Column]:
+    """The MinHash values over the shingle hashes in the columns ``one``, and ``two`` with
+    the hashes of those: least and greatest of both after shifts of 0, 8 ... 40
+    bits (an order decided by other bits each time), and the fine value.  32 bits are kept."""
+    def of(best, shifted):
+        least, greatest = (F.least, F.greatest) if len(shifted) > 1 else (lambda c: c, lambda c: c)
+        return F.min(F.shiftright(least(*shifted), 32)) if best == "min" else F.max(F.shiftright(greatest(*shifted), 32))
+    found = [of(best, [F.shiftleft(c, 8 * r) for c in side])
+             for r in range(SHIFTS) for side in (one, two) for best in ("min", "max")]
+    fine = of("min", [F.col(c).bitwiseXOR(F.lit(_FINE)) for c in one])
+    return {**{f"v{k}": v for k, v in enumerate(found)}, "fine": fine}
+
+
+def signed(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(lid, n, keys, fine) of ``lines`` (columns lid, n, line): ``BANDS`` band keys and the
+    fine key.  Every shingle becomes a value of a row of ``BLOCK`` shingles (the last
+    of a line repeated), so a line's least and greatest are plain aggregates."""
+    step = 4 * size
+    points = lines.select("lid", F.col("n").cast("bigint").alias("n"), F.encode("line", "utf-32").alias("points"))
+    blocks = points.withColumn("last", F.greatest(F.octet_length("points") - F.lit(step), F.lit(0))).select(
+        "lid", "n", "points", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(4 * BLOCK))).alias("i"))
+    one, two = [f"x{j}" for j in range(BLOCK)], [f"y{j}" for j in range(BLOCK)]
+    hashed = blocks.select("lid", "n", *[
+        F.xxhash64(F.substring("points", F.least(F.col("i") + 4 * j, "last") + 1, F.lit(step))).alias(c)
+        for j, c in enumerate(one)])
+    hashed = hashed.select("*", *[F.xxhash64(x).alias(y) for x, y in zip(one, two)])
+    best = hashed.groupBy("lid", "n").agg(*[v.alias(name) for name, v in _values(one, two).items()])
+    keys = [F.xxhash64(F.lit(band), *[f"v{k}" for k in range(band, BANDS * ROWS, BANDS)]) for band in range(BANDS)]
+    return best.select("lid", "n", F.array(*keys).alias("keys"), "fine")
 
 
 def shingles(texts: list[str], size: int = SHINGLE):
-    """(hashes, counts): the 64-bit hashes of all windows of ``size`` characters of
-    every text, one text after the other, and how many each text has; a text
-    shorter than a window has one, of the text as a whole."""
+    """(hashes, counts): what ``signed`` hashes, in numpy, to measure recall against: the
+    hashes of all windows of every text, one text after the other, and how many each has."""
     import numpy as np
     from xxhash import xxh64_intdigest
-    length = np.fromiter(map(len, texts), np.int64, len(texts))
-    short = np.flatnonzero(length < size)
-    padded = texts
-    if len(short):
-        padded = list(texts)
-        for k in short:
-            padded[k] = texts[k].ljust(size)
-        length = np.maximum(length, size)
-    counts, starts = length - size + 1, np.cumsum(length) - length
-    points = np.frombuffer("".join(padded).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-    # polynomial hashes of windows, of one, two, four ... characters, put together to size
-    step, width, whole, done = _mixed(points + np.uint64(1)), 1, None, 0
-    while True:
-        if size // width % 2:
-            if whole is None:
-                whole = step
-            else:
-                whole = whole[:len(step) - done] * np.uint64(pow(_ODD, width, 1 << 64)) + step[done:]
-            done += width
-        if done == size:
-            break
-        step = step[:-width] * np.uint64(pow(_ODD, width, 1 << 64)) + step[width:]
-        width *= 2
-    hashes = _mixed(gather(whole, starts, counts))
-    if len(short):
-        at = np.cumsum(counts) - counts
-        hashes[at[short]] = [xxh64_intdigest(texts[k].encode()) for k in short]
-    return hashes, counts
-
-
-def shingle_sets(texts: list[str], size: int = SHINGLE) -> list:
-    """The sorted distinct shingle hashes of every text."""
-    import numpy as np
-    hashes, counts = shingles(texts, size)
-    return [np.unique(part) for part in np.split(hashes, np.cumsum(counts)[:-1])]
+    windows = [[t[i:i + size] for i in range(max(len(t) - size + 1, 1))] for t in texts]
+    hashes = [xxh64_intdigest(w.encode("utf-32-be"), seed=42) for one in windows for w in one]
+    return np.array(hashes, np.uint64), np.array([len(w) for w in windows], np.int64)
 
 
 def signatures(texts: list[str], size: int = SHINGLE):
-    """(keys, fine): ``BANDS`` band keys and the fine key of each text."""
+    """(keys, fine) in numpy: two texts share a key here where they do in ``signed``."""
     return band_keys(*shingles(texts, size))
 
 
 def band_keys(hashes, counts):
     """``signatures`` from the hashes of all texts and how many each text has."""
     import numpy as np
-    starts, room = np.cumsum(counts) - counts, np.empty_like(hashes)
-    factor = _mixed(np.arange(1, BANDS * ROWS + 2, dtype=np.uint64) * np.uint64(_ODD)) | np.uint64(1)
-    least = [np.minimum.reduceat(np.multiply(hashes, f, out=room), starts) for f in factor]
-    keys = []
-    for band in range(BANDS):
-        key = np.full(len(counts), band + 1, np.uint64)
-        for row in range(ROWS):
-            key = _mixed(key * np.uint64(_ODD) + least[band * ROWS + row])
-        keys.append(key)
-    return np.stack(keys, axis=1).view(np.int64), least[-1].view(np.int64)
-
-
-def _chunks(lengths, limit: int = CHUNK):
-    """Ranges of rows whose lengths add up to about ``limit`` (at least one row)."""
-    start, total = 0, 0
-    for k, n in enumerate(lengths):
-        if total and total + n > limit:
-            yield start, k
-            start, total = k, 0
-        total += n
-    if start < len(lengths):
-        yield start, len(lengths)
-
-
-def signed(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(lid, n, keys, fine) of ``lines`` (columns lid, n, line)."""
-    def run(batches):
-        import pyarrow as pa
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in _chunks([len(t) for t in texts]):
-                keys, fine = signatures(texts[a:b], size)
-                keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), keys, pa.array(fine)],
-                                                 names=["lid", "n", "keys", "fine"])
-    return lines.select("lid", F.col("n").cast("bigint").alias("n"), "line").mapInArrow(
-        run, "lid bigint, n bigint, keys array<bigint>, fine bigint")
+    from xxhash import xxh64_intdigest
+    starts = np.cumsum(counts) - counts
+    again = np.array([xxh64_intdigest(h.tobytes(), seed=42) for h in hashes], np.uint64)
+    values = [best.reduceat((x << np.uint64(8 * r)).view(np.int64), starts) >> 32
+              for r in range(SHIFTS) for x in (hashes, again) for best in (np.minimum, np.maximum)]
+    fine = np.minimum.reduceat((hashes ^ np.uint64(_FINE)).view(np.int64), starts) >> 32
+    rows = np.stack(values, axis=1)
+    keys = [[xxh64_intdigest(row[band::BANDS].tobytes(), seed=band) for band in range(BANDS)] for row in rows]
+    return np.array(keys, np.uint64).view(np.int64), fine
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -167,26 +142,10 @@ def similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         return lines.select(F.col("lid").alias(side), F.col("line").alias(f"{side}_line"))
     both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_line", "b_line").repartition(parts)
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        for batch in batches:
-            a, b, left, right = (c.to_pylist() for c in batch.columns)
-            for start, end in _chunks([len(x) + len(y) for x, y in zip(left, right)]):
-                line = dict(zip(a[start:end] + b[start:end], left[start:end] + right[start:end]))
-                sets = dict(zip(line, shingle_sets(list(line.values()), size)))
-                ga, gb, found = [], [], []
-                for x, y in zip(a[start:end], b[start:end]):
-                    x, y = sets[x], sets[y]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ga.append(len(x))
-                    gb.append(len(y))
-                    found.append(common / (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(start, end - start) for c in batch.columns[:2]), pa.array(ga, pa.int64()),
-                     pa.array(gb, pa.int64()), pa.array(found, pa.float64())],
-                    names=["a", "b", "ga", "gb", "jaccard"])
-    return both.mapInArrow(run, "a bigint, b bigint, ga bigint, gb bigint, jaccard double")
+    sets = both.select("a", "b", shingle_set("a_line", size).alias("x"), shingle_set("b_line", size).alias("y"))
+    sizes = sets.select("a", "b", F.size("x").cast("bigint").alias("ga"), F.size("y").cast("bigint").alias("gb"),
+                        F.size(F.array_intersect("x", "y")).alias("common"))
+    return sizes.select("a", "b", "ga", "gb", (F.col("common") / (F.col("ga") + F.col("gb") - F.col("common"))).alias("jaccard"))
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -220,17 +179,7 @@ def prefixes(lids: DataFrame, texts: DataFrame, size: int, similarity: float) ->
     """(lid, h, at): the shingles of each line's prefix that another of the lines
     holds too, and their place (from 1) among the line's shingles, rarest first.
     Shingles of one line only come first and meet nothing."""
-    def run(batches):
-        import pyarrow as pa
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _chunks([len(t) for t in texts]):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a),
-                     pa.array([s.view("int64") for s in shingle_sets(texts[a:b], size)], pa.list_(pa.int64()))],
-                    names=["lid", "hashes"])
-    sets = stored(texts.join(lids, "lid", "left_semi").select("lid", "line").mapInArrow(
-        run, "lid bigint, hashes array<bigint>"))
+    sets = stored(texts.join(lids, "lid", "left_semi").select("lid", shingle_set("line", size).alias("hashes")))
     each = sets.select("lid", F.size("hashes").alias("g"), F.explode("hashes").alias("h"))
     shared = each.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     ranked = (each.join(shared, "h").groupBy("lid", "g")

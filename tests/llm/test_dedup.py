@@ -204,6 +204,31 @@ def test_shingles_are_characters(spark):
     assert [r.n_kept for r in lines.dedup_lines(docs).collect()] == [1, 1]
 
 
+def test_signatures_and_sets_are_native_and_those_of_numpy(spark):
+    """No Python runs in any step of the line dedup, two lines share a band key exactly where
+    ``signatures`` says so, and the sets hold the hashes of ``shingles``."""
+    rng = random.Random(19)
+    base = ["".join(rng.choices("abcdé日😀 xyz", k=rng.randint(1, 120))) for _ in range(60)]
+    other = [t[:k] + "Q" + t[k + 1:] for t in base for k in [rng.randrange(len(t))]] + [t + "z" for t in base]
+    texts = list(dict.fromkeys(base + other))
+    frame = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "lid bigint, n bigint, line string")
+    signed = lines.signed(frame)
+    sets = frame.select("lid", lines.shingle_set("line").alias("hashes"))
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "a bigint, b bigint")
+    for step in (signed, lines.similarities(pairs, frame, lines.SHINGLE)):
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "Arrow" not in plan and "Python" not in plan, plan
+    got = {r.lid: set(r["keys"]) for r in signed.collect()}
+    want = [set(k) for k in lines.signatures(texts)[0].tolist()]
+    met = [(i, j) for i in range(len(texts)) for j in range(i) if want[i] & want[j]]
+    assert len(met) > 20
+    assert met == [(i, j) for i in range(len(texts)) for j in range(i) if got[i] & got[j]]
+    hashes, counts = lines.shingles(texts)
+    held = {r.lid: r.hashes for r in sets.collect()}
+    for i, part in enumerate(np.split(hashes.view(np.int64), np.cumsum(counts)[:-1])):
+        assert len(held[i]) == len(set(held[i])) and set(held[i]) == set(part.tolist())
+
+
 def test_white_space_lines_stay(spark):
     text = "one line of words here\r\n\r\n\t\n\u3000\n \x0b \nend of document {}, quite unlike\r"
     docs = [(i, text.format("".join(random.Random(i).choices("abcdefgh", k=60)))) for i in range(3)]
