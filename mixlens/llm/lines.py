@@ -192,11 +192,11 @@ def prefixes(lids: DataFrame, texts: DataFrame, size: int, similarity: float) ->
 
 
 def spread_lines(large: DataFrame, first: DataFrame) -> DataFrame:
-    """(key, lid, g, d): the lines of the larger ``buckets`` beside their centres, with
+    """(key, centre, lid, g, d): the lines of the larger ``buckets`` beside their centres, with
     the size of the shingle set and the distance to the centre."""
     far = first.select("a", "b", "ga", "gb", (1 - F.col("jaccard")).alias("d"))
-    return (large.select("key", "lid", *_pair("lid", "centre")).filter(F.col("a") != F.col("b")).join(far, ["a", "b"])
-            .select("key", "lid", F.when(F.col("lid") == F.col("a"), F.col("ga")).otherwise(F.col("gb")).alias("g"), "d"))
+    return (large.select("key", "centre", "lid", *_pair("lid", "centre")).filter(F.col("a") != F.col("b")).join(far, ["a", "b"])
+            .select("key", "centre", "lid", F.when(F.col("lid") == F.col("a"), F.col("ga")).otherwise(F.col("gb")).alias("g"), "d"))
 
 
 def open_lines(spread: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
@@ -204,7 +204,7 @@ def open_lines(spread: DataFrame, label: DataFrame, similarity: float) -> DataFr
     centre; without the lines that have no open pair in their bucket."""
     # a line linked to its centre is in the centre's component; open pairs have one end that is not
     known = (spread.join(label.withColumnRenamed("node", "lid"), "lid", "left")
-             .select("key", "lid", "g", "d", F.coalesce("component", "lid").alias("part"),
+             .select("key", "centre", "lid", "g", "d", F.coalesce("component", "lid").alias("part"),
                      (F.col("d") > 1 - similarity).alias("apart")))
     x_part = F.when(F.col("apart"), F.col("part"))
     sides = known.groupBy("key").agg(F.min(x_part).alias("x0"), F.max(x_part).alias("x1"),
@@ -212,22 +212,25 @@ def open_lines(spread: DataFrame, label: DataFrame, similarity: float) -> DataFr
     meets_x = (F.col("x0") != F.col("part")) | (F.col("x1") != F.col("part"))
     meets_y = (F.col("y0") != F.col("part")) | (F.col("y1") != F.col("part"))
     return (known.join(sides.filter(F.col("x0").isNotNull() & (F.col("y0") != F.col("y1"))), "key")
-            .filter(meets_x | (F.col("apart") & meets_y)).select("key", "lid", "g", "d", "part", "apart"))
+            .filter(meets_x | (F.col("apart") & meets_y)).select("key", "centre", "lid", "g", "d", "part", "apart"))
 
 
 def open_pairs(known: DataFrame, prefix: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: the pairs of ``open_lines`` in different components, not excluded by
     set sizes or by the distances to the centre, and with a shingle of both
     ``prefixes`` in common."""
+    # buckets of one centre hold much the same lines: a line once for each centre, with its buckets
+    lines = known.groupBy("centre", "lid", "g", "d", "part", "apart").agg(F.collect_set("key").alias("keys"))
+
     def side(frame, name):
         return frame.join(prefix, "lid").select(
-            "key", "h", *[F.col(c).alias(f"{name}_{c}") for c in ("lid", "g", "d", "part", "apart", "at")])
+            "centre", "h", *[F.col(c).alias(f"{name}_{c}") for c in ("lid", "g", "d", "part", "apart", "at", "keys")])
     # after their first common shingle two sets still need the others of a similar pair
     needed = (F.col("x_g") + F.col("y_g")) * F.lit(similarity / (1 + similarity)) - 1e-9
     ahead = 1 + F.least(F.col("x_g") - F.col("x_at"), F.col("y_g") - F.col("y_at"))
     once = ~F.col("y_apart") | (F.col("x_lid") < F.col("y_lid"))
-    return (side(known.filter("apart"), "x").join(side(known, "y"), ["key", "h"])
-            .filter((F.col("x_part") != F.col("y_part")) & (ahead >= needed)
+    return (side(lines.filter("apart"), "x").join(side(lines, "y"), ["centre", "h"])
+            .filter((F.col("x_part") != F.col("y_part")) & (ahead >= needed) & F.arrays_overlap("x_keys", "y_keys")
                     & (F.least("x_g", "y_g") >= similarity * F.greatest("x_g", "y_g"))
                     & (F.abs(F.col("x_d") - F.col("y_d")) <= 1 - similarity + 1e-9) & once)
             .select(*_pair("x_lid", "y_lid")).distinct())
