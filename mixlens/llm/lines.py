@@ -8,10 +8,14 @@
    In a larger bucket each line meets the bucket's centre (the line with most
    places) and the centre of the bucket's lines of its fine key.  Jaccard distance is a metric, so
    the distances to the centre, the sizes of the sets and the components so far
-   exclude pairs.  Of the other pairs those are compared that share a shingle
+   exclude pairs.  Where up to ``GROUP`` lines of a bucket are left, the other pairs are
+   all looked at.  Where more are left, those are that share a shingle
    of both lines' prefixes: with the shingles of a line ordered by the number of
    lines that hold them, two sets of similarity s meet in their first
    ``g - ceil(s * g) + 1``, and from the first common one on enough must follow.
+   Every line of a bucket has a bitmap of ``WORDS`` * 64 bits, one of them set for each
+   shingle: bits set in one of two lines only are shingles they do not share,
+   and a pair with too many of them is not similar.
    No bucket is cut and no link inside one is lost.
 4. Exact Jaccard similarity of the full shingle sets (as 64-bit hashes) decides
    each candidate.
@@ -40,7 +44,9 @@ SHINGLE = 10               # characters
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 SMALL = 5                  # lines of a bucket that are compared pair by pair
-BLOCK = 8                  # shingles hashed in one row
+GROUP = 32                 # lines with open pairs in a bucket that meet pair by pair, and not by prefixes
+BLOCK = 2                  # shingles hashed in one row: more make a method that is compiled badly or, from 8, not at all
+MARKED, WORDS = 4, 16      # shingles marked in one row; 64-bit words of a line's bitmap
 SHIFTS = BANDS * ROWS // 4  # least and greatest of two hashes by this many shifts
 
 _FINE = 0x5A17C3D2E4B69F01
@@ -62,37 +68,69 @@ def shingle_set(line: str, size: int = SHINGLE) -> Column:
     return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "utf-32")), windows), F.lit(0)))
 
 
-def _values(one: list[str], two: list[str]) -> dict[str, Column]:
-    """The MinHash values over the shingle hashes in the columns ``one``, and ``two`` with
-    the hashes of those: least and greatest of both after shifts of 0, 8 ... 40
-    bits (an order decided by other bits each time), and the fine value.  32 bits are kept."""
-    def of(best, shifted):
-        least, greatest = (F.least, F.greatest) if len(shifted) > 1 else (lambda c: c, lambda c: c)
-        return F.min(F.shiftright(least(*shifted), 32)) if best == "min" else F.max(F.shiftright(greatest(*shifted), 32))
-    found = [of(best, [F.shiftleft(c, 8 * r) for c in side])
-             for r in range(SHIFTS) for side in (one, two) for best in ("min", "max")]
-    fine = of("min", [F.col(c).bitwiseXOR(F.lit(_FINE)) for c in one])
+def _orders(one: list[str], two: list[str]) -> dict[str, Column]:
+    """What the MinHash values are the least (even) or greatest (odd) of, over the shingle
+    hashes of a row in the columns ``one``, and ``two`` with the hashes of those: least
+    and greatest of both after shifts of 0, 8 ... 40 bits (an order decided by other
+    bits each time), and that of the fine value."""
+    found = [best(*[F.shiftleft(c, 8 * r) for c in side])
+             for r in range(SHIFTS) for side in (one, two) for best in (F.least, F.greatest)]
+    fine = F.least(*[F.col(c).bitwiseXOR(F.lit(_FINE)) for c in one])
     return {**{f"v{k}": v for k, v in enumerate(found)}, "fine": fine}
 
 
-def signed(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(lid, n, keys, fine) of ``lines`` (columns lid, n, line): ``BANDS`` band keys and the
-    fine key.  Every shingle becomes a value of a row of ``BLOCK`` shingles (the last
-    of a line repeated), so a line's least and greatest are plain aggregates."""
+def _hashed(lines: DataFrame, size: int, block: int, names: list[str]) -> DataFrame:
+    """The shingle hashes of ``lines`` (columns lid, line, others) in the columns ``x0``, ``x1`` ...,
+    ``block`` in a row (the last of a line repeated), beside the columns ``names``."""
     step = 4 * size
-    points = lines.select("lid", F.col("n").cast("bigint").alias("n"), F.encode("line", "utf-32").alias("points"))
+    points = lines.select(*names, F.encode("line", "utf-32").alias("points"))
     blocks = points.withColumn("last", F.greatest(F.octet_length("points") - F.lit(step), F.lit(0))).select(
-        "lid", "n", "points", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(4 * BLOCK))).alias("i"))
+        *names, "points", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(4 * block))).alias("i"))
+    return blocks.select(*names, *[
+        F.xxhash64(F.substring("points", F.least(F.col("i") + 4 * j, "last") + 1, F.lit(step))).alias(f"x{j}")
+        for j in range(block)])
+
+
+def signed(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(lid, n, keys, fine) of ``lines`` (columns lid, n, line): ``BANDS`` band keys and the
+    fine key.  Every shingle becomes a value of a row of ``BLOCK`` shingles, so a
+    line's least and greatest are plain aggregates, of which 32 bits are kept."""
     one, two = [f"x{j}" for j in range(BLOCK)], [f"y{j}" for j in range(BLOCK)]
-    hashed = blocks.select("lid", "n", *[
-        F.xxhash64(F.substring("points", F.least(F.col("i") + 4 * j, "last") + 1, F.lit(step))).alias(c)
-        for j, c in enumerate(one)])
+    hashed = _hashed(lines.withColumn("n", F.col("n").cast("bigint")), size, BLOCK, ["lid", "n"])
     hashed = hashed.select("*", *[F.xxhash64(x).alias(y) for x, y in zip(one, two)])
-    best = hashed.groupBy("lid", "n").agg(*[v.alias(name) for name, v in _values(one, two).items()])
+    # each aggregate reads one column: one of many arguments costs more than all the hashing
+    rows = hashed.select("lid", "n", *[v.alias(name) for name, v in _orders(one, two).items()])
+    best = rows.groupBy("lid", "n").agg(
+        *[F.shiftright((F.max if k % 2 else F.min)(f"v{k}"), 32).alias(f"v{k}") for k in range(BANDS * ROWS)],
+        F.shiftright(F.min("fine"), 32).alias("fine"))
     keys = [F.xxhash64(F.lit(band), *[f"v{k}" for k in range(band, BANDS * ROWS, BANDS)]) for band in range(BANDS)]
     return best.select("lid", "n", F.array(*keys).alias("keys"), "fine")
 
 
+def bitmaps(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(lid, windows, m0, m1 ...) of ``texts`` (columns lid, line): the number of windows, which is
+    that of the shingles at least, and the line's bitmap."""
+    one = [f"x{j}" for j in range(MARKED)]
+    counted = texts.select("lid", "line", F.greatest(F.length("line") - F.lit(size - 1), F.lit(1)).cast("bigint").alias("windows"))
+    rows = _hashed(counted, size, MARKED, ["lid", "windows"])
+    rows = rows.select("lid", "windows", *[F.expr(f"shiftleft(1L, cast({x} & 63 as int))").alias(f"b{x}") for x in one],
+                       *[F.expr(f"(shiftrightunsigned({x}, 6)) % {WORDS}").alias(f"w{x}") for x in one])
+    words = [F.expr(" | ".join(f"if(w{x} = {k}, b{x}, 0L)" for x in one)).alias(f"m{k}") for k in range(WORDS)]
+    return rows.select("lid", "windows", *words).groupBy("lid", "windows").agg(
+        *[F.bit_or(f"m{k}").alias(f"m{k}") for k in range(WORDS)])
+
+
+def not_excluded(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the ``pairs`` whose ``bitmaps`` do not show that they are less similar."""
+    def named(side):
+        return marked.select(*[F.col(c).alias(f"{side}_{c}" if c != "lid" else side) for c in marked.columns])
+    both = pairs.select("a", "b").join(named("a"), "a").join(named("b"), "b")
+    apart = F.expr(" + ".join(f"bit_count(a_m{k} ^ b_m{k})" for k in range(WORDS)))
+    # of x + y shingles at most, similar sets have x + y - 2 * common apart, and common is this share of x + y
+    most = (F.col("a_windows") + F.col("b_windows")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-9
+    return both.filter(apart <= most).select("a", "b")
+
+
 def shingles(texts: list[str], size: int = SHINGLE):
     """(hashes, counts): what ``signed`` hashes, in numpy, to measure recall against: the
     hashes of all windows of every text, one text after the other, and how many each has."""
@@ -158,7 +196,7 @@ def buckets(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     found = stored(signed(lines, size)).select("lid", "n", "fine", F.explode("keys").alias("key"))
     # counts alone first: most keys belong to one line
     several = found.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > 1)
-    members = stored(found.join(several, "key"))
+    members = stored(found.join(several.hint("shuffle_hash"), "key"))
     middle = F.min(F.struct((-F.col("n")).alias("m"), "lid"))["lid"]
     whole = members.groupBy("key").agg(middle.alias("centre"))
     parts = members.groupBy("key", "fine").agg(middle.alias("near"))
@@ -215,6 +253,27 @@ def open_lines(spread: DataFrame, label: DataFrame, similarity: float) -> DataFr
             .filter(meets_x | (F.col("apart") & meets_y)).select("key", "centre", "lid", "g", "d", "part", "apart"))
 
 
+def small_groups(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``open_lines`` of the buckets with up to ``GROUP`` such lines, and of those with more."""
+    many = known.groupBy("key").agg(F.count("*").alias("_lines")).filter(F.col("_lines") > GROUP)
+    return known.join(many, "key", "left_anti"), known.join(many.select("key"), "key", "left_semi")
+
+
+def all_open_pairs(known: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: the pairs inside the buckets of ``open_lines`` in different components, not
+    excluded by set sizes or by the distances to the centre."""
+    def side(name):
+        return known.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("lid", "g", "d", "part", "apart")])
+    return (side("x").filter("x_apart").join(side("y"), "key").filter(_open(similarity))
+            .select(*_pair("x_lid", "y_lid")).distinct())
+
+
+def _open(similarity: float) -> Column:
+    once = ~F.col("y_apart") | (F.col("x_lid") < F.col("y_lid"))
+    return ((F.col("x_part") != F.col("y_part")) & (F.least("x_g", "y_g") >= similarity * F.greatest("x_g", "y_g"))
+            & (F.abs(F.col("x_d") - F.col("y_d")) <= 1 - similarity + 1e-9) & once)
+
+
 def open_pairs(known: DataFrame, prefix: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: the pairs of ``open_lines`` in different components, not excluded by
     set sizes or by the distances to the centre, and with a shingle of both
@@ -228,11 +287,8 @@ def open_pairs(known: DataFrame, prefix: DataFrame, similarity: float) -> DataFr
     # after their first common shingle two sets still need the others of a similar pair
     needed = (F.col("x_g") + F.col("y_g")) * F.lit(similarity / (1 + similarity)) - 1e-9
     ahead = 1 + F.least(F.col("x_g") - F.col("x_at"), F.col("y_g") - F.col("y_at"))
-    once = ~F.col("y_apart") | (F.col("x_lid") < F.col("y_lid"))
     return (side(lines.filter("apart"), "x").join(side(lines, "y"), ["centre", "h"])
-            .filter((F.col("x_part") != F.col("y_part")) & (ahead >= needed) & F.arrays_overlap("x_keys", "y_keys")
-                    & (F.least("x_g", "y_g") >= similarity * F.greatest("x_g", "y_g"))
-                    & (F.abs(F.col("x_d") - F.col("y_d")) <= 1 - similarity + 1e-9) & once)
+            .filter(_open(similarity) & (ahead >= needed) & F.arrays_overlap("x_keys", "y_keys"))
             .select(*_pair("x_lid", "y_lid")).distinct())
 
 
@@ -245,16 +301,21 @@ def linked_members(members: DataFrame, lines: DataFrame, size: int = SHINGLE,
                    similarity: float = SIMILARITY) -> DataFrame:
     """``linked_lines`` from the ``buckets`` of the lines."""
     # what candidates need of their lines, fetched once
-    texts = stored(lines.select("lid", "line").join(members.select("lid").distinct(), "lid", "left_semi"))
+    texts = stored(lines.select("lid", "line").join(members.select("lid").distinct().hint("shuffle_hash"), "lid", "left_semi"))
+    marked = stored(bitmaps(texts, size))
+    large = members.filter(F.col("c") > SMALL)
     # the full value of a pair with a centre is kept: it bounds the pairs not compared
-    first = stored(similarities(candidates(members), texts, size))
+    centres = large.filter(F.col("lid") != F.col("centre")).select(*_pair("lid", "centre"))
+    compared = not_excluded(candidates(members), marked, similarity).unionAll(centres).distinct()
+    first = stored(similarities(compared, texts, size))
     links = first.filter(F.col("jaccard") >= similarity).select("a", "b")
-    large = members.filter(F.col("c") > SMALL)
     if large.isEmpty():
         return components(links)
     known = stored(open_lines(spread_lines(large, first), stored(components(links)), similarity))
-    prefix = stored(prefixes(known.select("lid").distinct(), texts, size, similarity))
-    left = open_pairs(known, prefix, similarity)
+    few, many = small_groups(known)
+    prefix = stored(prefixes(many.select("lid").distinct(), texts, size, similarity))
+    left = all_open_pairs(few, similarity).unionAll(open_pairs(many, prefix, similarity)).distinct()
+    left = not_excluded(left, marked, similarity)
     rest = stored(similarities(left, texts, size).filter(F.col("jaccard") >= similarity).select("a", "b"))
     return components(links.unionAll(rest))
 
@@ -264,12 +325,11 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
     """``docs`` with the lines that go taken out of the text, and the columns
     ``n_lines`` and ``n_kept`` (which replace columns of those names)."""
     lines = distinct_lines(docs, id_col, text_col)
-    groups = stored(linked_lines(lines, size, similarity))
-    # of a component the line with the first place stays
-    placed = groups.join(lines.select(F.col("lid").alias("node"), "at"), "node")
-    first = placed.groupBy("component").agg(F.min("at").alias("first"))
-    gone = stored(placed.join(first, "component").filter(F.col("at") != F.col("first")).select(F.col("node").alias("lid")))
-    kept = (lines.select("lid", "at").join(gone, "lid", "left_anti")
+    groups = stored(linked_lines(lines, size, similarity)).withColumnRenamed("node", "lid")
+    # of a component the line with the first place stays; no two lines have one place
+    placed = stored(lines.select("lid", "at").join(groups.hint("shuffle_hash"), "lid", "left").select("at", "component"))
+    firsts = placed.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("at").alias("at"))
+    kept = (placed.filter(F.col("component").isNull()).select("at").unionAll(firsts.select("at"))
             .groupBy(F.col("at.id").alias("_line_id"), F.col("at.th").alias("_line_th"))
             .agg(F.collect_list("at.pos").alias("_line_kept")))
     names = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
@@ -277,11 +337,13 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
     met = rows.join(kept, rows[id_col].eqNullSafe(kept["_line_id"]) & (rows["_line_key"] == kept["_line_th"]), "left")
     cut = met.select(*names, F.split(F.col(text_col), "\n", -1).alias("_line_all"),
                      F.coalesce("_line_kept", F.array().cast("array<int>")).alias("_line_kept"))
-    blank = F.filter(F.sequence(F.lit(0), F.size("_line_all") - 1),
-                     lambda i: _blank(F.get(F.col("_line_all"), i)))
+    none = F.array().cast("array<int>")
+    blank = F.when(F.size("_line_kept") == F.size("_line_all"), none).otherwise(
+        F.filter(F.sequence(F.lit(0), F.size("_line_all") - 1), lambda i: _blank(F.get(F.col("_line_all"), i))))
     stay = cut.withColumn("_line_stay", F.when(F.col("_line_all").isNotNull(),
-                                               F.array_sort(F.array_union("_line_kept", blank))))
-    text = F.array_join(F.transform("_line_stay", lambda i: F.get(F.col("_line_all"), i)), "\n")
+                                               F.sort_array(F.array_union("_line_kept", blank))))
+    text = F.when(F.size("_line_stay") == F.size("_line_all"), F.col(text_col)).otherwise(
+        F.array_join(F.transform("_line_stay", lambda i: F.get(F.col("_line_all"), i)), "\n"))
     return stay.select(*[text.alias(c) if c == text_col else F.col(c) for c in names],
                        F.when(F.col("_line_all").isNull(), F.lit(0)).otherwise(F.size("_line_all")).alias("n_lines"),
                        F.when(F.col("_line_stay").isNull(), F.lit(0)).otherwise(F.size("_line_stay")).alias("n_kept"))

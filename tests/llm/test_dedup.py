@@ -134,6 +134,53 @@ def test_a_family_near_the_threshold_sends_few_pairs(spark):
     assert len(sent) < 0.02 * 300 * 299 / 2
 
 
+def test_bitmaps_exclude_no_similar_pair(spark):
+    """Of variants of one line, also with repeated shingles and of other lengths, the bitmaps
+    leave every similar pair, and few of the others."""
+    rng = random.Random(23)
+    base = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzé日", k=6)) for _ in range(50)]
+    texts = ["", "short", "shorter", "ab " * 200, "ab " * 150, "ab " * 200 + "x"]
+    for changed in [0, 1, 2, 3, 5, 8, 20] * 12:
+        w = list(base)
+        for k in rng.sample(range(50), changed):
+            w[k] = "".join(rng.choices("abcdefghijklmnop", k=6))
+        texts.append(" ".join(w[:rng.choice([50, 50, 45, 30])]))
+    texts = list(dict.fromkeys(texts))
+    frame = spark.createDataFrame(list(enumerate(texts)), "lid bigint, line string")
+    marked = lines.bitmaps(frame)
+    pairs = frame.select(F.col("lid").alias("a")).crossJoin(frame.select(F.col("lid").alias("b"))).filter("a < b")
+    left = {(r.a, r.b) for r in lines.not_excluded(pairs, marked, 0.8).collect()}
+    sets = [shingle_set(t) for t in texts]
+    assert {r.lid: r.windows for r in marked.collect()} == {i: max(len(t) - 9, 1) for i, t in enumerate(texts)}
+    similar = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    every = len(sets) * (len(sets) - 1) // 2
+    assert similar <= left and len(similar) > 50
+    assert len(left - similar) < 0.4 * (every - len(similar))
+
+
+def test_prefixes_are_for_large_groups_only(spark):
+    """Buckets with up to GROUP lines of open pairs need no count of shingles, and both
+    ways find the pairs that brute force finds."""
+    rng = random.Random(29)
+    texts, rows, lid = [], [], 0
+    for key, count in ((1, 12), (2, lines.GROUP), (3, lines.GROUP + 20)):
+        centre = lid
+        for i in range(count // 2):
+            line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=120))
+            for text in (line, line + " x"):
+                texts.append((lid, text))
+                rows.append((key, count, lid, centre, lid))
+                lid += 1
+    members = spark.createDataFrame(rows, "key bigint, c bigint, lid bigint, centre bigint, near bigint")
+    frame = spark.createDataFrame(texts, "lid bigint, line string")
+    first = lines.similarities(lines.candidates(members), frame, lines.SHINGLE)
+    label = lines.components(first.filter(F.col("jaccard") >= 0.8).select("a", "b"))
+    few, many = lines.small_groups(lines.open_lines(lines.spread_lines(members, first), label, 0.8))
+    assert {r.key for r in few.collect()} == {1, 2} and {r.key for r in many.collect()} == {3}
+    found = lines.linked_members(members, frame)
+    assert {(r.component, r.node) for r in found.collect() if r.node != r.component} == {(i, i + 1) for i in range(0, lid, 2)}
+
+
 def near_lines(rng):
     """Pairs of one kind of line that differ in short fields only."""
     def number(n):
