@@ -34,7 +34,7 @@ share only the id are separate documents; a document may end up without lines
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixlens.llm.common import stored
@@ -219,8 +219,9 @@ def prefixes(lids: DataFrame, texts: DataFrame, size: int, similarity: float) ->
     Shingles of one line only come first and meet nothing."""
     sets = stored(texts.join(lids, "lid", "left_semi").select("lid", shingle_set("line", size).alias("hashes")))
     each = sets.select("lid", F.size("hashes").alias("g"), F.explode("hashes").alias("h"))
-    shared = each.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    ranked = (each.join(shared, "h").groupBy("lid", "g")
+    # counted where its rows are, without a join
+    shared = each.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter(F.col("n") > 1)
+    ranked = (shared.groupBy("lid", "g")
               .agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("held")))
     length = F.col("g") - F.ceil(F.col("g") * F.lit(similarity) - F.lit(1e-9)) + 1
     alone = F.col("g") - F.size("held")
