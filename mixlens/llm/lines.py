@@ -214,9 +214,9 @@ def candidates(members: DataFrame) -> DataFrame:
 
 
 def prefixes(lids: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(lid, h, at): the shingles of each line's prefix that another of the lines
-    holds too, and their place (from 1) among the line's shingles, rarest first.
-    Shingles of one line only come first and meet nothing."""
+    """(lid, alone, hashes): the shingles of each line's prefix that another of the lines
+    holds too, rarest first, and how many of the line's shingles come before them:
+    those of one line only, which meet nothing."""
     sets = stored(texts.join(lids, "lid", "left_semi").select("lid", shingle_set("line", size).alias("hashes")))
     each = sets.select("lid", F.size("hashes").alias("g"), F.explode("hashes").alias("h"))
     # counted where its rows are, without a join
@@ -226,8 +226,7 @@ def prefixes(lids: DataFrame, texts: DataFrame, size: int, similarity: float) ->
     length = F.col("g") - F.ceil(F.col("g") * F.lit(similarity) - F.lit(1e-9)) + 1
     alone = F.col("g") - F.size("held")
     take = F.greatest(length - alone, F.lit(0)).cast("int")
-    return (ranked.select("lid", alone.alias("alone"), F.posexplode(F.slice("held", F.lit(1), take)["h"]).alias("i", "h"))
-            .select("lid", "h", (F.col("alone") + F.col("i") + 1).alias("at")))
+    return ranked.select("lid", alone.alias("alone"), F.slice("held", F.lit(1), take)["h"].alias("hashes"))
 
 
 def spread_lines(large: DataFrame, first: DataFrame) -> DataFrame:
@@ -283,7 +282,9 @@ def open_pairs(known: DataFrame, prefix: DataFrame, similarity: float) -> DataFr
     lines = known.groupBy("centre", "lid", "g", "d", "part", "apart").agg(F.collect_set("key").alias("keys"))
 
     def side(frame, name):
-        return frame.join(prefix, "lid").select(
+        # a line meets its prefix as one row
+        each = frame.join(prefix, "lid").select(*frame.columns, "alone", F.posexplode("hashes").alias("i", "h"))
+        return each.withColumn("at", F.col("alone") + F.col("i") + 1).select(
             "centre", "h", *[F.col(c).alias(f"{name}_{c}") for c in ("lid", "g", "d", "part", "apart", "at", "keys")])
     # after their first common shingle two sets still need the others of a similar pair
     needed = (F.col("x_g") + F.col("y_g")) * F.lit(similarity / (1 + similarity)) - 1e-9

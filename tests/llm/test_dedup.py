@@ -177,9 +177,12 @@ def test_prefixes_are_for_large_groups_only(spark):
     label = lines.components(first.filter(F.col("jaccard") >= 0.8).select("a", "b"))
     few, many = lines.small_groups(lines.open_lines(lines.spread_lines(members, first), label, 0.8))
     assert {r.key for r in few.collect()} == {1, 2} and {r.key for r in many.collect()} == {3}
-    # shingles are counted without a join: one shuffle of them
-    plan = lines.prefixes(many.select("lid").distinct(), frame, lines.SHINGLE, 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    # shingles are counted without a join, and a line joins its prefix as one row
+    prefix = lines.prefixes(many.select("lid").distinct(), frame, lines.SHINGLE, 0.8)
+    plan = prefix._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "Join" not in plan, plan
+    held = [r.lid for r in prefix.collect()]
+    assert len(held) == len(set(held)) >= lines.GROUP
     found = lines.linked_members(members, frame)
     assert {(r.component, r.node) for r in found.collect() if r.node != r.component} == {(i, i + 1) for i in range(0, lid, 2)}
 
