@@ -11,6 +11,10 @@ of one lies within two bits of the other, so every pair meets at an anchor and
 is compared there in full.  Equal fingerprints are one class before that, so
 copies never multiply.
 
+Joins are sort-merge joins at every size: Spark counts an explode as no more
+rows than it reads, and integers as small as their files, so it would
+broadcast all replicas of a table whose file is just below its threshold.
+
 Fingerprint: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, shingles of
 ``words`` words joined by blanks (fewer words: the whole sequence), XXH64 with
 seed 42 of each shingle, a bit is 1 if set in over half of them.
@@ -104,7 +108,8 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     rows = _anchors(fps)
     homes = rows.select("half", F.col("home").alias("anchor"), F.col("fp").alias("x"))
     replicas = rows.select("half", F.explode("near").alias("anchor"), F.col("fp").alias("y"))
-    met = homes.join(replicas, (homes["half"] == replicas["half"]) & (homes["anchor"] == replicas["anchor"])
+    # there are up to 34 replicas a fingerprint, which Spark does not count: never broadcast
+    met = homes.join(replicas.hint("merge"), (homes["half"] == replicas["half"]) & (homes["anchor"] == replicas["anchor"])
                      & (F.col("x") != F.col("y"))
                      & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -116,10 +121,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3,
     rows = stored(fingerprints(docs, words, id_col, text_col))
     classes = stored(rows.groupBy("fp").agg(F.min(id_col).alias("rep")))
     links = linked_fingerprints(classes.select("fp"), max_bits)
-    edges = (links.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a")
-             .join(classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+    edges = (links.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")).hint("merge"), "a")
+             .join(classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb")).hint("merge"), "b")
              .select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     groups = components(edges)
-    known = (classes.join(groups, classes["rep"] == groups["node"], "left")
+    known = (classes.join(groups.hint("merge"), classes["rep"] == groups["node"], "left")
              .select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return rows.join(known, "fp").select(id_col, "fp", "component_id")
+    return rows.join(known.hint("merge"), "fp").select(id_col, "fp", "component_id")

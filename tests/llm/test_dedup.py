@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from mixlens.llm import components as union_find
 from mixlens.llm import embed, lines, mih, simhash
 from mixlens.llm.components import components
 from mixlens.llm.queries import op2_line_dedup, op3_embedding_dedup, op7_topk, op8_simhash
@@ -23,6 +24,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([(1, 1), (None, 2)], "a bigint, b bigint")).count() == 0
 
 
+def test_many_links_are_not_broadcast(spark, monkeypatch):
+    links = spark.range(400).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    for step in (union_find._large_star, union_find._small_star):
+        plan = step(links, False)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    monkeypatch.setattr(union_find, "FEW", 100)
+    assert {(r.node, r.component) for r in components(links).collect()} == {(i, 0) for i in range(401)}
+
+
 # ---- lines -------------------------------------------------------------------
 
 def shingle_set(line, size=lines.SHINGLE):
@@ -476,3 +486,10 @@ def test_anchors_meet_every_pair(spark, bits):
     flat = sorted(x for x, in signed)
     want = {(a, b) for k, b in enumerate(flat) for a in flat[:k] if ((a ^ b) & (2**64 - 1)).bit_count() <= bits}
     assert got == want and (bits == 0 or want)
+
+
+def test_replicas_are_not_broadcast(spark):
+    # a table far below the broadcast threshold, whose replicas are not counted
+    fps = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.linked_fingerprints(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
