@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = stored(docs.withColumn("_near_row", F.monotonically_increasing_id()))
     found = simhash.near_duplicates(rows, words=3, max_bits=3, id_col="_near_row").select("_near_row", "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_near_row"))
-    first = found.join(rows.select("_near_row", order.alias("order")), "_near_row").groupBy("component_id").agg(
+    first = found.join(rows.select("_near_row", order.alias("order")).hint("merge"), "_near_row").groupBy("component_id").agg(
         F.min("order").alias("least")).select(F.col("least._near_row").alias("_near_row"))
     return rows.join(first, "_near_row", "left_semi").select(*docs.columns)
 
