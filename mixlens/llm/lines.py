@@ -200,13 +200,14 @@ def buckets(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     middle = F.min(F.struct((-F.col("n")).alias("m"), "lid"))["lid"]
     whole = members.groupBy("key").agg(middle.alias("centre"))
     parts = members.groupBy("key", "fine").agg(middle.alias("near"))
-    return stored(members.join(parts, ["key", "fine"]).join(whole, "key").select("key", "c", "lid", "centre", "near"))
+    # rows of whole numbers are many times their file, by which Spark would broadcast them
+    return stored(members.join(parts.hint("merge"), ["key", "fine"]).join(whole.hint("merge"), "key").select("key", "c", "lid", "centre", "near"))
 
 
 def candidates(members: DataFrame) -> DataFrame:
     """(a, b), a < b: first candidate pairs of ``buckets``."""
     few = members.filter(F.col("c") <= SMALL)
-    close = (few.select("key", F.col("lid").alias("a")).join(few.select("key", F.col("lid").alias("b")), "key")
+    close = (few.select("key", F.col("lid").alias("a")).join(few.select("key", F.col("lid").alias("b")).hint("merge"), "key")
              .filter(F.col("a") < F.col("b")).select("a", "b"))
     star = (members.filter(F.col("c") > SMALL).select("lid", F.explode(F.array("centre", "near")).alias("other"))
             .filter(F.col("lid") != F.col("other")).select(*_pair("lid", "other")))
@@ -233,7 +234,7 @@ def spread_lines(large: DataFrame, first: DataFrame) -> DataFrame:
     """(key, centre, lid, g, d): the lines of the larger ``buckets`` beside their centres, with
     the size of the shingle set and the distance to the centre."""
     far = first.select("a", "b", "ga", "gb", (1 - F.col("jaccard")).alias("d"))
-    return (large.select("key", "centre", "lid", *_pair("lid", "centre")).filter(F.col("a") != F.col("b")).join(far, ["a", "b"])
+    return (large.select("key", "centre", "lid", *_pair("lid", "centre")).filter(F.col("a") != F.col("b")).join(far.hint("merge"), ["a", "b"])
             .select("key", "centre", "lid", F.when(F.col("lid") == F.col("a"), F.col("ga")).otherwise(F.col("gb")).alias("g"), "d"))
 
 
@@ -241,7 +242,7 @@ def open_lines(spread: DataFrame, label: DataFrame, similarity: float) -> DataFr
     """``spread`` with the component ``part`` and whether the line is ``apart`` from its
     centre; without the lines that have no open pair in their bucket."""
     # a line linked to its centre is in the centre's component; open pairs have one end that is not
-    known = (spread.join(label.withColumnRenamed("node", "lid"), "lid", "left")
+    known = (spread.join(label.withColumnRenamed("node", "lid").hint("merge"), "lid", "left")
              .select("key", "centre", "lid", "g", "d", F.coalesce("component", "lid").alias("part"),
                      (F.col("d") > 1 - similarity).alias("apart")))
     x_part = F.when(F.col("apart"), F.col("part"))
@@ -264,7 +265,7 @@ def all_open_pairs(known: DataFrame, similarity: float) -> DataFrame:
     excluded by set sizes or by the distances to the centre."""
     def side(name):
         return known.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("lid", "g", "d", "part", "apart")])
-    return (side("x").filter("x_apart").join(side("y"), "key").filter(_open(similarity))
+    return (side("x").filter("x_apart").join(side("y").hint("merge"), "key").filter(_open(similarity))
             .select(*_pair("x_lid", "y_lid")).distinct())
 
 

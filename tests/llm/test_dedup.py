@@ -144,6 +144,17 @@ def test_a_family_near_the_threshold_sends_few_pairs(spark):
     assert len(sent) < 0.02 * 300 * 299 / 2
 
 
+def test_members_of_buckets_are_not_broadcast(spark):
+    members = spark.range(60).select((F.col("id") % 20).alias("key"), F.lit(3).cast("bigint").alias("c"), F.col("id").alias("lid"),
+                                     (F.col("id") % 20).alias("centre"), (F.col("id") % 20).alias("near"))
+    known = members.select("key", "centre", "lid", F.lit(9).alias("g"), F.lit(0.5).alias("d"), F.col("lid").alias("part"), F.lit(True).alias("apart"))
+    for step in (lines.candidates(members), lines.all_open_pairs(known, 0.8)):
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r.a, r.b) for r in lines.candidates(members).collect()} == {
+        (a, b) for a in range(60) for b in range(a + 1, 60) if (b - a) % 20 == 0}
+
+
 def test_bitmaps_exclude_no_similar_pair(spark):
     """Of variants of one line, also with repeated shingles and of other lengths, the bitmaps
     leave every similar pair, and few of the others."""
